@@ -43,11 +43,32 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8, k=5)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import licenses
+
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op7_token_ids": op7_token_ids,
+    "op8_secrets": op8_secrets,
+    "op9_decontamination": op9_decontamination,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
@@ -59,4 +80,16 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f""",
+    "op9_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+        ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+        bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM b),
+        n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
+        SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles,
+               count(*)::DOUBLE / any_value(item_shingles) AS containment
+        FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+        GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles)""",
 }
