@@ -37,6 +37,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_ids import read_shards, write_shards
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op6_nearest": op6_nearest,
     "op7_token_ids": op7_token_ids,
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
