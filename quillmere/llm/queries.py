@@ -37,6 +37,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest_neighbours
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op4_language": op4_language,
     "op6_nearest": op6_nearest,
     "op7_token_ids": op7_token_ids,
     "op8_secrets": op8_secrets,
