@@ -43,6 +43,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest_neighbours
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op5_lm_score": op5_lm_score,
     "op6_nearest": op6_nearest,
     "op7_token_ids": op7_token_ids,
     "op8_secrets": op8_secrets,
