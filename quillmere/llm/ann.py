@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import stash
 
 #: Vectors in the sample the model is fitted on, and cells, at most.
-SAMPLE, CELLS = 20_000, 4096
+SAMPLE, CELLS = 12_000, 4096
 #: Entries of a cell, and queries, that one group of work holds, about.
 BLOCK, CROWD = 8192, 2048
 #: The cosine from which scores matter, which sets the weight of parallel errors.
@@ -68,7 +68,7 @@ class Model:
         books = np.stack([np.resize(kmeans(pairs[:, m], 16, 8, seed + m), (16, 2)) for m in range(pairs.shape[1])])
         model = cls(centres, books, max(1.0, (d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)))
         for _ in range(rounds):
-            codes = model.codes(x, rest)
+            codes = np.concatenate([model.codes(x[a : a + 1000], rest[a : a + 1000]) for a in range(0, n, 1000)])
             model.refit(x, rest, codes)
         return model
 
@@ -81,11 +81,11 @@ class Model:
         at = at.reshape(n, -1)
         normal, right = np.zeros((size, size)), np.zeros(size)
         normal[np.arange(size), np.arange(size)] = np.bincount(at.ravel(), minlength=size) + 1e-6
-        for a in range(0, n, 2000):
-            z = np.zeros((min(2000, n - a), size))
-            np.put_along_axis(z, at[a : a + 2000], u[a : a + 2000], axis=1)
+        for a in range(0, n, 1000):
+            z = np.zeros((min(1000, n - a), size))
+            np.put_along_axis(z, at[a : a + 1000], u[a : a + 1000], axis=1)
             normal += (self.weight - 1) * z.T @ z
-            right += (self.weight - 1) * z.T @ (rest[a : a + 2000] * u[a : a + 2000]).sum(axis=1)
+            right += (self.weight - 1) * z.T @ (rest[a : a + 1000] * u[a : a + 1000]).sum(axis=1)
         right += np.bincount(at.ravel(), weights=rest.ravel(), minlength=size) + 1e-6 * self.books.ravel()
         self.books = np.linalg.solve(normal, right).reshape(self.books.shape)
 
@@ -110,7 +110,7 @@ class Model:
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cell of each vector, and its codes, two a byte."""
         cell = nearest(x, self.centres)
-        codes = np.concatenate([self.codes(x[a : a + 2000], x[a : a + 2000] - self.centres[cell[a : a + 2000]]) for a in range(0, len(x), 2000)])
+        codes = np.concatenate([self.codes(x[a : a + 1000], x[a : a + 1000] - self.centres[cell[a : a + 1000]]) for a in range(0, len(x), 1000)])
         if codes.shape[1] % 2:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         return cell, (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8)
@@ -186,8 +186,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, probed
     odd = d % 2
     pad = lambda x: np.pad(x, ((0, 0), (0, odd))) if odd else x
     n = groups.count()
-    sample = groups.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").toPandas()["v"]
-    model = Model.fit(pad(np.array(sample.tolist(), np.float64)), cells or int(min(CELLS, max(1, round(n**0.5)))))
+    sample = groups.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    model = Model.fit(pad(sample.flatten().to_numpy().reshape(-1, d).astype(np.float64)), cells or int(min(CELLS, max(1, round(n**0.5)))))
     wide = d + odd
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
