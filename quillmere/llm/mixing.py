@@ -13,6 +13,7 @@ Every choice comes from a hash of the document's id, so reruns agree however the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -141,3 +142,15 @@ def mix(docs: DataFrame, weights: Iterable[float] = (1, 2, 3), most: float = 3.0
         flown.where(~undecided).unionByName(landed)
         .select("row", "doc_id", "source", "size", "source_size", "target", (F.col("base") + F.round("p")).cast("long").alias("copies"))
     )
+
+
+def mixed(docs: DataFrame, weights: Iterable[float] = (1, 2, 3), most: float = 3.0, seed: int = 1) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    ``docs`` must be a stored table or one that comes out the same each time."""
+    row = f"row_{uuid.uuid4().hex}"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    taken = mix(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), weights, most, seed)
+    taken = stash(taken.where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(f"n_{row}")), "taken")
+    repeated = numbered.join(taken, row).withColumn(row, F.explode(F.array_repeat(F.lit(0), F.col(f"n_{row}"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
