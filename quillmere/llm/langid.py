@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, pieces
 
 #: Labelled rows to fit on, at most, and per language.
-SAMPLE, PER_LANGUAGE = 8000, 1500
-HASHED = 8192
+SAMPLE, PER_LANGUAGE = 3000, 600
+HASHED = 4096
 UNDETERMINED = "und"
 #: Letters a to z, what is no letter (0), and every byte beyond ASCII.
 _CLASS = np.zeros(256, np.int32)
@@ -40,7 +40,7 @@ def _grams(data: np.ndarray) -> list[np.ndarray]:
     c = _CLASS[data]
     two = c[:-1] * 155 + c[1:]
     three = two[:-1] * 155 + c[2:]
-    spread = lambda x: 155 + ((x.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(19)).astype(np.int32)  # noqa: E731  13 bits
+    spread = lambda x: 155 + ((x.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int32)  # noqa: E731  12 bits
     return [c, spread(two), spread(three + 155 * 155)]
 
 
@@ -79,12 +79,11 @@ class Model:
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: list[str], rounds: int = 150, ridge: float = 1e-4, rate: float = 8.0) -> Model:
-        """Logistic regressions for all bits at once, by accelerated gradient descent."""
+        """Logistic regressions for all bits at once, by accelerated gradient descent; the last column of ``x`` is 1."""
         languages = sorted(set(labels))
         code = codewords(len(languages))
         at = {name: i for i, name in enumerate(languages)}
         y = code[[at[name] for name in labels]] if labels else np.zeros((0, code.shape[1]))
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
         w = np.zeros((x.shape[1], code.shape[1]), np.float32)
         if len(languages) > 1:
             y = y.astype(np.float32)
@@ -134,10 +133,12 @@ def fit(docs: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     rows = labelled.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"]).select("lang", "text").mapInArrow(each, "lang string, x binary").toArrow()
-    labels = rows.column("lang").to_pylist()
-    x = np.stack([np.frombuffer(r, np.float16) for r in rows.column("x").to_pylist()]).astype(np.float32) if labels else np.zeros((0, SIZE), np.float32)
-    order_ = np.lexsort((x @ np.arange(1, SIZE + 1, dtype=np.float32), np.array(labels, object).astype(str))) if labels else []
-    return Model.fit(x[order_], [labels[i] for i in order_])
+    labels, packed = rows.column("lang").to_pylist(), rows.column("x").to_pylist()
+    order_ = sorted(range(len(labels)), key=lambda i: (labels[i], packed[i]))  # the same model, however the rows arrive
+    x = np.ones((len(labels), SIZE + 1), np.float32)
+    for i, at in enumerate(order_):
+        x[i, :SIZE] = np.frombuffer(packed[at], np.float16)
+    return Model.fit(x, [labels[i] for i in order_])
 
 
 def _letters(text: bytes | None) -> bool:
