@@ -13,8 +13,11 @@ so a keyed read is one hash, one fingerprint, one place and one range of the id
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,48 +33,84 @@ MAGIC = b"QMIX"
 #: A shard is closed once it has so many bytes of ids or documents.
 SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 18
 #: Rows that a shard's doc_id range holds, about.
-RANGE_ROWS = 40_000
-#: Words whose ids a worker remembers.
+RANGE_ROWS = 12_000
+#: Words whose ids a worker remembers from task to task.
 REMEMBERED = 400_000
+_CODERS: dict[tuple[str, str], Encoder] = {}
 
 
 class Encoder:
     """Encodes texts word by word, remembering words.
 
-    No token of the vocabulary crosses ASCII white space: the normaliser only composes characters, makes runs of
-    white space one space and lowers case, and the splitter drops white space.  Text between white space can
-    therefore be encoded by itself.  Each new word costs one call, most words none."""
+    Where the tokenizer's own description says so (see :meth:`_splits`), no token crosses ASCII white space, ASCII
+    case is of no account, and a full stop or comma after a letter is cut off: the normaliser only composes
+    characters, makes runs of white space one space and lowers case, and the splitter keeps letters and other signs
+    apart and drops white space.  New words are encoded many at a time, between NUL characters, which have an id of
+    their own; most words are not new.  Other tokenizers encode whole texts."""
 
     def __init__(self, path: str, dtype: type = np.uint32) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
         self.known: dict[bytes, bytes] = {}
-        self.by_word = self._splits()
+        mark = self._ids("\0")
+        self.mark = mark[0] if len(mark) == 1 and self._splits() else None
 
-    def _splits(self) -> bool:
-        """Whether ASCII white space bounds all tokens, judged from the tokenizer's own description."""
-        import json
+    @classmethod
+    def shared(cls, path: str, dtype: type) -> Encoder:
+        """The encoder of this worker process: later tasks find the words of earlier ones."""
+        key = (path, np.dtype(dtype).str)
+        if key not in _CODERS:
+            _CODERS[key] = cls(path, dtype)
+        return _CODERS[key]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _splits(self) -> bool:
         j = json.loads(self.tokenizer.to_str())
         pre = j.get("pre_tokenizer") or {}
         first = (pre.get("pretokenizers") or [pre])[0]
         kinds = {n["type"] for n in (j.get("normalizer") or {}).get("normalizers", [])}
-        return kinds <= {"NFC", "Replace", "Lowercase"} and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+        pattern = (first.get("pattern") or {}).get("Regex", "")
+        return (
+            kinds == {"NFC", "Replace", "Lowercase"} and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+            and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        )
+
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not known."""
+        out, plain, size = {}, [], np.dtype(self.dtype).itemsize
+        for w in words:
+            if b"\0" in w or b"<|" in w:  # the mark itself, or what may be a special token
+                out[w] = np.asarray(self._ids(w.decode("utf-8", "replace")), self.dtype).tobytes()
+            else:
+                plain.append(w)
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            ids = np.asarray(self._ids(" \0 ".join([w.decode("utf-8", "replace") for w in part])), self.dtype)
+            cut, raw = np.flatnonzero(ids == self.mark) * size, ids.tobytes()
+            out.update(zip(part, [raw[a:b] for a, b in zip([0, *(cut + size).tolist()], [*cut.tolist(), len(raw)], strict=True)], strict=True))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        if not self.by_word:
+        if self.mark is None:
             return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        known, split = self.known, [t.split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, self.dtype).tobytes()
-        out = [b"".join([known[w] for w in ws]) for ws in split]
-        if len(known) > REMEMBERED:
-            known.clear()
+        split = [t.lower().split() for t in texts]
+        known, extra = self.known, {}
+        new = set().union(*split) - known.keys()
+        if new:
+            stems = {w: c for w in new if (c := w.rstrip(b".,")) != w and c[-1:].isalpha()}
+            signs = {w[len(c) :] for w, c in stems.items()}
+            got = ChainMap(self._fresh(list(({*new, *stems.values(), *signs} - stems.keys()) - known.keys())), known)
+            got.maps[0].update({w: got[c] + got[w[len(c) :]] for w, c in stems.items()})
+            extra = got.maps[0]
+            known.update(extra)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        if len(known) > REMEMBERED:  # the words that came first stay: most of them are frequent
+            for w in extra:
+                del known[w]
         return out
 
 
@@ -82,10 +121,8 @@ def encode(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     dtype = np.dtype(f"<u{width(path, end_id)}").type
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, end = Encoder(path, dtype), np.asarray([end_id], dtype).tobytes()
+        coder, end = Encoder.shared(path, dtype), np.asarray([end_id], dtype).tobytes()
         for b in batches:
             at = 0
             while at < b.num_rows:
