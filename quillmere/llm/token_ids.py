@@ -35,7 +35,7 @@ SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 18
 #: Rows that a shard's doc_id range holds, about.
 RANGE_ROWS = 12_000
 #: Words whose ids a worker remembers from task to task.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 _CODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -126,7 +126,7 @@ def encode(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
         for b in batches:
             at = 0
             while at < b.num_rows:
-                part = b.slice(at, 500)
+                part = b.slice(at, 1000)
                 at += part.num_rows
                 ids = [x + end for x in coder.encode([t or b"" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
