@@ -1,0 +1,114 @@
+"""Live session state from hook events, as a batch expression and as a stream with timers.
+
+Events (path, event, message, ts).  An event may set a state; a running session that is quiet for 20 minutes is idle by
+inference, and a session is forgotten 12 hours after its last event.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+QUIET_MINUTES, FORGET_HOURS, ACTIVE_HOURS, INFER_SECONDS = 20, 12, 24, 45
+# What an event makes of a session.
+STATES = {
+    "sessionstart": "idle", "userpromptsubmit": "running", "pretooluse": "running", "posttooluse": "running", "stop": "idle", "sessionend": "ended",
+    "roomlisten": "listening", "roomwake": "running",
+}
+OUTPUT = "path string, state string, since timestamp, seen timestamp, inferred boolean"
+
+
+def transition(event: Column, message: Column) -> Column:
+    """The state an event sets; null where it sets none."""
+    kind, text = F.lower(event), F.lower(F.coalesce(message, F.lit("")))
+    asked = F.when(text.contains("permission") | text.contains("approv"), "needs_you").when(text.contains("waiting for your input"), "idle")
+    out = F.when(kind == "notification", asked)
+    for name, state in STATES.items():
+        out = out.when(kind == name, state)
+    return out
+
+
+def next_state(event: str, message: str | None) -> str | None:
+    kind, text = event.lower(), (message or "").lower()
+    if kind != "notification":
+        return STATES.get(kind)
+    return "needs_you" if "permission" in text or "approv" in text else "idle" if "waiting for your input" in text else None
+
+
+def live_states(events: DataFrame, now: Column) -> DataFrame:
+    """(path, state, since, seen, inferred) of each session as of ``now``; a session starts idle, also after it was forgotten."""
+    rows = events.where(F.trim(F.coalesce("path", F.lit(""))) != "").where(F.col("ts") <= now)
+    w = Window.partitionBy("path").orderBy("ts", "event")
+    gap = F.col("ts") - F.expr(f"INTERVAL {FORGET_HOURS} HOURS") >= F.lag("ts").over(w)
+    rows = rows.withColumn("life", F.sum(F.when(gap, 1).otherwise(0)).over(w)).withColumn("sets", transition(F.col("event"), F.col("message")))
+    rows = rows.withColumn("life_now", F.max("life").over(Window.partitionBy("path"))).where("life = life_now")
+    in_order = Window.partitionBy("path").orderBy("ts", "event")
+    state = F.coalesce(F.last("sets", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0)), F.lit("idle"))
+    rows = rows.withColumn("state", state).withColumn("changed", ~F.col("state").eqNullSafe(F.lag("state").over(in_order)))
+    last = rows.groupBy("path").agg(F.max_by("state", F.struct("ts", "event")).alias("state"), F.max(F.when(F.col("changed"), F.col("ts"))).alias("since"), F.max("ts").alias("seen"))
+    last = last.where(F.col("seen") + F.expr(f"INTERVAL {FORGET_HOURS} HOURS") > now)
+    quiet = (F.col("state") == "running") & (F.col("seen") + F.expr(f"INTERVAL {QUIET_MINUTES} MINUTES") < now)
+    return last.select("path", F.when(quiet, "idle").otherwise(F.col("state")).alias("state"), F.when(quiet, F.col("seen")).otherwise(F.col("since")).alias("since"), "seen", quiet.alias("inferred"))
+
+
+class LiveProcessor(StatefulProcessor):
+    """The same machine over a stream keyed by path: event-time timers make quiet sessions idle and forget old ones."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("live", "state string, since timestamp, seen timestamp")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["ts", "event"], kind="stable")
+        held = self.state.get() if self.state.exists() else None
+        state, since, seen = held if held else (None, None, None)
+        for event, message, ts in events[["event", "message", "ts"]].itertuples(index=False):
+            if seen is not None and (ts - pd.Timestamp(seen)).total_seconds() >= FORGET_HOURS * 3600:
+                state = None
+            new = next_state(event, None if message is None or message != message else message)
+            if state is None:
+                state, since = new or "idle", ts
+            elif new and new != state:
+                state, since = new, ts
+            seen = ts if seen is None or state is None else max(pd.Timestamp(seen), ts)
+        self.state.update((state, pd.Timestamp(since).to_pydatetime(), pd.Timestamp(seen).to_pydatetime()))
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        base = int(pd.Timestamp(seen).timestamp() * 1000)
+        self.handle.registerTimer(base + FORGET_HOURS * 3_600_000)
+        if state == "running":
+            self.handle.registerTimer(base + QUIET_MINUTES * 60_000)
+        yield self._row(key, state, since, seen, False)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            state, since, seen = self.state.get()
+            at = expiredTimerInfo.getExpiryTimeInMs()
+            if at >= int(pd.Timestamp(seen).timestamp() * 1000) + FORGET_HOURS * 3_600_000:
+                self.state.clear()
+                yield self._row(key, "forgotten", seen, seen, True)
+            elif state == "running":
+                yield self._row(key, "idle", seen, seen, True)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _row(key: Any, state: str, since: Any, seen: Any, inferred: bool) -> pd.DataFrame:
+        return pd.DataFrame({"path": [key[0]], "state": [state], "since": [pd.Timestamp(since)], "seen": [pd.Timestamp(seen)], "inferred": [inferred]})
+
+
+def live_stream(events: DataFrame, delay: str = "24 hours") -> DataFrame:
+    """The states of a stream of events as they change; events later than ``delay`` are not waited for."""
+    keyed = events.where(F.trim(F.coalesce("path", F.lit(""))) != "").withWatermark("ts", delay).groupBy("path")
+    return keyed.transformWithStateInPandas(LiveProcessor(), OUTPUT, "Update", "EventTime")
+
+
+def deduplicated(messages: DataFrame, delay: str = "24 hours") -> DataFrame:
+    """A stream of relayed messages, each (device, origin_seq) once."""
+    return messages.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["device", "origin_seq"])
