@@ -3,7 +3,8 @@
 A block (a line that mentions licensing) is compressed by itself and with each license's template as a raw
 zstandard dictionary.  The bytes that a template saves measure how much of the block it explains; the templates are
 ranked by that, and the best ones must then be confirmed: the words of the template are aligned with the block
-(free ends in the block), and the words that differ, counted exactly, must be few, none of them a version number.
+(free ends in the block), and the words that differ, counted exactly, must be few, none of them a version number or a
+word that names the license.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ TEMPLATES: dict[str, list[str]] = {
     "CC0-1.0": ["Released under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+# Fixed words by which a wording names its license; one that it has must be in the block too.
+NAMES = ["mit", "apache", "gnu", "lesser", "affero", "mozilla", "bsd", "cc", "nc", "sa", "nd", "cc0", "noncommercial", "sharealike", "noderivatives", "creative", "commons"]
 # Fixed cues: a block without any of them is no candidate.  Every template has one.
 CUES = (b"licens", b"licenc", b"permission", b"redistribut", b"public domain", b"mozilla public", b"cc0", b"cc by", b"spdx")
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -101,8 +104,8 @@ class Scanner:
                 break
             name, n, template, _ = self.known[-i]
             differ, first, end = alignment(template, [w for w, _, _ in words])
-            numbers = {w for w in template if w[0].isdigit()}
-            if end > first and differ <= self.most_diff * len(template) and numbers <= {w for w, _, _ in words[first:end]}:
+            telling = {w for w in template if w[0].isdigit() or w in NAMES}
+            if end > first and differ <= self.most_diff * len(template) and telling <= {w for w, _, _ in words[first:end]}:
                 found.append((differ / len(template), -len(template), name, n, first, end, gain, differ))
         out: list[tuple[int, int]] = []
         result = []

@@ -1,0 +1,226 @@
+"""SimHash, near-duplicates, secrets, decontamination, licenses: against brute force."""
+
+import base64
+import gzip
+import hashlib
+import re
+import urllib.parse
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quillmere.llm import common as C
+from quillmere.llm.components import components
+from quillmere.llm.decontaminate import contaminated, without_contaminated
+from quillmere.llm.licenses import TEMPLATES, licenses
+from quillmere.llm.near_dedup import near_groups, one_of_each
+from quillmere.llm.secrets import base_spans, scan, secrets
+from quillmere.llm.simhash import fingerprint, near_links, shards, simhash_components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_fingerprint(text):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aAbÉé \t\n .x", max_size=60))
+def test_fingerprint_is_the_plain_one(text):
+    assert fingerprint(text.encode()) == plain_fingerprint(text)
+
+
+def closure(n, linked):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_simhash_components_match_brute_force(docs, rows):
+    found = sorted(simhash_components(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    plain = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    prints = [plain_fingerprint(r[1]) for r in plain]
+    roots = closure(len(plain), lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 4)
+    least = defaultdict(list)
+    for i, r in enumerate(roots):
+        if plain[i][0] is not None:
+            least[r].append(plain[i][0])
+    assert len(found) == len(plain)
+    for f, r, p, root in zip(found, plain, prints, roots, strict=True):
+        assert (f.doc_id, f.fp & (2**64 - 1), f.component_id) == (r[0], p, min(least[root]))
+
+
+def test_simhash_of_nothing(empty):
+    assert simhash_components(empty).collect() == []
+
+
+def test_shards_show_every_near_pair():
+    for radius in (1, 2):
+        home, guest, offsets = shards(5, radius)
+        sees = lambda w: {home[w], *guest[offsets[w] : offsets[w + 1]]}  # noqa: E731, B023
+        rng = np.random.default_rng(0)
+        for w in rng.integers(0, 1 << 16, 300).tolist():
+            v = w
+            for b in rng.choice(16, radius, replace=False).tolist():
+                v ^= 1 << b
+            assert home[w] in sees(v) or home[v] in sees(w)
+
+
+def test_near_links_in_a_dense_group():
+    rng = np.random.default_rng(1)
+    centre = rng.integers(0, 2**63, dtype=np.uint64)
+    dense = np.unique(centre ^ (np.uint64(1) << rng.integers(0, 64, 20_000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 20_000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 20_000).astype(np.uint64)))
+    far = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    links = near_links(np.concatenate([dense, far]), np.zeros(0, np.uint64), 4)
+    assert len(links) <= len(dense) + len(far)
+    joined = {int(x) for x in links.ravel()}
+    assert {int(x) for x in dense} <= joined and not {int(x) for x in far} & joined
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (3, 2)]
+    got = {r.u: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_groups_match_brute_force(docs, rows):
+    numbered = docs.withColumn("at", F.monotonically_increasing_id())
+    texts = [(r.at, r.text) for r in numbered.select("at", "text").collect()]
+    got = {r.row: r.group for r in near_groups(numbered.select(F.col("at").alias("row"), "doc_id", "text")).collect()}
+    sets = [shingles(t) for _, t in texts]
+    alike = lambda i, j: (not sets[i] and not sets[j]) or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    roots = closure(len(texts), alike)
+    same = defaultdict(set)
+    for (row, _), root in zip(texts, roots, strict=True):
+        same[root].add(got[row])
+    assert all(len(v) == 1 for v in same.values()) and len(same) == len(set(got.values()))
+
+
+def test_one_of_each_keeps_columns_and_smallest_ids(docs, empty):
+    out = one_of_each(docs)
+    assert out.columns == docs.columns
+    ids = [r.doc_id for r in out.collect()]
+    assert 100 not in ids and 101 not in ids and {1, 3, 106} <= set(ids) and ids.count(106) == 1 and None not in ids
+    assert one_of_each(empty).collect() == []
+
+
+SECRET = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+
+
+def plain_base(text):
+    out = []
+    for kind, pattern, flags, least, group in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 6, 2), ("access", r"AKIA[A-Z0-9]+", 0, 20, 0), ("hex", r"[0-9a-f]+", 0, 24, 0)):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text, flags) if len(m[group]) >= least]
+    return sorted(out)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token", "Secret", "=", ":", " ", '"', "abcdef12", "AKIA", "A1B2C3D4E5F6G7H8I9", "0123456789abcdef", "é", "ſ", "api_key", "%41", "\\u0041", "\n"]), max_size=14))
+def test_base_spans_are_the_plain_ones_and_stay(parts):
+    text = "".join(parts)
+    assert sorted(base_spans(text)) == plain_base(text)
+    base, full = scan(text)
+    assert set(base) <= set(full)
+
+
+def test_nested_encodings_are_unwrapped():
+    once = urllib.parse.quote(SECRET, safe="")
+    forms = [once, urllib.parse.quote(once, safe=""), base64.b64encode(SECRET.encode()).decode(), base64.b64encode(gzip.compress(SECRET.encode())).decode(), base64.b64encode(base64.b64encode(SECRET.encode())).decode(), "".join(f"\\u{ord(c):04x}" for c in SECRET)]
+    for form in forms:
+        text = f"é {form} z"
+        _, full = scan(text)
+        assert any(k == "assign" and a >= 2 and b <= 2 + len(form) for a, k, b in full), form
+    assert scan("a%20b") == ([], []) and scan(None) == ([], []) and scan("") == ([], [])
+
+
+def test_secrets_rows(spark, docs, rows, empty):
+    out = secrets(docs).collect()
+    assert len(out) == len(rows)
+    none = next(r for r in out if r.doc_id == 102)
+    assert (none.n_assign, none.n_access, none.n_hex, none.spans, none.base_sha256) == (0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    one = secrets(spark.createDataFrame([(1, "é " + SECRET)], "doc_id long, text string")).first()
+    assert (one.n_assign, one.n_hex, one.spans) == (1, 1, "assign:2:51,hex:11:51")
+    assert one.base_sha256 == hashlib.sha256(one.spans.encode()).hexdigest()
+    assert secrets(empty).collect() == []
+
+
+def contained(text, item, k=5):
+    w = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    s = lambda ws: {tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} if ws else set()
+    a, b = s(w(text)), s(w(item))
+    return (len(a & b), len(b)) if b else (0, 1)
+
+
+def test_contaminated_matches_brute_force(spark, docs, rows, empty):
+    base = rows[7][1].split()
+    edited = [*base[:20]]
+    edited[10] = "changed"
+    items = [(1, " ".join(base[5:25])), (2, " ".join(base[5:25]).upper() + "!"), (3, None), (4, ""), (5, "one two three"), (6, " ".join(edited)), (6, " ".join(base[5:25])), (7, rows[-2][1]), (None, " ".join(base[2:22])), (8, rows[-3][1][5000:5400])]
+    b = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
+    got = sorted(((r.doc_id, r.item_id, r.shared, r.item_shingles) for r in contaminated(docs, b).collect()), key=repr)
+    want = []
+    for r in rows:
+        for item in items:
+            shared, n = contained(r[1], item[1])
+            if shared and shared >= 0.8 * n - 1e-9:
+                want.append((r[0], item[0], shared, n))
+    assert got == sorted(want, key=repr) and len(want) >= 6
+    kept = without_contaminated(docs, b)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {w[0] for w in want}
+    assert contaminated(empty, b).collect() == [] and without_contaminated(docs, b.limit(0)).count() == len(rows)
+    small = contaminated(docs, b)
+    from quillmere.llm import decontaminate as D
+
+    parts = list(D.finders(b, 0.8, 5, part_bytes=300))
+    assert len(parts) > 1 and sum(len(p.ids) for p in parts) == len(items) and small.count() == len(want)
+
+
+def test_licenses_are_found_and_named(spark, docs, empty):
+    lines = [(i, f"Pre text here.\n{w}\nMore.") for i, w in enumerate(w for ws in TEMPLATES.values() for w in ws)]
+    names = [n for n, ws in TEMPLATES.items() for _ in ws]
+    extra = [(900, "He has a driving licence and permission to leave."), (901, None), (902, ""), (903, "Licensed under the Apache License, Version 1.0."), (904, "foo bar Released under the MIT License. baz")]
+    out = licenses(spark.createDataFrame(lines + extra, "doc_id long, text string")).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.doc_id].append(r)
+    for (i, text), name in zip(lines, names, strict=True):
+        assert [r.license for r in by[i]] == [name], (i, text, by[i])
+        assert by[i][0].saved_bytes > 0 and by[i][0].words_differ == 0
+    assert not by[900] and not by[901] and not by[902] and not by[903] and [r.license for r in by[904]] == ["MIT"]
+    assert licenses(empty).collect() == [] and licenses(docs).count() == 0
+
+
+def test_word_hashes_and_shingles_by_document():
+    texts = ["a b c d e f", "", "b c", None, "a  b\tc d e f", "  "]
+    data, offsets = C.as_bytes(pa.array([t and t.encode() for t in texts], pa.binary()))
+    starts, ends, firsts = C.word_spans(data, offsets)
+    h = C.word_hashes(data, starts, ends)
+    s, at = C.shingle_hashes(h, firsts, 5)
+    assert np.diff(firsts).tolist() == [6, 0, 2, 0, 6, 0] and np.diff(at).tolist() == [2, 0, 1, 0, 2, 0]
+    assert s[:2].tolist() == s[3:5].tolist() and len(set(s.tolist())) == 3
