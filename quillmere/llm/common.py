@@ -67,18 +67,6 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one batch."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = fn(b)
-            if out is not None and out.num_rows:
-                yield out
-
-    return df.mapInArrow(each, schema)
-
-
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column, and n + 1 offsets into them; null counts as empty."""
     column = column.cast(pa.large_binary())
@@ -179,3 +167,87 @@ def as_binary(name: str) -> F.Column:
 def unsalted(df: DataFrame, wanted: list[str]) -> DataFrame:
     """Only the columns an operator works on; others, whatever their names, stay out of its way."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a number for each row in the column ``row``: its partition, and its place in that.
+
+    ``docs`` must be a stored table or one that comes out the same each time.  How a scan is split would follow the
+    number of executors, so that is pinned for the session: the numbers hold when an executor is lost."""
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return docs.withColumn(row, F.monotonically_increasing_id())
+
+
+#: Bits of a row's number that are its place in its partition.
+PLACE_BITS = 33
+
+
+def write_decisions(decisions: DataFrame) -> str:
+    """Write (row, n), rows numbered as by :func:`numbered`, to one file a partition of the table they are of.
+
+    :func:`apply_decisions` brings them to the rows without moving the table itself.  A file is moved to its name when
+    it is whole, and each attempt writes the same."""
+    folder = fresh_dir(decisions.sparkSession, "decisions")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(folder)
+        fs.create_dir(base, recursive=True)
+        part, held = None, []
+
+        def close() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            temp = f"{base}/{uuid.uuid4().hex}.tmp"
+            with fs.open_output_stream(temp, compression=None) as out:
+                out.write(rows.astype("<i8").tobytes())
+            fs.move(temp, f"{base}/{part}.rows")
+            return pa.RecordBatch.from_arrays([pa.array([int(part)]), pa.array([len(rows)])], ["part", "rows"])
+
+        for b in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
+            for p in np.unique(rows[:, 0] >> PLACE_BITS).tolist():
+                if part is not None and p != part:
+                    yield close()
+                    held = []
+                part = p
+                held.append(rows[rows[:, 0] >> PLACE_BITS == p])
+        if held:
+            yield close()
+
+    part = F.shiftright("row", PLACE_BITS)
+    stash(decisions.select("row", F.col("n").cast("long").alias("n")).repartition(part).sortWithinPartitions("row").mapInArrow(each, "part long, rows long"), "written")
+    return folder
+
+
+def apply_decisions(docs: DataFrame, row: str, folder: str, default: int) -> DataFrame:
+    """The rows of ``docs``, numbered in its column ``row``, each ``n`` times, or ``default`` times without a decision;
+    the number goes."""
+    at = docs.columns.index(row)
+    schema = docs.drop(row).schema
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(folder)
+        known: dict[int, np.ndarray] = {}
+        for b in batches:
+            rows = b.column(at).to_numpy(zero_copy_only=False)
+            times = np.full(len(rows), default, np.int64)
+            for p in np.unique(rows >> PLACE_BITS).tolist():
+                if p not in known:
+                    path, known = f"{base}/{p}.rows", {}
+                    if fs.get_file_info(path).type == pafs.FileType.File:
+                        with fs.open_input_stream(path, compression=None) as f:
+                            known[p] = np.frombuffer(f.read(), "<i8").reshape(-1, 2)
+                    else:
+                        known[p] = np.zeros((0, 2), np.int64)
+                made = known[p]
+                if len(made):
+                    place = np.minimum(np.searchsorted(made[:, 0], rows), len(made) - 1)
+                    hit = made[place, 0] == rows
+                    times[hit] = made[place[hit], 1]
+            take = pa.array(np.repeat(np.arange(len(rows)), times))
+            cols = [c for i, c in enumerate(b.columns) if i != at]
+            names = [c for i, c in enumerate(b.schema.names) if i != at]
+            yield pa.RecordBatch.from_arrays([c.take(take) for c in cols], names=names)
+
+    return docs.mapInArrow(each, schema)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import apply_decisions, numbered, stash, write_decisions
 
 #: Documents in a bucket of the first flight, about.
 BUCKET = 20_000
@@ -149,8 +149,6 @@ def mixed(docs: DataFrame, weights: Iterable[float] = (1, 2, 3), most: float = 3
 
     ``docs`` must be a stored table or one that comes out the same each time."""
     row = f"row_{uuid.uuid4().hex}"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    taken = mix(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), weights, most, seed)
-    taken = stash(taken.where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(f"n_{row}")), "taken")
-    repeated = numbered.join(taken, row).withColumn(row, F.explode(F.array_repeat(F.lit(0), F.col(f"n_{row}"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    counted = numbered(docs, row)
+    taken = mix(counted.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), weights, most, seed)
+    return apply_decisions(counted, row, write_decisions(taken.where("copies > 0").select("row", F.col("copies").alias("n"))), default=0)

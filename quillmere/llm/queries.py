@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, table
 
 
 def tokenizer(name: str) -> str:
@@ -20,7 +20,7 @@ def tokenizer(name: str) -> str:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("row", F.monotonically_increasing_id())
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "row")
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
