@@ -33,13 +33,13 @@ def identify(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 def deduplicate(conversations: DataFrame, stored: DataFrame | None = None, forgotten: DataFrame | None = None) -> DataFrame:
     """One conversation a content hash, none that is stored or forgotten."""
-    w = Window.partitionBy("content_hash").orderBy("session_id")
-    out = conversations.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-    if stored is not None:
-        out = out.join(stored.select("content_hash"), "content_hash", "left_anti")
+    out = conversations
     if forgotten is not None:
         out = out.join(forgotten.select("session_key"), "session_key", "left_anti")
-    return out
+    if stored is not None:
+        out = out.join(stored.select("content_hash"), "content_hash", "left_anti")
+    w = Window.partitionBy("content_hash").orderBy("session_id")
+    return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def superseded(messages: DataFrame, versions: DataFrame) -> DataFrame:

@@ -147,8 +147,8 @@ def detect_links(fresh: DataFrame, sessions: DataFrame, messages: DataFrame, lin
 
 def pending_suggestions(links: DataFrame, membership: DataFrame) -> DataFrame:
     """(thread_id, pending): suggested links with an end in the thread."""
-    ends = links.where("NOT applied").select(F.monotonically_increasing_id().alias("id"), F.explode(F.array("a", "b")).alias("session_key"))
-    return ends.join(membership, "session_key").groupBy("thread_id").agg(F.count_distinct("id").alias("pending"))
+    ends = links.where("NOT applied").select(pair(F.col("a"), F.col("b")).alias("p"), F.explode(F.array("a", "b")).alias("session_key"))
+    return ends.join(membership, "session_key").groupBy("thread_id").agg(F.count_distinct("p").alias("pending"))
 
 
 def links_of_thread(links: DataFrame, members: DataFrame) -> DataFrame:
