@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,6 +35,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows reach Python 2000 at a time, if the session says nothing else: texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+#: What workers remember from task to task, as functions that make them forget it.
+MEMORIES: list[Callable[[], None]] = []
+
+
+def tidy(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], remembers: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``each``, which maps batches, with :func:`release` after it; unless it ``remembers`` itself, the worker first
+    forgets what tasks of another kind have left in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            for forget in MEMORIES:
+                forget()
+        try:
+            yield from each(batches)
+        finally:
+            release()
+
+    return run
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
@@ -53,12 +90,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stash(df: DataFrame, what: str = "stash") -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it again."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_dir(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -80,7 +119,7 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of documents of about ``most`` bytes; a longer document is a run of its own."""
     n, at = len(offsets) - 1, 0
     while at < n:
@@ -250,4 +289,4 @@ def apply_decisions(docs: DataFrame, row: str, folder: str, default: int) -> Dat
             names = [c for i, c in enumerate(b.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([c.take(take) for c in cols], names=names)
 
-    return docs.mapInArrow(each, schema)
+    return docs.mapInArrow(tidy(each), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, U64, as_bytes, pieces, shingle_hashes, word_hashes, word_spans
+from .common import PUNCT, U64, as_bytes, pieces, shingle_hashes, tidy, word_hashes, word_spans
 
 #: Bytes of item texts that one pass may broadcast.
 PART_BYTES = 8 << 20
@@ -127,7 +127,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, k:
                         ["doc_id", "item_id", "shared", "item_shingles", "containment"],
                     )
 
-        return rows.mapInArrow(each, "doc_id long, item_id long, shared long, item_shingles long, containment double")
+        return rows.mapInArrow(tidy(each), "doc_id long, item_id long, shared long, item_shingles long, containment double")
 
     return reduce(DataFrame.unionByName, [search(f) for f in finders(items, similarity, k)])
 
@@ -143,5 +143,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame, similarity: float =
                 keep[[d for d, _, _ in finder.find(b.column(b.num_columns - 1))]] = False
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(keep))
 
-        docs = docs.withColumn(lower, F.lower("text").cast("binary")).mapInArrow(each, schema)
+        docs = docs.withColumn(lower, F.lower("text").cast("binary")).mapInArrow(tidy(each), schema)
     return docs

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces
+from .common import as_bytes, pieces, tidy
 
 #: Labelled rows to fit on, at most, and per language.
 SAMPLE, PER_LANGUAGE = 3000, 600
@@ -132,7 +132,7 @@ def fit(docs: DataFrame) -> Model:
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    rows = labelled.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"]).select("lang", "text").mapInArrow(each, "lang string, x binary").toArrow()
+    rows = labelled.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"]).select("lang", "text").mapInArrow(tidy(each), "lang string, x binary").toArrow()
     labels, packed = rows.column("lang").to_pylist(), rows.column("x").to_pylist()
     order_ = sorted(range(len(labels)), key=lambda i: (labels[i], packed[i]))  # the same model, however the rows arrive
     x = np.ones((len(labels), SIZE + 1), np.float32)
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, ambiguous: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(lead < ambiguous)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(tidy(each), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def with_language(docs: DataFrame) -> DataFrame:
@@ -187,4 +187,4 @@ def with_language(docs: DataFrame) -> DataFrame:
             names, _, _ = predict(b.column(at).cast(pa.binary()), model)
             yield b.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
 
-    return docs.mapInArrow(each, schema)
+    return docs.mapInArrow(tidy(each), schema)

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # Fixed wordings, by license; each is a template of its own.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
@@ -155,4 +157,4 @@ def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, mos
                 types = [pa.int64(), pa.string(), pa.int32()] + [pa.int64()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "license", "wording", "start", "end", "plain_bytes", "saved_bytes", "words_differ"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(each, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(each), SCHEMA)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, as_binary, as_bytes, pieces, word_hashes, word_spans
+from .common import SPACE, U64, as_binary, as_bytes, pieces, tidy, word_hashes, word_spans
 
 GROUPS, PER_GROUP = 64, 4096
 IDS = GROUPS * PER_GROUP
@@ -158,7 +158,7 @@ def count_ids(rows: DataFrame) -> np.ndarray:
         return pd.DataFrame({"g": pdf["g"].iloc[:1], "counts": [total.tobytes()]})
 
     out = np.zeros(IDS, np.int64)
-    parts = rows.mapInArrow(each, "g long, counts binary").groupBy("g").applyInPandas(add, "g long, counts binary")
+    parts = rows.mapInArrow(tidy(each), "g long, counts binary").groupBy("g").applyInPandas(add, "g long, counts binary")
     for r in parts.collect():
         out[r.g * PER_GROUP : (r.g + 1) * PER_GROUP] = np.frombuffer(r.counts, np.int64)
     return out
@@ -200,7 +200,7 @@ def train_round(rows: DataFrame, lexicon: Lexicon, network: Network, seed: int)
 
     schema = "part long, seen long, network binary"
     # partial means first, so that no task meets the networks of more than some hundred parts
-    parts = rows.mapInArrow(each, schema).withColumn("part", F.pmod(F.xxhash64("seen", "network"), F.lit(64)))
+    parts = rows.mapInArrow(tidy(each), schema).withColumn("part", F.pmod(F.xxhash64("seen", "network"), F.lit(64)))
     found = parts.groupBy("part").applyInPandas(mean, schema).groupBy(F.col("part") * 0).applyInPandas(mean, schema).collect()
     return network.load(bytes(found[0].network)) if found else network
 
@@ -234,4 +234,4 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             mean = np.divide(pll, n, out=np.zeros(len(n)), where=n > 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(pll), pa.array(mean, mask=n == 0)], ["doc_id", "n_tokens", "pll", "mean_pll"])
 
-    return rows.mapInArrow(each, "doc_id long, n_tokens long, pll double, mean_pll double")
+    return rows.mapInArrow(tidy(each), "doc_id long, n_tokens long, pll double, mean_pll double")

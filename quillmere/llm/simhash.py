@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_binary, stash, unsalted
+from .common import U64, as_binary, stash, tidy, unsalted
 from .components import Forest, components
 
 WORDS, BITS = 4, 16
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             made = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), U64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
-    return unsalted(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), as_binary("text")).mapInArrow(each, "doc_id long, fp long")
+    return unsalted(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), as_binary("text")).mapInArrow(tidy(each), "doc_id long, fp long")
 
 
 def shards(levels: int, radius: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +165,7 @@ def hamming_links(prints: DataFrame, k: int = 4, shard_rows: int = 2000) -> Data
         found = near_links(np.sort(fp[own]), np.sort(fp[~own]), k).view(np.int64)
         return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
-    return prints.select("fp").mapInArrow(deal, "shard long, fp long, own boolean").groupBy("shard").applyInPandas(link, "u long, v long")
+    return prints.select("fp").mapInArrow(tidy(deal), "shard long, fp long, own boolean").groupBy("shard").applyInPandas(link, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, k: int = 4) -> DataFrame:

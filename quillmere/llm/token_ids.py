@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, as_binary, filesystem, fresh_dir, mix64, stash
+from .common import MEMORIES, U64, as_binary, filesystem, fresh_dir, mix64, stash, tidy
 from .mph import PerfectHash, fingerprints
 
 MAGIC = b"QMIX"
@@ -37,6 +37,7 @@ RANGE_ROWS = 12_000
 #: Words whose ids a worker remembers from task to task.
 REMEMBERED = 900_000
 _CODERS: dict[tuple[str, str], Encoder] = {}
+MEMORIES.append(_CODERS.clear)
 
 
 class Encoder:
@@ -131,7 +132,7 @@ def encode(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
                 ids = [x + end for x in coder.encode([t or b"" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary("text")).mapInArrow(each, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary("text")).mapInArrow(tidy(each, remembers=True), "doc_id long, ids binary")
 
 
 def width(path: str, end_id: int = 1) -> int:
@@ -252,7 +253,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, folder: str | None
     part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(part)
     rows = encode(docs, path, end_id).withColumn("part", part.cast("int"))
     rows = rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.crc32("ids"))
-    made = stash(rows.select("doc_id", "ids").mapInArrow(write, SHARDS), "shards")
+    made = stash(rows.select("doc_id", "ids").mapInArrow(tidy(write), SHARDS), "shards")
     # one row a shard of tens of megabytes: few enough to number in one place
     listed = sorted((tuple(r) for r in made.collect()), key=lambda r: (r[1], r[2]))
     base, full = 0, []
@@ -296,7 +297,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                         )
 
     rows = shards.select("shard", "base")
-    return rows.repartition(max(1, min(rows.count(), 20_000))).mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.repartition(max(1, min(rows.count(), 20_000))).mapInArrow(tidy(each), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, shards: DataFrame, doc_ids: list[int]) -> dict[int, np.ndarray]:
