@@ -160,3 +160,8 @@ def relative_time(ts: Column | str, now: Column) -> Column:
     s = F.unix_timestamp(now) - F.unix_timestamp(_col(ts))
     unit = lambda n, name: F.concat(F.floor(s / n).cast("string"), F.lit(f" {name} ago"))
     return F.when(s < 60, "just now").when(s < 3600, unit(60, "min")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
+def percent_decode(text: Column | str) -> Column:
+    """Percent escapes decoded; a plus stays one."""
+    return F.url_decode(F.replace(_col(text), F.lit("+"), F.lit("%2B")))

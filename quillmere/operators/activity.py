@@ -72,3 +72,17 @@ def parse_error_histogram(errors: DataFrame, n: int = 4) -> DataFrame:
 
 def board_progress(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("room").agg(F.count_if(F.col("status") == "done").alias("done"), F.count("*").alias("total"))
+
+
+def latest_in_folder(conversations: DataFrame, cwd: str) -> DataFrame:
+    """The conversation of the folder or of one above it: the newest, of equal ones that of the longest path."""
+    cwd = cwd.rstrip("/\\")
+    here = F.lit(cwd)
+    project = F.rtrim(F.col("project"), F.lit("/"))
+    inside = (project == here) | here.startswith(F.concat(project, F.lit("/"))) | here.startswith(F.concat(project, F.lit("\\")))
+    return conversations.where(inside & (project != "")).orderBy(F.desc_nulls_last("last_activity"), F.desc(F.length("project")), "conversation_id").limit(1)
+
+
+def of_source_path(conversations: DataFrame, path: str) -> DataFrame:
+    """The fullest version of the session that a file holds."""
+    return conversations.where(F.col("path") == path).orderBy(F.desc("message_count"), "conversation_id").limit(1)

@@ -169,3 +169,32 @@ def room_view(log: DataFrame, agents: DataFrame, claims: DataFrame, tasks: DataF
     for part in (arrays(agents, "agents", "name", "seen"), arrays(claims, "claims", "path", "holder"), arrays(tasks, "tasks", "created", "id", "title", "status")):
         out = out.join(part, "room", "left")
     return out
+
+
+def post(log: DataFrame, room: str, author: str, text: str, ts: int, device: str | None = None, recipient: str | None = None, human: bool = False) -> DataFrame:
+    """The log with one message more; its id and its device's sequence number follow the largest."""
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id"), F.coalesce(F.max(F.when(F.col("device").eqNullSafe(F.lit(device)), F.col("origin_seq"))), F.lit(0)).alias("seq"))
+    cols = {"id": F.col("id") + 1, "room": F.lit(room), "author": F.lit(author), "device": F.lit(device).cast("string"), "origin_seq": F.col("seq") + 1, "recipient": F.lit(recipient).cast("string"), "text": F.lit(text), "human": F.lit(human), "ts": F.lit(ts).cast("long")}
+    return log.unionByName(top.select(*[c.alias(n) for n, c in cols.items()]))
+
+
+def touch(agents: DataFrame, room: str, name: str, seen: int) -> DataFrame:
+    """Presence: the agent is there, its last time the latest one."""
+    new = agents.sparkSession.createDataFrame([(room, name, 0, seen)], "room string, name string, cursor long, seen long")
+    both = agents.select("room", "name", "cursor", "seen").unionByName(new)
+    return both.groupBy("room", "name").agg(F.max("cursor").alias("cursor"), F.max("seen").alias("seen"))
+
+
+def claim(claims: DataFrame, room: str, holder: str, path: str, now: int, minutes: int = CLAIM_MINUTES) -> tuple[DataFrame, list[str]]:
+    """The claims with this one, extended if it is there already, and no blockers; or unchanged, and who holds what overlaps."""
+    want = claims.sparkSession.createDataFrame([(room, holder, path)], "room string, holder string, path string")
+    blockers = sorted({r.other for r in conflicts(claims, want, F.lit(now)).select("other").collect()})
+    if blockers:
+        return claims, blockers
+    new = claims.sparkSession.createDataFrame([(room, holder, path, now + minutes * 60)], "room string, holder string, path string, expires long")
+    mine = (F.col("room") == room) & (F.col("holder") == holder) & (F.col("path") == path)
+    return claims.where(~mine & (F.col("expires") >= now)).unionByName(new), []
+
+
+def ordered_tasks(tasks: DataFrame) -> DataFrame:
+    return tasks.orderBy("created", "id")

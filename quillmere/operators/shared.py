@@ -98,3 +98,30 @@ def handoff_tokens(messages: DataFrame, marker: str = "handoff:") -> DataFrame:
     found = messages.where((F.col("role") == "user") & F.contains("content", F.lit(marker)))
     token = F.regexp_extract("content", marker.replace(":", r":\s*") + r"([a-z]{2}_[0-9a-z]{4,32})\b", 1)
     return found.select("conversation_id", "seq", token.alias("token")).where("token <> ''")
+
+
+def edit(registers: DataFrame, thread_id: str, field: str, value: str | None, at: int, by: str) -> DataFrame:
+    """The log of registers with one write more; merging decides what it is worth."""
+    new = registers.sparkSession.createDataFrame([(thread_id, value, at, by)], f"thread_id string, {field} string, {field}_at long, {field}_by string")
+    return registers.unionByName(new, allowMissingColumns=True)
+
+
+def take_shared(threads: DataFrame, merged: DataFrame) -> DataFrame:
+    """Local threads with the shared titles and statuses where there are any."""
+    m = merged.select("thread_id", F.col("title").alias("_title"), F.col("status").alias("_status"))
+    out = threads.join(m, "thread_id", "left")
+    return out.withColumn("title", F.coalesce("_title", "title")).withColumn("status", F.coalesce("_status", "status")).drop("_title", "_status")
+
+
+def notes_of(notes: DataFrame, threads: DataFrame) -> DataFrame:
+    """The notes of several threads, the oldest first."""
+    return notes.join(threads.select("thread_id"), "thread_id", "left_semi").orderBy("created", "note_id")
+
+
+def markers_since(messages: DataFrame, since: int, page: int = 500, marker: str = "handoff:") -> tuple[DataFrame, int]:
+    """The next page of messages after a watermark that carry handoff markers, and the watermark after it.
+
+    ``messages`` (id, conversation_id, seq, role, content)."""
+    rows = messages.where(F.col("id") > since).orderBy("id").limit(page)
+    top = rows.agg(F.max("id")).first()[0]
+    return handoff_tokens(rows, marker), since if top is None else top

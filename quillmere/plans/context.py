@@ -105,6 +105,22 @@ def handoff(facts: dict[str, str], sessions: list[str], ask: str, recent: list[s
     return assemble([*head, ("## Latest", kept)], max(most, 500))
 
 
+def brief(summary: dict, notes: list[str], others: list[str], most: int = BRIEF_CHARS) -> Block | None:
+    """What someone who joins a thread should know; nothing where there is nothing to say."""
+    if not notes and not others and summary.get("sessions", 0) < 2:
+        return None
+    facts = [f"- {k}: {v}" for k, v in summary.items() if v]
+    return assemble([("# Thread", facts), *([("## Notes", [f"- {n}" for n in notes])] if notes else []), *([("## Related", [f"- {o}" for o in others])] if others else [])], most)
+
+
+def recall(hits: DataFrame, messages: DataFrame, conversations: DataFrame, query: str, k: int = 5) -> list[str]:
+    """One line a hit: where, when, and the words around the match."""
+    from ..operators.search import hydrate, snippet
+
+    rows = hydrate(hits.limit(k), messages, conversations.select("conversation_id", "title", "tool", "started_at")).withColumn("snippet", snippet("content", query, start="**", end="**")).collect()
+    return [f"- {r.title or r.conversation_id} ({r.tool}, {r.started_at:%Y-%m-%d}): {r.snippet}" if r.started_at else f"- {r.title or r.conversation_id} ({r.tool}): {r.snippet}" for r in rows]
+
+
 def ask(question: str, hits: DataFrame, messages: DataFrame, conversations: DataFrame, k: int = 12, answer: Callable[[str, str], str] | None = None) -> str:
     """An answer by ``answer`` (a model behind a function) over retrieved context, or the context itself."""
     block = context(hits.limit(k), messages, conversations, max(9000, min(1400 * k, 24_000)))
