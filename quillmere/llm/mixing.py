@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import apply_decisions, numbered, stash, write_decisions
 
 #: Documents in a bucket of the first flight, about.
-BUCKET = 20_000
+BUCKET = 2000
 EPS = 1e-9
 #: Documents of a bucket that are left to the landing, besides the two that a flight leaves at most.
 HELD = 10
