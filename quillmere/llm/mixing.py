@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from .common import apply_decisions, numbered, stash, write_decisions
 #: Documents in a bucket of the first flight, about.
 BUCKET = 2000
 EPS = 1e-9
+#: Undecided documents of a source that its last flight takes, at most.
+LAST_FLIGHT = 20_000
 #: Documents of a bucket that are left to the landing, besides the two that a flight leaves at most.
 HELD = 10
 
@@ -135,11 +138,17 @@ def mix(docs: DataFrame, weights: Iterable[float] = (1, 2, 3), most: float = 3.0
     cols = ["row", "doc_id", "source", "size", "source_size", "target", "base", "luck", "p"]
     schema = "row long, doc_id long, source string, size long, source_size long, target double, base long, luck long, p double"
     first = _flight(last=False)
-    flown = stash(asked.groupBy("source", "bucket").applyInPandas(lambda pdf: first(pdf[cols]), schema), "flown")
     undecided = (F.col("p") > 0) & (F.col("p") < 1)
+    settled = []
+    flown = stash(asked.groupBy("source", "bucket").applyInPandas(lambda pdf: first(pdf[cols]), schema), "flown")
+    # a very large source leaves more than one flight can take: its undecided ones fly in buckets again
+    while (left := flown.where(undecided).groupBy("source").count().agg(F.max("count")).first()[0] or 0) > LAST_FLIGHT:
+        settled.append(flown.where(~undecided))
+        bucket = F.pmod(F.xxhash64(F.lit(seed + 2 + len(settled)), "doc_id", "row"), F.lit(-(-left // BUCKET)))
+        flown = stash(flown.where(undecided).withColumn("bucket", bucket).groupBy("source", "bucket").applyInPandas(lambda pdf: first(pdf[cols]), schema), "flown")
     landed = flown.where(undecided).groupBy("source").applyInPandas(_flight(last=True), schema)
     return (
-        flown.where(~undecided).unionByName(landed)
+        reduce(DataFrame.unionByName, [*settled, flown.where(~undecided), landed])
         .select("row", "doc_id", "source", "size", "source_size", "target", (F.col("base") + F.round("p")).cast("long").alias("copies"))
     )
 

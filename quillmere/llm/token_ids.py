@@ -115,10 +115,12 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
-    """(doc_id, ids binary) of every row of ``docs`` (doc_id, text): whole texts (null: empty), then ``end_id``.
+def encode(docs: DataFrame, path: str, end_id: int = 1, cuts: list[int] | None = None) -> DataFrame:
+    """(doc_id, ids binary, part) of every row of ``docs`` (doc_id, text): whole texts (null: empty), then ``end_id``.
 
-    ids are uint16 if the vocabulary and the end id fit, else uint32; see :func:`width`."""
+    ids are uint16 if the vocabulary and the end id fit, else uint32; see :func:`width`.  part is the number of ``cuts``
+    below the doc_id; all of them for a null."""
+    bounds = np.asarray(cuts or [], np.int64)
     dtype = np.dtype(f"<u{width(path, end_id)}").type
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +132,12 @@ def encode(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
                 part = b.slice(at, 1000)
                 at += part.num_rows
                 ids = [x + end for x in coder.encode([t or b"" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                doc_ids = part.column(0)
+                place = np.searchsorted(bounds, doc_ids.fill_null(0).to_numpy(), "left")
+                place[doc_ids.is_null().to_numpy(zero_copy_only=False)] = len(bounds)
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.binary()), pa.array(place.astype(np.int32))], ["doc_id", "ids", "part"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary("text")).mapInArrow(tidy(each, remembers=True), "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary("text")).mapInArrow(tidy(each, remembers=True), "doc_id long, ids binary, part int")
 
 
 def width(path: str, end_id: int = 1) -> int:
@@ -208,7 +213,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, folder: str | None
     of attempts that ended well."""
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "ids")
-    n = max(1, min(5000, -(-docs.count() // range_rows)))
+    n = max(1, min(50_000, -(-docs.count() // range_rows)))
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
     cuts = sorted(set(cuts or []))
     each_id = width(path, end_id)
@@ -245,13 +250,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, folder: str | None
         if out is not None:
             yield closed()
 
-    part = F.lit(0)
-    for i, c in enumerate(cuts):
-        part = F.when(F.col("doc_id") > c, i + 1).otherwise(part) if len(cuts) <= 64 else part
-    if len(cuts) > 64:
-        part = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("doc_id")))
-    part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(part)
-    rows = encode(docs, path, end_id).withColumn("part", part.cast("int"))
+    rows = encode(docs, path, end_id, cuts)
     rows = rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.crc32("ids"))
     made = stash(rows.select("doc_id", "ids").mapInArrow(tidy(write), SHARDS), "shards")
     # one row a shard of tens of megabytes: few enough to number in one place
