@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,14 +150,16 @@ def count_ids(rows: DataFrame) -> np.ndarray:
         for g in range(GROUPS):
             yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([counts[g * PER_GROUP : (g + 1) * PER_GROUP].tobytes()], pa.binary())], ["g", "counts"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(PER_GROUP, np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(c, np.int64)
-        return pd.DataFrame({"g": pdf["g"].iloc[:1], "counts": [total.tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # a task's groups, one sum each, however many parts there are
+        for b in batches:
+            for g, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[g] = total.get(g, 0) + np.frombuffer(c, np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["g", "counts"])
 
     out = np.zeros(IDS, np.int64)
-    parts = rows.mapInArrow(tidy(each), "g long, counts binary").groupBy("g").applyInPandas(add, "g long, counts binary")
+    parts = rows.mapInArrow(tidy(each), "g long, counts binary").repartition(GROUPS, "g").mapInArrow(add, "g long, counts binary")
     for r in parts.collect():
         out[r.g * PER_GROUP : (r.g + 1) * PER_GROUP] = np.frombuffer(r.counts, np.int64)
     return out
@@ -191,17 +192,19 @@ def train_round(rows: DataFrame, lexicon: Lexicon, network: Network, seed: int)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([seen]), pa.array([mine.dump()], pa.binary())], ["part", "seen", "network"])
 
-    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size)
-        for n, w in zip(pdf["seen"], pdf["network"], strict=True):
-            total += np.frombuffer(w, "<f4") * float(n)
-        seen = int(pdf["seen"].sum())
-        return pd.DataFrame({"part": [0], "seen": [seen], "network": [(total / seen).astype("<f4").tobytes()]})
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(size), 0
+        for b in batches:
+            for n, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                total += np.frombuffer(w, "<f4") * float(n)
+                seen += n
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([seen]), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["part", "seen", "network"])
 
     schema = "part long, seen long, network binary"
-    # partial means first, so that no task meets the networks of more than some hundred parts
+    # means of parts first, as a stream, so that no task holds more than one network and one sum
     parts = rows.mapInArrow(tidy(each), schema).withColumn("part", F.pmod(F.xxhash64("seen", "network"), F.lit(64)))
-    found = parts.groupBy("part").applyInPandas(mean, schema).groupBy(F.col("part") * 0).applyInPandas(mean, schema).collect()
+    found = parts.repartition(64, "part").mapInArrow(mean, schema).repartition(1).mapInArrow(mean, schema).collect()
     return network.load(bytes(found[0].network)) if found else network
 
 
