@@ -32,17 +32,28 @@ def sessionise(rows: DataFrame, place: str, branch: str | None, start: str, end:
 
     By place and branch, in order of start: a session joins while it starts at most ``gap`` seconds after the latest end
     so far, which a long earlier session may have set.  A feature branch is one group whatever the gaps; an undated
-    session, or one without a place, is alone."""
-    b = F.coalesce(F.col(branch), F.lit("")) if branch else F.lit("")
-    rows = rows.withColumn("_b", b)
+    session, or one without a place, is alone.
+
+    A place of very many sessions is dealt out by day: each day learns from the days before only the latest end and the
+    last head, one row a day, so no task needs all rows of a place."""
+    rows = rows.withColumn("_b", F.coalesce(F.col(branch), F.lit("")) if branch else F.lit("")).withColumn("_p", F.col(place).cast("string"))
     loose = F.col(place).isNull() | F.col(start).isNull()
-    # what is alone is a partition of its own, so that null places do not meet in one task
-    part = [F.when(loose, F.col(key).cast("string")), F.coalesce(F.col(place).cast("string"), F.lit("")), "_b"]
-    w = Window.partitionBy(*part).orderBy(start, key)
-    before = F.max(F.coalesce(end, start)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    breaks = before.isNull() | ((F.unix_micros(F.col(start).cast("timestamp")) - F.unix_micros(before.cast("timestamp")) > gap * 1_000_000) & ~(is_feature(F.col("_b")) if branch else F.lit(False)))
-    rows = rows.withColumn("_n", F.sum(F.when(loose | breaks, 1).otherwise(0)).over(w))
-    return rows.withColumn("head", F.first(key).over(Window.partitionBy(*part, "_n").orderBy(start, key))).drop("_b", "_n")
+    alone = rows.where(loose).withColumn("head", F.col(key))
+    rest = rows.where(~loose).withColumn("_day", F.floor(F.unix_micros(F.col(start).cast("timestamp")) / 86_400_000_000)).withColumn("_end", F.coalesce(end, start))
+    daily = ["_p", "_b", "_day"]
+    earlier = Window.partitionBy("_p", "_b").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rest.groupBy(*daily).agg(F.max("_end").alias("_m")).withColumn("_carry", F.max("_m").over(earlier)).drop("_m")
+    w = Window.partitionBy(*daily).orderBy(start, key)
+    rest = rest.join(ends, daily)
+    before = F.greatest("_carry", F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    late = F.unix_micros(F.col(start).cast("timestamp")) - F.unix_micros(before.cast("timestamp")) > gap * 1_000_000
+    breaks = before.isNull() | (late & ~(is_feature(F.col("_b")) if branch else F.lit(False)))
+    rest = rest.withColumn("_new", F.when(breaks, F.col(key)))
+    heads = rest.groupBy(*daily).agg(F.max_by("_new", F.when(F.col("_new").isNotNull(), F.struct(start, key))).alias("_l")).withColumn("_from", F.last("_l", ignorenulls=True).over(earlier)).drop("_l")
+    own = F.last("_new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rest = rest.join(heads, daily).withColumn("head", F.coalesce(own, "_from"))
+    extra = ["_b", "_p", "_day", "_end", "_carry", "_new", "_from"]
+    return rest.drop(*extra).unionByName(alone.drop(*extra))
 
 
 def threads_of(sessions: DataFrame, membership: DataFrame | None = None) -> DataFrame:
