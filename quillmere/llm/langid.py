@@ -120,7 +120,7 @@ def fit(docs: DataFrame) -> Model:
     """The model of the labelled rows of ``docs`` (doc_id, text, lang) outside the held-out fold."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang", "doc_id", F.col("text").cast("binary").alias("text"))
     n = docs.where(F.col("lang").isNotNull()).agg(F.approx_count_distinct("lang")).first()[0]
-    most = max(20, min(PER_LANGUAGE, SAMPLE // max(n, 1)))
+    most = max(1, min(PER_LANGUAGE, SAMPLE // max(n, 1)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
     # the ids are ranked first, so that texts are read for the chosen rows alone
     chosen = labelled.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("lang", "doc_id")
