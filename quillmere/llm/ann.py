@@ -129,24 +129,41 @@ class Model:
         return np.argpartition(-score, n - 1, axis=1)[:, :n]
 
 
-def scan(model: Model, queries: np.ndarray, x: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(model: Model, cell: int, queries: np.ndarray, x: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, entry position, distance) of the ``k`` best entries of a block, all of one cell, for each
-    query: the best ``rerank`` or fortieth by the tables are measured.  The entries come in the order of their ids."""
+    query.  The entries come in the order of their ids.
+
+    Measured are the best ``rerank`` or fortieth by the tables, and all others whose score is below theirs by less than the
+    codes may err: near copies have nearly one score, and only measuring tells them apart."""
     half = ((x**2).sum(axis=1) / 2).astype(np.float32)
     n = min(max(rerank, len(x) // 40), len(x))
+    pairs = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(x), -1)[:, : len(model.books)]
+    error = np.linalg.norm(x - model.centres[cell] - model.books[np.arange(len(model.books)), pairs].reshape(len(x), -1), axis=1).mean() / np.sqrt(x.shape[1])
     who, which, far = [], [], []
-    for at in range(0, len(queries), 64):
-        q = queries[at : at + 64]
-        tables = model.tables(q)
-        score = np.repeat(-half[None], len(q), axis=0)
-        for byte in range(codes.shape[1]):
-            score += tables[:, byte][:, codes[:, byte]]
-        best = np.sort(np.argpartition(-score, n - 1, axis=1)[:, :n], axis=1)  # in the order of ids
-        d = np.sqrt(((x[best] - q[:, None]) ** 2).sum(axis=2))
+
+    def measure(at: np.ndarray, best: np.ndarray) -> None:
+        best = np.sort(best, axis=1)  # in the order of ids
+        d = np.sqrt(((x[best] - queries[at][:, None]) ** 2).sum(axis=2))
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        who.append(np.repeat(np.arange(at, at + len(q)), order.shape[1]))
+        who.append(np.repeat(at, order.shape[1]))
         which.append(np.take_along_axis(best, order, axis=1).ravel())
         far.append(np.take_along_axis(d, order, axis=1).ravel())
+
+    for start in range(0, len(queries), 64):
+        at = np.arange(start, min(start + 64, len(queries)))
+        tables = model.tables(queries[at])
+        score = np.repeat(-half[None], len(at), axis=0)
+        for byte in range(codes.shape[1]):
+            score += tables[:, byte][:, codes[:, byte]]
+        order = np.argpartition(-score, n - 1, axis=1)[:, :n]
+        cut = np.take_along_axis(score, order, axis=1).min(axis=1) - error * np.linalg.norm(queries[at], axis=1)
+        close = (score >= cut[:, None]).sum(axis=1)
+        few = close <= 2 * n
+        if few.any():
+            m = int(close[few].max())
+            measure(at[few], np.argpartition(-score[few], m - 1, axis=1)[:, :m])
+        for i in np.flatnonzero(~few):
+            measure(at[i : i + 1], np.flatnonzero(score[i] >= cut[i])[None])
     return np.concatenate(who), np.concatenate(which), np.concatenate(far)
 
 
@@ -226,7 +243,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, probed
         have = have.sort_values("entry")
         ids = have["entry"].to_numpy()
         codes = np.frombuffer(b"".join(have["code"]), np.uint8).reshape(len(have), -1)
-        who, which, far = scan(model, _matrix(want["q"], wide), _matrix(have["x"], wide), codes, keep, rerank)
+        who, which, far = scan(model, int(have["cell"].iloc[0]), _matrix(want["q"], wide), _matrix(have["x"], wide), codes, keep, rerank)
         return pd.DataFrame({"query": want["query"].to_numpy()[who], "entry": ids[which], "score": far})
 
     found = entries.select(*key, "entry", "code", "x").groupBy(*key).cogroup(seeking.select(*key, "query", "q").groupBy(*key)).applyInPandas(search, "query long, entry long, score double")
