@@ -4,10 +4,11 @@ Documents of word-shingle similarity 0.8 differ in about 39 of 256 SimHash bits,
 errors a 16-bit word of the fingerprint is at most one bit off with probability 0.28, so one of the sixteen words is
 with 0.995.  The vantage-point shards of :mod:`quillmere.llm.simhash` therefore meet nearly all such pairs: for each
 word they deal the fingerprints out by Hamming distance, show each shard what lies just across its borders, and inside a
-shard words at most one bit apart are looked up.  A pair within 64 bits is a candidate; of each fingerprint's candidates
-the two nearest that come before it in each shard go on, which bounds what a dense group sends.  The candidates'
-similarity is then counted exactly on their sets of shingles, components of the confirmed ones are the groups, and the
-document of the smallest id stays.
+shard words at most one bit apart are looked up.  A pair within 64 bits is a candidate, in the
+first word that shows it.  Fingerprints with candidates go to their shards once more, with their sets of shingles, and
+there the similarity of all candidates is counted exactly, but of those that confirmed pairs connect already; a shard
+returns a forest of its confirmed pairs.  The components of these are the groups, and the document of the smallest id
+stays.
 
 Equal fingerprints are one entry: copies cost nothing but their fingerprint.
 """
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, U64, apply_decisions, as_binary, as_bytes, mix64, numbered, pieces, shingle_hashes, stash, tidy, word_hashes, word_spans, write_decisions
-from .components import components
+from .components import Forest, components
 from .simhash import BITS, shards
 
 LANES = 4
 #: Bits in which candidates may differ: similarity 0.8 stays within, by four standard deviations.
 MOST_BITS = 64
-#: Candidates that a fingerprint keeps in a shard, fingerprints in a shard, about, and pairs that are looked at at a time.
-BEST, SHARD_ROWS, PAIRS = 2, 250_000, 500_000
+#: Fingerprints in a shard, about, pairs that are looked at at a time, and pairs between two looks at what is connected.
+SHARD_ROWS, PAIRS, CHUNK = 250_000, 500_000, 20_000
 _LANE_SEEDS = (np.arange(LANES, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))[None]
 
 
@@ -62,28 +63,12 @@ def _prints(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u8").reshape(-1, LANES)
 
 
-def near_pairs(ids: np.ndarray, first: np.ndarray, prints: np.ndarray, own: np.ndarray, word: int, most: int = MOST_BITS, best: int = BEST) -> np.ndarray:
-    """(later, earlier, bits) of the pairs, one at least in ``own``, whose ``word`` is at most one bit apart and that are
-    at most ``most`` bits apart in all: for each later one the ``best`` nearest before it.
-
-    They come in the order of ``first``, their smallest doc_ids, then of the fingerprints: reruns agree however rows are
-    numbered, and originals, which copies follow, come early."""
-    order = np.lexsort((*prints.T[::-1], first))
-    ids, prints, own = ids[order], prints[order], own[order]
-    lane = prints[:, word // 4]
-    words = ((lane >> U64(BITS * (word % 4))) & U64(0xFFFF)).astype(np.uint16)
+def near_pairs(prints: np.ndarray, own: np.ndarray, word: int, most: int = MOST_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of places (i, j) of all pairs, one at least in ``own``, that are at most ``most`` bits apart in all and whose
+    ``word`` is their first that is at most one bit apart: over all words and shards each pair comes once."""
+    words = ((prints[:, word // 4] >> U64(BITS * (word % 4))) & U64(0xFFFF)).astype(np.uint16)
     order = np.argsort(words, kind="stable")
     sorted_, mine = words[order], np.flatnonzero(own)
-    found = np.zeros((0, 3), np.int64)
-
-    def nearest(rows: np.ndarray) -> np.ndarray:
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
-        rows = rows[new]
-        start = np.searchsorted(rows[:, 0], rows[:, 0])
-        return rows[np.arange(len(rows)) - start < best]
-
     for mask in (0, *(1 << b for b in range(BITS))):
         wanted = words[mine] ^ np.uint16(mask)
         low, high = np.searchsorted(sorted_, wanted, "left"), np.searchsorted(sorted_, wanted, "right")
@@ -95,42 +80,63 @@ def near_pairs(ids: np.ndarray, first: np.ndarray, prints: np.ndarray, own: np.n
             times = count[at:end]
             i = np.repeat(mine[at:end], times)
             j = order[np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low[at:end], times)]
-            keep = (np.bitwise_count(lane[i] ^ lane[j]) <= 30) & (~own[j] | (j < i))
+            keep = ~own[j] | (j < i)
             i, j = i[keep], j[keep]
-            d = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
-            keep = d <= most
-            i, j, d = i[keep], j[keep], d[keep]
-            if len(d):
-                found = nearest(np.concatenate([found, np.stack([np.maximum(i, j), np.minimum(i, j), d], axis=1)]))
+            differ = prints[i] ^ prints[j]
+            keep = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= most
+            i, j, differ = i[keep], j[keep], differ[keep]
+            keep = (np.bitwise_count(differ.astype("<u8").view("<u2")) <= 1).argmax(axis=1) == word
+            if keep.any():
+                yield i[keep], j[keep]
             at = end
-    found[:, :2] = ids[found[:, :2]]
-    return found
+
+
+def confirmed(prints: np.ndarray, own: np.ndarray, sets: list[bytes], word: int, similarity: float, most: int = MOST_BITS) -> np.ndarray:
+    """Links (m x 2) of places, a forest that connects just what the shard's pairs of at least ``similarity`` connect.
+
+    Every pair is measured on its sets, but those whose ends confirmed ones connect already."""
+    sizes, forest = np.array([len(s) for s in sets]), Forest(len(sets))
+    for i, j in near_pairs(prints, own, word, most):
+        able = np.minimum(sizes[i], sizes[j]) >= (similarity - 1e-12) * np.maximum(sizes[i], sizes[j])  # no more is shared
+        i, j = i[able], j[able]
+        for at in range(0, len(i), CHUNK):
+            roots = forest.roots()
+            a, b = i[at : at + CHUNK], j[at : at + CHUNK]
+            apart = roots[a] != roots[b]
+            for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+                if forest.find(x) != forest.find(y) and resemblance(sets[x], sets[y]) >= similarity - 1e-12:
+                    forest.join(x, y)
+    roots = forest.roots()
+    below = np.flatnonzero(roots != np.arange(len(roots)))
+    return np.stack([below, roots[below]], axis=1)
 
 
 def candidates(classes: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Distinct (u, v) of candidate pairs among ``classes`` (id long, first long, fp binary), each fingerprint once."""
+    """(shard, word, id, fp, own): of ``classes`` (id long, fp binary) what has candidates in a shard, for each shard where it has."""
     levels = min(12, max(4, int(np.ceil(np.log2(max(classes.count(), 1) / SHARD_ROWS)))))
     home, guest, offsets = shards(levels, 1)
     made = int(home.max()) + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8").reshape(-1, LANES)
+            prints = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, LANES)
             for w in range(4 * LANES):
                 word = ((prints[:, w // 4] >> U64(BITS * (w % 4))) & U64(0xFFFF)).astype(np.int64)
                 times = offsets[word + 1] - offsets[word]
                 which = np.repeat(np.arange(len(word)), times)
                 place = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + offsets[word][which]
                 take = pa.array(np.concatenate([np.arange(len(word)), which]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([home[word], guest[place]]) + w * made), *(c.take(take) for c in b.columns), pa.array(np.arange(len(take)) < len(word))], ["shard", "id", "first", "fp", "own"]
-                )
+                shard = pa.array(np.concatenate([home[word], guest[place]]) + w * made)
+                yield pa.RecordBatch.from_arrays([shard, pa.array(np.full(len(take), w, np.int32)), *(c.take(take) for c in b.columns), pa.array(np.arange(len(take)) < len(word))], ["shard", "word", "id", "fp", "own"])
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = near_pairs(pdf["id"].to_numpy(), pdf["first"].to_numpy(), _prints(pdf["fp"]), pdf["own"].to_numpy(), int(pdf["shard"].iloc[0]) // made, most)
-        return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        met = np.zeros(len(pdf), bool)
+        for i, j in near_pairs(_prints(pdf["fp"]), pdf["own"].to_numpy(), int(pdf["word"].iloc[0]), most):
+            met[i] = met[j] = True
+        return pdf[met]
 
-    return classes.select("id", "first", "fp").mapInArrow(tidy(deal), "shard long, id long, first long, fp binary, own boolean").groupBy("shard").applyInPandas(link, "u long, v long").distinct()
+    schema = "shard long, word int, id long, fp binary, own boolean"
+    return classes.select("id", "fp").mapInArrow(tidy(deal), schema).groupBy("shard").applyInPandas(meet, schema)
 
 
 def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -172,19 +178,17 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([wide_fingerprint(t, k) for t in b.column(2).to_pylist()], pa.binary())], ["row", "doc_id", "fp"])
 
     prints = stash(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), as_binary("text")).mapInArrow(tidy(each), "row long, doc_id long, fp binary"), "fingerprints")
-    classes = stash(prints.groupBy("fp").agg(F.min("row").alias("id"), F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("first")).select("id", "first", "fp"), "classes")
-    pairs = stash(candidates(classes), "candidates")
-    ends = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    wanted = write_decisions(ends.select(F.col("id").alias("row"), F.lit(1).alias("n")))  # a join would move all texts
+    classes = stash(prints.groupBy("fp").agg(F.min("row").alias("id")).select("id", "fp"), "classes")
+    met = stash(candidates(classes), "candidates")
+    wanted = write_decisions(met.select(F.col("id").alias("row")).distinct().select("row", F.lit(1).alias("n")))  # a join would move all texts
     sets = stash(shingle_sets(apply_decisions(docs.select("row", F.col("row").alias("id"), "text"), "row", wanted, default=0), k), "sets")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [resemblance(x, y) >= similarity - 1e-12 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        found = confirmed(_prints(pdf["fp"]), pdf["own"].to_numpy(), pdf["s"].tolist(), int(pdf["word"].iloc[0]), similarity)
+        return pd.DataFrame({"u": ids[found[:, 0]], "v": ids[found[:, 1]]})
 
-    left, right = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
-    links = pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(tidy(confirm), "u long, v long")
+    links = met.join(sets, "id").select("shard", "word", "id", "fp", "own", "s").groupBy("shard").applyInPandas(confirm, "u long, v long")
     roots = components(stash(links, "links")).withColumnRenamed("u", "id")
     placed = classes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("group"))
     return prints.join(placed, "fp").select("row", "doc_id", "group")

@@ -122,6 +122,19 @@ def test_near_groups_match_brute_force(docs, rows):
     assert all(len(v) == 1 for v in same.values()) and len(same) == len(set(got.values()))
 
 
+def test_near_groups_find_a_partner_among_many_rivals(spark):
+    """The one partner (0.81) of the last document stands among 300 texts of similarity 0.74 to it, some of them nearer in bits."""
+    rng = np.random.default_rng(2)
+    base = [f"b{i}" for i in range(204)]
+    changed = lambda n: [f"x{rng.integers(1 << 40)}" if i in range(2, 5 * n, 5) else w for i, w in enumerate(base)]  # noqa: E731  n * 5 shingles go
+    texts = [" ".join(changed(4)), *(" ".join(changed(6)) for _ in range(300)), " ".join(base)]
+    sets = [shingles(t) for t in texts]
+    roots = closure(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert roots == [*range(301), 0]
+    got = {r.row: r.group for r in near_groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string").selectExpr("row", "row AS doc_id", "text")).collect()}
+    assert got[301] == got[0] and len(set(got.values())) == 301
+
+
 def test_one_of_each_keeps_columns_and_smallest_ids(docs, empty):
     out = one_of_each(docs)
     assert out.columns == docs.columns
