@@ -10,11 +10,13 @@ there the similarity of all candidates is counted exactly, but of those that con
 returns a forest of its confirmed pairs.  The components of these are the groups, and the document of the smallest id
 stays.
 
-Equal fingerprints are one entry: copies cost nothing but their fingerprint.
+Texts of the same set of shingles are one entry: copies cost nothing but their key.  Different texts of equal
+fingerprints are candidates like others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -37,26 +39,35 @@ SHARD_ROWS, PAIRS, CHUNK = 250_000, 500_000, 20_000
 _LANE_SEEDS = (np.arange(LANES, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))[None]
 
 
-def wide_fingerprint(text: bytes | None, k: int) -> bytes:
-    """256 bits: a bit is 1 if it is set in over half of the k-word shingles' hashes; no words: zero.
-
-    A shingle's hash is its XXH64 (seed 42) and three mixes of that."""
+def shingles_of(text: bytes | None, k: int) -> np.ndarray:
+    """XXH64 (seed 42) of each k-word shingle (of the whole text, if that is shorter); no words: none."""
     words = (text or b"").lower().split()
     if not words:
-        return bytes(8 * LANES)
+        return np.zeros(0, U64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(k, len(words))
     digest = xxhash.xxh64_digest
-    first = np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]), ">u8").astype(U64)
+    return np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]), ">u8").astype(U64)
+
+
+def copy_key(shingles: np.ndarray) -> bytes:
+    """The same for texts of the same set of shingles, and for no others."""
+    return hashlib.blake2b(np.unique(shingles).tobytes(), digest_size=16).digest()
+
+
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """256 bits: a bit is 1 if it is set in over half of the shingles' hashes; no shingles: zero.
+
+    A shingle has its hash and three mixes of that."""
     total = np.zeros(64 * LANES, np.int64)
-    for at in range(0, len(first), 4080):
+    for at in range(0, len(shingles), 4080):
         with np.errstate(over="ignore"):
-            lanes = mix64(first[at : at + 4080, None] + _LANE_SEEDS)
+            lanes = mix64(shingles[at : at + 4080, None] + _LANE_SEEDS)
         bits = np.unpackbits(lanes.view(np.uint8), axis=1).view(np.uint64)  # eight counters a number, full after 255 rows
         total += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
-    return np.packbits(total * 2 > len(first)).tobytes()
+    return np.packbits(total * 2 > len(shingles)).tobytes()
 
 
 def _prints(column: pd.Series) -> np.ndarray:
@@ -175,10 +186,11 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([wide_fingerprint(t, k) for t in b.column(2).to_pylist()], pa.binary())], ["row", "doc_id", "fp"])
+            made = [(copy_key(s), wide_fingerprint(s)) for s in (shingles_of(t, k) for t in b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([m[c] for m in made], pa.binary()) for c in (0, 1))], ["row", "doc_id", "copy", "fp"])
 
-    prints = stash(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), as_binary("text")).mapInArrow(tidy(each), "row long, doc_id long, fp binary"), "fingerprints")
-    classes = stash(prints.groupBy("fp").agg(F.min("row").alias("id")).select("id", "fp"), "classes")
+    prints = stash(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), as_binary("text")).mapInArrow(tidy(each), "row long, doc_id long, copy binary, fp binary"), "fingerprints")
+    classes = stash(prints.groupBy("copy").agg(F.min("row").alias("id"), F.min("fp").alias("fp")).select("id", "copy", "fp"), "classes")
     met = stash(candidates(classes), "candidates")
     wanted = write_decisions(met.select(F.col("id").alias("row")).distinct().select("row", F.lit(1).alias("n")))  # a join would move all texts
     sets = stash(shingle_sets(apply_decisions(docs.select("row", F.col("row").alias("id"), "text"), "row", wanted, default=0), k), "sets")
@@ -190,8 +202,8 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
 
     links = met.join(sets, "id").select("shard", "word", "id", "fp", "own", "s").groupBy("shard").applyInPandas(confirm, "u long, v long")
     roots = components(stash(links, "links")).withColumnRenamed("u", "id")
-    placed = classes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("group"))
-    return prints.join(placed, "fp").select("row", "doc_id", "group")
+    placed = classes.join(roots, "id", "left").select("copy", F.coalesce("root", "id").alias("group"))
+    return prints.select("row", "doc_id", "copy").join(placed, "copy").select("row", "doc_id", "group")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -135,6 +135,15 @@ def test_near_groups_find_a_partner_among_many_rivals(spark):
     assert got[301] == got[0] and len(set(got.values())) == 301
 
 
+def test_texts_that_mostly_repeat_one_line_are_no_copies(spark):
+    rng = np.random.default_rng(6)
+    line = " ".join(f"line{i}" for i in range(11))
+    own = [" ".join(f"w{rng.integers(1 << 40)}" for _ in range(100)) for _ in range(7)]
+    texts = [" ".join([line] * 50) + " " + o for o in own[:6]] + [own[6] + " " + own[6], own[6].upper() + " \n" + own[6]]
+    got = {r.row: r.group for r in near_groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string").selectExpr("row", "row AS doc_id", "text")).collect()}
+    assert got == {i: i for i in range(7)} | {7: 6}
+
+
 def test_one_of_each_keeps_columns_and_smallest_ids(docs, empty):
     out = one_of_each(docs)
     assert out.columns == docs.columns
