@@ -1,6 +1,7 @@
 """Near-duplicate removal with wide SimHash fingerprints, verified on the shingles themselves.
 
-Documents of word-shingle similarity 0.8 differ in about 39 of 256 SimHash bits, unrelated ones in 128.  At 39
+A text's fingerprint is built from its distinct shingles, as its similarity to others is, so how often a line repeats plays
+no part.  Documents of word-shingle similarity 0.8 differ in about 39 of 256 SimHash bits, unrelated ones in 128.  At 39
 errors a 16-bit word of the fingerprint is at most one bit off with probability 0.28, so one of the sixteen words is
 with 0.995.  The vantage-point shards of :mod:`quillmere.llm.simhash` therefore meet nearly all such pairs: for each
 word they deal the fingerprints out by Hamming distance, show each shard what lies just across its borders, and inside a
@@ -40,7 +41,7 @@ _LANE_SEEDS = (np.arange(LANES, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))[None
 
 
 def shingles_of(text: bytes | None, k: int) -> np.ndarray:
-    """XXH64 (seed 42) of each k-word shingle (of the whole text, if that is shorter); no words: none."""
+    """XXH64 (seed 42) of each distinct k-word shingle (of the whole text, if that is shorter), sorted; no words: none."""
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, U64)
@@ -49,12 +50,12 @@ def shingles_of(text: bytes | None, k: int) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(k, len(words))
     digest = xxhash.xxh64_digest
-    return np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]), ">u8").astype(U64)
+    return np.unique(np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]), ">u8").astype(U64))
 
 
 def copy_key(shingles: np.ndarray) -> bytes:
     """The same for texts of the same set of shingles, and for no others."""
-    return hashlib.blake2b(np.unique(shingles).tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def wide_fingerprint(shingles: np.ndarray) -> bytes:

@@ -144,6 +144,17 @@ def test_texts_that_mostly_repeat_one_line_are_no_copies(spark):
     assert got == {i: i for i in range(7)} | {7: 6}
 
 
+def test_near_groups_do_not_hang_on_how_often_a_line_repeats(spark):
+    rng = np.random.default_rng(8)
+    line = " ".join(f"line{i}" for i in range(11))
+    own = [f"w{rng.integers(1 << 40)}" for _ in range(200)]
+    other = [*own[:100], "changed", *own[101:]]
+    texts = [" ".join([line] * n + w) for n, w in ((2, own), (20, other), (50, own), (200, other))]
+    assert len({frozenset(shingles(t)) for t in texts}) == 2
+    got = {r.row: r.group for r in near_groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string").selectExpr("row", "row AS doc_id", "text")).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_one_of_each_keeps_columns_and_smallest_ids(docs, empty):
     out = one_of_each(docs)
     assert out.columns == docs.columns
