@@ -2,7 +2,7 @@
 
 A block (a line that mentions licensing) is compressed by itself and with each license's template as a raw
 zstandard dictionary.  The bytes that a template saves measure how much of the block it explains; the templates are
-ranked by that, and the best ones must then be confirmed: the words of the template are aligned with the block
+looked at in that order, and each must be confirmed, unless its words are not there: the words of the template are aligned with the block
 (free ends in the block), and the words that differ, counted exactly, must be few, none of them a version number or a
 word that names the license.
 """
@@ -83,8 +83,8 @@ def alignment(template: list[str], block: list[str]) -> tuple[int, int, int]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, list[str]], most_diff: float, tried: int) -> None:
-        self.most_diff, self.tried = most_diff, tried
+    def __init__(self, templates: dict[str, list[str]], most_diff: float) -> None:
+        self.most_diff = most_diff
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.known = []
         for name, wordings in templates.items():
@@ -100,15 +100,23 @@ class Scanner:
         plain = len(self.plain.compress(data))
         saved = sorted(((plain - len(packer.compress(data)), -i) for i, (_, _, _, packer) in enumerate(self.known)), reverse=True)
         words = words_of(text)
+        plainly = [w for w, _, _ in words]
+        there = set(plainly)
         found = []
-        for gain, i in saved[: self.tried]:
-            if gain <= 0:
-                break
+        for gain, i in saved:
             name, n, template, _ = self.known[-i]
-            differ, first, end = alignment(template, [w for w, _, _ in words])
             telling = {w for w in template if w[0].isdigit() or w in NAMES}
-            if end > first and differ <= self.most_diff * len(template) and telling <= {w for w, _, _ in words[first:end]}:
-                found.append((differ / len(template), -len(template), name, n, first, end, gain, differ))
+            if not telling <= there or sum(w not in there for w in template) > self.most_diff * len(template):
+                continue  # no alignment can confirm it
+            todo = [(0, len(words))]
+            while todo:  # a wording may be stated more than once
+                low, high = todo.pop()
+                differ, first, end = alignment(template, plainly[low:high])
+                first, end = first + low, end + low
+                if end > first and differ <= self.most_diff * len(template):
+                    todo += [(low, first), (end, high)]
+                    if telling <= set(plainly[first:end]):
+                        found.append((differ / len(template), -len(template), name, n, first, end, gain, differ))
         out: list[tuple[int, int]] = []
         result = []
         for _, _, name, n, first, end, gain, differ in sorted(found):
@@ -139,15 +147,14 @@ class Scanner:
 SCHEMA = "doc_id long, license string, wording int, start long, `end` long, plain_bytes long, saved_bytes long, words_differ long"
 
 
-def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, most_diff: float = 0.2, tried: int = 12) -> DataFrame:
+def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, most_diff: float = 0.2) -> DataFrame:
     """One row for each license statement in ``docs`` (doc_id, text): its place in code points, the size of the
     block compressed alone, what its template saves, and how many words differ from the template's.
 
-    ``most_diff``: the share of a template's words that may differ; ``tried``: how many of the best-ranked templates
-    are aligned.  Null and empty texts state none; a null doc_id stays null; repeated rows repeat theirs."""
+    ``most_diff``: the share of a template's words that may differ.  Null and empty texts state none; a null doc_id stays null; repeated rows repeat theirs."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates or TEMPLATES, most_diff, tried)
+        scanner = Scanner(templates or TEMPLATES, most_diff)
         for b in batches:
             rows = []
             for doc_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillmere.llm import common as C
 from quillmere.llm.components import components
 from quillmere.llm.decontaminate import contaminated, without_contaminated
-from quillmere.llm.licenses import TEMPLATES, licenses
+from quillmere.llm.licenses import TEMPLATES, Scanner, licenses
 from quillmere.llm.near_dedup import near_groups, one_of_each
 from quillmere.llm.secrets import base_spans, scan, secrets
 from quillmere.llm.simhash import fingerprint, near_links, shards, simhash_components
@@ -249,6 +249,14 @@ def test_licenses_are_found_and_named(spark, docs, empty):
     assert licenses(empty).collect() == [] and licenses(docs).count() == 0
 
 
+def test_licenses_of_a_notice_that_states_each_once():
+    wordings = [(name, n) for name, ws in TEMPLATES.items() for n in range(len(ws))]
+    line = " ".join(f"part{i} : {TEMPLATES[name][n]}" for i, (name, n) in enumerate(wordings))
+    found = [(r[0], r[1]) for r in Scanner(TEMPLATES, 0.2).scan(line) if r[6] == 0]
+    assert {w for w in wordings if len(TEMPLATES[w[0]][w[1]].split()) <= 6} <= set(found)
+    assert [r[0] for r in Scanner(TEMPLATES, 0.2).scan("Released under the MIT License. And again: released under the MIT license.")] == ["MIT", "MIT"]
+
+
 def test_word_hashes_and_shingles_by_document():
     texts = ["a b c d e f", "", "b c", None, "a  b\tc d e f", "  "]
     data, offsets = C.as_bytes(pa.array([t and t.encode() for t in texts], pa.binary()))
