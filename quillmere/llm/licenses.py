@@ -1,6 +1,6 @@
 """License scans by conditional compression.
 
-A block (a line that mentions licensing) is compressed by itself and with each license's template as a raw
+A block (a window of words, over line breaks and comment signs, that mentions licensing) is compressed by itself and with each license's template as a raw
 zstandard dictionary.  The bytes that a template saves measure how much of the block it explains; the templates are
 looked at in that order, and each must be confirmed, unless its words are not there: the words of the template are aligned with the block
 (free ends in the block), and the words that differ, counted exactly, must be few, none of them a version number or a
@@ -10,6 +10,7 @@ word that names the license.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,16 +58,25 @@ TEMPLATES: dict[str, list[str]] = {
 }
 # Fixed words by which a wording names its license; one that it has must be in the block too.
 NAMES = ["mit", "apache", "gnu", "lesser", "affero", "mozilla", "bsd", "cc", "nc", "sa", "nd", "cc0", "noncommercial", "sharealike", "noderivatives", "creative", "commons"]
-# Fixed cues: a block without any of them is no candidate.  Every template has one.
-CUES = (b"licens", b"licenc", b"permission", b"redistribut", b"public domain", b"mozilla public", b"cc0", b"cc by", b"spdx")
+# Fixed cues: a window without any of them is no candidate.  Every template has one; line breaks and comment signs may part its words.
+CUE = r"licen[sc]|permission|redistribut|public[^a-z0-9]+domain|mozilla[^a-z0-9]+public|cc0|cc[^a-z0-9]+by|spdx"
+CUES, BYTE_CUES = re.compile(CUE), re.compile(CUE.encode())
+#: A line break with the comment signs around it, which counts as a space.
+BREAK = re.compile(r"[\s*/-]*\n[\s#*/;%!>-]*")
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-#: Words of a block that are looked at at a time; longer blocks are cut into overlapping windows.
+#: Words of a text that are looked at at a time, in overlapping windows.
 WINDOW, OVERLAP = 120, 60
 
 
+def lowered(text: str) -> str:
+    """In lower case, each character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def words_of(text: str) -> list[tuple[str, int, int]]:
     """(word, start, end): lower-case runs of letters and digits, version numbers whole."""
-    return [(m[0], m.start(), m.end()) for m in WORD.finditer(text.lower() if len(text.lower()) == len(text) else text)]
+    return [(m[0], m.start(), m.end()) for m in WORD.finditer(lowered(text))]
 
 
 def alignment(template: list[str], block: list[str]) -> tuple[int, int, int]:
@@ -93,13 +103,12 @@ class Scanner:
                 packer = zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_dict_id=False)
                 self.known.append((name, n, [w for w, _, _ in words_of(text)], packer))
 
-    def block(self, text: str) -> list[tuple[str, int, int, int, int, int, int]]:
-        """(license, wording, start, end, plain bytes, bytes saved, words that differ) of each license that is
-        stated in one window of a block, runs that overlap going to the best."""
-        data = text.lower().encode()
+    def window(self, text: str, words: list[tuple[str, int, int]]) -> list[tuple]:
+        """(share that differs, - words of the wording, license, wording, first, end, plain bytes, bytes saved, words that
+        differ) of each statement in ``words``, a window of ``text`` in lower case; first and end are places in the window."""
+        data = BREAK.sub(" ", text[words[0][1] : words[-1][2]]).encode("utf-8", "replace")
         plain = len(self.plain.compress(data))
         saved = sorted(((plain - len(packer.compress(data)), -i) for i, (_, _, _, packer) in enumerate(self.known)), reverse=True)
-        words = words_of(text)
         plainly = [w for w, _, _ in words]
         there = set(plainly)
         found = []
@@ -116,32 +125,24 @@ class Scanner:
                 if end > first and differ <= self.most_diff * len(template):
                     todo += [(low, first), (end, high)]
                     if telling <= set(plainly[first:end]):
-                        found.append((differ / len(template), -len(template), name, n, first, end, gain, differ))
-        out: list[tuple[int, int]] = []
-        result = []
-        for _, _, name, n, first, end, gain, differ in sorted(found):
-            if all(end <= a or b <= first for a, b in out):
-                out.append((first, end))
-                result.append((name, n, words[first][1], words[end - 1][2], plain, gain, differ))
-        return result
+                        found.append((differ / len(template), -len(template), name, n, first, end, plain, gain, differ))
+        return found
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, int, int, int]]:
-        """As :meth:`block`, over all blocks of a text, with places in code points of the text."""
-        found: dict[tuple[str, int, int], tuple] = {}
-        at = 0
-        for line in text.split("\n"):
-            low = line.lower().encode()
-            if any(c in low for c in CUES):
-                words = words_of(line)
-                for first in range(0, max(1, len(words) - OVERLAP), WINDOW - OVERLAP):
-                    part = words[first : first + WINDOW]
-                    if part and any(c in line[part[0][1] : part[-1][2]].lower().encode() for c in CUES):
-                        for name, n, a, b, *rest in self.block(line[part[0][1] : part[-1][2]]):
-                            a, b = at + part[0][1] + a, at + part[0][1] + b
-                            if all(k[0] != name or b <= k[1] or k[2] <= a for k in found):
-                                found[name, a, b] = (name, n, a, b, *rest)
-            at += len(line) + 1
-        return sorted(found.values(), key=lambda r: (r[2], r[0]))
+        """(license, wording, start, end, plain bytes, bytes saved, words that differ) of each license that is stated in
+        a text, places in code points, runs that overlap going to the best."""
+        low, words = lowered(text), words_of(text)
+        cues = [m.start() for m in CUES.finditer(low)]
+        found = []
+        for at in range(0, max(1, len(words) - OVERLAP), WINDOW - OVERLAP):
+            part = words[at : at + WINDOW]
+            if part and bisect_left(cues, part[0][1]) < bisect_left(cues, part[-1][2]):
+                found += [(*r[:4], r[4] + at, r[5] + at, *r[6:]) for r in self.window(low, part)]
+        out: dict[tuple[int, int], tuple] = {}
+        for _, _, name, n, first, end, *rest in sorted(found):
+            if all(end <= a or b <= first for a, b in out):
+                out[first, end] = (name, n, words[first][1], words[end - 1][2], *rest)
+        return sorted(out.values(), key=lambda r: (r[2], r[0]))
 
 
 SCHEMA = "doc_id long, license string, wording int, start long, `end` long, plain_bytes long, saved_bytes long, words_differ long"
@@ -158,7 +159,7 @@ def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, mos
         for b in batches:
             rows = []
             for doc_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if data and any(c in low for low in (data.lower(),) for c in CUES):
+                if data and BYTE_CUES.search(data.lower()):
                     rows += [(doc_id, *r) for r in scanner.scan(data.decode("utf-8", "replace"))]
             if rows:
                 types = [pa.int64(), pa.string(), pa.int32()] + [pa.int64()] * 5

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import re
+import textwrap
 import urllib.parse
 from collections import defaultdict
 
@@ -257,6 +258,15 @@ def test_licenses_of_a_notice_that_states_each_once():
     assert [r[0] for r in Scanner(TEMPLATES, 0.2).scan("Released under the MIT License. And again: released under the MIT license.")] == ["MIT", "MIT"]
 
 
+def test_licenses_that_wrap_over_lines_are_found():
+    for name, ws in TEMPLATES.items():
+        for n, w in enumerate(ws):
+            for sign in ("", "# ", " * ", "// "):
+                text = "int x;\n/* İ\n" + "\n".join(sign + line for line in textwrap.wrap(w, 24)) + "\nint y;"
+                (got,) = Scanner(TEMPLATES, 0.2).scan(text)
+                assert got[:2] == (name, n) and got[6] == 0 and text[got[2]] == w[0] and text[: got[3]].endswith(w.rstrip(".")[-1])
+
+
 def test_word_hashes_and_shingles_by_document():
     texts = ["a b c d e f", "", "b c", None, "a  b\tc d e f", "  "]
     data, offsets = C.as_bytes(pa.array([t and t.encode() for t in texts], pa.binary()))
