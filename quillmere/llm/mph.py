@@ -8,14 +8,13 @@ stored fingerprint of each slot tells foreign keys apart, but for one in 2^32.
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Callable
 
 import numpy as np
 
 from .common import U64, mix64
 
 GAMMA = 2.0
-MAGIC = b"QMPH\x01\x00\x00\x00"
 
 
 def _places(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
@@ -69,17 +68,28 @@ class PerfectHash:
         return out
 
     def dump(self) -> bytes:
-        return MAGIC + struct.pack("<I", len(self.sizes)) + b"".join(struct.pack("<Q", s) for s in self.sizes) + self.words.astype("<u8").tobytes()
+        """The bits of each level, then every word of bits with the number of set bits before it."""
+        pairs = np.stack([self.words.astype("<u8"), self.before[:-1].astype("<u8")], axis=1)
+        return np.asarray(self.sizes, "<u8").tobytes() + pairs.tobytes()
 
     @classmethod
-    def load(cls, data: bytes) -> tuple[PerfectHash, int]:
+    def load(cls, data: bytes, levels: int) -> tuple[PerfectHash, int]:
         """The hash at the start of ``data``, and where what follows it begins."""
-        if data[:8] != MAGIC:
-            raise ValueError("no perfect hash")
-        n = struct.unpack_from("<I", data, 8)[0]
-        sizes = list(struct.unpack_from(f"<{n}Q", data, 12))
-        at, levels = 12 + 8 * n, []
-        for s in sizes:
-            levels.append(np.frombuffer(data, "<u8", s // 64, at).astype(np.uint64))
-            at += s // 8
-        return cls(levels, sizes), at
+        sizes = np.frombuffer(data, "<u8", levels).astype(np.int64)
+        counts = sizes // 64
+        words = np.frombuffer(data, "<u8", 2 * int(counts.sum()), 8 * levels)[0::2].astype(np.uint64)
+        return cls(np.split(words, np.cumsum(counts)[:-1]) if levels else [], sizes.tolist()), 8 * levels + 16 * len(words)
+
+    @staticmethod
+    def slot_in_file(read: Callable[[int, int], bytes], levels: int, key: np.ndarray) -> tuple[int, int]:
+        """The slot of one key, and the length of the dump, by ``read(bytes, from)``: one small read a level until it is found."""
+        sizes = np.frombuffer(read(8 * levels, 0), "<u8").astype(np.int64).tolist()
+        first, slot = 0, -1
+        for level, bits in enumerate(sizes):
+            at = int(_places(key, level, bits)[0])
+            word, before = (int(x) for x in np.frombuffer(read(16, 8 * levels + 16 * (first + (at >> 6))), "<u8"))
+            if word >> (at & 63) & 1:
+                slot = before + (word & ((1 << (at & 63)) - 1)).bit_count()
+                break
+            first += bits // 64
+        return slot, 8 * levels + sum(sizes) // 4

@@ -4,11 +4,12 @@ A shard is two files.  ``shard-….ids`` is nothing but the ids, little-endian a
 vocabulary allows it and of 32 bits otherwise, one document after another in ascending doc_id order.
 ``shard-….idx`` holds
 
-    magic "QMIX", version, bytes an id, number of documents n, number of documents with a key m   (5 x uint32)
+    magic "QMIX", version, bytes an id, number of documents n, number of documents with a key m, levels   (5 x uint32)
+    the perfect hash of the m keys: bits of each level uint64, then (64 bits, set bits before them) uint64 x 2 each
+    by slot: fingerprint uint32, place uint32, start uint64, length uint64
     doc_id int64 x n, has_id uint8 x n, start uint64 x (n + 1): in file order, in ids
-    the perfect hash of the m keys, then fingerprint uint32 x m and place uint32 x m: by slot
 
-so a keyed read is one hash, one fingerprint, one place and one range of the id file.
+so a keyed read is about two reads of the hash, one slot and one range of the id file, however large the shard.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ import json
 import os
 import struct
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MEMORIES, U64, as_binary, filesystem, fresh_dir, mix64, stash, tidy
+from .common import MEMORIES, U64, as_binary, as_bytes, filesystem, fresh_dir, mix64, pieces, stash, tidy
 from .mph import PerfectHash, fingerprints
 
 MAGIC = b"QMIX"
@@ -34,25 +35,29 @@ MAGIC = b"QMIX"
 SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 18
 #: Rows that a shard's doc_id range holds, about.
 RANGE_ROWS = 12_000
-#: Words whose ids a worker remembers from task to task.
-REMEMBERED = 900_000
+#: Ranges at most: their bounds are the only thing a driver holds by range.
+MOST_RANGES = 200_000
+#: Words whose ids a worker remembers from task to task, and bytes of text that are encoded at a time.
+REMEMBERED, PIECE = 600_000, 8 << 20
 _CODERS: dict[tuple[str, str], Encoder] = {}
 MEMORIES.append(_CODERS.clear)
 
 
 class Encoder:
-    """Encodes texts word by word, remembering words.
+    """Encodes texts by their distinct words.
 
-    Where the tokenizer's own description says so (see :meth:`_splits`), no token crosses ASCII white space, ASCII
-    case is of no account, and a full stop or comma after a letter is cut off: the normaliser only composes
-    characters, makes runs of white space one space and lowers case, and the splitter keeps letters and other signs
-    apart and drops white space.  New words are encoded many at a time, between NUL characters, which have an id of
-    their own; most words are not new.  Other tokenizers encode whole texts."""
+    Where the tokenizer's own description says so (see :meth:`_splits`), no token crosses ASCII white space, and a full
+    stop or comma after a letter is cut off: the normaliser composes characters, makes runs of white space one space and
+    lowers case, and the splitter keeps letters and other signs apart and drops white space.  A piece of text is split
+    and reduced to its distinct words by Arrow, their ids are looked up or made, and one gather lays them out.  Words of
+    ASCII signs alone are looked up in lower case, others as they are: "T" and a combining sign do not compose, "t" and
+    the sign do.  So are words with "<|", which may hold a special token, whose case counts.  New words are encoded
+    many at a time, between NUL characters, which have an id of their own.  Other tokenizers encode whole texts."""
 
     def __init__(self, path: str, dtype: type = np.uint32) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         self.known: dict[bytes, bytes] = {}
         mark = self._ids("\0")
         self.mark = mark[0] if len(mark) == 1 and self._splits() else None
@@ -74,14 +79,16 @@ class Encoder:
         first = (pre.get("pretokenizers") or [pre])[0]
         kinds = {n["type"] for n in (j.get("normalizer") or {}).get("normalizers", [])}
         pattern = (first.get("pattern") or {}).get("Regex", "")
+        added = j.get("added_tokens") or []
         return (
             kinds == {"NFC", "Replace", "Lowercase"} and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
             and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            and all("<|" in a["content"] and not a["content"].split()[1:] and not (a["lstrip"] or a["rstrip"] or a["single_word"]) for a in added)
         )
 
     def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that are not known."""
-        out, plain, size = {}, [], np.dtype(self.dtype).itemsize
+        """The ids of words that are not known, as bytes."""
+        out, plain, size = {}, [], self.dtype.itemsize
         for w in words:
             if b"\0" in w or b"<|" in w:  # the mark itself, or what may be a special token
                 out[w] = np.asarray(self._ids(w.decode("utf-8", "replace")), self.dtype).tobytes()
@@ -94,48 +101,80 @@ class Encoder:
             out.update(zip(part, [raw[a:b] for a, b in zip([0, *(cut + size).tolist()], [*cut.tolist(), len(raw)], strict=True)], strict=True))
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian bytes."""
-        if self.mark is None:
-            return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        split = [t.lower().split() for t in texts]
-        known, extra = self.known, {}
-        new = set().union(*split) - known.keys()
-        if new:
-            stems = {w: c for w in new if (c := w.rstrip(b".,")) != w and c[-1:].isalpha()}
-            signs = {w[len(c) :] for w, c in stems.items()}
-            got = ChainMap(self._fresh(list(({*new, *stems.values(), *signs} - stems.keys()) - known.keys())), known)
-            got.maps[0].update({w: got[c] + got[w[len(c) :]] for w, c in stems.items()})
-            extra = got.maps[0]
-            known.update(extra)
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        if len(known) > REMEMBERED:  # the words that came first stay: most of them are frequent
-            for w in extra:
-                del known[w]
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct words, as bytes."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if not new:
+            return [known[w] for w in words]
+        stems = {w: c for w in new if (c := w.rstrip(b".,")) != w and c[-1:].isalpha()}
+        signs = {w[len(c) :] for w, c in stems.items()}
+        got = self._fresh([w for w in {*new, *stems.values(), *signs} - stems.keys() if w not in known])
+        find = lambda w: got[w] if w in got else known[w]
+        got.update({w: find(c) + find(w[len(c) :]) for w, c in stems.items()})
+        out = [find(w) for w in words]
+        if len(known) + len(got) <= REMEMBERED:  # the words that came first stay: most of them are frequent
+            known.update(got)
         return out
 
-
-def encode(docs: DataFrame, path: str, end_id: int = 1, cuts: list[int] | None = None) -> DataFrame:
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` (binary; null: none), ``end_id`` after each, and n + 1 places of each text's first."""
+        if self.mark is None:
+            coded = [e.ids for e in self.tokenizer.encode_batch([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()], add_special_tokens=False)]
+            at = np.concatenate([[0], np.cumsum([len(c) + 1 for c in coded])]).astype(np.int64)
+            return np.fromiter((i for c in coded for i in (*c, end_id)), self.dtype, at[-1]), at
+        split = pc.ascii_split_whitespace(texts.fill_null(b"").view(pa.string()))
+        count = np.zeros(len(texts) + 1, np.int64)
+        parts = split.flatten()
+        # white space at an end leaves an empty word, which has no ids
+        count[1:] = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        seen = parts.dictionary_encode()
+        words = seen.dictionary
+        lower = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        keys = pc.if_else(lower, pc.ascii_lower(words), words).dictionary_encode()
+        made = [*self._words(keys.dictionary.view(pa.binary()).to_pylist()), np.asarray([end_id], self.dtype).tobytes()]
+        flat = np.frombuffer(b"".join(made), self.dtype)
+        length = np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
+        first = np.cumsum(length) - length
+        # the turn of each word's key, the end after each text's last
+        turn = np.full(count[-1] + len(texts), len(made) - 1, np.int32)
+        is_word = np.ones(len(turn), bool)
+        is_word[count[1:] + np.arange(len(texts))] = False
+        turn[is_word] = keys.indices.to_numpy()[seen.indices.to_numpy()] if len(words) else 0
+        size = length[turn]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(first[turn] - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, np.concatenate([[0], upto[count[1:] + np.arange(1, len(texts) + 1)]]).astype(np.int64)
+
+
+def _parts(doc_ids: pa.Array, crc: np.ndarray, bounds: np.ndarray, nulls: int) -> np.ndarray:
+    """The range of each row: the number of ``bounds`` below its id.  An id that is a bound several times has as many ranges,
+    and null ids have the last ``nulls`` ones: there, rows are dealt by the CRC of their ids, by which they are sorted."""
+    value = doc_ids.fill_null(0).to_numpy()
+    low, high = np.searchsorted(bounds, value, "left"), np.searchsorted(bounds, value, "right")
+    spread = lambda n: (crc.astype(np.int64) * n) >> 32
+    out = low + np.where(high - low > 1, spread(high - low), 0)
+    return np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1 + spread(nulls), out).astype(np.int32)
+
+
+def encode(docs: DataFrame, path: str, end_id: int = 1, cuts: list[int] | None = None, nulls: int = 1) -> DataFrame:
     """(doc_id, ids binary, part) of every row of ``docs`` (doc_id, text): whole texts (null: empty), then ``end_id``.
 
-    ids are uint16 if the vocabulary and the end id fit, else uint32; see :func:`width`.  part is the number of ``cuts``
-    below the doc_id; all of them for a null."""
+    ids are uint16 if the vocabulary and the end id fit, else uint32; see :func:`width`.  part: see :func:`_parts`."""
     bounds = np.asarray(cuts or [], np.int64)
-    dtype = np.dtype(f"<u{width(path, end_id)}").type
+    dtype = np.dtype(f"<u{width(path, end_id)}")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, end = Encoder.shared(path, dtype), np.asarray([end_id], dtype).tobytes()
+        coder = Encoder.shared(path, dtype)
         for b in batches:
-            at = 0
-            while at < b.num_rows:
-                part = b.slice(at, 1000)
-                at += part.num_rows
-                ids = [x + end for x in coder.encode([t or b"" for t in part.column(1).to_pylist()])]
-                doc_ids = part.column(0)
-                place = np.searchsorted(bounds, doc_ids.fill_null(0).to_numpy(), "left")
-                place[doc_ids.is_null().to_numpy(zero_copy_only=False)] = len(bounds)
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.binary()), pa.array(place.astype(np.int32))], ["doc_id", "ids", "part"])
+            for lo, hi in pieces(as_bytes(b.column(1))[1], PIECE):
+                doc_ids = b.column(0).slice(lo, hi - lo)
+                ids, at = coder.encode(b.column(1).slice(lo, hi - lo), end_id)
+                coded = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at * dtype.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
+                hot = len(np.unique(bounds)) < len(bounds) or nulls > 1
+                crc = np.fromiter((zlib.crc32(x) for x in coded.to_pylist()), np.int64, hi - lo) if hot else np.zeros(hi - lo, np.int64)
+                yield pa.RecordBatch.from_arrays([doc_ids, coded, pa.array(_parts(doc_ids, crc, bounds, nulls))], ["doc_id", "ids", "part"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary("text")).mapInArrow(tidy(each, remembers=True), "doc_id long, ids binary, part int")
 
@@ -153,22 +192,30 @@ def key_hashes(doc_ids: np.ndarray, copies: np.ndarray) -> np.ndarray:
         return doc_ids.astype(np.int64).view(U64) + mix64(copies.astype(U64)) * (copies > 0).astype(U64)
 
 
-def index_bytes(doc_ids: np.ndarray, has: np.ndarray, starts: np.ndarray, each_id: int) -> bytes:
-    """The index of a shard; equal doc_ids must be neighbours."""
+HEAD = struct.Struct("<4sIIIII")
+SLOT = np.dtype([("print", "<u4"), ("place", "<u4"), ("start", "<u8"), ("length", "<u8")])
+
+
+def _copies(doc_ids: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """The number of rows of the same id right before each."""
     n = len(doc_ids)
     new = np.ones(n, bool)
     new[1:] = (doc_ids[1:] != doc_ids[:-1]) | (has[1:] != has[:-1])
-    run = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    copies = np.arange(n) - run
+    return np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+
+
+def index_bytes(doc_ids: np.ndarray, has: np.ndarray, starts: np.ndarray, each_id: int) -> bytes:
+    """The index of a shard; equal doc_ids must be neighbours."""
     placed = np.flatnonzero(has)
-    keys = key_hashes(doc_ids[placed], copies[placed])
+    keys = key_hashes(doc_ids[placed], _copies(doc_ids, has)[placed])
     mph = PerfectHash.of(keys)
-    slot = mph.slots(keys)
-    prints, place = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint32)
-    prints[slot], place[slot] = fingerprints(keys), placed
+    slots = np.zeros(len(keys), SLOT)
+    at = mph.slots(keys)
+    slots["print"][at], slots["place"][at] = fingerprints(keys), placed
+    slots["start"][at], slots["length"][at] = starts[placed], (starts[1:] - starts[:-1])[placed]
     return b"".join([
-        MAGIC, struct.pack("<IIII", 1, each_id, n, len(keys)), doc_ids.astype("<i8").tobytes(), has.astype(np.uint8).tobytes(),
-        starts.astype("<u8").tobytes(), mph.dump(), prints.astype("<u4").tobytes(), place.astype("<u4").tobytes(),
+        HEAD.pack(MAGIC, 2, each_id, len(doc_ids), len(keys), len(mph.sizes)), mph.dump(), slots.tobytes(),
+        doc_ids.astype("<i8").tobytes(), has.astype(np.uint8).tobytes(), starts.astype("<u8").tobytes(),
     ])
 
 
@@ -176,46 +223,66 @@ class Index:
     """An index file in memory."""
 
     def __init__(self, data: bytes) -> None:
-        if data[:4] != MAGIC:
+        magic, version, self.width, n, m, levels = HEAD.unpack_from(data)
+        if magic != MAGIC or version != 2:
             raise ValueError("no token index")
-        _, self.width, n, m = struct.unpack_from("<IIII", data, 4)
-        at = 20
+        self.mph, used = PerfectHash.load(data[HEAD.size :], levels)
+        at = HEAD.size + used
+        self.slots = np.frombuffer(data, SLOT, m, at)
+        at += SLOT.itemsize * m
         self.doc_ids = np.frombuffer(data, "<i8", n, at)
         self.has = np.frombuffer(data, np.uint8, n, at + 8 * n).astype(bool)
         self.starts = np.frombuffer(data, "<u8", n + 1, at + 9 * n).astype(np.int64)
-        at += 9 * n + 8 * (n + 1)
-        self.mph, used = PerfectHash.load(data[at:])
-        at += used
-        self.prints, self.places = np.frombuffer(data, "<u4", m, at), np.frombuffer(data, "<u4", m, at + 4 * m)
 
     def find(self, doc_ids: np.ndarray, copies: np.ndarray | None = None) -> np.ndarray:
-        """The place of each document in the shard; -1 if it is not there."""
+        """The slot of each document; -1 if it is not there."""
         doc_ids = np.asarray(doc_ids, np.int64)
         keys = key_hashes(doc_ids, np.zeros(len(doc_ids), np.int64) if copies is None else copies)
         slot = self.mph.slots(keys)
-        out = np.full(len(keys), -1, np.int64)
         ok = slot >= 0
-        ok[ok] = self.prints[slot[ok]] == fingerprints(keys[ok])
-        out[ok] = self.places[slot[ok]]
-        return out
+        ok[ok] = self.slots["print"][slot[ok]] == fingerprints(keys[ok])
+        return np.where(ok, slot, -1)
+
+
+def keyed_read(shard: str, doc_id: int) -> np.ndarray | None:
+    """The ids of a document (of its first row there), by a handful of small reads; None if the shard does not have it."""
+    fs, at = filesystem(shard)
+    key = key_hashes(np.asarray([doc_id], np.int64), np.zeros(1, np.int64))
+    with fs.open_input_file(f"{at}.idx") as f:
+        magic, version, each_id, _, m, levels = HEAD.unpack(f.read_at(HEAD.size, 0))
+        if magic != MAGIC or version != 2:
+            raise ValueError("no token index")
+        slot, used = PerfectHash.slot_in_file(lambda n, where: f.read_at(n, HEAD.size + where), levels, key)
+        if slot < 0:
+            return None
+        row = np.frombuffer(f.read_at(SLOT.itemsize, HEAD.size + used + SLOT.itemsize * slot), SLOT)[0]
+        docs = HEAD.size + used + SLOT.itemsize * m
+        if row["print"] != fingerprints(key)[0] or struct.unpack("<q", f.read_at(8, docs + 8 * int(row["place"])))[0] != doc_id:
+            return None
+    with fs.open_input_file(f"{at}.ids") as f:
+        return np.frombuffer(f.read_at(int(row["length"]) * each_id, int(row["start"]) * each_id), f"<u{each_id}")
 
 
 SHARDS = "shard string, part long, number long, docs long, ids long, first_id long, last_id long"
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Encode and write ``docs`` (doc_id, text); the table (shard, part, number, docs, ids, first_id, last_id, base).
-
-    Ranges of doc_id are cut at quantiles of the ids alone, so texts are encoded once, and the encoded rows
-    move once.  A range streams through its writer, sorted by Spark, in shards of bounded size; a null doc_id
-    comes after all others and has no key.  Rows of one doc_id keep together, in the order of their ids' hash.
-    ``base`` is the number of ids in all shards before.  Files have their attempt's name, the table lists those
-    of attempts that ended well."""
+    """Encode and write ``docs`` (doc_id, text; other columns, whatever their names, are not looked at); the table (shard,
+    part, number, docs, ids, first_id, last_id, base).
+
+    Ranges of doc_id are cut at quantiles of the ids alone, so texts are encoded once, and the encoded rows move once.
+    A range streams through its writer, sorted by Spark, in shards of bounded size; rows of a null doc_id come after all
+    others and have no key.  Rows of one doc_id keep together, in the order of the CRC of their ids; a very frequent id, or
+    null, has several ranges.  There are ``MOST_RANGES`` ranges at most, so those of a very large table grow.  ``base`` is the
+    number of ids in all shards before: sums over runs of parts, and one over those sums.  An empty table has no shards.
+    Files have their attempt's name, the table lists those of attempts that ended well."""
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "ids")
-    n = max(1, min(50_000, -(-docs.count() // range_rows)))
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
+    total = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("keyed")).first()
+    n = max(1, min(MOST_RANGES, -(-total.keyed // range_rows)))
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], max(10_000, 2 * n))).first()[0] if n > 1 else []
+    cuts = sorted(cuts or [])
+    nulls = max(1, min(MOST_RANGES, -(-(total.n - total.keyed) // range_rows)))
     each_id = width(path, end_id)
     dtype = np.dtype(f"<u{each_id}")
 
@@ -250,23 +317,25 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, folder: str | None
         if out is not None:
             yield closed()
 
-    rows = encode(docs, path, end_id, cuts)
-    rows = rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.crc32("ids"))
-    made = stash(rows.select("doc_id", "ids").mapInArrow(tidy(write), SHARDS), "shards")
-    # one row a shard of tens of megabytes: few enough to number in one place
-    listed = sorted((tuple(r) for r in made.collect()), key=lambda r: (r[1], r[2]))
-    base, full = 0, []
-    for r in listed:
-        full.append((*r, base))
-        base += r[4]
-    return spark.createDataFrame(full, SHARDS + ", base long")
+    rows = encode(docs, path, end_id, cuts, nulls)
+    rows = rows.repartitionById(len(cuts) + 1 + nulls, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.crc32("ids"))
+    return _with_base(stash(rows.select("doc_id", "ids").mapInArrow(tidy(write), SHARDS), "shards"))
+
+
+def _with_base(made: DataFrame, run: int = 1000) -> DataFrame:
+    """``made`` with the number of ids in all shards before each, from sums over runs of parts, one row a run."""
+    block = F.floor(F.col("part") / run)
+    sums = made.groupBy(block.alias("block")).agg(F.sum("ids").alias("all"))
+    below = sums.select("block", (F.sum("all").over(Window.orderBy("block")) - F.col("all")).alias("below"))
+    inside = F.sum("ids").over(Window.partitionBy("block").orderBy("part", "number")) - F.col("ids")
+    return stash(made.withColumn("block", block).withColumn("inside", inside).join(below, "block").select(*made.columns, (F.col("inside") + F.col("below")).cast("long").alias("base")), "numbered")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
 
-    Each document with a key is found through the perfect hash, and its place compared with its turn in the
-    file.  ids_crc32 is the CRC of the ids as little-endian unsigned 32-bit numbers."""
+    Each document with a key is fetched through the perfect hash: its slot says where its ids start and how many they
+    are.  One without a key is taken in its turn.  ids_crc32 is the CRC of the ids as little-endian unsigned 32-bit numbers."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,24 +343,22 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 fs, at = filesystem(shard)
                 with fs.open_input_stream(f"{at}.idx", compression=None) as f:
                     index = Index(f.read())
+                start, length = index.starts[:-1].copy(), np.diff(index.starts)
                 keyed = np.flatnonzero(index.has)
-                ids = index.doc_ids[keyed]
-                new = np.ones(len(ids), bool)
-                new[1:] = ids[1:] != ids[:-1]
-                copies = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
-                if not (index.find(ids, copies) == keyed).all():
+                slot = index.find(index.doc_ids[keyed], _copies(index.doc_ids, index.has)[keyed])
+                if (slot < 0).any():
                     raise ValueError(f"{shard}: the index does not find its own documents")
-                dtype, starts = np.dtype(f"<u{index.width}"), index.starts
-                with fs.open_input_stream(f"{at}.ids", compression=None) as f:
-                    for lo in range(0, len(index.doc_ids), 2000):
-                        hi = min(lo + 2000, len(index.doc_ids))
-                        data = np.frombuffer(f.read(int(starts[hi] - starts[lo]) * index.width), dtype)
-                        if len(data) != starts[hi] - starts[lo]:
+                start[keyed], length[keyed] = index.slots["start"][slot], index.slots["length"][slot]
+                with fs.open_input_file(f"{at}.ids") as f:
+                    for lo in range(0, len(start), 2000):
+                        hi = min(lo + 2000, len(start))
+                        first, last = int(start[lo:hi].min()), int((start[lo:hi] + length[lo:hi]).max())
+                        data = np.frombuffer(f.read_at((last - first) * index.width, first * index.width), f"<u{index.width}")
+                        if len(data) != last - first:
                             raise ValueError(f"{shard}: the id file is too short")
-                        cut = starts[lo : hi + 1] - starts[lo]
-                        crc = [zlib.crc32(data[x:y].astype("<u4").tobytes()) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                        crc = [zlib.crc32(data[x : x + n].astype("<u4").tobytes()) for x, n in zip((start[lo:hi] - first).tolist(), length[lo:hi].tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(index.doc_ids[lo:hi], mask=~index.has[lo:hi]), pa.array(starts[lo:hi] + base), pa.array(np.diff(cut)), pa.array(crc, pa.int64())],
+                            [pa.array(index.doc_ids[lo:hi], mask=~index.has[lo:hi]), pa.array(start[lo:hi] + base), pa.array(length[lo:hi]), pa.array(crc, pa.int64())],
                             ["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
@@ -300,18 +367,15 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, shards: DataFrame, doc_ids: list[int]) -> dict[int, np.ndarray]:
-    """The ids of a few documents by key (of their first row, if there are more): constant time each."""
+    """The ids of a few documents by key (of their first row, if there are more).
+
+    One pass over the list of shards says which ranges may hold a key; each is then read by :func:`keyed_read`."""
+    if not doc_ids:
+        return {}
+    asked = F.broadcast(spark.createDataFrame([(int(d),) for d in set(doc_ids)], "asked long"))
+    held = shards.join(asked, (F.col("first_id") <= F.col("asked")) & (F.col("last_id").isNull() | (F.col("asked") <= F.col("last_id"))))
     out: dict[int, np.ndarray] = {}
-    listed = shards.select("shard", "first_id", "last_id").collect()
-    for d in doc_ids:
-        for r in listed:
-            if r.first_id is not None and r.first_id <= d and (r.last_id is None or d <= r.last_id) and d not in out:
-                fs, at = filesystem(r.shard)
-                with fs.open_input_stream(f"{at}.idx", compression=None) as f:
-                    index = Index(f.read())
-                place = int(index.find(np.asarray([d]))[0])
-                if place >= 0 and index.doc_ids[place] == d:
-                    with fs.open_input_file(f"{at}.ids") as f:
-                        lo, hi = (int(x) * index.width for x in index.starts[place : place + 2])
-                        out[d] = np.frombuffer(f.read_at(hi - lo, lo), f"<u{index.width}")
+    for r in sorted(held.select("asked", "part", "number", "shard").collect()):
+        if r.asked not in out and (ids := keyed_read(r.shard, r.asked)) is not None:
+            out[r.asked] = ids
     return out

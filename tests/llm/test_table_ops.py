@@ -3,12 +3,17 @@
 import hashlib
 import io
 import math
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from llm.conftest import words
 from quillmere.llm import ann, langid, lm_score, mixing, warc
 from quillmere.llm.common import apply_decisions, numbered, write_decisions
 from quillmere.llm.mph import PerfectHash
@@ -132,22 +137,51 @@ def test_perfect_hash_is_minimal_and_loads():
     for n in (0, 1, 2, 1000, 50_000):
         keys = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
         keys = np.unique(keys)
-        mph, _ = PerfectHash.load(PerfectHash.of(keys).dump() + b"more")
+        made = PerfectHash.of(keys)
+        mph, used = PerfectHash.load(made.dump() + b"more", len(made.sizes))
+        assert used == len(made.dump())
+        for key in keys[:20]:
+            where = PerfectHash.slot_in_file(lambda n, at: made.dump()[at : at + n], len(made.sizes), np.array([key]))
+            assert where == (mph.slots(np.array([key]))[0], used)
         assert sorted(mph.slots(keys).tolist()) == list(range(len(keys)))
     with pytest.raises(ValueError, match="twice"):
         PerfectHash.of(np.array([1, 1], np.uint64))
 
 
+def _encoded(coder, texts):
+    ids, at = coder.encode(pa.array([t.encode() for t in texts], pa.binary()), 1)
+    assert (ids[at[1:] - 1] == 1).all()
+    return [ids[a : b - 1].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def test_encoder_matches_the_library():
     from tokenizers import Tokenizer
 
     path = tokenizer("word_bpe_49k.json")
     plain, fast = Tokenizer.from_file(path), Encoder(path, np.uint16)
-    texts = ["", "It's  a. test, the TEST...", "a\x00b \x00", "<|endoftext|> x<|startoftext|>y", "é é  　x ", "don't. can,t 1.5,", "x" * 3000]
-    for t in texts:
-        assert np.frombuffer(fast.encode([t.encode()])[0], np.uint16).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    texts = ["", "It's  a. test, the TEST...", "a\x00b \x00", "<|endoftext|> x<|startoftext|>y", "x <|ENDOFTEXT|> y", "<|EndOfText|>", "T\u0308 J\u030c t\u0308", "é é  　x ", "don't. can,t 1.5,", "x" * 3000]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert _encoded(fast, texts) == want and [_encoded(fast, [t])[0] for t in texts] == want
     other = tokenizer("byte_bpe_50k.json")
-    assert Encoder(other).mark is None and np.frombuffer(Encoder(other).encode([b" a  b"])[0], np.uint32).tolist() == Tokenizer.from_file(other).encode(" a  b", add_special_tokens=False).ids
+    assert Encoder(other).mark is None and _encoded(Encoder(other), [" a  b"]) == [Tokenizer.from_file(other).encode(" a  b", add_special_tokens=False).ids]
+    assert _encoded(fast, []) == [] and _encoded(fast, [" \t"]) == [[]]
+
+
+PIECES = ["a", "The", "WORD", "É", "e\u0301", "T\u0308", "ẞ", "ς", "İ", ".", ",", "'s", "'LL", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startOfText|>", " ", "  ", "\n", "\t", "\x00", "\x1c", "\u00a0", "\u2028", "1", "23", "中", "🙂", "_", "-", "\ufffd"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=14).map("".join), max_size=5))
+def test_encoder_matches_the_library_on_any_text(texts):
+    from tokenizers import Tokenizer
+
+    if "fuzz" not in _KEPT:
+        _KEPT["fuzz"] = Tokenizer.from_file(tokenizer("word_bpe_49k.json")), Encoder(tokenizer("word_bpe_49k.json"), np.uint16)
+    plain, fast = _KEPT["fuzz"]
+    assert _encoded(fast, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+_KEPT: dict = {}
 
 
 def test_token_shards_round_trip(spark, docs, rows, empty):
@@ -165,12 +199,24 @@ def test_token_shards_round_trip(spark, docs, rows, empty):
         ids = [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts[r.doc_id]]
         assert r.start == start and (r.n_tokens, r.ids_crc32) in [(len(i), zlib.crc32(np.asarray(i, "<u4").tobytes())) for i in ids]
         start += r.n_tokens
-    got = lookup(spark, shards, [3, 107, 106, 55555])
+    got = lookup(spark, shards, [3, 107, 106, 55555, -9])
     assert set(got) == {3, 107, 106} and got[3].tolist() == plain.encode(texts[3][0], add_special_tokens=False).ids + [1]
-    assert width(path) == 2 and read_shards(write_shards(empty, path)).collect() == []
+    assert width(path) == 2 and read_shards(write_shards(empty, path)).collect() == [] and lookup(spark, write_shards(empty, path), [1]) == {}
     assert encode(docs.limit(0), path).collect() == []
 
 
+def test_a_frequent_id_and_null_ids_have_several_ranges(spark):
+    path, rng = tokenizer("word_bpe_49k.json"), random.Random(3)
+    rows = [(i, words(rng, 5)) for i in range(60)] + [(7, words(rng, 5)) for _ in range(70)] + [(None, words(rng, 5)) for _ in range(80)]
+    shards = write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, range_rows=10)
+    listed = shards.collect()
+    assert max(r.docs for r in listed) < 60 and sum(r.docs for r in listed) == len(rows)
+    assert sum(r.first_id is None for r in listed) > 1 and sum(r.first_id == r.last_id == 7 for r in listed) > 1
+    out = sorted(read_shards(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == sorted([r[0] for r in rows], key=lambda d: (d is None, d or 0))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:], strict=False))
+
+
 def test_language_is_learned_and_held_out(spark, docs, rows, empty):
     out = langid.identify(docs).collect()
     assert len(out) == len(rows)
