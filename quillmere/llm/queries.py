@@ -104,13 +104,12 @@ ORACLES: dict[str, str] = {
     "op9_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
-        ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-                                                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
-        bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-                                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM b),
+        sizes AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+        ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d, sizes),
+        bs AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM b JOIN sizes ON k = least(len(w), 5)),
         n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
         SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles,
                count(*)::DOUBLE / any_value(item_shingles) AS containment
-        FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+        FROM ds JOIN bs USING (k, s) JOIN n USING (item_id)
         GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles)""",
 }
