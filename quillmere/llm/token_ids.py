@@ -104,19 +104,29 @@ class Encoder:
     def _words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of some distinct words, as bytes."""
         known = self.known
-        new = [w for w in words if w not in known]
-        if not new:
-            return [known[w] for w in words]
-        stems = {w: c for w in new if (c := w.rstrip(b".,")) != w and c[-1:].isalpha()}
-        signs = {w[len(c) :] for w, c in stems.items()}
-        got = self._fresh([w for w in {*new, *stems.values(), *signs} - stems.keys() if w not in known])
-        find = lambda w: got[w] if w in got else known[w]
-        got.update({w: find(c) + find(w[len(c) :]) for w, c in stems.items()})
-        out = [find(w) for w in words]
-        if len(known) + len(got) <= REMEMBERED:  # the words that came first stay: most of them are frequent
-            known.update(got)
+        out = list(map(known.get, words))
+        new = [w for w, ids in zip(words, out, strict=True) if ids is None]
+        if new:
+            got = self._fresh(new)
+            out = [got[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
+            if len(known) + len(got) <= REMEMBERED:  # the words that came first stay: most of them are frequent
+                known.update(got)
         return out
 
+    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct ``words``, one after another, and their numbers.  A last full stop or comma after a letter
+        of ASCII is left out of what is looked up."""
+        lower = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        keys = pc.if_else(lower, pc.ascii_lower(words), words)
+        last = pc.and_(lower, pc.match_substring_regex(keys, "[a-z][.,]$"))
+        stems = pc.if_else(last, pc.ascii_rtrim(keys, ".,"), keys).dictionary_encode()
+        made = [*self._words([b".", b","]), b"", *self._words(stems.dictionary.view(pa.binary()).to_pylist())]
+        parts = np.empty((len(words), 2), np.int64)
+        parts[:, 0] = stems.indices.to_numpy() + 3
+        parts[:, 1] = np.where(last.to_numpy(zero_copy_only=False), pc.ends_with(keys, ",").to_numpy(zero_copy_only=False), 2)
+        flat, length = np.frombuffer(b"".join(made), self.dtype), np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
+        return _gathered(flat, length, parts.ravel())[0], length[parts].sum(axis=1)
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` (binary; null: none), ``end_id`` after each, and n + 1 places of each text's first."""
         if self.mark is None:
@@ -129,24 +139,24 @@ class Encoder:
         # white space at an end leaves an empty word, which has no ids
         count[1:] = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
         seen = parts.dictionary_encode()
-        words = seen.dictionary
-        lower = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
-        keys = pc.if_else(lower, pc.ascii_lower(words), words).dictionary_encode()
-        made = [*self._words(keys.dictionary.view(pa.binary()).to_pylist()), np.asarray([end_id], self.dtype).tobytes()]
-        flat = np.frombuffer(b"".join(made), self.dtype)
-        length = np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
-        first = np.cumsum(length) - length
-        # the turn of each word's key, the end after each text's last
-        turn = np.full(count[-1] + len(texts), len(made) - 1, np.int32)
+        flat, length = self._joined(seen.dictionary)
+        # the turn of each word, the end after each text's last
+        turn = np.full(count[-1] + len(texts), len(length), np.int32)
         is_word = np.ones(len(turn), bool)
         is_word[count[1:] + np.arange(len(texts))] = False
-        turn[is_word] = keys.indices.to_numpy()[seen.indices.to_numpy()] if len(words) else 0
-        size = length[turn]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(first[turn] - upto[:-1], size) + np.arange(upto[-1])]
+        turn[is_word] = seen.indices.to_numpy()
+        ids, upto = _gathered(np.append(flat, self.dtype.type(end_id)), np.append(length, 1), turn)
         return ids, np.concatenate([[0], upto[count[1:] + np.arange(1, len(texts) + 1)]]).astype(np.int64)
 
 
+def _gathered(flat: np.ndarray, length: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs that lie in ``flat`` one after another, those in ``turn``, and the places where these begin and end."""
+    first = np.cumsum(length) - length
+    size = length[turn]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(first[turn] - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
 def _parts(doc_ids: pa.Array, crc: np.ndarray, bounds: np.ndarray, nulls: int) -> np.ndarray:
     """The range of each row: the number of ``bounds`` below its id.  An id that is a bound several times has as many ranges,
     and null ids have the last ``nulls`` ones: there, rows are dealt by the CRC of their ids, by which they are sorted."""
