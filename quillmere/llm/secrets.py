@@ -1,21 +1,25 @@
 """Secret scans through nested encodings.
 
-Each text is a layer.  A worklist takes a layer, finds secrets in it, and unwraps what looks encoded in it (URL
-escapes, Unicode escapes, base64, and base64 that holds gzip or zlib data) into new layers until nothing is new: a
-layer seen before, by its content and place, is not taken up again, so cycles end; only decompressed data can be
-longer than its source, and its size is bounded by a factor of the text's.  Every character of a layer carries the span of the whole text that it came from, so a
-secret found at any depth is reported as the span of its outermost encoded form.
+Each text is a layer.  A worklist takes a layer, finds secrets in it, and unwraps what looks encoded in it into new layers
+until nothing is new: a layer seen before, by its content and place, is not taken up again, so cycles end.  Unwrapped are
+
+* URL escapes and Unicode escapes (``\\u0041``, ``\\x41``, ``&#65;``, ``&#x41;``) of the whole layer;
+* runs of base64, plain or URL-safe, in all four alignments, so that what stands before a code does no harm, and also
+  joined over line breaks;
+* gzip (all members), zlib and raw deflate data in what these give.
+
+Layers of bytes are read as Latin-1: every sign of a secret is ASCII, so nothing depends on what text the bytes are.  Every
+character of a layer carries the span of the whole text that it came from, so a secret found at any depth is reported as
+the span of its outermost encoded form: of the escapes or groups of base64 that hold it, or of all of a compressed stream.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +37,16 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Only where 24 hexadecimal digits stand together can a match be long enough; it is then widened to the whole run.
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
-URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+URL_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
 UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Decompressed layers may hold this many times the text's length, and this many bytes more, all together.
-#: Every other decoding makes its layer shorter, and so ends by itself.
+#: A further line of a code.
+NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+#: Where gzip and zlib data begin.
+PACKED = re.compile("\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+_STANDARD = str.maketrans("-_", "+/")
+#: Decompressed layers may hold this many times the text's length, and this many bytes more, all together: beyond that the
+#: rest is not looked at, and the row says so.  Every other decoding makes its layer shorter, and so ends by itself.
 INFLATE_TIMES, INFLATE_MORE = 64, 1 << 24
 
 
@@ -50,105 +59,114 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-def _text(data: bytes) -> str | None:
-    """What was decoded, if it is text: UTF-8 and nearly all of it printable."""
-    try:
-        out = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return out if out and sum(c.isprintable() or c in "\t\r\n" for c in out) >= 0.95 * len(out) else None
-
+#: What an encoded secret or a secret needs at least; texts without any of it cannot hold one.
+_CUE = r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#[0-9xX]|[A-Za-z0-9+/_=-]{16}|[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+CUE, LAYER_CUE = re.compile(_CUE.encode()), re.compile(f"{_CUE}|{PACKED.pattern}")
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """Decompressed gzip or zlib data of ``most`` bytes at most."""
-    for head, bits in ((b"\x1f\x8b", 31), (b"\x78", 15)):
-        if data.startswith(head):
-            try:
-                out = zlib.decompressobj(bits)
-                return out.decompress(data, most)
-            except zlib.error:
-                return None
-    return None
 
+def _inflate(data: memoryview, bits: int, most: int) -> tuple[bytes, int, bool]:
+    """(decompressed, bytes read, cut) of the data at the start of ``data``; all members of gzip; ``most`` bytes at most.
 
-def _one(m: re.Match[str]) -> str:
+    Of a broken stream, what was right; of broken raw deflate, which most data are, nothing."""
+    out, size, at = [], 0, 0
+    while True:
+        unpack = zlib.decompressobj(bits)
+        began = at
+        try:
+            while not unpack.eof and at < len(data):
+                out.append(unpack.decompress(data[at : at + 65536], most - size + 1))
+                size += len(out[-1])
+                if size > most:
+                    return b"".join(out)[:most], len(data), True
+                at += min(65536, len(data) - at) - len(unpack.unused_data) - len(unpack.unconsumed_tail)
+        except zlib.error:
+            return (b"", 0, False) if bits < 0 else (b"".join(out), at, False)
+        if bits < 0 and not unpack.eof:
+            return b"", 0, False
+        if bits != 31 or at == began or bytes(data[at : at + 2]) != b"\x1f\x8b":
+            return b"".join(out), at, False
+
+
+def _one(m: re.Match[str]) -> str | None:
     four, two, decimal, hexa = m.groups()
     code = int(four or two or hexa, 16) if (four or two or hexa) else int(decimal)
-    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
-
-
-def _replaced(text: str, found: Iterator[re.Match[str]], decode) -> tuple[str, np.ndarray]:
-    """``text`` with each match decoded, and the (start, end) in ``text`` of every character of the result."""
-    out, starts, ends, at = [], [], [], 0
-    for m in found:
-        same = np.arange(at, m.start())
-        chars, a, b = decode(m)
-        out += [text[at : m.start()], chars]
-        starts += [same, a]
-        ends += [same + 1, b]
-        at = m.end()
-    same = np.arange(at, len(text))
-    return "".join([*out, text[at:]]), np.stack([np.concatenate([*starts, same]), np.concatenate([*ends, same + 1])], axis=1).astype(np.int64)
-
-
-def _url(m: re.Match[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """Percent escapes as UTF-8; a byte that is none stays an escape."""
-    data, out, starts, ends, at = unquote_to_bytes(m[0]), [], [], [], 0
-    while at < len(data):
-        n = next((n for n in (1, 2, 3, 4) if at + n <= len(data) and _char(data[at : at + n])), 0)
-        if n:
-            out.append(data[at : at + n].decode())
-            starts.append(m.start() + 3 * at)
-            ends.append(m.start() + 3 * (at + n))
-        else:
-            out.append(m[0][3 * at : 3 * at + 3])
-            starts += range(m.start() + 3 * at, m.start() + 3 * at + 3)
-            ends += range(m.start() + 3 * at + 1, m.start() + 3 * at + 4)
-        at += n or 1
-    return "".join(out), np.asarray(starts), np.asarray(ends)
-
-
-def _char(data: bytes) -> bool:
-    try:
-        return len(data.decode()) == 1
-    except UnicodeDecodeError:
-        return False
-
-
-def _unicode(m: re.Match[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    c = _one(m)
-    return c, np.full(len(c), m.start()), np.full(len(c), m.end())
-
-
-def unwrap(text: str, most: int) -> Iterator[tuple[int, int, str, np.ndarray | None, bool]]:
-    """(start, end, decoded, origins, inflated) of what is encoded in ``text``: all of it with its URL escapes
-    decoded, all of it with its Unicode escapes decoded, and each run of base64.
-
-    origins, where each decoded character stems from a part of its own, holds the (start, end) in ``text`` of each."""
-    if "%" in text and URL_ESCAPES.search(text):
-        yield 0, len(text), *_replaced(text, URL_ESCAPES.finditer(text), _url), False
-    if ("\\u" in text or "\\x" in text or "&#" in text) and UNICODE_ESCAPE.search(text):
-        yield 0, len(text), *_replaced(text, UNICODE_ESCAPE.finditer(text), _unicode), False
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+
+
+def _replaced(text: str, found: list[tuple[int, int, str]]) -> tuple[str, np.ndarray]:
+    """``text`` with each (start, end, character) in place of what it spans, and the (start, end) in ``text`` of every
+    character of the result."""
+    out, at, ends, keep = [], 0, np.arange(1, len(text) + 1), np.ones(len(text), bool)
+    for start, end, char in found:
+        out += [text[at:start], char]
+        keep[start + 1 : end] = False
+        ends[start] = end
+        at = end
+    starts = np.flatnonzero(keep)
+    return "".join([*out, text[at:]]), np.stack([starts, ends[starts]], axis=1)
+
+
+def _codes(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Runs of base64 without their padding, with the place of each sign: each by itself, then those that line breaks part
+    as one."""
+    chained = 0
     for m in BASE64_RUN.finditer(text):
         run = m[0].rstrip("=")
-        if len(run) % 4 == 1 or run.isalpha() and (run.islower() or run[0].isupper() and run[1:].islower()):
-            continue  # no length of base64, or a plain word
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        yield run, np.arange(m.start(), m.start() + len(run))
+        if m.start() < chained:
             continue
-        packed = _inflate(data, most)
-        if (dec := _text(data if packed is None else packed)) is not None:
-            yield m.start(), m.end(), dec, None, packed is not None
+        parts, end, last = [(m.start(), m.end())], m.end(), m
+        while not last[0].endswith("=") and last.end() - last.start(last.lastindex or 0) >= 16 and (more := NEXT_LINE.match(text, end)):
+            parts.append((more.start(1), more.end(1)))
+            end, last = more.end(), more
+        if len(parts) > 1:
+            chained = end
+            run = "".join(text[a:b] for a, b in parts).rstrip("=")
+            yield run, np.concatenate([np.arange(a, b) for a, b in parts])[: len(run)]
+
+
+def unwrap(text: str, most: int) -> Iterator[tuple[str, np.ndarray, int, bool]]:
+    """(decoded, origins, bytes inflated, cut) of all that is encoded in ``text``; origins has the (start, end) in ``text`` of
+    each decoded character.  What can hold neither a secret nor an encoded one is left out."""
+    if "%" in text and (found := [(m.start(), m.end(), chr(int(m[1], 16))) for m in URL_ESCAPE.finditer(text)]):
+        yield *_replaced(text, found), 0, False
+    if ("\\u" in text or "\\x" in text or "&#" in text) and (found := [(m.start(), m.end(), c) for m in UNICODE_ESCAPE.finditer(text) if (c := _one(m)) is not None]):
+        yield *_replaced(text, found), 0, False
+    for run, places in _codes(text):
+        plain = run.translate(_STANDARD)
+        gaps = [m.end() for m in re.finditer("[/_+-]", run)]
+        for shift in range(4):
+            code = plain[shift:]
+            code = code[: len(code) - (len(code) % 4 == 1)]
+            data = base64.b64decode(code + "=" * (-len(code) % 4))
+            if len(data) < 6:
+                continue
+            dec = data.decode("latin-1")
+            if LAYER_CUE.search(dec):
+                at = shift + np.arange(len(data)) // 3 * 4
+                yield dec, np.stack([places[at], places[np.minimum(at + 3, len(places) - 1)] + 1], axis=1), 0, False
+            for begin in (shift, *(g for g in gaps if g > shift and (g - shift) % 4 == 0)):
+                out, _, cut = _inflate(memoryview(data)[(begin - shift) // 4 * 3 :], -15, most)
+                if out:
+                    yield out.decode("latin-1"), np.tile([[places[begin], places[-1] + 1]], (len(out), 1)), len(out), cut
+    last, whole = 0, None
+    for m in PACKED.finditer(text):
+        if m.start() < last:
+            continue
+        whole = whole or memoryview(text.encode("latin-1", "replace"))  # a byte a character
+        out, used, cut = _inflate(whole[m.start() :], 31 if m[0][0] == "\x1f" else 15, most)
+        if out:
+            last = m.start() + used
+            yield out.decode("latin-1"), np.tile([[m.start(), max(m.end(), last)]], (len(out), 1)), len(out), cut
 
 
-def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
-    """(base, all) spans of ``text`` as (start, kind, end); all has the base ones and what nested layers add, each
-    span once.  Null and empty texts have none."""
+def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], bool]:
+    """(base, all, cut): spans of ``text`` as (start, kind, end); all has the base ones and what nested layers add, each
+    span once; cut: more was compressed than is looked at.  Null and empty texts have none."""
     if not text:
-        return [], []
+        return [], [], False
     base = base_spans(text)
-    found = set(base)
+    found, cut = set(base), False
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
     left = INFLATE_TIMES * len(text) + INFLATE_MORE
     work: list[tuple[str, np.ndarray | None]] = [(text, None)]
@@ -158,19 +176,18 @@ def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
             for start, kind, end in base_spans(layer):
                 part = origin[start:end]
                 found.add((int(part[:, 0].min()), kind, int(part[:, 1].max())))
-        for start, end, dec, spans, inflated in unwrap(layer, left):
-            if dec == layer[start:end]:
+        for dec, spans, inflated, short in unwrap(layer, left):
+            cut |= short
+            left = max(0, left - inflated)
+            if not LAYER_CUE.search(dec):
                 continue
-            if spans is None:  # no character of base64 has a place of its own
-                spans = np.tile(np.array([[start, end]]), (len(dec), 1))
             if origin is not None:  # back to the whole text, through the layer's own origins
                 spans = np.stack([origin[spans[:, 0], 0], origin[spans[:, 1] - 1, 1]], axis=1)
             key = hashlib.blake2b(dec.encode("utf-8", "surrogatepass") + spans[[0, -1]].tobytes(), digest_size=16).digest()
             if key not in seen:
                 seen.add(key)
-                left -= len(dec) if inflated else 0
                 work.append((dec, spans))
-    return base, sorted(found, key=_order)
+    return base, sorted(found, key=_order), cut
 
 
 def _order(span: tuple[int, str, int]) -> tuple[int, int, int]:
@@ -181,25 +198,24 @@ def _join(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in sorted(spans, key=_order))
 
 
-#: What an encoded secret or a secret needs at least; texts without any of it cannot hold one.
-CUE = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#[0-9xX]|[A-Za-z0-9+/_=-]{16}|[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]")
-
-
 def secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of ``docs`` (doc_id, text).
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, cut) of every row of ``docs`` (doc_id, text; other columns,
+    whatever their names, are not looked at).
 
     The counts and the digest are of the secrets in the text itself, ``spans`` also has those of nested layers,
-    in code points.  Null and empty texts have none: zeros, the digest of nothing, no spans."""
+    in code points; ``cut`` says that a compressed layer went on beyond what is looked at (see ``INFLATE_TIMES``).  Null and
+    empty texts have none: zeros, the digest of nothing, no spans.  A null doc_id stays null, repeated rows repeat, an empty
+    table gives an empty one; texts of any length are scanned whole."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.bool_()]
         for b in batches:
             rows = []
             for data in b.column(1).to_pylist():
-                base, full = scan(data.decode("utf-8", "replace")) if data and CUE.search(data) else ([], [])
-                rows.append((*(sum(k == kind for _, k, _ in base) for kind in KINDS), hashlib.sha256(_join(base).encode()).hexdigest(), _join(full)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            types = [pa.int64()] * 3 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                base, full, cut = scan(data.decode("utf-8", "replace")) if data and CUE.search(data) else ([], [], False)
+                rows.append((*(sum(k == kind for _, k, _ in base) for kind in KINDS), hashlib.sha256(_join(base).encode()).hexdigest(), _join(full), cut))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "cut"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return docs.mapInArrow(tidy(each), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.mapInArrow(tidy(each), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, cut boolean")
