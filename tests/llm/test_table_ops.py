@@ -4,7 +4,9 @@ import hashlib
 import io
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -242,36 +244,87 @@ def test_codewords_are_far_apart():
         assert code.shape[0] == k and min(far) >= (1 if k == 2 else code.shape[1] / 4)
 
 
-def test_scores_are_a_distribution_and_learned(docs, rows, empty):
-    counts = np.zeros(lm_score.IDS, np.int64)
-    counts[[5, 4096, 9000]] = 10, 20, 30
-    lex = lm_score.Lexicon.of(counts)
-    for c in (0, 5, 70):
-        assert math.isclose(np.exp(lex.share[lex.classes == c].astype(float)).sum(), 1, rel_tol=1e-4)
-    net = lm_score.Network.start(np.bincount(lex.classes, counts, lm_score.CLASSES))
-    around = np.full((1, 4), lm_score.OUTSIDE)
-    total = sum(math.exp(net.log_p(around, np.array([c]))[0]) for c in range(lm_score.CLASSES - 1))
-    assert math.isclose(total, 1, rel_tol=1e-4)
-    rng = np.random.default_rng(0)  # the word is the one before: learnable from its sides alone
-    pairs = rng.integers(0, 20, 4000)
-    around = np.stack([np.full(4000, 100), pairs, pairs, np.full(4000, 100)], axis=1)
+def plain_scores(texts, lexicon, network):
+    """Pseudo-likelihoods by a loop over tokens, and log p of every word in the first place of the first text."""
+    words = [[w for w in re.split(b"[\x20\x09-\x0d]+", (t or "").encode().lower()) if w] for t in texts]
+    counts = Counter(w for ws in words for w in ws)
+    group = {w: (w[-1] * 31 + (w[-2] if len(w) > 1 else 0)) % lm_score.GROUPS for w in counts}
+    code = {w: int(lm_score.tokens_of(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) for w in counts}
+    k = int(np.ceil(len(counts) ** 0.5))
+    top = sorted(counts, key=lambda w: (-counts[w], code[w]))[:k]
+    assert lexicon.frequent.tolist() == [code[w] for w in top] and lexicon.counts.tolist() == [counts[w] for w in top]
+    place = {w: i for i, w in enumerate(top)}
+    whole = Counter()
+    for w in counts.keys() - place.keys():
+        whole[group[w]] += counts[w]
+    cls = lambda w: place.get(w, k + group[w])
+    n, size = lexicon.clusters, lexicon.size
+
+    def log_p(around, word):
+        x = [v for p, c in enumerate(around) for v in network.embed[p][c].tolist()]
+        h = [math.tanh(sum(a * b for a, b in zip(x, network.hidden[:, j].tolist(), strict=True)) + float(network.hidden_bias[j])) for j in range(lm_score.HIDDEN)]
+        at = lambda m, bias, j: sum(a * b for a, b in zip(h, m[:, j].tolist(), strict=True)) + float(bias[j])
+        share = lambda z, j: z[j] - max(z) - math.log(sum(math.exp(v - max(z)) for v in z))
+        z = [at(network.out, network.out_bias, j) for j in range(n + lm_score.GROUPS)]
+        c = cls(word)
+        if c >= k:
+            return share(z, n + c - k) + math.log(counts[word] / whole[c - k])
+        return share(z, c // size) + share([at(network.inner[c // size], network.inner_bias[c // size], j) for j in range(size)], c % size)
+
+    out = []
+    for ws in words:
+        around = [[cls(ws[j]) if 0 <= (j := i + d) < len(ws) else lexicon.outside for d in (-2, -1, 1, 2)] for i in range(len(ws))]
+        out.append(sum(log_p(a, w) for a, w in zip(around, ws, strict=True)))
+    return out, [log_p([0, 1, lexicon.outside, k], w) for w in counts]
+
+
+def test_scores_match_a_loop_over_tokens_and_are_a_distribution(spark, docs):
+    small = docs.where("doc_id < 12 or doc_id between 102 and 106 or doc_id is null").select("doc_id", "text").repartition(2).cache()
+    numbered_ = small.select(F.lit(0).alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
+    lexicon, network, seqs = lm_score.fit(numbered_, part_tokens=300)
+    texts = [r.text for r in small.collect()]
+    plain, every = plain_scores(texts, lexicon, network)
+    got = sorted(r.pll for r in lm_score.score(small, part_tokens=300).collect())
+    assert np.allclose(got, sorted(plain), rtol=1e-4) and math.isclose(sum(map(math.exp, every)), 1, rel_tol=1e-4)
+
+
+def test_scores_do_not_hang_on_the_layout(spark, docs, rows, empty):
+    out = {}
+    for parts in (2, 8):
+        out[parts] = lm_score.score(docs.repartition(parts), part_tokens=4000).collect()
+        assert len(out[parts]) == len(rows)
+        for r in out[parts]:
+            assert r.pll <= 0 and (r.mean_pll is None) == (r.n_tokens == 0)
+    order = lambda rs: sorted((r.doc_id or -1, r.n_tokens, round(r.pll, 6)) for r in rs)
+    assert np.allclose(order(out[2]), order(out[8]), rtol=1e-5)
+    same = [r.pll for r in out[2] if r.doc_id in (1, 100)]
+    assert math.isclose(*same, rel_tol=1e-5)
+    assert lm_score.score(empty).collect() == [] and [r.pll for r in lm_score.score(docs.where("doc_id = 102")).collect()] == [0]
+
+
+def test_the_network_learns_from_the_sides(spark):
+    lexicon = lm_score.Lexicon(np.arange(36), np.full(36, 10), np.full(lm_score.GROUPS, 10))
+    net, rng = lm_score.Network.start(lexicon), np.random.default_rng(0)
+    pairs = rng.integers(0, 36 + lm_score.GROUPS, 1 << 14)  # the word is the one before
+    around = np.stack([np.full(len(pairs), lexicon.outside), pairs, pairs, np.full(len(pairs), lexicon.outside)], axis=1)
     before = net.log_p(around, pairs).mean()
-    for _ in range(200):
-        net.step(around, pairs, 0.5)
+    for r in range(30):
+        net.learn(around, pairs, r)
     assert net.log_p(around, pairs).mean() > before + 1
-    out = lm_score.score(docs).collect()
-    assert len(out) == len(rows)
-    for r in out:
-        assert r.pll <= 0 and (r.mean_pll is None) == (r.n_tokens == 0)
-    same = [r.pll for r in out if r.doc_id in (1, 100)]
-    assert math.isclose(*same, rel_tol=1e-6)
-    assert lm_score.score(empty).collect() == []
+
+
+def test_a_changed_table_is_refused(spark):
+    lexicon = lm_score.Lexicon(np.zeros(0, np.int64), np.zeros(0, np.int64), np.full(lm_score.GROUPS, 10))
+    rows = spark.createDataFrame([(0, 1, bytearray(b"a b"))], "row long, doc_id long, text binary")
+    words = lm_score.words_of_parts(rows).where("false")
+    with pytest.raises(Exception, match="other words"):
+        lm_score.sequences(rows, lexicon, lm_score.write_counts(words, words, 1)).collect()
 
 
 def test_contexts_stay_in_their_document():
-    got = lm_score.contexts(np.array([1, 2, 3, 4]), np.array([0, 2, 4]), np.arange(4))
-    o = lm_score.OUTSIDE
-    assert got.tolist() == [[o, o, 2, o], [o, 1, o, o], [o, o, 4, o], [o, 3, o, o]]
+    got = lm_score.contexts(np.array([1, 2, 3, 4]), np.array([0, 2, 4]), 9)
+    assert got.tolist() == [[9, 9, 2, 9], [9, 1, 9, 9], [9, 9, 4, 9], [9, 3, 9, 9]]
+    assert lm_score.contexts(np.arange(5), np.array([0, 0, 5, 5]), 9).tolist() == [[9, 9, 1, 2], [9, 0, 2, 3], [0, 1, 3, 4], [1, 2, 4, 9], [2, 3, 9, 9]]
 
 
 VEC = "vec_id long, embedding array<float>, label int, entry string, v int"
