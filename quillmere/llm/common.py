@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,12 +25,14 @@ PUNCT[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or, where that is
-    unset (tests on one machine), a temporary folder that is set as the checkpoint folder."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.  Where that is unset and everything runs
+    in this process (tests), a temporary folder is set as the checkpoint folder; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shared-"))
             found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -71,20 +74,26 @@ def tidy(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], r
     return run
 
 
+#: Folders below the shared one that this process has made.
+_MADE: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
+    """A new path below the shared folder; it goes when the driver ends, or with :func:`clear`."""
+    if not _MADE:
+        atexit.register(clear, spark)
+    _MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended before
-        pass
+def clear(spark: SparkSession) -> None:
+    """Remove all that operators keep in the shared folder: for long sessions, once the results have been written."""
+    while _MADE:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
 
 
 def stash(df: DataFrame, what: str = "stash") -> DataFrame:
@@ -102,7 +111,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it; works on executors."""
+    """The file system of a path or URI, and the path in it; works on executors.  Schemes are those that Arrow knows (file,
+    hdfs, viewfs, s3, gs, abfs), and Hadoop's names for S3."""
+    path = re.sub("^s3[an]://", "s3://", path)
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
@@ -166,7 +177,11 @@ def _powers(n: int) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial in a fixed odd base, then mixed with the length."""
+    """A 64-bit hash of each word's bytes: a polynomial in a fixed odd base, then mixed with the length.
+
+    Words are taken a million at a time, so that a very long text needs little more memory than its own."""
+    if len(starts) > 1 << 20:
+        return np.concatenate([word_hashes(data, starts[a : a + (1 << 20)], ends[a : a + (1 << 20)]) for a in range(0, len(starts), 1 << 20)])
     if not len(starts):
         return np.zeros(0, U64)
     lengths = ends - starts
@@ -224,9 +239,10 @@ PLACE_BITS = 33
 
 
 def write_decisions(decisions: DataFrame) -> str:
-    """Write (row, n), rows numbered as by :func:`numbered`, to one file a partition of the table they are of.
+    """Write (row, doc_id, n), rows numbered as by :func:`numbered`, to one file a partition of the table they are of, with a
+    hash of their doc_id.
 
-    :func:`apply_decisions` brings them to the rows without moving the table itself.  A file is moved to its name when
+    :func:`decided` brings them to the rows without moving the table itself.  A file is moved to its name when
     it is whole, and each attempt writes the same."""
     folder = fresh_dir(decisions.sparkSession, "decisions")
 
@@ -255,38 +271,67 @@ def write_decisions(decisions: DataFrame) -> str:
             yield close()
 
     part = F.shiftright("row", PLACE_BITS)
-    stash(decisions.select("row", F.col("n").cast("long").alias("n")).repartition(part).sortWithinPartitions("row").mapInArrow(each, "part long, rows long"), "written")
+    rows = decisions.select("row", F.xxhash64(F.col("doc_id").cast("long")).alias("key"), F.col("n").cast("long").alias("n"))
+    stash(rows.repartition(part).sortWithinPartitions("row").mapInArrow(each, "part long, rows long"), "written")
     return folder
 
 
+def decided(folder: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function of row numbers and hashes of doc_ids that gives (n, whether there is a decision), from the files of
+    :func:`write_decisions`.  A row that is not the one that was decided on is an error."""
+    fs, base = filesystem(folder)
+    known: dict[int, np.ndarray] = {}
+
+    def find(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal known
+        n, there = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        for p in np.unique(rows >> PLACE_BITS).tolist():
+            if p not in known:
+                path, made = f"{base}/{p}.rows", np.zeros((0, 3), np.int64)
+                if fs.get_file_info(path).type == pafs.FileType.File:
+                    with fs.open_input_stream(path, compression=None) as f:
+                        made = np.frombuffer(f.read(), "<i8").reshape(-1, 3)
+                known = {p: made}
+            made = known[p]
+            if len(made):
+                place = np.minimum(np.searchsorted(made[:, 0], rows), len(made) - 1)
+                hit = made[place, 0] == rows
+                if (made[place[hit], 1] != keys[hit]).any():
+                    raise ValueError("a row is not the one that was decided on: the table or its split has changed")
+                n[hit] = made[place[hit], 2]
+                there |= hit
+        return n, there
+
+    return find
+
+
 def apply_decisions(docs: DataFrame, row: str, folder: str, default: int) -> DataFrame:
     """The rows of ``docs``, numbered in its column ``row``, each ``n`` times, or ``default`` times without a decision;
     the number goes."""
-    at = docs.columns.index(row)
+    at, key = docs.columns.index(row), f"key_{uuid.uuid4().hex}"
     schema = docs.drop(row).schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = filesystem(folder)
-        known: dict[int, np.ndarray] = {}
+        find = decided(folder)
         for b in batches:
-            rows = b.column(at).to_numpy(zero_copy_only=False)
-            times = np.full(len(rows), default, np.int64)
-            for p in np.unique(rows >> PLACE_BITS).tolist():
-                if p not in known:
-                    path, known = f"{base}/{p}.rows", {}
-                    if fs.get_file_info(path).type == pafs.FileType.File:
-                        with fs.open_input_stream(path, compression=None) as f:
-                            known[p] = np.frombuffer(f.read(), "<i8").reshape(-1, 2)
-                    else:
-                        known[p] = np.zeros((0, 2), np.int64)
-                made = known[p]
-                if len(made):
-                    place = np.minimum(np.searchsorted(made[:, 0], rows), len(made) - 1)
-                    hit = made[place, 0] == rows
-                    times[hit] = made[place[hit], 1]
-            take = pa.array(np.repeat(np.arange(len(rows)), times))
-            cols = [c for i, c in enumerate(b.columns) if i != at]
-            names = [c for i, c in enumerate(b.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([c.take(take) for c in cols], names=names)
-
-    return docs.mapInArrow(tidy(each), schema)
+            n, there = find(*(b.column(i).to_numpy(zero_copy_only=False) for i in (at, b.num_columns - 1)))
+            take = pa.array(np.repeat(np.arange(len(n)), np.where(there, n, default)))
+            cols = [i for i in range(b.num_columns - 1) if i != at]
+            yield pa.RecordBatch.from_arrays([b.column(i).take(take) for i in cols], names=[b.schema.names[i] for i in cols])
+
+    return docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(tidy(each), schema)
+
+
+#: Rows of a key from which a join sends the other side to all tasks: at least so many, and at least this part of all rows, so
+#: that there are ten thousand such keys at most.
+HEAVY_ROWS, HEAVY_SHARE = 1000, 10_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has each ``key`` once and in ``size`` its number of rows in ``left``, which has
+    ``total`` rows.  The few keys that have many rows are broadcast, so no task gets all rows of one."""
+    least, flag = max(HEAVY_ROWS, -(-total // HEAVY_SHARE)), f"heavy_{uuid.uuid4().hex}"
+    more = [c for c in right.columns if c not in (key, size)]
+    met = left.join(F.broadcast(right.where(F.col(size) >= least).drop(size).withColumn(flag, F.lit(True))), key, "left")
+    light = met.where(F.col(flag).isNull()).drop(flag, *more).join(right.where(F.col(size) < least).drop(size), key)
+    return met.where(flag).drop(flag).unionByName(light)

@@ -65,21 +65,22 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, root) for every vertex of ``links`` (u long, v long; none null), root the smallest vertex of its component.
 
     Self links and repeated ones do no harm; an empty table gives an empty one; a root comes with itself."""
+    # a sum of 64-bit hashes in decimal: the same links, the same sum
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     now = stash(local_stars(links.where("u <> v")).distinct(), "links")
-    seen = None
+    seen = mark(now)
     for _ in range(most_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # a star's centre may have very many rows here, of two numbers each: the planner splits such a partition
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # after the large star every link leads from a vertex to a smaller one, so u's smaller neighbours are its v
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         now = stash(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
-        # a sum of 64-bit hashes in decimal: the same links, the same sum
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen:
+        before, seen = seen, mark(now)
+        if seen == before:
             break
-        seen = mark
     else:
         raise RuntimeError("the components did not settle")
     ends = now.groupBy("u").agg(F.min("v").alias("root"))

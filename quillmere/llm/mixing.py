@@ -118,7 +118,7 @@ def mix(docs: DataFrame, weights: Iterable[float] = (1, 2, 3), most: float = 3.0
     """(row, doc_id, source, size, source_size, target, copies) for each row of ``docs`` (row, doc_id, source, text).
 
     ``row`` tells rows apart that are otherwise equal; ``copies`` is how often the mix takes the row, 0 to
-    ``most`` rounded up.  Null text: size 0, taken or not by the same chances, at no cost in words.  A null
+    ``most`` rounded up.  Texts of any length count whole.  Null text: size 0, taken or not by the same chances, at no cost in words.  A null
     source is a source, the last.  Null and repeated doc_ids are rows like others.  Empty table: empty."""
     sized = stash(
         docs.select("row", "doc_id", "source", words("text").alias("size")).withColumn("luck", F.xxhash64(F.lit(seed), "doc_id", "size")),
@@ -160,4 +160,4 @@ def mixed(docs: DataFrame, weights: Iterable[float] = (1, 2, 3), most: float = 3
     row = f"row_{uuid.uuid4().hex}"
     counted = numbered(docs, row)
     taken = mix(counted.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), weights, most, seed)
-    return apply_decisions(counted, row, write_decisions(taken.where("copies > 0").select("row", F.col("copies").alias("n"))), default=0)
+    return apply_decisions(counted, row, write_decisions(taken.where("copies > 0").select("row", "doc_id", F.col("copies").alias("n"))), default=0)

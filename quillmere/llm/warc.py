@@ -13,6 +13,7 @@ head alone, whose Content-Length still tells the size of the payload, and WARC-R
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, stash
+from .common import decided, filesystem, fresh_dir, numbered, skew_join, stash, tidy, write_decisions
 
 VERSION = b"WARC/1.1"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -128,19 +129,26 @@ def read_records(stream: BinaryIO) -> Iterator[tuple[int | None, int, str, str,
 
 
 def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(page_id, url, payload binary, digest, refers_to) for each row of ``pages`` (page_id, url, html).
+    """(page_id, url, payload binary, refers_to) for each row of ``pages`` (page_id, url, html; other columns are not looked at).
+
+    Null html is an empty payload; html of any length is one record.  Rows that repeat the smallest page_id of a payload are
+    all responses; a null page_id comes last, and where no copy has an id all are responses, as nothing could be referred to.
+    An empty table has no records.  Only ids, sizes and digests are brought together; what follows from them goes to the
+    pages as decisions.  ``pages`` must be a stored table or one that comes out the same each time."""
+    page_id, payload = F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
+    rows = numbered(pages, (row := f"row_{uuid.uuid4().hex}")).select(F.col(row).alias("row"), page_id, "url", payload)
+    known = stash(rows.where(F.octet_length("payload") >= least).select("row", "page_id", F.unhex(F.sha2("payload", 256)).alias("digest")), "digests")
+    again = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL")
+    refers = skew_join(known, again, "digest", "copies", known.count()).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    folder = write_decisions(refers.select("row", F.col("page_id").alias("doc_id"), F.col("first").alias("n")))
 
-    Null html is an empty payload.  Rows that repeat the smallest page_id of a payload are all responses; a
-    null page_id comes last, and where no copy has an id all are responses, as nothing could be referred to."""
-    full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    full = full.withColumn("digest", F.sha2("payload", 256))
-    again = (
-        full.where(F.octet_length("payload") >= least)
-        .groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-        .where("copies > 1 AND first IS NOT NULL").select(F.col("digest").alias("again"), "first")
-    )
-    found = full.join(again, F.col("digest") == F.col("again"), "left")
-    return found.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = decided(folder)
+        for b in batches:
+            n, there = find(b.column(0).to_numpy(), b.column(4).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:4], pa.array(n, mask=~there)], ["page_id", "url", "payload", "refers_to"])
+
+    return rows.withColumn("key", F.xxhash64("page_id")).mapInArrow(tidy(each), "page_id long, url string, payload binary, refers_to long")
 
 
 def write_archives(records: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -161,11 +169,11 @@ def write_archives(records: DataFrame, folder: str | None = None, archive_bytes:
             return pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
         for b in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, payload, refers_to in (tuple(c[i].as_py() for c in b.columns) for i in range(b.num_rows)):
                 if out is None:
                     name = f"pages-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.gz"
                     out, n, size, number = fs.open_output_stream(f"{base}/{name}", compression=None), 0, 0, number + 1
-                out.write(data := record(page_id, url, payload, digest, refers_to))
+                out.write(data := record(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to))
                 n, size = n + 1, size + len(data)
                 if size >= archive_bytes:
                     yield closed()
@@ -173,7 +181,7 @@ def write_archives(records: DataFrame, folder: str | None = None, archive_bytes:
         if out is not None:
             yield closed()
 
-    return stash(records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(each, "archive string, records long, bytes long"), "archives")
+    return stash(records.select("page_id", "url", "payload", "refers_to").mapInArrow(tidy(each), "archive string, records long, bytes long"), "archives")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"

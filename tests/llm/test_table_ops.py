@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from llm.conftest import words
-from quillmere.llm import ann, langid, lm_score, mixing, warc
+from quillmere.llm import ann, common, langid, lm_score, mixing, warc
 from quillmere.llm.common import apply_decisions, numbered, write_decisions
 from quillmere.llm.mph import PerfectHash
 from quillmere.llm.queries import tokenizer
@@ -95,19 +95,46 @@ def test_mixed_repeats_rows(docs, empty):
 
 def test_decisions_reach_their_rows(docs):
     counted = numbered(docs, "no")
-    made = counted.select(F.col("no").alias("row"), F.pmod(F.col("no"), F.lit(3)).alias("n")).where("n <> 1")
+    made = counted.select(F.col("no").alias("row"), "doc_id", F.pmod(F.col("no"), F.lit(3)).alias("n")).where("n <> 1")
     out = apply_decisions(counted, "no", write_decisions(made), default=1)
     want = sum({0: 0, 1: 1, 2: 2}[r.no % 3] for r in counted.select("no").collect())
     assert out.count() == want and out.columns == docs.columns
+    with pytest.raises(Exception, match="not the one"):
+        apply_decisions(counted, "no", write_decisions(made.withColumn("doc_id", F.lit(-5))), default=1).collect()
+
+
+def test_skew_join_is_a_join(spark, monkeypatch):
+    left = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(500)] + [(None, 1)], "k int, v int")
+    right = left.groupBy("k").count().where("k <> 5").withColumn("x", F.col("k") * 10)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 100)
+    got = common.skew_join(left, right, "k", "count", 501)
+    want = left.join(right.drop("count"), "k")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Nothing:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, getCheckpointDir, getConf = "local-cluster[2,1,1024]", lambda self: None, lambda self: Nothing()
+
+    class Session:
+        conf, sparkContext = Nothing(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
 
 
 HTML = "page_id long, url string, html string, digest int, payload string"
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     big, small = "<p>" + "x" * 200, "tiny"
-    pages = [(5, "http://a", big), (2, "http://b\r\nX: y", big), (9, None, big), (3, "u", small), (4, "u", small), (6, "u", None), (7, "u", ""), (8, "u", "é" * 60), (8, "u", "é" * 60), (None, "u", big), (None, None, None)]
-    df = spark.createDataFrame([(*p, 1, "x") for p in pages], HTML).repartition(3)
+    pages = [(5, "http://a", big), (2, "http://b\r\nX: y", big), (9, None, big), (3, "u", small), (4, "u", small), (6, "u", None), (7, "u", ""), (8, "u", "é" * 60), (8, "u", "é" * 60), (None, "u", big), (None, None, None), (10, "u", "ä" * 3_000_000), (11, "u", "ä" * 3_000_000)]
+    spark.createDataFrame([(*p, 1, "x") for p in pages], HTML).repartition(3).write.parquet(f"{tmp_path}/pages")
+    df = spark.read.parquet(f"{tmp_path}/pages")
     written = warc.write_archives(warc.plan_records(df), archive_bytes=400)
     out = warc.read_archives(written, payloads=True).collect()
     assert len(out) == len(pages) and written.agg(F.sum("records")).first()[0] == len(pages) and written.count() > 3
@@ -117,7 +144,7 @@ def test_warc_round_trip(spark):
     digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     for i, _, html in pages:
         assert any(r.payload_bytes == len((html or "").encode()) and r.payload_digest == digest(html) for r in by[i])
-    assert [(by[i][0].record_type, by[i][0].refers_to) for i in (5, 2, 9, 3, 4)] == [("revisit", 2), ("response", None), ("revisit", 2), ("response", None), ("response", None)]
+    assert [(by[i][0].record_type, by[i][0].refers_to) for i in (5, 2, 9, 3, 4, 10, 11)] == [("revisit", 2), ("response", None), ("revisit", 2), ("response", None), ("response", None), ("response", None), ("revisit", 10)]
     assert {r.record_type for r in by[8]} == {"response"} and {(r.record_type, r.refers_to) for r in by[None]} == {("revisit", 2), ("response", None)}
     assert by[2][0].payload == big.encode() and by[5][0].payload == b""
     none = spark.createDataFrame([], HTML)
@@ -169,7 +196,7 @@ def test_encoder_matches_the_library():
     assert _encoded(fast, []) == [] and _encoded(fast, [" \t"]) == [[]]
 
 
-PIECES = ["a", "The", "WORD", "É", "e\u0301", "T\u0308", "ẞ", "ς", "İ", ".", ",", "'s", "'LL", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startOfText|>", " ", "  ", "\n", "\t", "\x00", "\x1c", "\u00a0", "\u2028", "1", "23", "中", "🙂", "_", "-", "\ufffd"]
+PIECES = ["a", "The", "WORD", "É", "ß", "ÿ", "÷", "###", "$'", "'S", "]", "\\", "`", "~", "Ĳ", "ŉ", "e\u0301", "T\u0308", "ẞ", "ς", "İ", ".", ",", "'s", "'LL", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startOfText|>", " ", "  ", "\n", "\t", "\x00", "\x1c", "\u00a0", "\u2028", "1", "23", "中", "🙂", "_", "-", "\ufffd"]
 
 
 @settings(max_examples=400, deadline=None)
@@ -237,6 +264,29 @@ def test_language_is_learned_and_held_out(spark, docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 4
 
 
+def test_decoding_is_the_plain_one():
+    rng = np.random.default_rng(4)
+    for k in (1, 2, 4, 7):
+        x, names = rng.random((60, 12)).astype(np.float32), [f"l{i % k}" for i in range(60)]
+        x[:, -1] = 1
+        x[np.arange(60), np.arange(60) % k] += 2
+        model = langid.Model.fit(x, names)
+        best, share, lead = model.decode(x[:, :-1])
+        for i in range(60):
+            bits = [sum(float(a) * float(b) for a, b in zip(x[i], model.weights[:, j], strict=True)) for j in range(model.code.shape[1])]
+            loss = [sum(t * math.log1p(math.exp(-b * c)) for t, b, c in zip(model.trust, bits, word, strict=True)) for word in model.code]
+            odds = [math.exp(-v * len(bits)) for v in loss]
+            order = sorted(range(k), key=lambda j: (loss[j], j))
+            assert best[i] == order[0] and math.isclose(share[i], odds[order[0]] / sum(odds), rel_tol=1e-3)
+            assert math.isclose(lead[i], (odds[order[0]] - (odds[order[1]] if k > 1 else 0)) / sum(odds), rel_tol=1e-2, abs_tol=1e-3)
+
+
+def test_the_language_model_does_not_hang_on_the_order_of_rows(spark, docs):
+    twice = docs.union(docs.withColumn("text", F.concat("text", F.lit(" once more"))))
+    a, b = (langid.fit(d) for d in (twice.repartition(2), twice.repartition(7)))
+    assert a.languages == b.languages and np.array_equal(a.weights, b.weights)
+
+
 def test_codewords_are_far_apart():
     for k in (2, 3, 4, 5, 6, 12, 40):
         code = langid.codewords(k)
@@ -354,6 +404,23 @@ def test_neighbours_exactly_and_by_recall(spark):
     assert [i for i, _ in got[200]] == [7, *range(201, 210)]
 
 
+def test_recall_on_the_test_tables(spark):
+    """64 dimensions, every query against brute force."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = v.select("vec_id", F.col("embedding").cast("array<double>")).collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    got = {}
+    for r in ann.nearest_neighbours(v, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        recall.append(len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist())) / 10)
+    assert len(recall) == len(got) >= 20 and np.mean(recall) >= 0.9 and min(recall) >= 0.5
+    assert all(ann.parallel_weight(d) > 1 for d in (2, 16, 25, 64, 768))
+
+
 def test_neighbours_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0])], "vec_id long, embedding array<double>")
     out = sorted(ann.nearest_neighbours(few, F.col("vec_id") % 100 == 0).collect(), key=lambda r: (r.query_id, r.rank))

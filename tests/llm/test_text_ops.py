@@ -17,12 +17,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmere.llm import common as C
-from quillmere.llm.components import components
+from quillmere.llm.common import numbered
+from quillmere.llm.components import Forest, components
 from quillmere.llm.decontaminate import contaminated, without_contaminated
 from quillmere.llm.licenses import TEMPLATES, Scanner, edits, licenses, telling, words_of
-from quillmere.llm.near_dedup import near_groups, one_of_each
+from quillmere.llm.near_dedup import candidates, near_groups, one_of_each
 from quillmere.llm.secrets import base_spans, scan, secrets
-from quillmere.llm.simhash import fingerprint, near_links, shards, simhash_components
+from quillmere.llm.simhash import fingerprint, hamming_links, near_links, shard_rows, shards, simhash_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,6 +73,48 @@ def test_simhash_components_match_brute_force(docs, rows):
         assert (f.doc_id, f.fp & (2**64 - 1), f.component_id) == (r[0], p, min(least[root]))
 
 
+def test_links_of_crowded_words_are_dealt_out_again(spark):
+    """Half of the fingerprints share a word; no group of the second deal holds many of them, and no link is lost."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    x[:1500] = x[:1500] & np.uint64(0xFFFFFFFFFFFF0000) | np.uint64(0x1234)
+    near = x[:400].copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    x = np.unique(np.concatenate([x, near]))
+    prints = spark.createDataFrame([(v,) for v in x.view(np.int64).tolist()], "fp long").repartition(3)
+    links = {(r.u & (2**64 - 1), r.v & (2**64 - 1)) for r in hamming_links(prints, 4, rows=200, most_rows=900).collect()}
+    up = {v: v for v in x.tolist()}
+
+    def find(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for u, v in links:
+        assert (u ^ v).bit_count() <= 4
+        up[find(u)] = find(v)
+    roots = closure(len(x), lambda i, j: int(x[i] ^ x[j]).bit_count() <= 4)
+    groups = defaultdict(set)
+    for v, r in zip(x.tolist(), roots, strict=True):
+        groups[r].add(find(v))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
+def test_no_shard_of_candidates_exceeds_its_bound(spark):
+    """A third of the fingerprints share a word; the candidates in blocks are those without blocks."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2**63, (3000, 4), dtype=np.uint64)
+    x[:1000, 0] = x[:1000, 0] & np.uint64(0xFFFFFFFFFFFF0000) | np.uint64(0x1234)
+    x[2000:2400] = x[:400] ^ np.uint64(1 << 40)
+    rows = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], "id long, fp binary").repartition(3)
+    plain = {(r.id, r.word) for r in candidates(rows, rows=100, most_rows=10**9).collect()}
+    blocked = {(r.id, r.word) for r in candidates(rows, rows=100, most_rows=400).collect()}
+    assert plain == blocked and len({i for i, _ in plain}) >= 800
+    sizes = shard_rows(rows, 16, shards(5, 1))
+    assert sizes.max() > 1000 and sizes.sum() > 3000 * 16
+
+
 def test_simhash_of_nothing(empty):
     assert simhash_components(empty).collect() == []
 
@@ -157,6 +200,39 @@ def test_near_groups_do_not_hang_on_how_often_a_line_repeats(spark):
     assert set(got.values()) == {0}
 
 
+def test_recall_by_similarity_on_the_test_tables(spark):
+    """All pairs of sf0.1 by an index of shingles: the share that shares a group, for similarities from 0.8 and from 0.9."""
+    docs = numbered(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "row")
+    texts = {r.row: shingles(r.text) for r in docs.select("row", "text").collect()}
+    classes = defaultdict(list)
+    for row, s in texts.items():
+        classes[frozenset(s)].append(row)
+    sets = sorted(classes, key=lambda s: min(classes[s]))
+    index, pairs = defaultdict(list), []
+    for i, s in enumerate(sets):
+        shared = defaultdict(int)
+        for x in s:
+            for j in index[x]:
+                shared[j] += 1
+            index[x].append(i)
+        pairs += [(j, i, n / (len(s) + len(sets[j]) - n)) for j, n in shared.items() if n >= 0.8 * (len(s) + len(sets[j]) - n)]
+    group = {r.row: r.group for r in near_groups(docs.select("row", "doc_id", "text")).collect()}
+    of = [group[classes[s][0]] for s in sets]
+    assert all(len({group[r] for r in rows}) == 1 for rows in classes.values())
+    for low, high in ((0.8, 0.9), (0.9, 1.01)):
+        found = [of[i] == of[j] for i, j, n in pairs if low <= n < high]
+        assert len(found) >= 4 and sum(found) >= 0.99 * len(found), (low, len(found), sum(found))
+    roots = closure_of_pairs(len(sets), pairs)
+    assert sum(a != b for a, b in zip(of, [of[r] for r in roots], strict=True)) <= 0.01 * len(pairs)
+
+
+def closure_of_pairs(n, pairs):
+    forest = Forest(n)
+    for i, j, _ in pairs:
+        forest.join(i, j)
+    return forest.roots().tolist()
+
+
 def test_one_of_each_keeps_columns_and_smallest_ids(docs, empty):
     out = one_of_each(docs)
     assert out.columns == docs.columns
