@@ -8,7 +8,7 @@ ambiguous.  Up to five languages get the exhaustive code, in which all pairs dif
 more get the best of seeded random codes.
 
 The classifiers are fitted on a bounded sample of the labelled rows: those whose ids hash lowest, the same number of
-each language, ``SAMPLE`` in all at most.  Only text and language of rows outside the held-out fold are read for that.
+each language, ``SAMPLE`` in all at most (so at most as many languages, the most frequent).  Only text and language of rows outside the held-out fold are read for that.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, tidy
+from .common import as_bytes, pieces, release, tidy
 
 #: Labelled rows to fit on, at most, and per language.
 SAMPLE, PER_LANGUAGE = 3000, 600
@@ -119,11 +119,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame) -> Model:
     """The model of the labelled rows of ``docs`` (doc_id, text, lang) outside the held-out fold."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang", "doc_id", F.col("text").cast("binary").alias("text"))
-    n = docs.where(F.col("lang").isNotNull()).agg(F.approx_count_distinct("lang")).first()[0]
-    most = max(1, min(PER_LANGUAGE, SAMPLE // max(n, 1)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE).collect()
+    most = max(1, min(PER_LANGUAGE, SAMPLE // max(len(counts), 1)))
+    # of each language about half more rows than are wanted, by a bound on the hash of their ids; then just as many
+    least = {r.lang: min(1 << 60, int((1.5 * most + 50) / r["count"] * (1 << 60))) for r in counts}
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(list(least.items()), "lang string, bound long"))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 60)), "doc_id")
+    low = labelled.select("lang", "doc_id").join(bounds, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 60)) < F.col("bound")).select("lang", "doc_id").distinct()
     # the ids are ranked first, so that texts are read for the chosen rows alone
-    chosen = labelled.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("lang", "doc_id")
+    chosen = low.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("lang", "doc_id")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,13 +136,18 @@ def fit(docs: DataFrame) -> Model:
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    rows = labelled.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"]).select("lang", "text").mapInArrow(tidy(each), "lang string, x binary").toArrow()
+    # of rows of one id and language that with the smallest hash of its text
+    one = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    rows = one.select("lang", F.col("least.text").alias("text")).mapInArrow(tidy(each), "lang string, x binary").toArrow()
     labels, packed = rows.column("lang").to_pylist(), rows.column("x").to_pylist()
     order_ = sorted(range(len(labels)), key=lambda i: (labels[i], packed[i]))  # the same model, however the rows arrive
     x = np.ones((len(labels), SIZE + 1), np.float32)
     for i, at in enumerate(order_):
         x[i, :SIZE] = np.frombuffer(packed[at], np.float16)
-    return Model.fit(x, [labels[i] for i in order_])
+    del rows, packed
+    model = Model.fit(x, [labels[i] for i in order_])
+    release()
+    return model
 
 
 def _letters(text: bytes | None) -> bool:
@@ -166,7 +175,8 @@ def identify(docs: DataFrame, ambiguous: float = 0.5) -> DataFrame:
 
     Learns from the labelled rows outside the held-out fold.  ``und``: null and letterless texts, score 0, and every
     text where no row is labelled.  ``ambiguous``: the two best languages' shares lie less than that apart.  Repeated
-    rows repeat; a null doc_id stays null, held_out false."""
+    rows repeat; a null doc_id stays null, held_out false; texts of any length are read whole; of equal losses the language
+    first by name wins; an empty table gives an empty one; other columns, whatever their names, are not looked at."""
     model = fit(docs)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +189,8 @@ def identify(docs: DataFrame, ambiguous: float = 0.5) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told; null and letterless texts go."""
+    """The rows of ``docs``, all columns, whose language can be told; null and letterless texts go.  Where nothing is labelled,
+    no language can be told, and all go."""
     model, schema, at = fit(docs), docs.schema, docs.columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
