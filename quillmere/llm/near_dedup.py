@@ -7,10 +7,14 @@ with 0.995.  The vantage-point shards of :mod:`quillmere.llm.simhash` therefore
 word they deal the fingerprints out by Hamming distance, show each shard what lies just across its borders, and inside a
 shard words at most one bit apart are looked up.  A pair within 64 bits is a candidate, in the
 first word that shows it.  Fingerprints with candidates go to their shards once more, with their sets of shingles, and
-there the similarity of all candidates is counted exactly, but of those that confirmed pairs connect already; a shard
+there the similarity of all candidates is counted exactly, on 64-bit hashes of their shingles, but of those that confirmed pairs connect already; a shard
 returns a forest of its confirmed pairs.  The components of these are the groups, and the document of the smallest id
 stays.
 
+The trees grow with the number of fingerprints until a leaf is a word with the words one bit from it.  A shard that gets more
+than ``MOST_ROWS`` all the same is cut into blocks by a hash of the entries, and every pair of blocks is a shard of its own: its
+work grows with the square of its rows, its memory does not.
+
 Texts of the same set of shingles are one entry: copies cost nothing but their key.  Different texts of equal
 fingerprints are candidates like others.
 """
@@ -28,15 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, apply_decisions, as_binary, as_bytes, mix64, numbered, pieces, shingle_hashes, stash, tidy, word_hashes, word_spans, write_decisions
+from .common import U64, apply_decisions, as_binary, mix64, numbered, skew_join, stash, tidy, write_decisions
 from .components import Forest, components
-from .simhash import BITS, shards
+from .simhash import BITS, _dealt, shard_rows, shards, word_of
 
 LANES = 4
 #: Bits in which candidates may differ: similarity 0.8 stays within, by four standard deviations.
 MOST_BITS = 64
 #: Fingerprints in a shard, about, pairs that are looked at at a time, and pairs between two looks at what is connected.
 SHARD_ROWS, PAIRS, CHUNK = 250_000, 500_000, 20_000
+#: Rows that no shard exceeds.
+MOST_ROWS = 500_000
 _LANE_SEEDS = (np.arange(LANES, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))[None]
 
 
@@ -123,23 +129,30 @@ def confirmed(prints: np.ndarray, own: np.ndarray, sets: list[bytes], word: int,
     return np.stack([below, roots[below]], axis=1)
 
 
-def candidates(classes: DataFrame, most: int = MOST_BITS) -> DataFrame:
+def candidates(classes: DataFrame, most: int = MOST_BITS, rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
     """(shard, word, id, fp, own): of ``classes`` (id long, fp binary) what has candidates in a shard, for each shard where it has."""
-    levels = min(12, max(4, int(np.ceil(np.log2(max(classes.count(), 1) / SHARD_ROWS)))))
-    home, guest, offsets = shards(levels, 1)
-    made = int(home.max()) + 1
+    levels = min(BITS, max(4, int(np.ceil(np.log2(max(classes.count(), 1) / rows)))))
+    tree = shards(levels, 1)
+    made = int(tree[0].max()) + 1
+    # blocks of each shard: a pair of them has half of the bound each
+    blocks = -(-2 * shard_rows(classes, 4 * LANES, tree) // most_rows)
+    blocks[blocks <= 2] = 1
+    wide = int(blocks.max(initial=1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, LANES)
+            mixed = mix64(b.column(0).to_numpy().view(U64))
             for w in range(4 * LANES):
-                word = ((prints[:, w // 4] >> U64(BITS * (w % 4))) & U64(0xFFFF)).astype(np.int64)
-                times = offsets[word + 1] - offsets[word]
-                which = np.repeat(np.arange(len(word)), times)
-                place = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + offsets[word][which]
-                take = pa.array(np.concatenate([np.arange(len(word)), which]))
-                shard = pa.array(np.concatenate([home[word], guest[place]]) + w * made)
-                yield pa.RecordBatch.from_arrays([shard, pa.array(np.full(len(take), w, np.int32)), *(c.take(take) for c in b.columns), pa.array(np.arange(len(take)) < len(word))], ["shard", "word", "id", "fp", "own"])
+                at, shard, own = _dealt(word_of(prints, w), tree)
+                n = blocks[w][shard]
+                which = np.repeat(np.arange(len(at)), n)  # an entry meets each block, in the shard of the two
+                other = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                mine = (mixed[at[which]] % n[which].astype(U64)).astype(np.int64)
+                pair = np.minimum(mine, other) * wide + np.maximum(mine, other)
+                key = (shard[which] + w * made) * (wide * wide) + pair
+                take = pa.array(at[which])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(take), w, np.int32)), *(c.take(take) for c in b.columns), pa.array(own[which])], ["shard", "word", "id", "fp", "own"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         met = np.zeros(len(pdf), bool)
@@ -152,25 +165,18 @@ def candidates(classes: DataFrame, most: int = MOST_BITS) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
-    """(id, s): each text's distinct k-word shingles as sorted 32-bit hashes."""
+    """(id, s): each text's distinct k-word shingles as sorted 64-bit hashes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = as_bytes(b.column(1))
-            for lo, hi in pieces(offsets):
-                part, local = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                low = np.where((part >= 0x41) & (part <= 0x5A), part + 32, part).astype(np.uint8)
-                starts, ends, firsts = word_spans(low, local, SPACE)
-                hashes, at = shingle_hashes(word_hashes(low, starts, ends), firsts, k)
-                short = (hashes >> U64(32)).astype("<u4")
-                sets = [np.unique(short[x:y]).tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "s"])
+            sets = [shingles_of(t, k).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "s"])
 
     return rows.select("id", as_binary("text")).mapInArrow(tidy(each), "id long, s binary")
 
 
 def resemblance(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     both = np.sort(np.concatenate([x, y]))
@@ -191,10 +197,13 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([m[c] for m in made], pa.binary()) for c in (0, 1))], ["row", "doc_id", "copy", "fp"])
 
     prints = stash(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), as_binary("text")).mapInArrow(tidy(each), "row long, doc_id long, copy binary, fp binary"), "fingerprints")
-    classes = stash(prints.groupBy("copy").agg(F.min("row").alias("id"), F.min("fp").alias("fp")).select("id", "copy", "fp"), "classes")
+    first = F.min(F.struct("row", "doc_id"))
+    classes = prints.groupBy("copy").agg(first.alias("first"), F.min("fp").alias("fp"), F.count("*").alias("n"))
+    classes = stash(classes.select(F.col("first.row").alias("id"), "first.doc_id", "copy", "fp", "n"), "classes")
     met = stash(candidates(classes), "candidates")
-    wanted = write_decisions(met.select(F.col("id").alias("row")).distinct().select("row", F.lit(1).alias("n")))  # a join would move all texts
-    sets = stash(shingle_sets(apply_decisions(docs.select("row", F.col("row").alias("id"), "text"), "row", wanted, default=0), k), "sets")
+    # a join would move all texts
+    wanted = write_decisions(classes.join(met.select("id").distinct(), "id").select(F.col("id").alias("row"), "doc_id", F.lit(1).alias("n")))
+    sets = stash(shingle_sets(apply_decisions(docs.select("row", F.col("row").alias("id"), "doc_id", "text"), "row", wanted, default=0), k), "sets")
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].to_numpy()
@@ -203,8 +212,8 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
 
     links = met.join(sets, "id").select("shard", "word", "id", "fp", "own", "s").groupBy("shard").applyInPandas(confirm, "u long, v long")
     roots = components(stash(links, "links")).withColumnRenamed("u", "id")
-    placed = classes.join(roots, "id", "left").select("copy", F.coalesce("root", "id").alias("group"))
-    return prints.select("row", "doc_id", "copy").join(placed, "copy").select("row", "doc_id", "group")
+    placed = classes.join(roots, "id", "left").select("copy", "n", F.coalesce("root", "id").alias("group"))
+    return skew_join(prints.select("row", "doc_id", "copy"), placed, "copy", "n", prints.count()).select("row", "doc_id", "group")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -214,5 +223,6 @@ def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     counted = numbered(docs, row)
     groups = stash(near_groups(counted.select(F.col(row).alias("row"), "doc_id", "text"), k, similarity), "groups")
     first = groups.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).where("n > 1")
-    gone = groups.join(first.select("group", F.col("first.row").alias("stays")), "group").where("row <> stays").select("row", F.lit(0).alias("n"))
+    stays = first.select("group", F.col("first.row").alias("stays"), "n")
+    gone = skew_join(groups, stays, "group", "n", groups.count()).where("row <> stays").select("row", "doc_id", F.lit(0).alias("n"))
     return apply_decisions(counted, row, write_decisions(gone), default=1)

@@ -7,6 +7,10 @@ near that border must also be shown to the shard across it.  Inside a shard the
 their distance from one more vantage point, compared only within the bound of k, on all 64 bits.  So every
 linked pair is met in at least one shard, and each shard returns no more links than it has fingerprints.
 
+The trees grow with the number of fingerprints until a leaf is a word with the words one bit from it.  A shard that holds more
+than ``most_rows`` all the same (a very frequent word, or a very large table) is dealt out again by the trees over each of the
+other three words: one of these too must be within a bit.
+
 Equal fingerprints count once, so groups of copies cost one entry; a dense group of different fingerprints is
 first flooded from a member of its own, which takes each member against what the group has not reached yet.
 """
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_binary, stash, tidy, unsalted
+from .common import U64, as_binary, release, skew_join, stash, tidy, unsalted
 from .components import Forest, components
 
 WORDS, BITS = 4, 16
@@ -139,26 +143,72 @@ def near_links(own: np.ndarray, over: np.ndarray, k: int, step: int = 64) -> np.
     return np.concatenate(found) if found else np.zeros((0, 2), U64)
 
 
-def hamming_links(prints: DataFrame, k: int = 4, shard_rows: int = 2000) -> DataFrame:
+def _dealt(words: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, shard, whether it is at home there) of 16-bit ``words``, for each shard that sees them."""
+    home, guest, offsets = tree
+    times = offsets[words + 1] - offsets[words]
+    which = np.repeat(np.arange(len(words)), times)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + offsets[words][which]
+    return np.concatenate([np.arange(len(words)), which]), np.concatenate([home[words], guest[place]]), np.arange(len(words) + len(which)) < len(words)
+
+
+def word_of(prints: np.ndarray, w: int) -> np.ndarray:
+    """The ``w``-th 16-bit word of each fingerprint, a row of 64-bit numbers."""
+    return ((prints[:, w // 4] >> U64(BITS * (w % 4))) & U64(0xFFFF)).astype(np.int64)
+
+
+def shard_rows(prints: DataFrame, words: int, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many rows each shard of each word gets (words x shards) of ``prints`` (fp long, or binary): from a count of every word, of
+    which there are ``words`` times 65,536 at most."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = pa.types.is_int64(b.column(0).type)
+            fp = b.column(0).to_numpy().view(U64)[:, None] if whole else np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8").reshape(b.num_rows, -1)
+            value, n = np.unique(np.concatenate([word_of(fp, w) + (w << BITS) for w in range(words)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int32)), pa.array(n)], ["word", "n"])
+
+    found = prints.select("fp").mapInArrow(tidy(each), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros((words, 1 << BITS), np.int64)
+    count.reshape(-1)[found.column("word").to_numpy()] = found.column("n").to_numpy()
+    del found
+    release()
+    home, guest, offsets = tree
+    out = np.zeros((words, int(home.max()) + 1), np.int64)
+    at = np.repeat(np.arange(1 << BITS), np.diff(offsets))
+    for w in range(words):
+        out[w] = np.bincount(home, count[w], out.shape[1]) + np.bincount(guest, count[w][at], out.shape[1])
+    return out
+
+
+def hamming_links(prints: DataFrame, k: int = 4, rows: int = 2000, most_rows: int = 500_000) -> DataFrame:
     """Links (u, v) that connect exactly the fingerprints that chains of distances <= ``k`` connect.
 
-    ``prints`` (fp long) must hold each fingerprint once."""
+    ``prints`` (fp long) must hold each fingerprint once.  A shard has about ``rows`` rows as long as the trees can grow."""
     radius = k // WORDS
-    levels = max(0, min(12, int(np.ceil(np.log2(max(prints.count(), 1) / shard_rows))) if radius < 3 else 0))
-    home, guest, offsets = shards(levels, radius)
-    made = int(home.max()) + 1
+    n = prints.count()
+    levels = max(0, min(BITS, int(np.ceil(np.log2(max(n, 1) / rows))) if radius < 3 else 0))
+    tree = shards(levels, radius)
+    made = int(tree[0].max()) + 1
+    # the second deal among three words is exact while they too agree within the radius: (k - 0) // 3
+    full = np.zeros((WORDS, made), bool)
+    if n > most_rows and k // (WORDS - 1) < 3:
+        full = shard_rows(prints, WORDS, tree) > most_rows
+    again = shards(BITS, k // (WORDS - 1)) if full.any() else tree
+    inner = int(again[0].max()) + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(U64)
             for w in range(WORDS):
-                word = ((fp >> U64(BITS * w)) & U64(0xFFFF)).astype(np.int64)
-                times = offsets[word + 1] - offsets[word]
-                which = np.repeat(np.arange(len(fp)), times)
-                place = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + offsets[word][which]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([home[word], guest[place]]) + w * made), pa.array(np.concatenate([fp, fp[which]]).view(np.int64)), pa.array(np.arange(len(fp) + len(which)) < len(fp))], ["shard", "fp", "own"]
-                )
+                at, shard, own = _dealt(word_of(fp[:, None], w), tree)
+                deep = full[w][shard]
+                yield _shard_batch(fp[at[~deep]], (shard[~deep] + w * made) * (WORDS * inner + 1), own[~deep])
+                if deep.any():
+                    for v in range(WORDS):
+                        if v != w:
+                            low, part, mine = _dealt(word_of(fp[at[deep]][:, None], v), again)
+                            yield _shard_batch(fp[at[deep]][low], (shard[deep][low] + w * made) * (WORDS * inner + 1) + 1 + v * inner + part, mine)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, own = pdf["fp"].to_numpy().view(U64), pdf["own"].to_numpy()
@@ -168,16 +218,20 @@ def hamming_links(prints: DataFrame, k: int = 4, shard_rows: int = 2000) -> Data
     return prints.select("fp").mapInArrow(tidy(deal), "shard long, fp long, own boolean").groupBy("shard").applyInPandas(link, "u long, v long")
 
 
+def _shard_batch(fp: np.ndarray, shard: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp.view(np.int64)), pa.array(own)], ["shard", "fp", "own"])
+
+
 def simhash_components(docs: DataFrame, shingle: int = 4, k: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text; other columns are not looked at).
 
     Null and empty texts have fingerprint zero and link like any other; a null doc_id gets its row too, and
     component_id is the smallest non-null doc_id of the component (null if there is none).  Repeated rows
-    stay repeated.  An empty table gives an empty one."""
+    stay repeated; texts of any length are taken whole.  An empty table gives an empty one."""
     prints = stash(fingerprints(docs, shingle), "fingerprints")
-    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     roots = components(hamming_links(classes, k))
-    placed = classes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    whole = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.select("fp", "root").join(whole, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    placed = stash(classes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "placed")
+    whole = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = skew_join(placed.select("fp", "n", "root"), whole, "root", "members", placed.count()).select("fp", "n", "component_id")
+    return skew_join(prints, named, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
