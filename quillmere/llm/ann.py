@@ -30,8 +30,14 @@ from .common import stash
 SAMPLE, CELLS = 12_000, 4096
 #: Entries of a cell, and queries, that one group of work holds, about.
 BLOCK, CROWD = 8192, 2048
-#: The cosine from which scores matter, which sets the weight of parallel errors.
-THRESHOLD = 0.2
+#: The cosine from which scores matter, which sets the weight of parallel errors; in few dimensions, where that cosine is
+#: nothing special, the one that gives them ``LEAST_WEIGHT``.
+THRESHOLD, LEAST_WEIGHT = 0.2, 2.0
+
+
+def parallel_weight(d: int) -> float:
+    """How much more an error along a vector of ``d`` dimensions costs than one across it."""
+    return max(LEAST_WEIGHT, (d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -66,7 +72,7 @@ class Model:
         rest = x - centres[nearest(x, centres)]
         pairs = rest.reshape(n, -1, 2)
         books = np.stack([np.resize(kmeans(pairs[:, m], 16, 8, seed + m), (16, 2)) for m in range(pairs.shape[1])])
-        model = cls(centres, books, max(1.0, (d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)))
+        model = cls(centres, books, parallel_weight(d))
         for _ in range(rounds):
             codes = np.concatenate([model.codes(x[a : a + 1000], rest[a : a + 1000]) for a in range(0, n, 1000)])
             model.refit(x, rest, codes)
