@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+import json
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +18,25 @@ from .operators.search import Filters
 from .plans import context, reports
 from .sources.readers import read_sessions
 from .store import Store
-from .streaming.ingest import ingest_batch
+from .streaming.ingest import indexed, ingest_batch, sizes
 from .streaming.live import live_states
 
 
+def hash_embedding(texts: Sequence[str]) -> list[list[float]]:
+    """Vectors by hashing the words of each text, repeats included."""
+    return [V.hash_vector([w for w in re.split(r"[\W_]+", t.lower()) if w]).tolist() for t in texts]
+
+
+#: Rows of a table that say something about a conversation's messages: they go where the conversation goes.
+PARTS = ("messages", "embeddings", "postings", "sizes")
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, embed: Callable[[Sequence[str]], list[list[float]]] | None = None) -> None:
-        """``embed`` turns texts into vectors; without it words are hashed."""
+    def __init__(self, spark: SparkSession, root: str, embed: Callable[[Sequence[str]], list[list[float]]] | None = None, model: str | None = None) -> None:
+        """``embed`` turns texts into vectors, those that are stored and queries alike (it runs on executors, in batches);
+        without it words are hashed.  Vectors of another ``model`` are not searched but made anew."""
         self.spark, self.store = spark, Store(spark, root)
-        self._embed = embed or (lambda texts: [V.hash_vector(search.query_terms(t)).tolist() for t in texts])
+        self._embed, self.model = embed or hash_embedding, model or ("custom" if embed else "hash")
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
@@ -42,20 +55,41 @@ class Engine:
         n = ingest_batch(self.store, sessions, messages)
         if n:
             held = self.table("conversations")
-            keep = ingest.collapse_versions(self.table("messages"), held)
-            self.store.replace("conversations", keep)
+            keep = self.store.keep(ingest.collapse_versions(self.table("messages"), held))
+            if keep.count() < held.count():
+                self._keep_only(keep)
             self.embed_pending()
         return {"indexed": n, "failed": found.where("error IS NOT NULL").count()}
 
+    def _keep_only(self, conversations: DataFrame) -> None:
+        """These conversations stay, and of all that is known of messages what is theirs."""
+        self.store.replace("conversations", conversations)
+        kept = self.table("conversations")
+        for name in PARTS:
+            self.store.replace(name, ingest.of_kept(self.table(name), kept))
+
     def embed_pending(self) -> None:
-        new = ingest.pending_embeddings(self.table("messages"), self.table("embeddings"))
-        self.store.append("embeddings", V.embed(new.select("conversation_id", "seq", "content")).select("conversation_id", "seq", "embedding", F.lit("hash").alias("model")))
+        """Vectors of this engine's model for all messages that have none; those of other models go."""
+        held = self.table("embeddings")
+        if held.where(F.col("model") != self.model).limit(1).count():
+            self.store.replace("embeddings", held.where(F.col("model") == self.model))
+        new = ingest.of_kept(ingest.pending_embeddings(self.table("messages"), self.table("embeddings")), self.table("conversations"))
+        embed, model = self._embed, self.model
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield pd.DataFrame({"conversation_id": pdf["conversation_id"], "seq": pdf["seq"], "embedding": list(embed(pdf["content"].fillna("").tolist())), "model": model})
+
+        made = new.select("conversation_id", "seq", "content").mapInPandas(each, self.store.read("embeddings").schema)
+        self.store.append("embeddings", made)
 
     def forget(self, session_keys: Sequence[str]) -> None:
+        """The sessions' conversations with all their messages, vectors and index rows; they will not be taken in again."""
         keys = self.spark.createDataFrame([(k,) for k in session_keys], "session_key string")
         kept, gone = ingest.forget(self.table("conversations"), self.table("forgotten"), keys)
-        self.store.replace("conversations", kept)
         self.store.replace("forgotten", gone)
+        self._keep_only(self.store.keep(kept))
 
     def flag(self, session_key: str, bookmarked: bool | None = None, pinned: bool | None = None, note: str | None = None, tags: str | None = None) -> None:
         df = self.spark.createDataFrame([(session_key, bookmarked, pinned, note, tags)], "session_key string, bookmarked boolean, pinned boolean, note string, tags string")
@@ -63,21 +97,29 @@ class Engine:
 
     # ---- retrieval
 
-    def _corpus(self) -> DataFrame:
+    def hits(self, query: str, mode: str = "hybrid", k: int = 10, filters: Filters | None = None) -> DataFrame:
+        """(conversation_id, seq, score).  Words are looked up in the stored index."""
         meta = self.table("conversations").join(self.table("user_state").select("session_key", "tags"), "session_key", "left")
-        return self.table("messages").join(meta.select("conversation_id", "tool", "kind", "project", "started_at", "tags"), "conversation_id")
+        wanted = meta.where(filters.condition()).select("conversation_id") if filters else None
+        depth = k if mode == "lexical" else max(5 * k, 20)
+        words = lambda n: search.indexed_search(self.table("postings"), self.table("sizes"), query, n, wanted)
+        if mode == "lexical":
+            return words(depth)
+        vectors = self.table("embeddings")
+        vectors = vectors.join(wanted, "conversation_id", "left_semi") if wanted is not None else vectors
+        near = lambda n: search.semantic_search(vectors, self._embed([query])[0], n)
+        return near(k) if mode == "semantic" else search.rrf([words(depth), near(depth)], k)
 
     def search(self, query: str, mode: str = "hybrid", k: int = 10, filters: Filters | None = None) -> DataFrame:
-        corpus = self._corpus()
-        if mode == "lexical":
-            hits = search.keyword_search(corpus, query, k, filters)
-        else:
-            vectors = self.table("embeddings").join(corpus.drop("content", "role", "ts", "tools"), ["conversation_id", "seq"])
-            vector = self._embed([query])[0]
-            hits = search.semantic_search(vectors, vector, k, filters=filters) if mode == "semantic" else search.hybrid_search(corpus, vectors, query, vector, k, filters)
+        hits = self.hits(query, mode, k, filters)
         shown = search.hydrate(hits, self.table("messages"), self.table("conversations").select("conversation_id", "session_key", "title", "tool", "project", "started_at"))
         return shown.withColumn("snippet", search.snippet("content", query)).drop("tools")
 
+    def search_devices(self, peers: dict[str, Engine], query: str, me: str = "here", mode: str = "hybrid", k: int = 10, filters: Filters | None = None, devices: Sequence[str] | None = None) -> tuple[DataFrame | None, list[str]]:
+        """The best hits of this store and of others', and which of these could not be searched."""
+        asks = {name: (lambda e=e: e.hits(query, mode, max(5 * k, 20), filters)) for name, e in {me: self, **peers}.items()}
+        return search.federated_search(asks, k, devices)
+
     def conversation(self, conversation_id: str) -> DataFrame:
         return self.table("messages").where(F.col("conversation_id") == conversation_id).orderBy("seq")
 
@@ -107,8 +149,8 @@ class Engine:
         return activity.activity(self.table("conversations"), bucket, kind)
 
     def sessions(self, filters: Filters | None = None) -> DataFrame:
-        c = activity.longest_version(self.table("conversations")).where("kind = 'thread'").withColumn("tags", F.array().cast("array<string>"))
-        c = c.where(filters.condition()) if filters else c
+        c = activity.longest_version(self.table("conversations")).where("kind = 'thread'")
+        c = c.where(filters.of_sessions().condition()) if filters else c
         return c.select(F.col("conversation_id").alias("session_id"), "tool", "project", "model", "started_at", "ended_at")
 
     def session_metrics(self, filters: Filters | None = None) -> DataFrame:
@@ -119,20 +161,72 @@ class Engine:
     def metrics(self, filters: Filters | None = None) -> DataFrame:
         return metrics.work_metrics(self.session_metrics(filters))
 
-    def _window(self, now: dt.date, back: int, days: int) -> DataFrame:
-        return self.metrics(Filters(since=(now - dt.timedelta(days=back + days)).isoformat(), until=(now - dt.timedelta(days=back)).isoformat()))
+    def _window(self, now: dt.date, back: int, days: int) -> Filters:
+        return Filters(since=(now - dt.timedelta(days=back + days)).isoformat(), until=(now - dt.timedelta(days=back)).isoformat())
+
+    def _windows(self, now: dt.date, days: int) -> tuple[DataFrame, DataFrame]:
+        """The metrics of the last ``days`` and of those before: one pass over the messages of both."""
+        both = self.store.keep(self.session_metrics(self._window(now, 0, 2 * days)))
+        return tuple(metrics.work_metrics(reports.window(both, now, back, days)) for back in (0, days))  # type: ignore[return-value]
+
+    def summary(self, filters: Filters | None = None) -> str:
+        per = self.store.keep(self.session_metrics(filters))
+        return metrics.summary(metrics.work_metrics(per), per)
 
     def trends(self, now: dt.date, days: int = reports.WINDOW_DAYS) -> DataFrame:
-        return reports.trends(self._window(now, 0, days), self._window(now, days, days))
+        return reports.trends(*self._windows(now, days))
 
     def fluency(self, now: dt.date, days: int = reports.WINDOW_DAYS) -> DataFrame:
-        return reports.fluency_report(self._window(now, 0, days), self._window(now, days, days))
+        return reports.fluency_report(*self._windows(now, days))
+
+    def weakest(self, now: dt.date) -> DataFrame:
+        return reports.weakest(self.fluency(now))
+
+    def unresolved(self, now: dt.date) -> DataFrame:
+        return reports.unresolved(self.metrics(self._window(now, 0, reports.STALE_DAYS)))
+
+    def weekly_review(self, now: dt.date, write: Callable[[str], str] | None = None, folder: str | None = None, force: bool = False) -> dict:
+        """The week's review, kept for a week; as a file in ``folder``, if one is given."""
+        held = self.store.get("weekly")
+        week = Filters(since=(now - dt.timedelta(days=reports.STALE_DAYS)).isoformat())
+        per = self.store.keep(self.session_metrics(week))
+        whole = metrics.work_metrics(per)
+        corpus, _ = context.samples(self.table("conversations"), self.table("messages"), 30, 1000, 24_000)
+        review = reports.weekly_review(json.loads(held) if held else None, now, whole.first().sessions, metrics.summary(whole, per), corpus, write, force)
+        self.store.put("weekly", json.dumps(review))
+        if folder:
+            path, again = reports.deliver(review, folder, self.store.get("weekly_delivered"), self._put_file)
+            self.store.put("weekly_delivered", review["period"])
+            review = review | {"path": path, "already_delivered": again}
+        return review
+
+    def _put_file(self, path: str, text: str) -> None:
+        p, fs = self.store._path(path)
+        out = fs.create(p, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def insight(self, kind: str, write: Callable[[str], str] | None = None) -> str:
+        """What a model makes of the figures and of sessions chosen for ``kind`` (work, gaps, coach, miner, loops); without a
+        model, that itself."""
+        per = self.store.keep(self.session_metrics())
+        c, m = self.table("conversations"), self.table("messages")
+        if kind in ("work", "gaps"):
+            corpus, _ = context.samples(c, m, 50, 1200, 32_000)
+        elif kind == "coach":
+            corpus, _ = context.coach_corpus(per, c, m)
+        elif kind == "miner":
+            corpus, _ = context.miner_corpus(self.themes(12), c, m)
+        elif kind == "loops":
+            corpus = "\n".join(f"- {r.asked}" for r in context.open_loops(per, m).collect() if r.asked)
+        else:
+            raise ValueError(f"no kind of insight: {kind}")
+        asked = f"{metrics.summary(metrics.work_metrics(per), per)}\n\n{corpus}"
+        return write(asked) if write else asked
 
     def optimise(self, now: dt.date, force: bool = False) -> dict:
-        import json
-
         held = self.store.get("optimise")
-        current = self._window(now, 0, reports.WINDOW_DAYS)
+        current = self.metrics(self._window(now, 0, reports.WINDOW_DAYS))
         lever = reports.top_lever(current).first()
         state = reports.optimise(json.loads(held) if held else None, current.first().asDict(), lever.asDict() if lever else None, now, force)
         self.store.put("optimise", json.dumps(state))
@@ -153,21 +247,119 @@ class Engine:
         listed = threads.summarise(members).join(self.table("threads").select("thread_id", F.col("title").alias("given"), "status"), "thread_id", "left")
         return threads.thread_list(listed.withColumn("title", F.coalesce("given", "title")).drop("given"), **filters)
 
+    def _members(self) -> DataFrame:
+        """All sessions as they are grouped now: (session_key, thread_id, started_at, …)."""
+        return threads.threads_of(activity.longest_version(self.table("conversations")), self.table("membership"))
+
+    def _state(self) -> threads.State:
+        return threads.State(self.table("threads"), self.table("membership"), self.table("links"), self.table("rejections"))
+
+    def _set(self, state: threads.State) -> None:
+        """All four tables as they were before, then anew: none is read after another has changed."""
+        kept = {name: self.store.keep(getattr(state, name)) for name in ("threads", "membership", "links", "rejections")}
+        for name, df in kept.items():
+            self.store.replace(name, df)
+
     def detect_links(self) -> int:
+        """Links of sessions that have not been looked at before, the oldest first; each is looked at once."""
         c = activity.longest_version(self.table("conversations")).where("kind = 'thread'")
-        ledger = self.store.get("scanned_until")
-        fresh = c if ledger is None else c.where(F.col("indexed_at") > F.lit(ledger).cast("timestamp"))
+        fresh = self.store.keep(c.join(self.table("scanned"), "session_key", "left_anti"))
         found = self.store.keep(threads.detect_links(fresh, c, self.table("messages"), self.table("links"), self.table("rejections")))
         n = found.count()
         if n:
-            self.store.append("links", found.select(F.col("earlier").alias("a"), F.col("later").alias("b"), "kind", F.lit("detected").alias("origin"), "confidence", "applied"))
-        last = c.agg(F.max("indexed_at")).first()[0]
-        if last is not None:
-            self.store.put("scanned_until", str(last))
+            self._set(threads.apply_links(self._state(), self.store.keep(self._members()), found, self.store.keep))
+        self.store.append("scanned", fresh.select("session_key"))
         return n
 
+    def link(self, a: str, b: str, kind: str = "related") -> None:
+        self._set(threads.link_sessions(self._state(), self.store.keep(self._members()), a, b, kind))
+
+    def unlink(self, session_key: str) -> None:
+        self._set(threads.unlink_session(self._state(), self.store.keep(self._members()), session_key))
+
+    def reject(self, a: str, b: str) -> None:
+        self._set(threads.reject_link(self._state(), a, b))
+
+    def join(self, part: str, into: str) -> None:
+        self._set(threads.merge_threads(self._state(), self.store.keep(self._members()), part, into))
+
+    def note(self, note_id: str, thread_id: str, kind: str, text: str, at: int, by: str) -> None:
+        self.store.replace("notes", shared.add_note(self.table("notes"), note_id, thread_id, kind, text, at, by))
+
+    def recent_folders(self, n: int = 15) -> DataFrame:
+        return activity.recent_folders(self.table("conversations"), n)
+
     def post(self, room: str, author: str, text: str, ts: int, **more) -> None:
-        self.store.replace("room_log", rooms.post(self.table("room_log"), room, author, text, ts, **more))
+        self.store.append("room_log", rooms.message(self.table("room_log"), room, author, text, ts, **more))
+
+    def send(self, room: str, author: str, text: str, ts: int, cap: int = 0, **more) -> str | None:
+        """Post, unless the turns of the exchange are used up: then the reason.  A DONE frees the author's claims and makes the
+        exchange a conversation, whose speakers' sessions are linked."""
+        done = text.strip().upper().startswith("DONE")
+        turns = rooms.turns_now(self.table("room_log")).where(F.col("room") == room).first()
+        allowed, note = rooms.send_allowed(turns.turns if turns else 0, cap, text) if cap else (True, None)
+        if not allowed:
+            return note
+        self.post(room, author, text, ts, **more)
+        self.store.replace("room_agents", rooms.touch(self.table("room_agents"), room, author, ts))
+        if done:
+            self.store.replace("claims", rooms.release(self.table("claims"), room, author))
+            self.archive(room, more.get("device"))
+        return note
+
+    def archive(self, room: str, device: str | None = None) -> int:
+        """The closed exchanges of a room that are not yet conversations; how many."""
+        log = rooms.exchanges(self.table("room_log").where(F.col("room") == room))
+        found = rooms.archive_exchange(log, device).join(self.table("conversations").select("content_hash"), "content_hash", "left_anti")
+        found = self.store.keep(found.withColumn("session_key", F.concat(F.lit("sk_"), F.substring(F.sha2("path", 256), 1, 16))))
+        n = found.count()
+        if n:
+            said = found.select("conversation_id", F.inline("messages")).withColumn("tools", F.array().cast("array<string>"))
+            self.store.append("messages", said)
+            self.store.append("postings", indexed(said))
+            self.store.append("sizes", sizes(said))
+            self.store.append("conversations", found.drop("room", "exchange", "messages").withColumn("last_activity", F.col("ended_at")).withColumn("indexed_at", F.current_timestamp()))
+            self.embed_pending()
+            spoke = rooms.speakers(log.join(found.select("exchange"), "exchange", "left_semi"), self.table("room_sessions"), self.table("conversations")).collect()
+            for a, b in zip(spoke, spoke[1:], strict=False):
+                self.link(a.session_key, b.session_key, "conversed")
+        return n
+
+    def bind(self, room: str, name: str, path: str) -> None:
+        """Which transcript an agent of a room writes."""
+        held = self.table("room_sessions").where((F.col("room") != room) | (F.col("name") != name))
+        self.store.replace("room_sessions", held.unionByName(self.spark.createDataFrame([(room, name, path)], held.schema)))
+
+    def history(self, room: str, n: int = 50) -> DataFrame:
+        return rooms.history(self.table("room_log"), room, n)
+
+    def claim(self, room: str, holder: str, path: str, now: int) -> list[str]:
+        """Who holds what overlaps; nobody, and the claim is made."""
+        claims, blockers = rooms.claim(self.table("claims"), room, holder, path, now)
+        if not blockers:
+            self.store.replace("claims", claims)
+        return blockers
+
+    def release(self, room: str, holder: str, path: str | None = None) -> None:
+        self.store.replace("claims", rooms.release(self.table("claims"), room, holder, path))
+
+    def plan(self, room: str, lead: str, tasks: Sequence[dict], at: int) -> None:
+        """New tasks on the board, and a message to each owner."""
+        rows = [(room, t["id"], t["title"], t.get("owner", ""), "todo", list(t.get("files", [])), at, at, lead) for t in tasks]
+        new = self.spark.createDataFrame(rows, self.table("tasks").schema)
+        self.store.replace("tasks", rooms.plan_tasks(self.table("tasks"), new))
+        for r in rooms.plan_messages(new, lead).collect():
+            self.post(room, r.author, r.text, at, recipient=r.recipient)
+
+    def task(self, room: str, task_id: str, me: str, at: int, status: str | None = None, owner: str | None = None) -> None:
+        """A task moved along, and its lead told."""
+        held = self.table("tasks").where(F.col("id") == task_id).first()
+        self.store.replace("tasks", rooms.change_task(self.table("tasks"), task_id, me, at, status, owner))
+        if held and held.updated_by and held.updated_by != me and status:
+            self.post(room, me, f"{task_id} is {status}: {held.title}", at, recipient=held.updated_by)
+
+    def gather(self, room: str) -> DataFrame:
+        return rooms.gather(self.table("tasks").where(F.col("room") == room))
 
     def rooms(self) -> DataFrame:
         return rooms.room_view(self.table("room_log"), self.table("room_agents"), self.table("claims"), self.table("tasks"))

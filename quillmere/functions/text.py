@@ -44,6 +44,10 @@ REDACTION_RULES = [
 ]
 
 
+#: What every secret has, in any case of letters: texts without any of it are left as they are, at the price of one pass.
+REDACTION_CUE = r"(?i)private key-|sk-|gh[posru]_|github_pat_|xox[baprs]-|akia|aiza|[sr]k_live_|eyj|bearer|://|api[_-]?key|secret|token|passw|pwd"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -56,7 +60,8 @@ def has_any(text: Column | str, markers: list[str]) -> Column:
 
 def redact(text: Column | str) -> Column:
     """Every secret replaced, rule after rule."""
-    return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), REDACTION_RULES, _col(text))
+    done = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), REDACTION_RULES, _col(text))
+    return F.when(F.rlike(_col(text), F.lit(REDACTION_CUE)), done).otherwise(_col(text))
 
 
 def normalize(text: Column | str) -> Column:
@@ -81,6 +86,15 @@ def clip(text: Column | str, most: int) -> Column:
     return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("…")))
 
 
+def clip_bytes(text: Column | str, most: int) -> Column:
+    """At most ``most`` bytes, no character cut in two, an ellipsis where more was there."""
+    c = _col(text)
+    # a byte that goes on a character is 10xxxxxx: at most three are left out with the character that they end
+    cut = F.substring(F.encode(c, "UTF-8"), 1, most)
+    whole = F.regexp_replace(F.decode(cut, "UTF-8"), "\ufffd+$", "")
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(F.rtrim(whole), F.lit(" …")))
+
+
 def clip_plain(text: Column | str, most: int) -> Column:
     return F.substring(F.trim(_col(text)), 1, most)
 

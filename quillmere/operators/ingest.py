@@ -69,6 +69,11 @@ def forget(conversations: DataFrame, forgotten: DataFrame, keys: DataFrame) -> t
     return conversations.join(keys, "session_key", "left_anti"), forgotten.unionByName(keys.select("session_key")).distinct()
 
 
+def of_kept(rows: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Messages or vectors of conversations that are there: what is forgotten or collapsed leaves nothing behind."""
+    return rows.join(conversations.select("conversation_id"), "conversation_id", "left_semi")
+
+
 def upsert(state: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
     """``state`` with ``changes``; of rows with one key the largest ``order`` stays, a change before a stored one."""
     both = state.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)), allowMissingColumns=True)

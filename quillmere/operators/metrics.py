@@ -114,3 +114,32 @@ def rough_and_smooth(per: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` sessions of most friction, and the ``n`` resolved ones of least."""
     rough = per.orderBy(F.desc("friction"), "session_id").limit(n).select(F.lit("rough").alias("kind"), "session_id", "friction")
     return rough.unionByName(per.where("resolved AND messages > 0").orderBy("friction", "session_id").limit(n).select(F.lit("smooth").alias("kind"), "session_id", "friction"))
+
+
+def summary(whole: DataFrame, per: DataFrame) -> str:
+    """The metrics as a block of lines: one row of :func:`work_metrics`, and the most frequent tools, models and so on."""
+    m = whole.first()
+    pct = lambda x: f"{x * 100:.0f}%"
+    named = lambda column, n: ", ".join(f"{r.value} {r.n}" for r in top(per, column, n).collect()) or "—"
+    hours = by_hour(per).orderBy(F.desc("n"), F.desc("hour")).first()
+    rough = ", ".join(f"{r.project} ({r.avg_turns:.1f} turns)" for r in high_friction_projects(per, 3).collect())
+    lines = [
+        f"Sessions analyzed: {m.sessions} across {m.projects} project(s).",
+        f"Tools: {named('tool', None)}.",
+        f"User turns per session: median {m.median_turns:.0f}, mean {m.mean_turns:.1f}.",
+        f"Correction rate: {pct(m.correction_rate)} (first-prompt miss: {pct(m.first_prompt_miss_rate)}).",
+        f"Abandoned/unresolved: {pct(m.abandonment_rate)}.",
+        f"Opening prompt: avg {m.avg_first_prompt_chars:.0f} chars, {pct(m.specificity_rate)} state explicit constraints.",
+        f"Pasted code: {pct(m.code_paste_rate)}; pasted errors: {pct(m.error_paste_rate)}.",
+        f"Mentions tests: {pct(m.test_mention_rate)}; mentions commits/git: {pct(m.commit_mention_rate)}.",
+        f"Agent actions per session: avg {m.avg_tool_actions:.1f} — top: {named('actions', 5)}.",
+        f"Languages: {named('languages', 6)}.",
+        f"Models: {named('model', 4)}.",
+        "Median session length: " + (f"{m.median_session_minutes:.0f} min" if m.median_session_minutes > 0 else "—") + ".",
+        "Time to first response: " + (f"{m.median_time_to_first_response_secs:.0f}s" if m.median_time_to_first_response_secs > 0 else "—") + ".",
+        f"Error-recovery rate: {pct(m.error_recovery_rate)}.",
+        f"Context switching: {m.avg_projects_per_active_day:.1f} projects/active-day.",
+        f"Busiest hour: {f'{hours.hour:02d}:00' if hours else '—'}.",
+        f"Highest-friction projects (avg user turns): {rough}.",
+    ]
+    return "\n".join(lines)

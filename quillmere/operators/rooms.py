@@ -8,10 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ident as I
 from ..functions import text as T
 
 EXCHANGE_MOST, UNREAD_MOST, ACTIVE_MINUTES, CLAIM_MINUTES, PLAN_MOST = 500, 20, 30, 20, 25
+# States of a task, and the tool that archived exchanges belong to.
 TASK_STATUSES = ["todo", "doing", "done", "blocked"]
+ROOM_TOOL, TITLE_CHARS = "rooms", 70
+
+
+def history(log: DataFrame, room: str, n: int) -> DataFrame:
+    """The last ``n`` messages of a room, the oldest first."""
+    return log.where(F.col("room") == room).orderBy(F.desc("id")).limit(n).orderBy("id")
+
+
+def page_after(log: DataFrame, room: str, after: int, n: int) -> DataFrame:
+    """The first ``n`` messages of a room after an id, the oldest first."""
+    return log.where((F.col("room") == room) & (F.col("id") > after)).orderBy("id").limit(n)
 
 
 def unread(log: DataFrame, agents: DataFrame, device: str | None = None) -> DataFrame:
@@ -35,17 +48,28 @@ def mark_read(agents: DataFrame, log: DataFrame, room: str, name: str) -> DataFr
     return agents.join(F.broadcast(top)).withColumn("cursor", F.when(mine, F.col("_top")).otherwise(F.col("cursor"))).drop("_top")  # top is one row
 
 
-def exchanges(log: DataFrame) -> DataFrame:
+#: Ids of a run of messages that one task takes at a time.
+RUN = 4096
+
+
+def exchanges(log: DataFrame, run: int = RUN) -> DataFrame:
     """The log with exchange, its number in the room (a DONE of an agent is the last of its exchange), and turn, the
-    number of agents' messages since the last DONE or human message, itself included (0 for a boundary)."""
-    agent_done = ~F.col("human") & T.is_done("text")
-    w = Window.partitionBy("room").orderBy("id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = log.withColumn("exchange", F.coalesce(F.sum(F.when(agent_done, 1).otherwise(0)).over(before), F.lit(0)))
-    boundary = F.col("human") | T.is_done("text")
-    out = out.withColumn("_seg", F.sum(F.when(boundary, 1).otherwise(0)).over(w))
-    in_seg = Window.partitionBy("room", "_seg").orderBy("id")
-    return out.withColumn("turn", F.sum(F.when(boundary, 0).otherwise(1)).over(in_seg)).drop("_seg")
+    number of agents' messages since the last DONE or human message, itself included (0 for a boundary).
+
+    A room is dealt out in runs of ids: within a run by a window, and from run to run go three numbers: how many exchanges
+    have ended, whether there was a boundary, and the turns since the last one."""
+    rows = log.withColumn("_run", F.floor(F.col("id") / run)).withColumn("_done", ~F.col("human") & T.is_done("text")).withColumn("_edge", F.col("human") | T.is_done("text"))
+    key = ["room", "_run"]
+    w = Window.partitionBy(*key).orderBy("id")
+    rows = rows.withColumn("_ended", F.coalesce(F.sum(F.col("_done").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_part", F.sum(F.col("_edge").cast("int")).over(w))
+    rows = rows.withColumn("_turn", F.sum((~F.col("_edge")).cast("int")).over(Window.partitionBy(*key, "_part").orderBy("id")))
+    runs = rows.groupBy(*key).agg(F.sum(F.col("_done").cast("int")).alias("ended"), F.max(F.col("_edge").cast("int")).alias("edge"), F.max_by("_turn", "id").alias("last"))
+    by_run = Window.partitionBy("room").orderBy("_run")
+    runs = runs.withColumn("_before", F.coalesce(F.sum("ended").over(by_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_group", F.sum("edge").over(by_run))
+    runs = runs.withColumn("_sum", F.sum("last").over(Window.partitionBy("room", "_group").orderBy("_run")))
+    runs = runs.select(*key, "_before", F.coalesce(F.lag("_sum").over(by_run), F.lit(0)).alias("_carry"))
+    out = rows.join(runs, key).withColumn("exchange", F.col("_ended") + F.col("_before"))
+    return out.withColumn("turn", F.col("_turn") + F.when(F.col("_part") == 0, F.col("_carry")).otherwise(0)).drop("_run", "_done", "_edge", "_ended", "_part", "_turn", "_before", "_carry")
 
 
 def exchange_of(log: DataFrame, room: str, done_id: int) -> DataFrame:
@@ -106,9 +130,16 @@ def receive(log: DataFrame, incoming: DataFrame) -> DataFrame:
     return log.unionByName(new, allowMissingColumns=True)
 
 
-def import_log(log: DataFrame, foreign: DataFrame) -> DataFrame:
-    """Foreign messages of rooms that are not there yet."""
-    return log.unionByName(foreign.join(log.select("room").distinct(), "room", "left_anti"), allowMissingColumns=True)
+def import_log(log: DataFrame, agents: DataFrame, foreign: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log with foreign messages of rooms that are not there yet, numbered after its own, and the agents that spoke in them:
+    present since their last message, with nothing left to read."""
+    new = foreign.join(log.select("room").distinct(), "room", "left_anti")
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    new = new.join(F.broadcast(top)).withColumn("id", F.col("id") + F.col("_top")).drop("_top")  # top is one row
+    last = new.groupBy("room").agg(F.max("id").alias("cursor"))
+    spoke = new.where("NOT human").groupBy("room", F.col("author").alias("name")).agg(F.max("ts").alias("seen"))
+    there = agents.select("room", "name", "cursor", "seen").unionByName(spoke.join(last, "room").select("room", "name", "cursor", "seen"))
+    return log.unionByName(new, allowMissingColumns=True), there.groupBy("room", "name").agg(F.max("cursor").alias("cursor"), F.max("seen").alias("seen"))
 
 
 def live_claims(claims: DataFrame, now: Column) -> DataFrame:
@@ -145,14 +176,65 @@ def plan_tasks(tasks: DataFrame, new: DataFrame) -> DataFrame:
     return tasks.unionByName(new.orderBy("created", "id").limit(PLAN_MOST).withColumn("title", T.clip("title", 200)), allowMissingColumns=True)
 
 
+def plan_messages(planned: DataFrame, lead: str) -> DataFrame:
+    """(room, author, recipient, text): what the owners of planned tasks (room, id, title, owner, files) are told."""
+    files = F.when(F.size(F.coalesce("files", F.array().cast("array<string>"))) > 0, F.concat(F.lit("\nFiles: "), F.array_join("files", ", "), F.lit(" (claim them before editing)"))).otherwise("")
+    text = F.concat(F.lit("Task "), "id", F.lit(" for you: "), "title", files, F.lit("\nSet its status to doing when you start, and to done or blocked when you end."))
+    return planned.where("owner IS NOT NULL AND owner <> ''").select("room", F.lit(lead).alias("author"), F.col("owner").alias("recipient"), text.alias("text"))
+
+
+def change_task(tasks: DataFrame, task_id: str, me: str, at: int, status: str | None = None, owner: str | None = None) -> DataFrame:
+    """The board with a task's status or owner changed; an unknown status is an error."""
+    if status is not None and status not in TASK_STATUSES:
+        raise ValueError(f"no status: {status}")
+    mine = F.col("id") == task_id
+    for name, value in (("status", status), ("owner", owner), ("updated", at), ("updated_by", me)):
+        tasks = tasks.withColumn(name, F.when(mine, F.lit(value)).otherwise(F.col(name))) if value is not None else tasks
+    return tasks
+
+
+def gather(tasks: DataFrame) -> DataFrame:
+    """(room, finished, waiting): by room whether all tasks of a plan are done or blocked, and the others as "id (owner, status)"."""
+    left = F.when(F.col("status").isin("todo", "doing"), F.concat("id", F.lit(" ("), F.coalesce(F.nullif("owner", F.lit("")), F.lit("unassigned")), F.lit(", "), "status", F.lit(")")))
+    return tasks.groupBy("room").agg(F.array_sort(F.collect_list(left)).alias("waiting")).select("room", (F.size("waiting") == 0).alias("finished"), "waiting")
+
+
 def board_finished(tasks: DataFrame) -> DataFrame:
-    return tasks.groupBy("room").agg((F.count_if(F.col("status").isin("todo", "doing")) == 0).alias("finished"))
+    return gather(tasks).select("room", "finished")
+
+
+def sender(device: str | None) -> Column:
+    """Who spoke, named the same way on every device: ``author@device``, the device being this one where none is said."""
+    at = F.coalesce(F.col("device"), F.lit(device))
+    return F.when(at.isNull(), F.col("author")).otherwise(F.concat("author", F.lit("@"), at))
 
 
-def archive_exchange(log: DataFrame) -> DataFrame:
-    """An exchange as the content of a conversation, in an order that is the same on every device."""
-    line = F.concat_ws(": ", "author", "text")
-    return log.groupBy("room", "exchange").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "author", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"), F.count("*").alias("messages"))
+def archive_exchange(log: DataFrame, device: str | None = None) -> DataFrame:
+    """The closed exchanges of a log as conversations: (room, exchange, conversation_id, content_hash, tool, kind, title, path,
+    started_at, ended_at, message_count, messages).
+
+    ``log`` has exchange (see :func:`exchanges`).  Of each exchange its last 500 messages count; they are ordered by time, sender
+    and id, so that the copies of all devices have one hash."""
+    closing = log.where(~F.col("human") & T.is_done("text")).select("room", "exchange").distinct()
+    back = F.row_number().over(Window.partitionBy("room", "exchange").orderBy(F.desc("id")))
+    rows = log.join(closing, ["room", "exchange"]).withColumn("back", back).where(F.col("back") <= EXCHANGE_MOST)
+    to = F.coalesce(F.concat(F.lit(" → "), F.col("recipient")), F.lit(""))
+    said = F.struct("ts", sender(device).alias("who"), "id", F.when(F.col("human"), "user").otherwise("assistant").alias("role"), F.concat(sender(device), to, F.lit(": "), F.col("text")).alias("content"))
+    out = rows.groupBy("room", "exchange").agg(F.array_sort(F.collect_list(said)).alias("ms"), F.min_by("text", "id").alias("opening"), F.min("id").alias("first"), F.min("ts").alias("from"), F.max("ts").alias("to"))
+    out = out.withColumn("content_hash", I.conversation_hash(F.lit(ROOM_TOOL), F.col("ms")))
+    messages = F.transform("ms", lambda m, i: F.struct(i.alias("seq"), m["role"].alias("role"), m["content"].alias("content"), F.timestamp_seconds(m["ts"]).alias("ts")))
+    return out.select(
+        "room", "exchange", I.conversation_id(F.col("content_hash")).alias("conversation_id"), "content_hash", F.lit(ROOM_TOOL).alias("tool"), F.lit("exchange").alias("kind"),
+        F.concat("room", F.lit(": "), F.substring("opening", 1, TITLE_CHARS)).alias("title"), F.concat(F.lit("room://"), "room", F.lit("#"), F.col("first").cast("string")).alias("path"),
+        F.timestamp_seconds("from").alias("started_at"), F.timestamp_seconds("to").alias("ended_at"), F.size("ms").alias("message_count"), messages.alias("messages"),
+    )
+
+
+def speakers(log: DataFrame, sessions: DataFrame, conversations: DataFrame) -> DataFrame:
+    """(name, session_key) of the agents that spoke in ``log`` and whose transcript is known; ``sessions`` (room, name, path)."""
+    spoke = log.where("NOT human").select("room", F.col("author").alias("name")).distinct()
+    fullest = conversations.where("kind = 'thread'").groupBy("path").agg(F.max_by("session_key", F.struct("message_count", "conversation_id")).alias("session_key"))
+    return spoke.join(sessions, ["room", "name"]).join(fullest, "path").select("name", "session_key").distinct().orderBy("name")
 
 
 def conversed(log: DataFrame) -> DataFrame:
@@ -171,11 +253,20 @@ def room_view(log: DataFrame, agents: DataFrame, claims: DataFrame, tasks: DataF
     return out
 
 
-def post(log: DataFrame, room: str, author: str, text: str, ts: int, device: str | None = None, recipient: str | None = None, human: bool = False) -> DataFrame:
-    """The log with one message more; its id and its device's sequence number follow the largest."""
-    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id"), F.coalesce(F.max(F.when(F.col("device").eqNullSafe(F.lit(device)), F.col("origin_seq"))), F.lit(0)).alias("seq"))
-    cols = {"id": F.col("id") + 1, "room": F.lit(room), "author": F.lit(author), "device": F.lit(device).cast("string"), "origin_seq": F.col("seq") + 1, "recipient": F.lit(recipient).cast("string"), "text": F.lit(text), "human": F.lit(human), "ts": F.lit(ts).cast("long")}
-    return log.unionByName(top.select(*[c.alias(n) for n, c in cols.items()]))
+def message(log: DataFrame, room: str, author: str, text: str, ts: int, device: str | None = None, recipient: str | None = None, human: bool = False) -> DataFrame:
+    """One message more, as a row: its id and its device's sequence number follow the largest of ``log``."""
+    seq = F.max(F.when(F.col("device").eqNullSafe(F.lit(device)), F.col("origin_seq")))
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id"), F.coalesce(seq, F.lit(0)).alias("seq"))
+    cols = {
+        "id": F.col("id") + 1, "room": F.lit(room), "author": F.lit(author), "device": F.lit(device).cast("string"), "origin_seq": F.col("seq") + 1,
+        "recipient": F.lit(recipient).cast("string"), "text": F.lit(text), "human": F.lit(human), "ts": F.lit(ts).cast("long"),
+    }
+    return top.select(*[c.alias(n) for n, c in cols.items()])
+
+
+def post(log: DataFrame, room: str, author: str, text: str, ts: int, **more) -> DataFrame:
+    """The log with one message more."""
+    return log.unionByName(message(log, room, author, text, ts, **more))
 
 
 def touch(agents: DataFrame, room: str, name: str, seen: int) -> DataFrame:

@@ -8,8 +8,8 @@ joined on after the ranking, for k rows only.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +34,10 @@ class Filters:
     until: str | None = None
     tag: str | None = None
 
+    def of_sessions(self) -> Filters:
+        """The same without kind and tag, which metrics do not look at."""
+        return replace(self, kind=None, tag=None)
+
     def condition(self) -> Column:
         """Days are compared inclusively on the date; a missing date fails them; a project is a substring."""
         day = F.date_format("started_at", "yyyy-MM-dd")
@@ -55,8 +59,37 @@ def query_terms(query: str) -> list[str]:
 
 def postings(messages: DataFrame, key: Sequence[str] = ("conversation_id", "seq"), content: str = "content") -> DataFrame:
     """The inverted index: (term, key…, tf, length).  Written by term, a query reads its terms' rows alone."""
-    rows = messages.select(*key, T.tokens(content).alias("words")).withColumn("length", F.size("words"))
-    return rows.select(*key, "length", F.explode("words").alias("term")).groupBy("term", *key, "length").agg(F.count("*").alias("tf")).select("term", *key, "tf", "length")
+    rows = messages.select(*key, F.array_sort(T.tokens(content)).alias("words")).withColumn("length", F.size("words"))
+    # a message's counts are known within its row: the words in order, each with the place after its last, less that before its first
+    ends = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.array_position("words", w).alias("first")))
+    rows = rows.withColumn("ends", ends).withColumn("firsts", F.concat(F.transform("ends", lambda e: e["first"]), F.array((F.col("length") + 1).cast("long"))))
+    counted = F.transform("ends", lambda e, i: F.struct(e["term"].alias("term"), (F.get("firsts", i + 1) - e["first"]).alias("tf")))
+    return rows.select(*key, "length", F.inline(counted)).select("term", *key, "tf", "length")
+
+
+#: Buckets of terms in a stored index: a query reads those of its own terms.
+BUCKETS = 64
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def federated_search(devices: dict[str, Callable[[], DataFrame]], k: int = 10, wanted: Sequence[str] | None = None) -> tuple[DataFrame | None, list[str]]:
+    """Hits of several devices fused by rank, and the names of those that did not answer.
+
+    ``devices``: for each name a function that searches that device's store; ``wanted``: ask only these.  One that raises is
+    left out and named; the hits that are few are fetched, so that a device fails here and not later."""
+    lists, unreachable = [], []
+    for name, ask in devices.items():
+        if wanted is not None and name not in wanted:
+            continue
+        try:
+            hits = ask()
+            lists.append((name, hits.sparkSession.createDataFrame(hits.limit(max(5 * k, 20)).collect(), hits.schema)))
+        except Exception:  # noqa: BLE001  a device must not end the search of the others
+            unreachable.append(name)
+    return (federated(lists, k) if lists else None), unreachable
 
 
 def _times(words: str, term: str) -> Column:
@@ -83,13 +116,17 @@ def bm25(messages: DataFrame, query: str, key: Sequence[str] = ("conversation_id
     return rows.where(hit).join(F.broadcast(stats)).select(*key, reduce(lambda a, b: a + b, part).alias("score"))  # stats is one row
 
 
-def bm25_from_postings(index: DataFrame, query: str, n: int, mean: float, key: Sequence[str] = ("conversation_id", "seq")) -> DataFrame:
-    """As :func:`bm25`, from a stored inverted index and its corpus size and mean length."""
+def bm25_from_postings(index: DataFrame, sizes: DataFrame, query: str, key: Sequence[str] = ("conversation_id", "seq")) -> DataFrame:
+    """As :func:`bm25`, from a stored inverted index (term, key…, tf, length, bucket) and the lengths (key…, length) of all messages.
+
+    Only the buckets of the query's terms are read."""
     terms = query_terms(query)
-    rows = index.where(F.col("term").isin(terms))
+    asked = [F.col("bucket") == bucket(F.lit(t)) for t in terms]
+    rows = index.where(F.col("term").isin(terms) & reduce(lambda a, b: a | b, asked, F.lit(False)))
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    rows = rows.join(F.broadcast(df), "term")  # a row a query term
-    part = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    rows = rows.join(F.broadcast(df), "term").join(F.broadcast(stats))  # a row a query term, and one row
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return rows.groupBy(*key).agg(F.sum(part).alias("score"), F.count("*").alias("held")).where(F.col("held") == len(terms)).drop("held")
 
 
@@ -105,11 +142,21 @@ def keyword_search(messages: DataFrame, query: str, k: int = 10, filters: Filter
     return best_per_conversation(bm25(rows, query), k)
 
 
+def indexed_search(index: DataFrame, sizes: DataFrame, query: str, k: int = 10, conversations: DataFrame | None = None) -> DataFrame:
+    """As :func:`keyword_search`, from the stored index, over the messages of ``conversations`` (conversation_id) if given."""
+    if conversations is not None:
+        wanted = conversations.select("conversation_id")
+        index, sizes = index.join(wanted, "conversation_id", "left_semi"), sizes.join(wanted, "conversation_id", "left_semi")
+    return best_per_conversation(bm25_from_postings(index, sizes, query), k)
+
+
 def semantic_search(vectors: DataFrame, query: Sequence[float], k: int = 10, floor: float = FLOOR, filters: Filters | None = None) -> DataFrame:
     """Best message of each conversation by cosine with the query, ``floor`` or more; ``vectors`` (conversation_id, seq, embedding)."""
     rows = vectors.where(filters.condition()) if filters else vectors
     literal = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.withColumn("score", V.cosine(F.col("embedding"), literal)).where(F.col("score") >= floor)
+    same = F.size("embedding") == len(query)
+    wrong = F.raise_error(F.concat(F.lit(f"the query has {len(query)} dimensions, a stored vector has "), F.size("embedding").cast("string"))).cast("double")
+    scored = rows.withColumn("score", F.when(same | F.col("embedding").isNull(), V.cosine(F.col("embedding"), literal)).otherwise(wrong)).where(F.col("score") >= floor)
     return best_per_conversation(scored.select("conversation_id", "seq", "score"), k)
 
 
@@ -138,10 +185,10 @@ def federated(lists: Sequence[tuple[str, DataFrame]], k: int = 10) -> DataFrame:
 
 
 def hydrate(hits: DataFrame, messages: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
-    """The hits, k rows at most, with their content and metadata, best first."""
-    out = messages.join(F.broadcast(hits), ["conversation_id", "seq"])
+    """The hits with their content and metadata, best first.  Hits are few, which the planner finds out for itself."""
+    out = messages.join(hits, ["conversation_id", "seq"])
     if conversations is not None:
-        out = conversations.join(F.broadcast(out), "conversation_id")
+        out = conversations.join(out, "conversation_id")
     return out.orderBy(F.desc("score"), "conversation_id")
 
 

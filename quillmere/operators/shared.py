@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Kinds of notes.
 NOTE_KINDS = ["note", "decision", "question", "todo"]
 NOTE_CHARS, BATCH = 4000, 2000
 
@@ -113,6 +114,38 @@ def take_shared(threads: DataFrame, merged: DataFrame) -> DataFrame:
     return out.withColumn("title", F.coalesce("_title", "title")).withColumn("status", F.coalesce("_status", "status")).drop("_title", "_status")
 
 
+def whole_thread(rows: DataFrame, parts: DataFrame, notes: DataFrame) -> DataFrame:
+    """One row a root over devices, as :func:`fold`, with the notes of all its parts, the oldest first.
+
+    ``rows`` (device, part, …), ``notes`` (note_id, thread_id, kind, text, created)."""
+    placed = resolve_roots(rows, parts)
+    held = placed.select("root", F.col("part").alias("thread_id")).union(placed.select("root", F.col("root"))).distinct()
+    told = notes.join(held, "thread_id").groupBy("root").agg(F.array_sort(F.collect_set(F.struct("created", "note_id", "kind", "text"))).alias("notes"))
+    return fold(placed).join(told, "root", "left")
+
+
+def handoff_joins(tokens: DataFrame, members: DataFrame, device: str) -> tuple[DataFrame, DataFrame]:
+    """What handoff markers ask for: (session_key, thread_id) of sessions that begin here from a thread of this device, and
+    (part, root) of threads that go on from another device's.
+
+    ``tokens`` (conversation_id, token, from_device), ``members`` (conversation_id, session_key, thread_id)."""
+    found = tokens.join(members, "conversation_id").where(F.col("thread_id") != F.col("token"))
+    here = F.col("from_device").isNull() | (F.col("from_device") == device)
+    return found.where(here).select("session_key", F.col("token").alias("thread_id")).distinct(), found.where(~here).select(F.col("thread_id").alias("part"), F.col("token").alias("root")).distinct()
+
+
+def add_note(notes: DataFrame, note_id: str, thread_id: str, kind: str, text: str, at: int, by: str) -> DataFrame:
+    """The notes with one more, or with another text for one; its time is later than that of any version that is known."""
+    if kind not in NOTE_KINDS:
+        raise ValueError(f"no kind of note: {kind}")
+    held = notes.where(F.col("note_id") == note_id).agg(F.max("updated").alias("updated"), F.min("created").alias("created"))
+    new = held.select(
+        F.lit(note_id).alias("note_id"), F.lit(thread_id).alias("thread_id"), F.lit(kind).alias("kind"), F.lit(text[:NOTE_CHARS]).alias("text"), F.coalesce("created", F.lit(at)).cast("long").alias("created"),
+        F.greatest(F.lit(at), F.coalesce(F.col("updated") + 1, F.lit(at))).cast("long").alias("updated"), F.lit(by).alias("updated_by"),
+    )
+    return notes.where(F.col("note_id") != note_id).unionByName(new)
+
+
 def notes_of(notes: DataFrame, threads: DataFrame) -> DataFrame:
     """The notes of several threads, the oldest first."""
     return notes.join(threads.select("thread_id"), "thread_id", "left_semi").orderBy("created", "note_id")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +17,10 @@ MIXED = "(mixed)"
 
 
 def centroids(vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:
-    """(key, n, centroid): the mean of the unit vectors, made a unit vector; one pass of partial sums by place."""
-    places = vectors.select(key, F.posexplode(V.unit(F.col(column))).alias("pos", "x"))
-    means = places.groupBy(key, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    whole = means.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
-    return whole.select(key, "n", V.unit(F.col("mean")).alias("centroid"))
+    """(key, n, centroid): the mean of the unit vectors, made a unit vector; one pass of partial sums of whole vectors."""
+    units = vectors.where(F.col(column).isNotNull()).select(key, array_to_vector(V.unit(F.col(column))).alias("_v"))
+    means = units.groupBy(key).agg(F.count("*").alias("n"), Summarizer.mean(F.col("_v")).alias("mean"))
+    return means.select(key, "n", V.unit(vector_to_array("mean")).alias("centroid"))
 
 
 def cluster(items: DataFrame, k: int, column: str = "centroid", seed: int = 42) -> DataFrame:
@@ -28,7 +28,7 @@ def cluster(items: DataFrame, k: int, column: str = "centroid", seed: int = 42)
     n = items.count()
     if n == 0:
         return items.withColumn("cluster", F.lit(None).cast("int"))
-    data = items.withColumn("_v", array_to_vector(column))
+    data = items.withColumn("_v", array_to_vector(column)).persist()  # read in every round
     model = KMeans(k=max(1, min(k, n)), maxIter=ITERATIONS, seed=seed, featuresCol="_v", predictionCol="cluster").fit(data) if min(k, n) > 1 else None
     return (model.transform(data) if model else data.withColumn("cluster", F.lit(0))).drop("_v")
 
@@ -36,6 +36,7 @@ def cluster(items: DataFrame, k: int, column: str = "centroid", seed: int = 42)
 class XorShift:
     """The 64-bit shift generator (13, 7, 17) of the small deterministic clustering."""
 
+    # Fixed value: the seed.
     def __init__(self, seed: int = 0x9E3779B97F4A7C15) -> None:
         self.x = seed | 1
 
@@ -97,9 +98,15 @@ def labels(titles: DataFrame, group: str, title: str) -> DataFrame:
 
 def themes(items: DataFrame, k: int, samples: int = 3) -> DataFrame:
     """(cluster, size, label, tools, samples) of items (id, title, tool, centroid), the largest first."""
-    placed = cluster(items, k)
+    return described(cluster(items, k), samples)
+
+
+def described(placed: DataFrame, samples: int = 3) -> DataFrame:
+    """What :func:`themes` says of items that have their cluster, whose members are the rows of ``placed`` themselves."""
     named = labels(placed, "cluster", "title")
-    first = placed.withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy("id")))
-    size = first.groupBy("cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.when(F.col("rn") <= samples, F.struct("id", "title")))).alias("samples"))
+    # a limit of its own, which reaches the scan: only the first few of a cluster are sorted
+    first = placed.select("cluster", "id", "title").withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy("id"))).where(F.col("rn") <= samples)
+    chosen = first.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("id", "title"))).alias("samples"))
+    size = placed.groupBy("cluster").agg(F.count("*").alias("size")).join(chosen, "cluster")
     mix = placed.groupBy("cluster", "tool").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "tool"))).alias("tools"))
     return size.join(named, "cluster").join(mix, "cluster").select("cluster", "size", "label", F.transform("tools", lambda t: F.struct(t["tool"].alias("tool"), (-t["less"]).alias("n"))).alias("tools"), "samples").orderBy(F.desc("size"), "label")

@@ -7,6 +7,9 @@ compared only for the twenty newest candidates of a session; state changes are j
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,31 +17,41 @@ from ..functions import ident as I
 from ..functions import text as T
 
 GAP_SECONDS = 3 * 3600
+# Branches that name no piece of work, kinds of links, and states of threads.
 GENERIC_BRANCHES = ["main", "master", "develop", "dev", "trunk", "HEAD", ""]
 LINK_KINDS = ["continued", "conversed", "planned", "reviewed", "related"]
 STATUSES = ["active", "parked", "done"]
 OVERLAP_HOURS, CANDIDATES, FINGERPRINTS, FINGERPRINT_CHARS, LEAST_CHARS = 24, 20, 8, 160, 80
 TAIL_MESSAGES, OPENING_MESSAGES, OPENING_BYTES = 200, 60, 400_000
+MOST_DAYS = 366
 NEAR_MINUTES, RELATED_HOURS, RELATED_MOST = 30, 48, 3
 CONTINUED, SUGGESTED = 0.9, 0.5
 
 
 def is_feature(branch: Column) -> Column:
-    return branch.isNotNull() & ~F.lower(branch).isin([b.lower() for b in GENERIC_BRANCHES])
+    """Whether a branch is a piece of work by itself; case counts."""
+    return branch.isNotNull() & ~branch.isin(GENERIC_BRANCHES)
 
 
 def sessionise(rows: DataFrame, place: str, branch: str | None, start: str, end: str, key: str, gap: int = GAP_SECONDS) -> DataFrame:
     """``rows`` with head, the key of the first session of its group.
 
     By place and branch, in order of start: a session joins while it starts at most ``gap`` seconds after the latest end
-    so far, which a long earlier session may have set.  A feature branch is one group whatever the gaps; an undated
-    session, or one without a place, is alone.
+    so far, which a long earlier session may have set.  A feature branch is one group whatever the gaps, its undated sessions
+    the last of it; elsewhere an undated session, or one without a place, is alone.
 
     A place of very many sessions is dealt out by day: each day learns from the days before only the latest end and the
     last head, one row a day, so no task needs all rows of a place."""
     rows = rows.withColumn("_b", F.coalesce(F.col(branch), F.lit("")) if branch else F.lit("")).withColumn("_p", F.col(place).cast("string"))
     loose = F.col(place).isNull() | F.col(start).isNull()
-    alone = rows.where(loose).withColumn("head", F.col(key))
+    alone = rows.where(loose)
+    if branch:
+        # the head of a feature branch is its first dated session, or else the first by key
+        first = F.min(F.struct(F.col(start).isNull().alias("_undated"), F.col(start).alias("_start"), F.col(key).alias("_key")))
+        heads = rows.where(F.col(place).isNotNull() & is_feature(F.col("_b"))).groupBy("_p", "_b").agg(first["_key"].alias("_head"))
+        alone = alone.join(heads, ["_p", "_b"], "left").withColumn("head", F.coalesce("_head", F.col(key))).drop("_head")
+    else:
+        alone = alone.withColumn("head", F.col(key))
     rest = rows.where(~loose).withColumn("_day", F.floor(F.unix_micros(F.col(start).cast("timestamp")) / 86_400_000_000)).withColumn("_end", F.coalesce(end, start))
     daily = ["_p", "_b", "_day"]
     earlier = Window.partitionBy("_p", "_b").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,8 +72,9 @@ def sessionise(rows: DataFrame, place: str, branch: str | None, start: str, end:
 def threads_of(sessions: DataFrame, membership: DataFrame | None = None) -> DataFrame:
     """Sessions with thread_id: the explicit one, else that of the group they fall in."""
     found = sessionise(sessions, "repo_key", "branch", "started_at", "last_activity", "session_key")
-    alone = F.count("*").over(Window.partitionBy("head")) == 1
-    auto = F.when(alone, I.implicit_id(F.col("session_key"))).otherwise(I.work_id(F.col("repo_key"), F.col("branch"), F.col("head")))
+    # of a feature branch by repository and branch alone, so that all devices agree; else also by the first session
+    branch = F.coalesce("branch", F.lit(""))
+    auto = F.when(F.col("repo_key").isNull(), I.implicit_id(F.col("session_key"))).when(is_feature(branch), I.work_id(F.col("repo_key"), branch)).otherwise(I.work_id(F.col("repo_key"), branch, F.col("head")))
     found = found.withColumn("auto_id", auto)
     if membership is None:
         return found.withColumn("thread_id", F.col("auto_id")).drop("auto_id")
@@ -107,7 +121,9 @@ def link_candidates(fresh: DataFrame, sessions: DataFrame, links: DataFrame | No
     earlier = sessions.where("started_at IS NOT NULL").select("repo_key", F.col("session_key").alias("earlier"), F.col("conversation_id").alias("earlier_conversation"), F.col("started_at").alias("start_e"), last.alias("last_e"), F.col("tool").alias("earlier_tool"))
     # a day's bucket besides the repository keeps the sessions of a busy repository apart; a session is warm on each
     # day from its start to a day after its end
-    earlier = earlier.withColumn("day", F.explode(F.sequence(F.to_date("start_e"), F.date_add(F.to_date(F.greatest("start_e", "last_e")), 1 + OVERLAP_HOURS // 24))))
+    # (a session that goes on for longer than a year, by a wrong date, is warm for a year)
+    until = F.least(F.date_add(F.to_date(F.greatest("start_e", "last_e")), 1 + OVERLAP_HOURS // 24), F.date_add(F.to_date("start_e"), MOST_DAYS))
+    earlier = earlier.withColumn("day", F.explode(F.sequence(F.to_date("start_e"), until)))
     found = later.withColumn("day", F.to_date("began")).join(earlier, ["repo_key", "day"])
     found = found.where((F.col("earlier") != F.col("later")) & (F.col("start_e") <= F.col("began")) & (F.unix_timestamp("began") <= F.unix_timestamp("last_e") + OVERLAP_HOURS * 3600)).drop("day")
     w = Window.partitionBy("later").orderBy(F.desc("start_e"), "earlier")
@@ -180,7 +196,39 @@ def related(summaries: DataFrame) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= RELATED_MOST).select("thread_id", "other", "apart")
 
 
-# ---- state: pure functions from state to state
+# ---- state: functions from state to state
+
+
+@dataclass(frozen=True)
+class State:
+    """The tables that say which sessions belong together."""
+
+    threads: DataFrame  # thread_id, title, goal, folder, status
+    membership: DataFrame  # session_key, thread_id
+    links: DataFrame  # a, b, kind, origin, confidence, applied
+    rejections: DataFrame  # a, b
+
+    def thread_of(self, members: DataFrame, session_key: str) -> str:
+        """The thread a session is in now: the one it was put in, else that of its group, else its own."""
+        held = self.membership.where(F.col("session_key") == session_key).first() or members.where(F.col("session_key") == session_key).select("session_key", "thread_id").first()
+        return held.thread_id if held else own_thread(session_key)
+
+
+def own_thread(session_key: str) -> str:
+    """The id of the thread that a session forms by itself."""
+    return "th_" + session_key.removeprefix("sk_")
+
+
+def _between(a: str, b: str) -> Column:
+    low, high = sorted((a, b))
+    return (F.least("a", "b") == low) & (F.greatest("a", "b") == high)
+
+
+def ordered_pair(members: DataFrame, a: str, b: str) -> tuple[str, str]:
+    """The session that started first, then the other; undated ones last, ties by key."""
+    started = {r.session_key: r.started_at for r in members.where(F.col("session_key").isin(a, b)).groupBy("session_key").agg(F.min("started_at").alias("started_at")).collect()}
+    first, second = sorted((a, b), key=lambda k: (started.get(k) is None, started.get(k) or 0, k))
+    return first, second
 
 
 def fill_repo_keys(conversations: DataFrame, keys: DataFrame) -> DataFrame:
@@ -189,35 +237,131 @@ def fill_repo_keys(conversations: DataFrame, keys: DataFrame) -> DataFrame:
     return conversations.join(k, "project", "left").withColumn("repo_key", F.coalesce("repo_key", "_k")).drop("_k")
 
 
-def put_link(links: DataFrame, a: str, b: str, kind: str, origin: str, confidence: float, applied: bool) -> DataFrame:
-    """The link instead of any between the two."""
-    if kind not in LINK_KINDS:
-        raise ValueError(f"no kind of link: {kind}")
-    new = links.sparkSession.createDataFrame([(a, b, kind, origin, confidence, applied)], "a string, b string, kind string, origin string, confidence double, applied boolean")
-    return links.where(~(((F.col("a") == a) & (F.col("b") == b)) | ((F.col("a") == b) & (F.col("b") == a)))).unionByName(new)
+def materialise(state: State, members: DataFrame, session_key: str) -> tuple[State, str]:
+    """The session's thread with a row of its own, and the session as its member."""
+    thread = state.thread_of(members, session_key)
+    held = state.threads.where(F.col("thread_id") == thread).limit(1).count()
+    threads = state.threads if held else create_thread(state.threads, thread, None, None, None)
+    return replace(state, threads=threads, membership=attach(state.membership, session_key, thread)), thread
 
 
-def reject_link(links: DataFrame, rejections: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
-    low, high = sorted((a, b))
-    new = links.sparkSession.createDataFrame([(low, high)], "a string, b string")
-    return links.where(~((F.least("a", "b") == low) & (F.greatest("a", "b") == high))), rejections.unionByName(new).distinct()
+def merge_sessions(state: State, members: DataFrame, earlier: str, later: str) -> tuple[State, str]:
+    """Both sessions in the thread of the earlier one.  Where the later one had been put in a thread, all of that moves, and its
+    title too, if the kept thread has none."""
+    state, keep = materialise(state, members, earlier)
+    put = state.membership.where(F.col("session_key") == later).first()
+    if put is None:
+        return replace(state, membership=attach(state.membership, later, keep)), keep
+    return (state if put.thread_id == keep else _absorbed(state, keep, put.thread_id)), keep
+
+
+def _absorbed(state: State, keep: str, gone: str) -> State:
+    title = state.threads.where(F.col("thread_id") == gone).select(F.max("title").alias("_title"))
+    mine = F.col("thread_id") == keep
+    threads = state.threads.where(F.col("thread_id") != gone).join(F.broadcast(title))  # title is one row
+    threads = threads.withColumn("title", F.when(mine, F.coalesce("title", "_title")).otherwise(F.col("title"))).drop("_title")
+    return replace(state, threads=threads, membership=merge_members(state.membership, keep, gone))
 
 
-def merge_threads(membership: DataFrame, into: str, other: str) -> DataFrame:
+def merge_members(membership: DataFrame, into: str, other: str) -> DataFrame:
     return membership.withColumn("thread_id", F.when(F.col("thread_id") == other, into).otherwise(F.col("thread_id")))
 
 
+def merge_threads(state: State, members: DataFrame, part: str, into: str) -> State:
+    """All sessions of ``part`` (``members``: session_key, thread_id) belong to ``into``, which keeps its id and its title, if it
+    has one."""
+    if part == into:
+        return state
+    if not state.threads.where(F.col("thread_id") == into).limit(1).count():
+        state = replace(state, threads=create_thread(state.threads, into, None, None, None))
+    moved = members.where(F.col("thread_id") == part).select("session_key", F.lit(into).alias("thread_id"))
+    rest = state.membership.join(moved.select("session_key"), "session_key", "left_anti")
+    return _absorbed(replace(state, membership=rest.unionByName(moved)), into, part)
+
+
+def put_link(state: State, members: DataFrame, a: str, b: str, kind: str, origin: str, confidence: float, applied: bool) -> State:
+    """The link, from the earlier session to the later, instead of any between the two; an applied one merges their threads."""
+    if kind not in LINK_KINDS:
+        raise ValueError(f"no kind of link: {kind}")
+    first, second = ordered_pair(members, a, b)
+    new = state.links.sparkSession.createDataFrame([(first, second, kind, origin, confidence, applied)], state.links.schema)
+    state = replace(state, links=state.links.where(~_between(a, b)).unionByName(new))
+    return merge_sessions(state, members, first, second)[0] if applied else state
+
+
+def link_sessions(state: State, members: DataFrame, a: str, b: str, kind: str = "related", origin: str = "explicit") -> State:
+    """The link on purpose: it holds whatever was rejected before.  A session has no link to itself."""
+    if a == b:
+        return state
+    return put_link(replace(state, rejections=state.rejections.where(~_between(a, b))), members, a, b, kind, origin, 1.0, True)
+
+
+def apply_links(state: State, members: DataFrame, found: DataFrame, keep_rows: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> State:
+    """The links of :func:`detect_links` at once, and for each applied one the threads of its sessions merged into one.
+
+    ``members`` (session_key, thread_id, started_at): all sessions as they are.  Threads that links chain together are found
+    by passing the smallest thread along the links until nothing changes: a step is a join, and there are as many as the
+    longest chain; ``keep_rows`` materialises what a step made.  The thread of the earliest session keeps its id."""
+    new = found.select(F.col("earlier").alias("a"), F.col("later").alias("b"), "kind", F.lit("detected").alias("origin"), "confidence", "applied")
+    state = replace(state, links=state.links.unionByName(new))
+    of = members.groupBy("session_key").agg(F.min("thread_id").alias("thread_id"))
+    began = members.groupBy("thread_id").agg(F.min(F.struct(F.col("started_at").isNull().alias("undated"), "started_at", F.col("thread_id").alias("thread"))).alias("began"))
+    ends = new.where("applied").join(of.withColumnsRenamed({"session_key": "a", "thread_id": "u"}), "a").join(of.withColumnsRenamed({"session_key": "b", "thread_id": "v"}), "b").where("u <> v").select("u", "v")
+    both = keep_rows(ends.union(ends.select("v", "u")).distinct())
+    label = both.select(F.col("u").alias("thread_id")).distinct().join(began, "thread_id")
+    seen = None
+    while True:
+        near = both.join(label.select(F.col("thread_id").alias("v"), F.col("began").alias("other")), "v").groupBy(F.col("u").alias("thread_id")).agg(F.min("other").alias("other"))
+        label = keep_rows(label.join(near, "thread_id").select("thread_id", F.least("began", "other").alias("began")))
+        now = label.agg(F.sum(F.xxhash64("thread_id", "began.thread").cast("decimal(38,0)"))).first()[0]
+        if now == seen:
+            break
+        seen = now
+    keep = label.select("thread_id", F.col("began.thread").alias("keep")).where("thread_id <> keep")
+    moved = members.join(label.select("thread_id", F.col("began.thread").alias("keep")), "thread_id").select("session_key", F.col("keep").alias("thread_id")).distinct()
+    rows = label.select(F.col("began.thread").alias("thread_id")).distinct().join(state.threads.select("thread_id"), "thread_id", "left_anti").withColumn("status", F.lit("active"))
+    titles = keep.join(state.threads.select("thread_id", "title"), "thread_id").groupBy("keep").agg(F.min("title").alias("_title")).withColumnRenamed("keep", "thread_id")
+    threads = state.threads.join(keep.select("thread_id"), "thread_id", "left_anti").unionByName(rows, allowMissingColumns=True).join(titles, "thread_id", "left").withColumn("title", F.coalesce("title", "_title")).drop("_title")
+    rest = state.membership.join(moved.select("session_key"), "session_key", "left_anti")
+    return replace(state, threads=threads, membership=rest.unionByName(moved))
+
+
+def reject_link(state: State, a: str, b: str) -> State:
+    """A suggested link goes and is not made again; an applied one stays (see :func:`unlink_session`)."""
+    low, high = sorted((a, b))
+    new = state.links.sparkSession.createDataFrame([(low, high)], "a string, b string")
+    return replace(state, links=state.links.where(F.col("applied") | ~_between(a, b)), rejections=state.rejections.unionByName(new).distinct())
+
+
 def attach(membership: DataFrame, session_key: str, thread_id: str) -> DataFrame:
     new = membership.sparkSession.createDataFrame([(session_key, thread_id)], "session_key string, thread_id string")
     return membership.where(F.col("session_key") != session_key).unionByName(new)
 
 
-def unlink_session(links: DataFrame, rejections: DataFrame, membership: DataFrame, session_key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The session alone: its links go, detected ones are remembered as rejected, and it is pinned to its own thread."""
-    touching = (F.col("a") == session_key) | (F.col("b") == session_key)
-    refused = links.where(touching & (F.col("origin") == "detected")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    own = "th_" + session_key.removeprefix("sk_")
-    return links.where(~touching), rejections.unionByName(refused).distinct(), attach(membership, session_key, own)
+def unlink_session(state: State, members: DataFrame, session_key: str) -> State:
+    """The session in a thread of its own, where it stays; ``members`` (session_key, thread_id, started_at): all as they are.
+
+    Its applied links go, detected ones are remembered as rejected.  What is left of its thread is dissolved, if that is one
+    plain session or none, and renamed after its first session, if it bore the name of the one that left."""
+    thread, own = state.thread_of(members, session_key), own_thread(session_key)
+    rest = members.where((F.col("thread_id") == thread) & (F.col("session_key") != session_key)).groupBy("session_key").agg(F.min("started_at").alias("started_at"))
+    rest = rest.orderBy(F.asc_nulls_last("started_at"), "session_key").limit(2).collect()
+    if not rest:
+        return state
+    if not state.membership.where(F.col("session_key") == session_key).limit(1).count():
+        return replace(state, membership=attach(state.membership, session_key, own))
+    touching = F.col("applied") & ((F.col("a") == session_key) | (F.col("b") == session_key))
+    refused = state.links.where(touching & (F.col("origin") == "detected")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    state = replace(state, links=state.links.where(~touching), rejections=state.rejections.unionByName(refused).distinct(), membership=state.membership.where(F.col("session_key") != session_key))
+    put = [r.session_key for r in state.membership.where(F.col("thread_id") == thread).select("session_key").limit(2).collect()]
+    held = state.threads.where(F.col("thread_id") == thread).first()
+    plain = held is None or (not held.title and held.status == "active")
+    if not put or len(put) == 1 and plain:
+        state = replace(state, membership=state.membership.where(F.col("thread_id") != thread), threads=state.threads.where(F.col("thread_id") != thread))
+    elif thread == own:
+        renamed = F.when(F.col("thread_id") == thread, own_thread(rest[0].session_key)).otherwise(F.col("thread_id"))
+        state = replace(state, membership=state.membership.withColumn("thread_id", renamed), threads=state.threads.withColumn("thread_id", renamed))
+    return replace(state, membership=attach(state.membership, session_key, own))
 
 
 def set_status(threads: DataFrame, thread_id: str, status: str) -> DataFrame:
@@ -231,12 +375,17 @@ def set_title(threads: DataFrame, thread_id: str, title: str) -> DataFrame:
     return threads.withColumn("title", F.when(F.col("thread_id") == thread_id, F.lit(title.strip() or None).cast("string")).otherwise(F.col("title")))
 
 
-def create_thread(threads: DataFrame, thread_id: str, title: str, goal: str, folder: str) -> DataFrame:
-    """A planned thread, that waits for sessions."""
+def create_thread(threads: DataFrame, thread_id: str, title: str | None, goal: str | None, folder: str | None) -> DataFrame:
+    """A thread with a row of its own; a planned one waits for sessions."""
     new = threads.sparkSession.createDataFrame([(thread_id, title, goal, folder, "active")], "thread_id string, title string, goal string, folder string, status string")
     return threads.where(F.col("thread_id") != thread_id).unionByName(new, allowMissingColumns=True)
 
 
+def origin(threads: DataFrame) -> DataFrame:
+    """(thread_id, folder, goal) of the threads that were planned in a folder."""
+    return threads.where("folder IS NOT NULL").select("thread_id", "folder", "goal")
+
+
 def served_threads(members: DataFrame, hidden_tools: list[str], hidden_projects: list[str]) -> DataFrame:
     """Threads all of whose sessions a peer may see."""
     bad = F.col("tool").isin(hidden_tools) if hidden_tools else F.lit(False)

@@ -60,7 +60,7 @@ def within(messages: DataFrame, most: int, newest: bool = True) -> DataFrame:
 
 def context(hits: DataFrame, messages: DataFrame, conversations: DataFrame, most: int = CONTEXT_CHARS) -> Block:
     """A block of the conversations in ``hits`` (conversation_id, score), the best first."""
-    held = within(messages.join(F.broadcast(hits.select("conversation_id").distinct()), "conversation_id"), most, newest=False)
+    held = within(messages.join(hits.select("conversation_id").distinct(), "conversation_id"), most, newest=False)
     rows = held.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))).alias("ms"))
     best = hits.groupBy("conversation_id").agg(F.max("score").alias("score"))
     found = rows.join(best, "conversation_id").join(conversations.select("conversation_id", "title", "tool", "started_at"), "conversation_id").orderBy(F.desc("score"), "conversation_id").collect()
@@ -77,6 +77,65 @@ def recent_corpus(conversations: DataFrame, messages: DataFrame, n: int, per_rec
     return _fit("\n\n".join(f"# {r.title}\n{r.text}" for r in rows), most)
 
 
+def samples(conversations: DataFrame, messages: DataFrame, n: int, per_record: int, most: int) -> tuple[str, list[str]]:
+    """The latest conversations under their tools and titles, until ``most`` characters are passed, and their ids."""
+    last = conversations.orderBy(F.desc_nulls_last("started_at"), "conversation_id").limit(n)
+    rows = texts(last, messages, per_record).orderBy(F.desc_nulls_last("started_at"), "conversation_id").collect()
+    out, ids = "", []
+    for r in rows:
+        out += f"\n### [{r.tool}] {r.title or '(untitled)'}\n{r.text.strip()}\n"
+        ids.append(r.conversation_id)
+        if len(out.encode()) > most:
+            break
+    return out, ids
+
+
+def texts(conversations: DataFrame, messages: DataFrame, per_record: int) -> DataFrame:
+    """Conversations with text: their first messages as role: content lines, cut at a number of characters."""
+    held = within(messages.join(conversations.select("conversation_id"), "conversation_id", "left_semi"), per_record, newest=False)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))), lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n")
+    return conversations.join(held.groupBy("conversation_id").agg(F.substring(text, 1, per_record).alias("text")), "conversation_id")
+
+
+def coach_corpus(per: DataFrame, conversations: DataFrame, messages: DataFrame, n: int = 3, per_record: int = 3500) -> tuple[str, list[str]]:
+    """The sessions of most friction and the resolved ones of least, under two headings; ``per``: session metrics."""
+    rough = per.orderBy(F.desc("friction"), "session_id").limit(n)
+    smooth = per.where("resolved AND user_turns >= 1").orderBy("friction", "session_id").limit(n)
+    out, ids = "", []
+    for head, rows, way in (("## ROUGH SESSIONS (high friction)", rough, -1), ("\n## SMOOTH SESSIONS (low friction)", smooth, 1)):
+        chosen = rows.select(F.col("session_id").alias("conversation_id"), "friction", "user_turns", "corrections")
+        found = texts(conversations.join(chosen, "conversation_id"), messages, per_record).collect()
+        out += head + "\n"
+        for r in sorted(found, key=lambda r: (way * r.friction, r.conversation_id)):
+            turns = f"{r.user_turns} user turns" + (f", {r.corrections} corrections" if way < 0 else "")
+            out += f"\n### {r.title or '(untitled)'} ({turns})\n{r.text}\n"
+            ids.append(r.conversation_id)
+    return out, ids
+
+
+def miner_corpus(found: DataFrame, conversations: DataFrame, messages: DataFrame, least: int = 3, areas: int = 8, each: int = 2, per_record: int = 3000, most: int = 60_000) -> tuple[str, list[str]]:
+    """Examples of the largest themes of ``least`` sessions or more; ``found``: themes (label, size, samples)."""
+    rows = found.where(F.col("size") >= least).orderBy(F.desc("size"), "label").limit(areas).select("label", "size", F.slice("samples", 1, each)["id"].alias("ids")).collect()
+    wanted = messages.sparkSession.createDataFrame([(i,) for r in rows for i in r.ids], "conversation_id string")
+    known = {r.conversation_id: r for r in texts(conversations.join(wanted.distinct(), "conversation_id"), messages, per_record).collect()}
+    out, ids = "", []
+    for r in rows:
+        out += f"\n## Recurring area: {r.label} ({r['size']} sessions)\n"
+        for i in (i for i in r.ids if i in known):
+            out += f"### example: {known[i].title or '(untitled)'}\n{known[i].text}\n"
+            ids.append(i)
+        if len(out.encode()) > most:
+            break
+    return out, ids
+
+
+def open_loops(per: DataFrame, messages: DataFrame, n: int = 20) -> DataFrame:
+    """(session_id, asked, answered) of the latest sessions that ended on a question."""
+    last = per.where("NOT resolved AND messages > 0").orderBy(F.desc_nulls_last("started_at"), "session_id").limit(n)
+    said = standing(messages.join(last.select(F.col("session_id").alias("conversation_id")), "conversation_id", "left_semi"))
+    return said.withColumnRenamed("conversation_id", "session_id")
+
+
 def tail(messages: DataFrame, n: int = TAIL) -> DataFrame:
     """The last ``n`` user and assistant messages of each conversation that are the person's and the assistant's own."""
     own = messages.where(F.col("role").isin("user", "assistant") & ~T.is_noise("content"))

@@ -227,7 +227,7 @@ _HALVES = """h AS (SELECT *, conv_id % 2 AS half FROM per), g AS (SELECT half, c
 
 
 def _halves(spark, sf_dir):
-    per = _per(spark, sf_dir)
+    per = _per(spark, sf_dir).persist()  # one pass over the messages for both
     return metrics.work_metrics(per.where("session_id % 2 = 0")), metrics.work_metrics(per.where("session_id % 2 = 1"))
 
 
@@ -401,7 +401,7 @@ def lww_merge(spark, sf_dir):
     return shared.merge_registers(rows, ["user_id"], ["title", "status"]).select("user_id", "title", "status")
 
 
-_TERMS = r"unnest(list_filter(regexp_split_to_array(lower(substr(text, 1, 80)), '[^\p{{L}}\p{{N}}]+'), lambda w: octet_length(encode(w)) >= 3 AND w NOT IN ({0})))".format(", ".join(f"'{w}'" for w in T.STOPWORDS))
+_TERMS = r"unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: octet_length(encode(w)) >= 3 AND w NOT IN ({0})))".format(", ".join(f"'{w}'" for w in T.STOPWORDS))
 
 
 @query(f"""WITH w AS (SELECT source, {_TERMS} AS term FROM documents), tf AS (SELECT source, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, sum(tf) AS df FROM tf GROUP BY term),
@@ -409,7 +409,7 @@ _TERMS = r"unnest(list_filter(regexp_split_to_array(lower(substr(text, 1, 80)),
   t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, term) AS rn FROM s WHERE score > 0 QUALIFY rn <= 3)
   SELECT d.source, coalesce(string_agg(term, ' · ' ORDER BY rn), '(mixed)') AS label FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN t USING (source) GROUP BY d.source""")
 def theme_labels(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").select("source", F.substring("text", 1, 80).alias("title"))
+    d = A.table(spark, sf_dir, "documents").select("source", F.coalesce("text", F.lit("")).alias("title"))
     return themes.labels(d, "source", "title")
 
 
@@ -436,9 +436,11 @@ def live_state(spark, sf_dir):
     return live_states(ev, F.lit(now)).select("path", "state", "inferred", F.unix_micros("seen").alias("seen_us"))
 
 
-@query("""WITH d AS (SELECT vec_id, label FROM embeddings) SELECT count(*) AS conversations, count(DISTINCT label) AS labels FROM d""")
+@query("SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT count(*) FROM labels WHERE toxic = 1) AS forgotten")
 def corpus_counts(spark, sf_dir):
-    return A.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("conversations"), F.count_distinct("label").alias("labels"))
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = [n(A.table(spark, sf_dir, "conversations").select("conv_id").distinct(), "conversations"), n(A.table(spark, sf_dir, "embeddings"), "embeddings"), n(A.table(spark, sf_dir, "labels").where("toxic = 1"), "forgotten")]
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
 
 
 @query("""SELECT c.conv_id, c.turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = c.conv_id AND c.turn = 0)""")
@@ -455,3 +457,7 @@ def standing(spark, sf_dir):
     from .context import standing as run
 
     return run(A.messages(spark, sf_dir).where("content IS NOT NULL"))
+
+
+# The queries of other modules register themselves.
+from . import source_queries, state_queries, text_queries  # noqa: E402, F401

@@ -126,6 +126,17 @@ def fluency_report(current: DataFrame, previous: DataFrame) -> DataFrame:
     return now.join(before).select(F.explode(rows).alias("r")).select("r.*").orderBy("place").drop("place")
 
 
+def weakest(report: DataFrame) -> DataFrame:
+    """(dimension, score) of the lowest score of :func:`fluency_report`; of equal ones the first."""
+    names = F.array(*[F.lit(n) for n in ("delegation", "description", "discernment", "diligence")])
+    return report.orderBy("score", F.array_position(names, F.col("dimension"))).limit(1).select("dimension", "score")
+
+
+def unresolved(week: DataFrame) -> DataFrame:
+    """(unresolved): how many sessions of a week's metrics ended without an answer."""
+    return week.select(F.round(F.col("abandonment_rate") * F.col("sessions")).cast("long").alias("unresolved"))
+
+
 def reflection(metrics: DataFrame) -> DataFrame:
     """(dimension) of the first open question that the data raise; null for none."""
     m = F.col
@@ -151,9 +162,29 @@ def quota(sidecar: DataFrame, now: Column) -> DataFrame:
     return sidecar.where(F.col("used").between(0, 100) & (F.col("resets_at") + F.expr("INTERVAL 24 HOURS") >= now))
 
 
-def weekly_review(cache: dict | None, now: dt.date, build: Callable[[], str], write: Callable[[str], str] | None = None) -> dict:
-    """The review of the week, from the cache for seven days; ``write`` may be a model, else the deterministic text stands."""
-    if cache and (now - dt.date.fromisoformat(cache["made"])).days < STALE_DAYS:
+def weekly_review(cache: dict | None, now: dt.date, sessions: int, summary: str, corpus: str = "", write: Callable[[str], str] | None = None, force: bool = False) -> dict:
+    """The review of the seven days before ``now``, from the cache while that is less than a week old.
+
+    ``write`` may be a model, which gets the figures and samples; without one, or where it fails, the figures stand.  The
+    period is named by its first day."""
+    if cache and not force and (now - dt.date.fromisoformat(cache["made"])).days < STALE_DAYS:
         return cache
-    facts = build()
-    return {"made": now.isoformat(), "period": f"{now.isocalendar().year}-W{now.isocalendar().week:02d}", "text": write(facts) if write else facts}
+    text, by_model = "No sessions in the last 7 days — nothing to review.", False
+    if sessions:
+        text = f"## This week, by the numbers\n\n{summary}"
+        if write is None:
+            text += "\n\n_Give a model for a review in words and a suggestion._"
+        else:
+            try:
+                asked = f"Metrics of the last 7 days:\n\n{summary}\n\nSome of the sessions:\n{corpus}\n\nWrite a short weekly review in Markdown: what was worked on, how (with two or three of the figures), and one thing to try next week."
+                text, by_model = write(asked), True
+            except Exception:  # noqa: BLE001  the figures stand where the model fails
+                pass
+    return {"made": now.isoformat(), "period": (now - dt.timedelta(days=STALE_DAYS)).isoformat(), "text": text, "by_model": by_model}
+
+
+def deliver(review: dict, folder: str, delivered: str | None, put: Callable[[str, str], None]) -> tuple[str, bool]:
+    """The review as ``weekly-<period>.md`` in ``folder``, written anew each time, and whether its period had been ``delivered``."""
+    path = f"{folder.rstrip('/')}/weekly-{review['period']}.md"
+    put(path, review["text"])
+    return path, delivered == review["period"]

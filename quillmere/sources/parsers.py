@@ -41,8 +41,20 @@ class Session:
 
 
 def fences(text: str) -> list[tuple[str, str]]:
-    """(language, code) of the fenced blocks; the last may be unterminated."""
-    return [(m[1].strip(), m[2]) for m in re.finditer(r"^```([^\n`]*)\n(.*?)(?:^```\s*$|\Z)", text, re.M | re.S)]
+    """(language, code) of the fenced blocks, whose fences may be indented; the first word after a fence is the language; an
+    empty block counts if it is closed, the last block may be open."""
+    out, language, body = [], None, []
+    for line in text.splitlines():
+        mark = line.lstrip().startswith("```")
+        if language is None:
+            if mark:
+                language, body = next(iter(line.lstrip()[3:].split()), ""), []
+        elif mark:
+            out.append((language, "\n".join(body)))
+            language = None
+        else:
+            body.append(line)
+    return [*out, (language, "\n".join(body))] if language is not None and body else out
 
 
 def when(value: Any) -> dt.datetime | None:
@@ -80,92 +92,129 @@ def _span(s: Session) -> Session:
     return s
 
 
-def _blocks(content: Any) -> tuple[str, list[str], set[str]]:
-    """Text, tool names and block types of typed content."""
-    if isinstance(content, str):
-        return content, [], {"text"}
-    parts, tools, kinds = [], [], set()
-    for b in content if isinstance(content, list) else []:
-        if not isinstance(b, dict):
-            continue
-        kind = b.get("type", "")
-        kinds.add(kind)
-        if kind in ("text", "input_text", "output_text"):
-            parts.append(str(b.get("text", "")))
-        elif kind in ("tool_use", "tool_call"):
-            tools.append(str(b.get("name", "")))
-        elif kind == "tool_result":
-            parts.append(_blocks(b.get("content", ""))[0])
-    return "\n".join(p for p in parts if p), [t for t in tools if t], kinds
+def _strings(*values: Any) -> str | None:
+    """The first value that is a non-empty string."""
+    return next((v for v in values if isinstance(v, str) and v), None)
+
+
+def _widened(s: Session, t: dt.datetime | None) -> None:
+    """The session's span with one time more."""
+    if t:
+        s.started_at = min(s.started_at or t, t)
+        s.ended_at = max(s.ended_at or t, t)
+
+
+def _compact(value: Any) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _part(part: Any) -> str | None:
+    """The text of a part: a string, or an object with a text."""
+    if isinstance(part, str):
+        return part
+    return part["text"] if isinstance(part, dict) and isinstance(part.get("text"), str) else None
+
+
+def _parts(content: Any) -> str:
+    """The text of a string, a part, or a list of parts, a blank line between these."""
+    if isinstance(content, list):
+        return "\n\n".join(t for p in content if (t := _part(p)) is not None)
+    return _part(content) or ""
 
 
 def claude_code(path: str, content: bytes) -> list[Session]:
     s = Session("claude-code", path, [], native_id=PurePosixPath(path).stem)
     for x in json_lines(content.decode("utf-8", "replace")):
-        s.project, s.branch = s.project or x.get("cwd"), s.branch or x.get("gitBranch")
+        s.project, s.branch = s.project or _strings(x.get("cwd")), s.branch or _strings(x.get("gitBranch"))
+        ts = when(x["timestamp"]) if isinstance(x.get("timestamp"), str) else None
+        _widened(s, ts)
         m = x.get("message")
-        if x.get("type") == "summary":
-            s.title = s.title or x.get("summary")
-        if x.get("type") not in ("user", "assistant", "system") or not isinstance(m, dict):
+        if not isinstance(m, dict):
             continue
-        s.model = s.model or m.get("model")
-        text, tools, kinds = _blocks(m.get("content"))
-        role = m.get("role") or x["type"]
-        if role == "user" and kinds == {"tool_result"}:
+        s.model = s.model or _strings(m.get("model"))
+        blocks = m.get("content") if isinstance(m.get("content"), list) else []
+        blocks = [b if isinstance(b, dict) else {} for b in blocks]
+        texts = [m["content"]] if isinstance(m.get("content"), str) else []
+        for b in blocks:
+            if b.get("type") == "text" and isinstance(b.get("text"), str):
+                texts.append(b["text"])
+            elif b.get("type") == "tool_result" and (result := b.get("content")):
+                texts.append(_parts([r for r in result if isinstance(r, dict)] if isinstance(result, list) else result if isinstance(result, str) else ""))
+        tools = [str(b.get("name") or "") for b in blocks if b.get("type") == "tool_use"]
+        text = "\n\n".join(t for i, t in enumerate(texts) if t or i)
+        role = _strings(m.get("role"), x.get("type"))
+        role = role if role in ("assistant", "system") else "user"
+        if role == "user" and blocks and not any(b.get("type") in ("text", "tool_use", "thinking") for b in blocks):
             role = "tool"
         if text.strip() or tools:
-            s.messages.append(Message(role, text, when(x.get("timestamp")), tools))
+            s.messages.append(Message(role, text, ts, tools))
     return [_span(s)]
 
 
+# The items of a rollout that are calls and results of tools.
+CALLS, RESULTS = ("function_call", "local_shell_call", "custom_tool_call"), ("function_call_output", "local_shell_call_output")
+
+
 def codex(path: str, content: bytes) -> list[Session]:
     s = Session("codex", path, [], native_id=PurePosixPath(path).stem)
+
+    def text(value: Any) -> str:
+        out = ""
+        for b in value if isinstance(value, list) else [value] if isinstance(value, str) else []:
+            t = _part(b)
+            out += "" if t is None else t if isinstance(b, str) or not out else f"\n\n{t}"
+        return out
+
     for x in json_lines(content.decode("utf-8", "replace")):
         p = x.get("payload") if isinstance(x.get("payload"), dict) else x
+        s.project, s.model = s.project or _strings(p.get("cwd")), s.model or _strings(p.get("model"))
+        at = x.get("timestamp", p.get("timestamp"))
+        _widened(s, when(at) if isinstance(at, str) else None)
         if x.get("type") == "session_meta":
-            s.native_id, s.project, s.started_at = p.get("id") or s.native_id, p.get("cwd"), when(p.get("timestamp") or x.get("timestamp"))
+            s.native_id = _strings(p.get("id"), s.native_id)
             continue
-        s.model = s.model or p.get("model")
-        kind, ts = p.get("type", ""), when(x.get("timestamp"))
-        if ts:
-            s.started_at, s.ended_at = s.started_at or ts, ts
+        kind = p.get("type")
         if kind == "message":
-            text, _, _ = _blocks(p.get("content"))
-            if text.strip():
-                s.messages.append(Message(p.get("role", "user"), text))
-        elif kind.endswith("_call"):
-            name = p.get("name") or kind
-            s.messages.append(Message("tool", f"{name}({p.get('arguments') or p.get('input') or ''})", tools=[name]))
-        elif kind.endswith("_output"):
-            out = p.get("output")
-            s.messages.append(Message("tool", out if isinstance(out, str) else json.dumps(out)))
+            said = text(p.get("content"))
+            if said.strip():
+                s.messages.append(Message(p["role"] if p.get("role") in ("assistant", "system", "tool") else "user", said))
+        elif kind in CALLS:
+            name, given = p["name"] if isinstance(p.get("name"), str) else "tool", p.get("arguments")
+            s.messages.append(Message("tool", f"{name}({given if isinstance(given, str) else '' if given is None else _compact(given)})", tools=[name]))
+        elif kind in RESULTS and (said := text(p.get("output", p.get("content")))).strip():
+            s.messages.append(Message("tool", said))
     return [_span(s)]
 
 
 def aider(path: str, content: bytes) -> list[Session]:
-    out: list[Session] = []
-    for n, part in enumerate(re.split(r"^# aider chat started at ", content.decode("utf-8", "replace"), flags=re.M)[1:]):
-        first, _, body = part.partition("\n")
-        s = Session("aider", path, [], native_id=f"{path}#{n}", project=str(PurePosixPath(path).parent), started_at=when(first.strip().replace(" ", "T")))
-        s.ended_at = s.started_at
-        for line in body.splitlines():
-            if line.startswith(">"):
-                if m := re.match(r">\s*Model:\s*(\S+)", line):
-                    s.model = s.model or m[1]
+    """Lines before a first marker are a session of their own, without a time; notes (``>``) are no messages."""
+    mark, found = "# aider chat started at ", []
+    for line in content.decode("utf-8", "replace").splitlines():
+        if line.startswith(mark) or not found:
+            s = Session("aider", path, [], native_id=f"{path}#{len(found)}", project=str(PurePosixPath(path).parent))
+            s.started_at = s.ended_at = when(line[len(mark) :].strip().replace(" ", "T")) if line.startswith(mark) else None
+            found.append(s)
+            if line.startswith(mark):
                 continue
-            role, text = ("user", line[5:]) if line.startswith("#### ") else ("assistant", line)
-            if s.messages and s.messages[-1].role == role:
-                s.messages[-1].content += "\n" + text
-            elif text.strip():
-                s.messages.append(Message(role, text))
+        s = found[-1]
+        if line.startswith(">"):
+            model = line[1:].split("Model:")[1].split() if "Model:" in line else []
+            s.model = s.model or (model[0] if model else None)
+            continue
+        # "####" and a blank is a user's line; "#####" is a heading of the answer
+        role, text = ("user", line[5:]) if line == "####" or line.startswith("#### ") else ("assistant", line)
+        if s.messages and s.messages[-1].role == role:
+            s.messages[-1].content += f"\n{text}"
+        else:
+            s.messages.append(Message(role, text))
+    for s in found:
         for m in s.messages:
             m.content = m.content.strip()
         s.messages = [m for m in s.messages if m.content]
-        if s.messages:
-            out.append(s)
-    if not out:
+    found = [s for s in found if s.messages]
+    if not found:
         raise ValueError("no sessions")
-    return out
+    return found
 
 
 def cline(path: str, content: bytes) -> list[Session]:
@@ -175,150 +224,182 @@ def cline(path: str, content: bytes) -> list[Session]:
     folder = PurePosixPath(path).parent.name
     s = Session("cline", path, [], native_id=folder, started_at=when(int(folder)) if folder.isdigit() else None)
     s.ended_at = s.started_at
-    for x in data:
+
+    def text(value: Any) -> str:
+        if not isinstance(value, list):
+            return value if isinstance(value, str) else ""
         parts = []
-        for b in [{"type": "text", "text": x.get("content")}] if isinstance(x.get("content"), str) else x.get("content") or []:
-            if b.get("type") == "text":
-                parts.append(str(b.get("text", "")))
-            elif b.get("type") == "tool_use":
-                parts.append(f"[tool: {b.get('name', '')}] {json.dumps(b.get('input', {}))}")
+        for b in value:
+            if not isinstance(b, dict):
+                continue
+            if b.get("type") == "tool_use":
+                parts.append(f"[tool: {b.get('name', 'tool')}] {_compact(b['input']) if 'input' in b else ''}")
             elif b.get("type") == "tool_result":
-                parts.append(_blocks(b.get("content", ""))[0])
-        if "\n".join(parts).strip():
-            s.messages.append(Message(x.get("role", "user"), "\n".join(parts)))
+                if (inner := text(b.get("content"))).strip():
+                    parts.append(inner)
+            elif (t := _part(b)) is not None:  # also of kinds that are not known
+                parts.append(t)
+        return "\n\n".join(parts)
+
+    for x in data:
+        if isinstance(x, dict) and (said := text(x.get("content"))).strip():
+            s.messages.append(Message(x["role"] if x.get("role") in ("assistant", "system") else "user", said))
     return [_span(s)]
 
 
+def _inside(state: Any, path: list) -> Any:
+    """What lies at a path of keys and places; None where it leads nowhere."""
+    for key in path:
+        if isinstance(state, dict) and isinstance(key, str) and key in state:
+            state = state[key]
+        elif isinstance(state, list) and isinstance(key, int) and 0 <= key < len(state):
+            state = state[key]
+        else:
+            return None
+    return state
+
+
 def replay(entries: Iterable[dict]) -> Any:
-    """The state that a mutation log leaves: 0 sets the root, 1 a value at a path, 2 truncates and extends, 3 deletes."""
-    state: Any = {}
+    """The state that a mutation log leaves: 0 sets the root, 1 a value at a path, 2 truncates a list and extends it, 3
+    deletes a key.  What does not fit the state is left out."""
+    state: Any = None
     for e in entries:
-        kind, path, value = e.get("kind", 0), e.get("k") or e.get("path") or [], e.get("v", e.get("value"))
+        kind, path, value = e.get("kind"), e.get("k"), e.get("v")
         if kind == 0:
             state = value
+        elif state is None or not isinstance(path, list):
             continue
-        at, ok = state, bool(path)
-        for key in path[:-1]:
-            if isinstance(at, list) and isinstance(key, int) and 0 <= key < len(at) or isinstance(at, dict) and key in at:
-                at = at[key]
-            else:
-                ok = False
-                break
-        if not ok:
-            continue
-        last = path[-1]
-        if kind == 1 and isinstance(at, list) and isinstance(last, int):
-            if 0 <= last < len(at):
-                at[last] = value
-            elif last == len(at):
-                at.append(value)
-        elif kind == 1 and isinstance(at, dict):
-            at[last] = value
-        elif kind == 2:
-            held = at.get(last) if isinstance(at, dict) else at[last] if isinstance(last, int) and last < len(at) else None
-            if held is None and isinstance(at, dict):
-                held = at[last] = []
-            if isinstance(held, list):
-                if isinstance(e.get("i"), int):
-                    del held[e["i"] :]
-                held.extend(value if isinstance(value, list) else [] if value is None else [value])
-        elif kind == 3 and isinstance(at, dict):
-            at.pop(last, None)
+        elif kind == 1 and not path:
+            state = value
+        elif kind == 2 and isinstance(held := _inside(state, path), list):
+            if isinstance(e.get("i"), int):
+                del held[e["i"] :]
+            held.extend(value if isinstance(value, list) else [] if value is None else [value])
+        elif kind in (1, 3) and path:
+            holder, last = _inside(state, path[:-1]), path[-1]
+            if isinstance(holder, dict) and isinstance(last, str):
+                if kind == 1:
+                    holder[last] = value
+                else:
+                    holder.pop(last, None)
+            elif kind == 1 and isinstance(holder, list) and isinstance(last, int) and 0 <= last <= len(holder):
+                holder[last : last + 1] = [value]
     return state
 
 
 def copilot(path: str, content: bytes) -> list[Session]:
     text = content.decode("utf-8", "replace")
-    try:
-        data = json.loads(text)
-        state = replay([data]) if isinstance(data, dict) and "kind" in data else data
-    except ValueError:
-        state = replay(json_lines(text))
+    state = replay(json_lines(text)) if path.endswith(".jsonl") else json.loads(text)
     if not isinstance(state, dict):
         raise ValueError("no chat session")
-    s = Session("copilot", path, [], native_id=state.get("sessionId") or PurePosixPath(path).stem, title=state.get("customTitle") or state.get("computedTitle"), started_at=when(state.get("creationDate")))
+    title = state["customTitle"] if "customTitle" in state else state.get("computedTitle")
+    s = Session("copilot", path, [], native_id=_strings(state.get("sessionId"), PurePosixPath(path).stem), title=_strings(title), started_at=when(state.get("creationDate")))
     s.ended_at = s.started_at
+
+    def shown(part: Any) -> str:
+        """Text, or Markdown as an object; other parts of an answer (calls, references) have none."""
+        if isinstance(part, dict):
+            inner = part.get("content")
+            part = part["value"] if isinstance(part.get("value"), str) else inner.get("value") if isinstance(inner, dict) else None
+        return part if isinstance(part, str) else ""
+
     for r in state.get("requests") or []:
-        asked = r.get("message")
-        asked = asked.get("text", "") if isinstance(asked, dict) else str(asked or "")
-        answer = "".join(str(p.get("value", "") if isinstance(p.get("value"), str) else (p.get("content") or {}).get("value", "")) for p in r.get("response") or [] if isinstance(p, dict))
-        s.messages += [Message(role, t) for role, t in (("user", asked), ("assistant", answer)) if t.strip()]
+        if isinstance(r, dict):
+            answer = r.get("response")
+            answer = "".join(map(shown, answer)) if isinstance(answer, list) else shown(answer)
+            s.messages += [Message(role, t) for role, t in (("user", _part(r.get("message")) or ""), ("assistant", answer)) if t.strip()]
     return [_span(s)]
 
 
 def gemini(path: str, content: bytes) -> list[Session]:
     text = content.decode("utf-8", "replace")
-    try:
-        state = json.loads(text)
-    except ValueError:
-        state = {"messages": []}
-        for x in json_lines(text):
-            if "$set" in x:
-                state |= x["$set"]
-            elif "$rewindTo" in x:
-                ids = [m.get("id") for m in state["messages"]]
-                if x["$rewindTo"] in ids:
-                    del state["messages"][ids.index(x["$rewindTo"]) + 1 :]
-            elif "type" in x or "role" in x:
-                state["messages"].append(x)
-            else:
-                state |= x
-    s = Session("gemini", path, [], native_id=state.get("sessionId") or PurePosixPath(path).stem, started_at=when(state.get("startTime")))
-    s.ended_at = s.started_at
-    for m in state.get("messages") or []:
-        role = {"gemini": "assistant", "model": "assistant"}.get(m.get("type") or m.get("role"), m.get("type") or m.get("role") or "user")
-        text, _, _ = _blocks(m.get("content") if isinstance(m.get("content"), str) else [{"type": "text", "text": p.get("text", "")} for p in m.get("content") or [] if isinstance(p, dict)])
-        if text.strip() and role in ("user", "assistant", "system"):
-            s.messages.append(Message(role, text))
+    s = Session("gemini", path, [], native_id=PurePosixPath(path).stem)
+    if path.endswith(".jsonl"):
+        head, *rest = json_lines(text) if text.strip() else [{}]
+        records = list(head.get("messages") or [])
+        for x in rest:
+            if isinstance(x.get("$set"), dict):  # only what says when it began matters of what is set
+                head.setdefault("startTime", x["$set"].get("startTime"))
+            elif isinstance(x.get("$rewindTo"), str):
+                place = next((i for i, m in enumerate(records) if m.get("id") == x["$rewindTo"]), len(records))
+                del records[place + 1 :]
+            elif "type" in x or "content" in x:
+                records.append(x)
+    else:
+        head = json.loads(text)
+        records = head.get("messages") or []
+    s.native_id = _strings(head.get("sessionId"), s.native_id)
+    s.started_at = s.ended_at = when(head["startTime"]) if isinstance(head.get("startTime"), str) else None
+    for m in records:
+        role = {"user": "user", "gemini": "assistant", "assistant": "assistant", "model": "assistant"}.get(m.get("type")) if isinstance(m, dict) else None
+        if role and (said := _parts(m.get("content"))).strip():  # other rows are the interface's own
+            s.messages.append(Message(role, said))
     return [_span(s)]
 
 
-def grok(path: str, content: bytes, updates: bytes | None = None) -> list[Session]:
+# Updates that say something.
+SAID = {"user_message_chunk": "user", "user_message": "user", "agent_message_chunk": "assistant", "agent_message": "assistant"}
+
+
+def grok(path: str, content: bytes, updates: bytes | None = None, summary: bytes | None = None) -> list[Session]:
+    """The chat history; where no user speaks in it, the stream of updates, whose neighbouring chunks are one message."""
     folder = PurePosixPath(path).parent
-    s = Session("grok", path, [], native_id=folder.name, project=unquote(folder.parent.name))
+    try:
+        about = json.loads(summary or b"{}")
+    except ValueError:
+        about = {}
+    about = about if isinstance(about, dict) else {}
+    place = unquote(folder.parent.name)
+    s = Session("grok", path, [], native_id=folder.name, project=place if place.startswith("/") or ":\\" in place or ":/" in place else None)
     for x in json_lines(content.decode("utf-8", "replace")):
-        if x.get("role", x.get("type")) in ("user", "assistant"):
-            text, _, _ = _blocks(x.get("content"))
-            tools = [c.get("function", {}).get("name", "") for c in x.get("tool_calls") or [] if isinstance(c, dict)]
-            if text.strip() or tools:
-                s.messages.append(Message(x.get("role", x.get("type")), text, when(x.get("timestamp")), [t for t in tools if t]))
-    if not any(m.role == "user" for m in s.messages) and updates:
-        s.messages, broken = [], True
-        for x in json_lines(updates.decode("utf-8", "replace")):
+        x = x["message"] if isinstance(x.get("message"), dict) else x
+        if x.get("role") in ("user", "assistant"):
+            calls = [c.get("function", c) for c in x.get("tool_calls") or [] if isinstance(c, dict)]
+            m = Message(x["role"], _parts(x.get("content")), when(x.get("timestamp")), [c["name"] for c in calls if isinstance(c, dict) and isinstance(c.get("name"), str)])
+            if m.content.strip() or m.tools:
+                s.messages.append(m)
+    if not any(m.role == "user" for m in s.messages):
+        s.messages = []
+        for x in json_lines((updates or b"").decode("utf-8", "replace")):
             u = (x.get("params") or {}).get("update") or x.get("update") or x
-            kind, ts = u.get("sessionUpdate", ""), when(x.get("timestamp"))
-            role = {"user_message_chunk": "user", "agent_message_chunk": "assistant"}.get(kind)
-            if role:
-                chunk = u.get("content") or {}
-                chunk = chunk.get("text", "") if isinstance(chunk, dict) else str(chunk)
-                if s.messages and s.messages[-1].role == role and not broken:
-                    s.messages[-1].content += chunk
+            kind, ts = u.get("sessionUpdate"), when(x.get("timestamp")) or when(u.get("timestamp"))
+            last = s.messages[-1] if s.messages else None
+            if kind == "tool_call":
+                if last is None or last.role != "assistant":
+                    s.messages.append(last := Message("assistant", "", ts))
+                last.tools.append(_strings(u.get("title", u.get("kind"))) or "tool")
+            elif role := SAID.get(kind):
+                if last is not None and last.role == role and not last.tools:
+                    last.content += _parts(u.get("content"))
                 else:
-                    s.messages.append(Message(role, chunk, ts))
-                broken = False
-            elif kind == "tool_call":
-                broken = True
-                for m in reversed(s.messages):
-                    if m.role == "assistant":
-                        m.tools.append(u.get("title") or u.get("name") or "tool")
-                        break
+                    s.messages.append(Message(role, _parts(u.get("content")), ts))
+        s.messages = [m for m in s.messages if m.content.strip() or m.tools]
+    s.title, s.model = (_strings(about.get("title")) or "").strip() or None, _strings(about.get("model"))
+    if s.messages:
+        s.started_at = when(about.get("created_at")) or s.messages[0].ts
+        s.ended_at = when(about.get("updated_at")) or next((m.ts for m in reversed(s.messages) if m.ts), None) or s.started_at
     return [_span(s)]
 
 
 def markdown_folder(path: str, files: dict[str, str]) -> list[Session]:
-    """A folder that directly holds Markdown files: task.md first, then by name."""
-    order = sorted(files, key=lambda n: (n != "task.md", n))
-    first = next((m[1].strip() for n in order if (m := re.search(r"^#+\s+(.+)$", files[n], re.M))), PurePosixPath(path).name[:8])
-    return [_span(Session("antigravity", path, [Message("assistant", files[n]) for n in order if files[n].strip()], native_id=PurePosixPath(path).name, title=first))]
-
-
-def skill(path: str, content: bytes, tool: str = "claude-code") -> list[Session]:
-    text = content.decode("utf-8", "replace")
-    m = re.match(r"---\s*\n(.*?)\n---\s*\n?", text, re.S)
-    front = dict(re.findall(r"^(\w+):\s*[\"']?(.*?)[\"']?\s*$", m[1], re.M)) if m else {}
-    p = PurePosixPath(path)
-    name = front.get("name") or (p.parent.name if p.stem.upper() == "SKILL" else p.stem)
-    return [_span(Session(tool, path, [Message("system", text)], kind="skill", native_id=name, title=name if not front.get("description") else f"{name}: {front['description']}"))]
+    """A folder that directly holds Markdown files: task.md first, then by name, each under its name as a heading."""
+    order, name = [n for n in sorted(files, key=lambda n: (n != "task.md", n)) if files[n].strip()], PurePosixPath(path).name
+    heads = (next((line.strip().lstrip("#").strip() for line in files[n].splitlines() if line.strip().startswith("#")), "") for n in order)
+    title = next((h for h in heads if h), f"Antigravity {name.split('-')[0]}" if name else None)
+    return [_span(Session("antigravity", path, [Message("assistant", f"## {n}\n\n{files[n]}") for n in order], native_id=name, title=title))]
+
+
+def skill(path: str, content: bytes, tool: str = "claude-code", modified: dt.datetime | None = None) -> list[Session]:
+    """A skill: its name, and description and body as one message.  A prompt of the other tool has no head: its file's name,
+    and all of it."""
+    text, p = content.decode("utf-8", "replace"), PurePosixPath(path)
+    name, body, about = p.stem, text, ""
+    if tool == "claude-code":
+        m = re.match(r"\ufeff*---(.*?)\n---\n*", text, re.S)
+        front = {k: v.strip().strip("\"'").strip() for k, v in re.findall(r"^[ \t]*(\w+)[ \t]*:(.*)$", m[1], re.M)} if m else {}
+        name, about, body = front.get("name") or p.parent.name, front.get("description", ""), text[m.end() :] if m else text
+    said = (f"{about}\n\n" if about else "") + body.strip()
+    return [Session(tool, path, [Message("system", said)], kind="skill", native_id=name, title=name, started_at=modified, ended_at=modified)]
 
 
 def _key_values(content: bytes, table: str) -> dict[str, Any]:
@@ -338,55 +419,80 @@ def _key_values(content: bytes, table: str) -> dict[str, Any]:
         con.close()
 
 
-def _bubble_role(b: dict) -> str:
-    kind = b.get("type", b.get("role"))
-    return "assistant" if kind in (2, "2", "assistant", "ai", "bot") else "user"
-
-
-def cursor(path: str, content: bytes) -> list[Session]:
+def cursor(path: str, content: bytes, workspace: bytes | None = None) -> list[Session]:
+    """Chats of the old panel, and composers, whose turns hold their text or name the row that does.  ``workspace`` is the
+    description beside the database, which names the project."""
     items, disk = _key_values(content, "ItemTable"), _key_values(content, "cursorDiskKV")
+    try:
+        folder = _strings(json.loads(workspace or b"{}").get("folder"))
+    except (ValueError, AttributeError):
+        folder = None
     out = []
 
-    def add(native: str, title: str | None, bubbles: list[dict], at: Any) -> None:
-        ms = [Message(_bubble_role(b), str(b.get("text") or b.get("rawText") or "")) for b in bubbles if isinstance(b, dict)]
-        ms = [m for m in ms if m.content.strip()]
+    def add(native: str, title: Any, ms: list[Message], at: Any) -> None:
+        ms = [m for m in ms if m.content]
         if ms:
             t = when(at)
-            out.append(Session("cursor", path, ms, native_id=native, title=title, started_at=t, ended_at=t))
-
-    for tab in (items.get("workbench.panel.aichat.view.aichat.chatdata") or {}).get("tabs") or []:
-        add(str(tab.get("tabId", len(out))), tab.get("chatTitle"), tab.get("bubbles") or [], tab.get("lastSendTime"))
+            out.append(Session("cursor", path, ms, native_id=native, title=_strings(title), project=folder and folder.removeprefix("file://"), started_at=t, ended_at=t))
+
+    text = lambda b: b["text"].strip() if isinstance(b, dict) and isinstance(b.get("text"), str) else ""
+    by_name, by_number = {"user": "user", "ai": "assistant", "assistant": "assistant"}, lambda kind: "assistant" if kind == 2 else "user"
+    legacy = items.get(LEGACY_KEY)
+    for tab in legacy.get("tabs") or [] if isinstance(legacy, dict) else []:
+        if isinstance(tab.get("tabId"), str):
+            bubbles = [b for b in tab.get("bubbles") or [] if isinstance(b, dict)]
+            add(tab["tabId"], tab.get("chatTitle"), [Message(by_name[b["type"]], text(b)) for b in bubbles if b.get("type") in by_name], None)
     for key, c in disk.items():
-        if key.startswith("composerData:") and isinstance(c, dict):
-            cid = c.get("composerId") or key.partition(":")[2]
-            bubbles = c.get("conversation") or [disk.get(f"bubbleId:{cid}:{h.get('bubbleId')}") for h in c.get("fullConversationHeadersOnly") or []]
-            add(cid, c.get("name"), [b for b in bubbles if b], c.get("createdAt"))
+        if not key.startswith("composerData:") or not isinstance(c, dict):
+            continue
+        cid, ms = key.partition(":")[2], []
+        turns = c["conversation"] if isinstance(c.get("conversation"), list) else c.get("fullConversationHeadersOnly")
+        for t in turns if isinstance(turns, list) else []:
+            if isinstance(t, dict):
+                row = {} if text(t) else disk.get(f"bubbleId:{cid}:{t.get('bubbleId')}") or {}
+                ms.append(Message(by_number(t.get("type", row.get("type"))), text(t) or text(row)))
+        add(cid, c.get("name"), ms, c.get("createdAt"))
     if not out:
         raise ValueError("no conversations")
     return out
 
 
 # Keys under which the chats may stand.
-WINDSURF_KEYS = ["workbench.panel.aichat.view.aichat.chatdata", "aiChat.chatdata", "chat.data", "cascade.chatdata"]
+LEGACY_KEY = "workbench.panel.aichat.view.aichat.chatdata"
+WINDSURF_KEYS = [LEGACY_KEY, "aiChat.chatdata", "chat.data", "cascade.chatdata"]
 
 
 def windsurf(path: str, content: bytes) -> list[Session]:
+    """The tabs of the first key that is there."""
     items, out = _key_values(content, "ItemTable"), []
-    for key in WINDSURF_KEYS:
-        data = items.get(key)
-        chats = data if isinstance(data, list) else next((data[k] for k in ("sessions", "tabs", "conversations") if isinstance(data.get(k), list)), []) if isinstance(data, dict) else []
-        for n, c in enumerate(chats):
-            ms = [Message(_bubble_role(b), str(b.get("rawText") or b.get("text") or b.get("content") or "")) for b in c.get("messages") or c.get("bubbles") or [] if isinstance(b, dict)]
-            ms = [m for m in ms if m.content.strip()]
-            if ms:
-                t = when(c.get("createdAt"))
-                out.append(Session("windsurf", path, ms, native_id=str(c.get("id") or c.get("tabId") or n), title=c.get("title") or c.get("name") or c.get("chatTitle"), started_at=t, ended_at=t))
+    data = next((items[k] for k in WINDSURF_KEYS if k in items), None)
+    roles = {"assistant": "assistant", "ai": "assistant", "bot": "assistant", "tool": "tool", "function": "tool"}
+
+    def text(b: dict) -> str:
+        for key in ("rawText", "text", "content"):
+            if isinstance(b.get(key), str):
+                return b[key]
+            if isinstance(b.get(key), list) and (found := [p for p in b[key] if isinstance(p, dict) and _part(p) is not None]):
+                return _parts(found)
+        return ""
+
+    for n, tab in enumerate(data.get("tabs") or [] if isinstance(data, dict) else []):
+        ms = []
+        for b in tab.get("messages", tab.get("bubbles")) or []:
+            if isinstance(b, dict) and text(b).strip():
+                kind = b.get("type")
+                role = roles.get(kind if isinstance(kind, str) else b.get("role"), "user") if not isinstance(kind, int) else "assistant" if kind == 2 else "user"
+                ms.append(Message(role, text(b)))
+        if ms:
+            t = when(tab.get("createdAt"))
+            title = next((tab[k] for k in ("chatTitle", "name", "title") if k in tab), None)
+            out.append(Session("windsurf", path, ms, native_id=str(tab.get("tabId", n)), title=_strings(title), started_at=t, ended_at=t))
     if not out:
         raise ValueError("no conversations")
     return out
 
 
-PARSERS: dict[str, Callable[[str, bytes], list[Session]]] = {
+PARSERS: dict[str, Callable[..., list[Session]]] = {
     "claude-code": claude_code, "codex": codex, "cursor": cursor, "windsurf": windsurf, "aider": aider, "cline": cline, "copilot": copilot, "gemini": gemini,
-    "grok": grok, "skills": skill, "codex-prompts": lambda p, c: skill(p, c, "codex"),
+    "grok": grok, "skills": skill, "codex-prompts": lambda p, c, **more: skill(p, c, "codex", **more),
 }

@@ -1,23 +1,39 @@
-"""State as versioned Parquet tables: a write makes a new version and then moves a pointer, so readers keep what they read."""
+"""State as versioned Parquet tables: a write makes a new version and then a new pointer, so readers keep what they read.
+
+Pointers are numbered and never change: a reader takes the largest, a writer makes the next by renaming a whole file to
+its name, which fails if another writer was first.  So a crash at any time leaves the last whole state."""
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schema
 
 SCHEMAS = {
     "conversations": schema.CONVERSATIONS, "messages": schema.MESSAGES, "embeddings": schema.EMBEDDINGS, "user_state": schema.USER_STATE, "forgotten": schema.FORGOTTEN, "threads": schema.THREADS,
     "membership": schema.MEMBERSHIP, "links": schema.LINKS, "rejections": schema.REJECTIONS, "room_log": schema.ROOM_LOG, "room_agents": schema.ROOM_AGENTS, "claims": schema.CLAIMS,
-    "tasks": schema.TASKS, "notes": schema.NOTES, "kv": "key string, value string",
+    "tasks": schema.TASKS, "notes": schema.NOTES, "kv": "key string, value string, version long",
+    "room_sessions": schema.ROOM_SESSIONS, "scanned": schema.SCANNED, "postings": schema.POSTINGS, "sizes": schema.SIZES,
 }
 
 
+#: Columns by which tables are laid out in folders, so that a query reads the folders it needs.
+LAYOUT = {"postings": ["bucket"]}
+#: Pointers that are kept for readers that hold an older one, and parts of a table from which it is written anew.
+KEPT, MOST_PARTS = 5, 64
+
+
+class Conflict(RuntimeError):
+    """Another writer has changed the table meanwhile: read it again and repeat."""
+
+
 class Store:
-    """Tables below ``root``.  ``<table>/current.json`` lists the folders that make up the table now."""
+    """Tables below ``root``.  ``<table>/pointer-<n>.json`` lists the folders that make up the table as of its n-th change."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -27,40 +43,60 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(name)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _parts(self, table: str) -> list[str]:
-        p, fs = self._path(f"{self.root}/{table}/current.json")
-        if not fs.exists(p):
-            return []
-        text = self.spark.read.option("wholetext", "true").text(f"{self.root}/{table}/current.json").first()
-        return json.loads(text[0]) if text else []
-
-    def _point(self, table: str, parts: list[str]) -> None:
-        temp, fs = self._path(f"{self.root}/{table}/current-{uuid.uuid4().hex}.tmp")
+    def _pointers(self, table: str) -> list[int]:
+        p, fs = self._path(f"{self.root}/{table}")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"pointer-(\d+)\.json", n)))
+
+    def _parts(self, table: str) -> tuple[int, list[str]]:
+        """The number of the table's last change, and its folders."""
+        numbers = self._pointers(table)
+        if not numbers:
+            return 0, []
+        text = self.spark.read.option("wholetext", "true").text(f"{self.root}/{table}/pointer-{numbers[-1]:012d}.json").first()
+        return numbers[-1], json.loads(text[0])
+
+    def _point(self, table: str, after: int, parts: list[str]) -> None:
+        temp, fs = self._path(f"{self.root}/{table}/pointer-{uuid.uuid4().hex}.tmp")
         out = fs.create(temp, True)
         out.write(bytearray(json.dumps(parts).encode()))
         out.close()
-        final, _ = self._path(f"{self.root}/{table}/current.json")
-        fs.delete(final, False)
-        fs.rename(temp, final)
+        final, _ = self._path(f"{self.root}/{table}/pointer-{after + 1:012d}.json")
+        if fs.exists(final) or not fs.rename(temp, final):
+            fs.delete(temp, False)
+            raise Conflict(f"{table} has changed since it was read")
+        for n in self._pointers(table)[:-KEPT]:
+            fs.delete(self._path(f"{self.root}/{table}/pointer-{n:012d}.json")[0], False)
 
     def read(self, table: str) -> DataFrame:
-        parts = self._parts(table)
+        parts = self._parts(table)[1]
         if not parts:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{table}/{p}" for p in parts])
+        read = self.spark.read.option("mergeSchema", "true")
+        if table in LAYOUT:  # folders are read one by one: each is the root of its own layout
+            frames = [read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/{p}") for p in parts]
+            out = frames[0]
+            for f in frames[1:]:
+                out = out.unionByName(f)
+            return out
+        return read.parquet(*[f"{self.root}/{table}/{p}" for p in parts])
 
     def _write(self, table: str, df: DataFrame) -> str:
         name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{table}/{name}")
+        by = LAYOUT.get(table)
+        (df.repartition(*by).write.partitionBy(*by) if by else df.write).parquet(f"{self.root}/{table}/{name}")
         return name
 
     def append(self, table: str, df: DataFrame) -> None:
-        parts = self._parts(table)
-        self._point(table, [*parts, self._write(table, df)])
+        n, parts = self._parts(table)
+        if len(parts) >= MOST_PARTS:
+            self._point(table, n, [self._write(table, self.read(table).unionByName(df, allowMissingColumns=True))])
+        else:
+            self._point(table, n, [*parts, self._write(table, df)])
 
     def replace(self, table: str, df: DataFrame) -> None:
         """``df`` may read the table it replaces."""
-        self._point(table, [self._write(table, df)])
+        self._point(table, self._parts(table)[0], [self._write(table, df)])
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` as a written table, its lineage cut."""
@@ -69,9 +105,10 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def get(self, key: str) -> str | None:
-        row = self.read("kv").where(f"key = '{key}'").first()
+        """The value of the last version of a key."""
+        row = self.read("kv").where(F.col("key") == key).orderBy(F.desc("version")).first()
         return row.value if row else None
 
     def put(self, key: str, value: str) -> None:
-        new = self.spark.createDataFrame([(key, value)], SCHEMAS["kv"])
-        self.replace("kv", self.read("kv").where(f"key <> '{key}'").unionByName(new))
+        held = self.read("kv").where(F.col("key") == key).agg(F.max("version")).first()[0]
+        self.append("kv", self.spark.createDataFrame([(key, value, (held or 0) + 1)], SCHEMAS["kv"]))

@@ -56,6 +56,21 @@ def live_states(events: DataFrame, now: Column) -> DataFrame:
     return last.select("path", F.when(quiet, "idle").otherwise(F.col("state")).alias("state"), F.when(quiet, F.col("seen")).otherwise(F.col("since")).alias("since"), "seen", quiet.alias("inferred"))
 
 
+# Tools that keep a file for each session, whose time of change says something about it.
+FILE_TOOLS = ["claude-code", "codex", "gemini", "grok"]
+
+
+def inferred_running(sessions: DataFrame, files: DataFrame, live: DataFrame, now: Column) -> DataFrame:
+    """(path, state, since, seen, inferred) of sessions without a live state that must be running: active within a day, in a tool
+    with a file for each session, and that file changed within 45 seconds.
+
+    ``sessions`` (path, tool, last_activity), ``files`` (path, modificationTime), ``live`` (path, …)."""
+    recent = sessions.where(F.col("tool").isin(FILE_TOOLS) & (F.col("last_activity") + F.expr(f"INTERVAL {ACTIVE_HOURS} HOURS") >= now)).select("path").distinct()
+    fresh = files.where(F.col("modificationTime") + F.expr(f"INTERVAL {INFER_SECONDS} SECONDS") >= now).select("path", F.col("modificationTime").alias("seen"))
+    found = recent.join(fresh, "path").join(live.select("path"), "path", "left_anti")
+    return found.select("path", F.lit("running").alias("state"), F.col("seen").alias("since"), "seen", F.lit(True).alias("inferred"))
+
+
 class LiveProcessor(StatefulProcessor):
     """The same machine over a stream keyed by path: event-time timers make quiet sessions idle and forget old ones."""
 

@@ -1,12 +1,14 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmere.engine import Engine
 from quillmere.operators import activity, rooms, shared
 from quillmere.operators.search import Filters
 from quillmere import schema
+from quillmere.store import Conflict, Store
 
 
 def write(path, name, project, turns, day=1, extra=""):
@@ -42,13 +44,116 @@ def test_from_files_to_answers(spark, tmp_path):
     e.flag(key, note="n")
     r = e.saved().first()
     assert (r.pinned, r.note, r.tags) == (True, "n", ["a", "b"]) and e.search("unicode", "lexical", filters=Filters(tag="A")).count() == 1
+    gone = e.table("conversations").where(f"session_key = '{key}'").first().conversation_id
     e.forget([key])
+    for name in ("conversations", "messages", "embeddings", "postings", "sizes"):
+        assert e.table(name).where(f"conversation_id = '{gone}'").count() == 0 and e.table(name).count() > 0, name
+    assert e.conversation(gone).collect() == [] and e.search("unicode", "lexical").count() == 0
     assert e.table("conversations").count() == 1 and e.index("claude-code", str(src))["indexed"] == 0
     e.post("r", "a", "hello", 5)
     e.post("r", "b", "done", 6)
     assert [r.id for r in e.table("room_log").orderBy("id").collect()] == [1, 2] and e.rooms().first().messages == 2
 
 
+def test_a_model_of_ones_own_embeds_all(spark, tmp_path):
+    def lengths(texts):
+        return [[float(len(t)), 1.0, float(t.count("e"))] for t in texts]
+
+    (tmp_path / "src").mkdir()
+    write(tmp_path / "src", "one", "/w/a", ["some words here", "and there"])
+    e = Engine(spark, str(tmp_path / "store"), embed=lengths, model="lengths")
+    e.index("claude-code", str(tmp_path / "src"))
+    assert {(len(r.embedding), r.model) for r in e.table("embeddings").collect()} == {(3, "lengths")}
+    assert e.search("some words here", "semantic").first().seq == 0
+    other = Engine(spark, str(tmp_path / "store"))
+    with pytest.raises(Exception, match="384 dimensions"):
+        other.search("words", "semantic").collect()
+    other.embed_pending()
+    assert {(len(r.embedding), r.model) for r in e.table("embeddings").collect()} == {(384, "hash")} and other.search("and there", "semantic").first().seq == 1
+
+
+def test_metrics_look_at_neither_kind_nor_tag(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    write(tmp_path / "src", "one", "/w/a", ["do it", "done"])
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index("claude-code", str(tmp_path / "src"))
+    assert [e.metrics(f).first().sessions for f in (Filters(kind="skill"), Filters(tag="x"), Filters(project="zzz"))] == [1, 1, 0]
+    text = e.summary()
+    assert text.startswith("Sessions analyzed: 1 across 1 project(s).\nTools: claude-code 1.") and "Busiest hour: 10:00." in text and len(text.splitlines()) == 17
+    r = e.weekly_review(dt.date(2026, 1, 5), folder=str(tmp_path / "out"))
+    assert r["text"].startswith("## This week, by the numbers") and not r["already_delivered"] and (tmp_path / "out" / "weekly-2025-12-29.md").read_text() == r["text"]
+    assert e.weekly_review(dt.date(2026, 1, 6), lambda _: "new", str(tmp_path / "out"))["already_delivered"] and e.weekly_review(dt.date(2026, 1, 6), lambda _: "new", force=True)["text"] == "new"
+    assert e.weekly_review(dt.date(2026, 6, 6), force=True)["text"].startswith("No sessions")
+    assert e.weakest(dt.date(2026, 1, 5)).first().dimension == "diligence" and e.unresolved(dt.date(2026, 1, 5)).first().unresolved == 0
+    assert "ROUGH SESSIONS" in e.insight("coach") and "[claude-code]" in e.insight("work") and e.insight("loops", len) > 100 and e.insight("miner")
+    hits, lost = e.search_devices({"far": Engine(spark, "/proc/none/there"), "bad": None}, "done", k=3)
+    assert hits.first().device == "here" and lost == ["bad"]
+
+
+def test_rooms_from_posts_to_archives(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    write(tmp_path / "src", "one", "/w/a", ["do it", "done"])
+    write(tmp_path / "src", "two", "/w/b", ["look", "seen"], day=9)
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index("claude-code", str(tmp_path / "src"))
+    paths = {r.project: r.path for r in e.table("conversations").collect()}
+    e.bind("r", "ann", paths["/w/a"])
+    e.bind("r", "bob", paths["/w/b"])
+    assert e.claim("r", "ann", "/src", 100) == [] and e.claim("r", "bob", "/src/x", 100) == ["ann"]
+    assert e.send("r", "ann", "hello bob", 101, cap=3) is None
+    e.send("r", "bob", "hello ann", 102, recipient="ann")
+    assert "DONE" in e.send("r", "ann", "more", 103, cap=1)
+    e.send("r", "ann", "DONE all well", 104)
+    assert e.table("claims").count() == 0 and e.claim("r", "bob", "/src/x", 105) == []
+    c = e.table("conversations").where("kind = 'exchange'").first()
+    assert (c.tool, c.title, c.message_count) == ("rooms", "r: hello bob", 3)
+    assert [(m.role, m.content) for m in e.conversation(c.conversation_id).collect()] == [("assistant", "ann: hello bob"), ("assistant", "bob → ann: hello ann"), ("assistant", "ann: DONE all well")]
+    assert e.archive("r") == 0 and [(r.kind, r.applied) for r in e.table("links").collect()] == [("conversed", True)]
+    assert e.threads().where("sessions = 2").count() == 1 and e.search("hello", "lexical").first().tool == "rooms"
+    assert [m.text for m in e.history("r", 2).collect()] == ["hello ann", "DONE all well"]
+    e.plan("r", "ann", [{"id": "t1", "title": "build", "owner": "bob", "files": ["/x"]}, {"id": "t2", "title": "rest"}], 110)
+    assert [m.recipient for m in e.history("r", 1).collect()] == ["bob"] and e.gather("r").first().waiting == ["t1 (bob, todo)", "t2 (unassigned, todo)"]
+    e.task("r", "t1", "bob", 111, "done")
+    e.task("r", "t2", "ann", 111, "blocked")
+    assert e.gather("r").first().finished and [m.text for m in e.history("r", 1).collect()] == ["t1 is done: build"]
+    key = next(r.session_key for r in e.table("links").select(F.col("b").alias("session_key")).collect())
+    e.unlink(key)
+    assert e.threads().where("sessions = 2").count() == 0 and e.table("links").count() == 0
+
+
+def test_a_crash_between_tables_leaves_everything_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "src").mkdir()
+    write(tmp_path / "src", "one", "/w/a", ["do it", "done"])
+    e = Engine(spark, str(tmp_path / "store"))
+    append = e.store.append
+
+    def failing(table, df):
+        if table == "conversations":
+            raise RuntimeError("crash")
+        append(table, df)
+
+    monkeypatch.setattr(e.store, "append", failing)
+    with pytest.raises(RuntimeError):
+        e.index("claude-code", str(tmp_path / "src"))
+    monkeypatch.setattr(e.store, "append", append)
+    assert e.index("claude-code", str(tmp_path / "src"))["indexed"] == 1
+    assert e.table("messages").count() == 2 == e.table("sizes").count() and e.table("postings").count() == 3
+
+
+def test_writers_that_met_another_are_told(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    a.put("it's", "1")
+    a.put("it's", "2")
+    assert b.get("it's") == "2" and b.get("other") is None
+    n, parts = a._parts("kv")
+    a._point("kv", n, parts)
+    with pytest.raises(Conflict):
+        b._point("kv", n, parts)
+    for i in range(70):
+        a._point("kv", a._parts("kv")[0], parts)
+    assert len(a._pointers("kv")) == 5 and b.get("it's") == "2"
+
+
 def test_folders_and_commands(spark):
     c = spark.createDataFrame([("a", "/w", dt.datetime(2026, 1, 1), 3, "/f"), ("b", "/w/x", dt.datetime(2026, 1, 1), 5, "/f"), ("c", "/wx", dt.datetime(2026, 2, 1), 1, "/g")], "conversation_id string, project string, last_activity timestamp, message_count int, path string")
     assert activity.latest_in_folder(c, "/w/x/y/").first().conversation_id == "b" and activity.latest_in_folder(c, "/w/z").first().conversation_id == "a" and activity.of_source_path(c, "/f").first().conversation_id == "b"

@@ -1,3 +1,5 @@
+import collections
+import dataclasses
 import datetime as dt
 import itertools
 import math
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from quillmere import schema
 from quillmere.operators import activity, ingest, metrics, rooms, search, shared, themes, threads
 from quillmere.plans import context, reports
+from quillmere.streaming.ingest import sizes
 
 
 def t(minutes, day=1):
@@ -35,9 +38,24 @@ def test_keyword_search_ranks_and_collapses(corpus):
 
 def test_index_gives_the_same_scores(corpus):
     direct = {(r.conversation_id, r.seq): r.score for r in search.bm25(corpus, "parser fails").collect()}
-    n, mean = corpus.select(F.size(search.T.tokens(F.coalesce("content", F.lit("")))).alias("n")).agg(F.count("*"), F.avg("n")).first()
-    index = search.bm25_from_postings(search.postings(corpus), "parser fails", n, mean)
-    assert {(r.conversation_id, r.seq): pytest.approx(r.score) for r in index.collect()} == direct
+    index, lengths = search.postings(corpus).withColumn("bucket", search.bucket(F.col("term"))), sizes(corpus)
+    found = lambda q: {(r.conversation_id, r.seq): pytest.approx(r.score) for r in search.bm25_from_postings(index, lengths, q).collect()}
+    assert found("parser fails") == direct and direct and found("nowhere") == found("--") == {}
+    plain = collections.Counter((r.conversation_id, r.seq, w) for r in corpus.select("conversation_id", "seq", F.explode(search.T.tokens("content")).alias("w")).collect() for w in [r.w])
+    assert {(r.conversation_id, r.seq, r.term): r.tf for r in index.collect()} == dict(plain)
+    some = corpus.where("tool = 'aider'")
+    assert [tuple(r) for r in search.indexed_search(index, lengths, "parser", 5, some).collect()] == [pytest.approx(tuple(r)) for r in search.keyword_search(some, "parser", 5).collect()]
+
+
+def test_search_of_devices_names_those_that_fail(spark):
+    hits = spark.createDataFrame([("x", 1, 9.0)], "conversation_id string, seq int, score double")
+
+    def broken():
+        raise OSError("gone")
+
+    found, lost = search.federated_search({"a": lambda: hits, "b": broken, "c": lambda: hits.where("raise_error('no') is null")}, 5)
+    assert [(r.conversation_id, r.device) for r in found.collect()] == [("x", "a")] and lost == ["b", "c"]
+    assert search.federated_search({"a": lambda: hits, "b": broken}, 5, ["b"]) == (None, ["b"])
 
 
 def test_semantic_floor_and_needle(spark):
@@ -122,8 +140,13 @@ def test_reports(spark, per):
     for _ in range(40):
         s = reports.optimise(reports.optimise(s, values, lever, day), values, lever, day, force=True)
     assert len(s["log"]) == 30
-    w = reports.weekly_review(None, day, lambda: "facts")
-    assert w["text"] == "facts" and reports.weekly_review(w, day + dt.timedelta(days=6), lambda: "new") is w and reports.weekly_review(w, day + dt.timedelta(days=7), lambda: "new", str.upper)["text"] == "NEW"
+    w = reports.weekly_review(None, day, 3, "facts")
+    assert w["text"].startswith("## This week, by the numbers\n\nfacts") and w["period"] == "2025-12-25" and reports.weekly_review(w, day + dt.timedelta(days=6), 3, "new") is w
+    assert reports.weekly_review(w, day + dt.timedelta(days=7), 3, "new", "c", lambda x: x[:7])["text"] == "Metrics"
+    assert reports.weekly_review(w, day, 3, "new", "c", lambda x: 1 / 0, force=True) == w | {"text": "## This week, by the numbers\n\nnew"}
+    assert reports.weekly_review(None, day, 0, "")["text"].startswith("No sessions")
+    scores = spark.createDataFrame([("delegation", 40), ("description", 20), ("diligence", 20)], "dimension string, score int")
+    assert tuple(reports.weakest(scores).first()) == ("description", 20)
 
 
 # ---- threads
@@ -151,7 +174,10 @@ def test_threads_and_summaries(spark):
     rows = spark.createDataFrame([session("sk_a", end=5, title="First"), session("sk_b", tool="aider", start=60, title="Second"), session("sk_c", start=9000)], S)
     out = threads.threads_of(rows)
     ids = {r.session_key: r.thread_id for r in out.collect()}
-    assert ids["sk_a"] == ids["sk_b"] and ids["sk_a"].startswith("th_w") and ids["sk_c"] == "th_c"
+    assert ids["sk_a"] == ids["sk_b"] and ids["sk_a"].startswith("th_w") and ids["sk_c"].startswith("th_w") and ids["sk_c"] != ids["sk_a"]
+    alone = threads.threads_of(rows.where("session_key = 'sk_a'")).first().thread_id
+    assert alone == ids["sk_a"]  # the same, whether another session has joined or not
+    assert threads.threads_of(rows.where("session_key = 'sk_a'").withColumn("repo_key", F.lit(None).cast("string"))).first().thread_id == "th_a"
     s = {r.thread_id: r for r in threads.summarise(out).collect()}
     assert (s[ids["sk_a"]].title, s[ids["sk_a"]].tools, s[ids["sk_a"]].messages, s[ids["sk_a"]].last_activity) == ("First", ["codex", "aider"], 4, t(60))
     member = spark.createDataFrame([("sk_c", ids["sk_a"])], schema.MEMBERSHIP)
@@ -182,21 +208,73 @@ def test_link_detection(spark):
     assert links_of(spark, everything, start=60 + 1441) == []
 
 
-def test_link_state(spark):
-    none, rej = spark.createDataFrame([], schema.LINKS), spark.createDataFrame([], schema.REJECTIONS)
-    one = threads.put_link(threads.put_link(none, "a", "b", "continued", "detected", 0.5, False), "b", "a", "related", "manual", 1.0, True)
-    assert [(r.a, r.b, r.kind) for r in one.collect()] == [("b", "a", "related")]
+def test_feature_branches_have_one_thread_on_every_device(spark):
+    far = [session("sk_a", title="First"), session("sk_b", start=50_000), session("sk_c", start=None)]
+    rows = spark.createDataFrame(far, S).withColumn("branch", F.lit("feat/x"))
+    ids = {r.thread_id for r in threads.threads_of(rows).collect()}
+    other = {r.thread_id for r in threads.threads_of(rows.where("session_key = 'sk_b'")).collect()}
+    assert len(ids) == 1 and ids == other
+    heads = threads.sessionise(rows, "repo_key", "branch", "started_at", "last_activity", "session_key")
+    assert {r.head for r in heads.collect()} == {"sk_a"}
+    # case counts: Main is a branch of its own, main is not
+    for branch, n in (("Main", 1), ("main", 3), ("", 3)):
+        assert len({r.thread_id for r in threads.threads_of(rows.withColumn("branch", F.lit(branch))).collect()}) == n
+
+
+def state(spark, members):
+    """A state in which nothing has been said, and the sessions (key, thread, started_at) as they are grouped."""
+    of = lambda cols: spark.createDataFrame([], cols)
+    rows = spark.createDataFrame([(k, th, None if at is None else t(at)) for k, th, at in members], "session_key string, thread_id string, started_at timestamp")
+    return threads.State(of(schema.THREADS), of(schema.MEMBERSHIP), of(schema.LINKS), of(schema.REJECTIONS)), rows
+
+
+def held(s):
+    return {r.session_key: r.thread_id for r in s.membership.collect()}, {r.thread_id: r.title for r in s.threads.collect()}, {(r.a, r.b, r.kind, r.applied) for r in s.links.collect()}, {tuple(r) for r in s.rejections.collect()}
+
+
+def test_links_merge_threads_and_part_again(spark):
+    s, members = state(spark, [("sk_a", "th_w1", 50), ("sk_b", "th_b", 10), ("sk_c", "th_b", None), ("sk_d", "th_d", 20)])
+    assert threads.ordered_pair(members, "sk_a", "sk_b") == ("sk_b", "sk_a") and threads.ordered_pair(members, "sk_c", "sk_a") == ("sk_a", "sk_c") and threads.ordered_pair(members, "sk_c", "sk_x") == ("sk_c", "sk_x")
     with pytest.raises(ValueError):
-        threads.put_link(none, "a", "b", "no such kind", "manual", 1.0, True)
-    left, refused = threads.reject_link(one, rej, "a", "b")
-    assert left.count() == 0 and [tuple(r) for r in refused.collect()] == [("a", "b")]
-    found = threads.put_link(none, "sk_a", "sk_b", "continued", "detected", 0.9, True)
-    l2, r2, m2 = threads.unlink_session(found, rej, spark.createDataFrame([("sk_a", "th_1"), ("sk_b", "th_1")], schema.MEMBERSHIP), "sk_b")
-    assert l2.count() == 0 and r2.count() == 1 and {tuple(r) for r in m2.collect()} == {("sk_a", "th_1"), ("sk_b", "th_b")}
-    merged = threads.merge_threads(m2, "th_1", "th_b")
-    assert {r.thread_id for r in merged.collect()} == {"th_1"}
-    assert [tuple(r) for r in threads.pending_suggestions(threads.put_link(none, "sk_a", "sk_b", "continued", "detected", 0.5, False), merged).collect()] == [("th_1", 1)]
-    assert threads.links_of_thread(found, merged).first().inside
+        threads.put_link(s, members, "sk_a", "sk_b", "no such kind", "explicit", 1.0, True)
+    one = threads.put_link(s, members, "sk_a", "sk_b", "continued", "detected", 0.5, False)
+    assert held(one) == ({}, {}, {("sk_b", "sk_a", "continued", False)}, set())
+    assert held(threads.reject_link(one, "sk_b", "sk_a")) == ({}, {}, set(), {("sk_a", "sk_b")})
+    # on purpose: whatever was rejected, the thread of the earlier session takes the later one in
+    two = threads.link_sessions(threads.reject_link(one, "sk_a", "sk_b"), members, "sk_a", "sk_b")
+    assert held(two) == ({"sk_b": "th_b", "sk_a": "th_b"}, {"th_b": None}, {("sk_b", "sk_a", "related", True)}, set())
+    assert held(threads.reject_link(two, "sk_a", "sk_b"))[2:] == ({("sk_b", "sk_a", "related", True)}, {("sk_a", "sk_b")}) and threads.link_sessions(two, members, "sk_a", "sk_a") is two
+    # a session that had been put somewhere brings all of that with it, and its title
+    now = spark.createDataFrame([("sk_a", "th_b", t(50)), ("sk_b", "th_b", t(10)), ("sk_d", "th_n1", t(20)), ("sk_e", "th_n1", t(30))], members.schema)
+    put = threads.State(threads.create_thread(two.threads, "th_n1", "Mine", "g", "/f"), two.membership.unionByName(spark.createDataFrame([("sk_d", "th_n1"), ("sk_e", "th_n1")], schema.MEMBERSHIP)), two.links, two.rejections)
+    three = threads.link_sessions(put, now, "sk_d", "sk_a", "continued")
+    assert held(three)[:2] == ({k: "th_n1" for k in ("sk_a", "sk_b", "sk_d", "sk_e")}, {"th_n1": "Mine"})
+    four = threads.merge_threads(put, now, "th_n1", "th_b")
+    assert held(four)[:2] == ({k: "th_b" for k in ("sk_a", "sk_b", "sk_d", "sk_e")}, {"th_b": "Mine"}) and [tuple(r) for r in threads.origin(put.threads).collect()] == [("th_n1", "/f", "g")]
+
+
+def test_a_session_that_leaves(spark):
+    s, members = state(spark, [("sk_a", "th_w1", 10), ("sk_b", "th_w1", 20), ("sk_z", "th_z", 5)])
+    assert threads.unlink_session(s, members, "sk_z") is s
+    assert held(threads.unlink_session(s, members, "sk_b"))[0] == {"sk_b": "th_b"}  # grouped by itself: pinned
+    put = threads.put_link(s, members.where("session_key <> 'sk_b'").unionByName(spark.createDataFrame([("sk_b", "th_b", t(20))], members.schema)), "sk_z", "sk_a", "continued", "detected", 0.9, True)
+    now = spark.createDataFrame([("sk_z", "th_z", t(5)), ("sk_a", "th_z", t(10))], members.schema)
+    left = threads.unlink_session(put, now, "sk_a")
+    assert held(left) == ({"sk_a": "th_a"}, {}, set(), {("sk_a", "sk_z")})  # one plain session is left: dissolved
+    titled = dataclasses.replace(put, threads=threads.set_title(put.threads, "th_z", "T"))
+    assert held(threads.unlink_session(titled, now, "sk_z"))[:2] == ({"sk_a": "th_a", "sk_z": "th_z"}, {"th_a": "T"})  # its name goes with it
+
+
+def test_many_links_at_once(spark):
+    s, members = state(spark, [(f"sk_{i}", f"th_{i}", i) for i in range(8)])
+    s = dataclasses.replace(s, threads=threads.create_thread(s.threads, "th_5", "Five", None, None))
+    found = spark.createDataFrame([("sk_4", "sk_3", 0.9, True), ("sk_5", "sk_4", 0.9, True), ("sk_6", "sk_5", 0.9, True), ("sk_2", "sk_1", 0.5, False)], "later string, earlier string, confidence double, applied boolean").withColumn("kind", F.lit("continued"))
+    got = held(threads.apply_links(s, members, found))
+    assert got[0] == {f"sk_{i}": "th_3" for i in (3, 4, 5, 6)} and got[1] == {"th_3": "Five"} and len(got[2]) == 4
+    assert held(threads.apply_links(s, members, found.limit(0)))[0] == {}
+    merged = spark.createDataFrame([("sk_1", "th_1"), ("sk_2", "th_1")], schema.MEMBERSHIP)
+    links = spark.createDataFrame([("sk_1", "sk_2", "continued", "detected", 0.5, False)], schema.LINKS)
+    assert [tuple(r) for r in threads.pending_suggestions(links, merged).collect()] == [("th_1", 1)] and threads.links_of_thread(links, merged).first().inside
     th = threads.create_thread(spark.createDataFrame([], schema.THREADS), "th_9", "T", "goal", "/f")
     assert threads.set_title(threads.set_status(th, "th_9", "done"), "th_9", " ").first()[1:5] == (None, "goal", "/f", "done")
 
@@ -229,7 +307,10 @@ def test_rooms(spark, log):
     assert {(r.id, r.skipped) for r in last} == {(5, 2), (7, 2)}
     assert {r.name: r.cursor for r in rooms.mark_read(agents, log, "r", "a").collect()} == {"a": 7, "b": 0, "c": 0}
     assert [(r.room, r.messages) for r in rooms.rooms_list(log, agents).collect()] == [("empty", 0), ("r", 7), ("q", 1)]
-    assert rooms.receive(log, log.limit(3)).count() == 8 and rooms.import_log(log, spark.createDataFrame([(9, "q", "z", "d", 1, None, "t", False, 1), (9, "new", "z", "d", 1, None, "t", False, 1)], schema.ROOM_LOG)).count() == 9
+    assert rooms.receive(log, log.limit(3)).count() == 8 and [r.id for r in rooms.history(log, "r", 2).collect()] == [6, 7] and [r.id for r in rooms.page_after(log, "r", 2, 2).collect()] == [3, 4]
+    foreign = [(1, "q", "z", None, 1, None, "t", False, 1), (2, "new", "z", None, 2, None, "t", False, 3), (3, "new", "me", None, 3, None, "t", True, 4)]
+    more, there = rooms.import_log(log, agents, spark.createDataFrame(foreign, schema.ROOM_LOG))
+    assert sorted(r.id for r in more.collect()) == [*range(1, 9), 10, 11] and [tuple(r) for r in there.where("room = 'new'").collect()] == [("new", "z", 11, 3)] and there.count() == 4
     assert rooms.send_allowed(5, 5, "x")[0] is False and rooms.send_allowed(5, 5, "done")[0] and rooms.send_allowed(3, 5, "x")[1]
     assert {(r.a, r.b) for r in rooms.conversed(log.where("room = 'r'").withColumn("exchange", F.lit(0))).collect()} == {("a", "b"), ("a", "me"), ("b", "me")}
     view = {r.room: r for r in rooms.room_view(log, agents, spark.createDataFrame([], schema.CLAIMS), spark.createDataFrame([], schema.TASKS)).collect()}
@@ -245,6 +326,11 @@ def test_claims_and_tasks(spark):
     for order in itertools.permutations([task("todo", 1, "a"), task("doing", 2, "a"), task("done", 2, "b"), task("nonsense", 9, "z")]):
         got = rooms.merge_tasks(spark.createDataFrame([], schema.TASKS), spark.createDataFrame(list(order), schema.TASKS)).collect()
         assert [r.status for r in got] == ["done"]
+    board = spark.createDataFrame([("r", "1", "t", "bob", "todo", ["/f"], 1, 1, "a"), ("r", "2", "u", "", "blocked", [], 1, 1, "a")], schema.TASKS)
+    assert [(r.recipient, r.text.splitlines()[:2]) for r in rooms.plan_messages(board, "a").collect()] == [("bob", ["Task 1 for you: t", "Files: /f (claim them before editing)"])]
+    assert tuple(rooms.gather(board).first()) == ("r", False, ["1 (bob, todo)"]) and rooms.gather(rooms.change_task(board, "1", "bob", 9, "done")).first().finished
+    with pytest.raises(ValueError):
+        rooms.change_task(board, "1", "bob", 9, "lost")
     assert rooms.board_finished(spark.createDataFrame([task("done", 1, "a")], schema.TASKS)).first().finished
 
 

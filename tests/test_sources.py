@@ -1,8 +1,11 @@
+import datetime as dt
 import json
 import sqlite3
 
+import pytest
+
 from quillmere.sources import parsers as P
-from quillmere.sources.readers import messages_of, read_sessions
+from quillmere.sources.readers import messages_of, read_message_log, read_sessions
 
 
 def lines(*xs):
@@ -17,10 +20,24 @@ CLAUDE = lines(
 )
 
 
+def said(sessions):
+    (s,) = sessions
+    return [(m.role, m.content) for m in s.messages]
+
+
 def test_claude_code():
     (s,) = P.claude_code("/x/abc.jsonl", CLAUDE)
     assert [m.role for m in s.messages] == ["user", "assistant", "tool", "assistant"] and s.messages[1].tools == ["Edit"]
-    assert (s.title, s.project, s.branch, s.model, s.native_id) == ("A title", "/w/p", "feat", "m1", "abc") and (s.ended_at - s.started_at).seconds == 180
+    assert (s.title, s.project, s.branch, s.model, s.native_id) == (None, "/w/p", "feat", "m1", "abc") and (s.ended_at - s.started_at).seconds == 180
+    at = lambda minute, **more: {"timestamp": f"2026-01-01T10:{minute:02d}:00Z", **more}
+    message = lambda *blocks, role="user": {"message": {"role": role, "content": list(blocks)}}
+    (s,) = P.claude_code("x.jsonl", lines(
+        at(30, type="summary"), at(5, type="user", **message({"type": "text", "text": "a"}, {"type": "text", "text": "b"})), at(1, type="progress"),
+        message({"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "seen"}, role="assistant"), message({"type": "thinking", "thinking": "hm"}, role="assistant"),
+        message({"type": "tool_result", "content": [{"type": "text", "text": "x"}, {"type": "text", "text": "y"}]}), {"type": "custom", "message": {"content": "bare"}}, {"type": "user", "message": {"role": "odd", "content": "odd"}},
+    ))
+    assert [(m.role, m.content) for m in s.messages] == [("user", "a\n\nb"), ("assistant", "seen"), ("tool", "x\n\ny"), ("user", "bare"), ("user", "odd")]
+    assert (s.started_at.minute, s.ended_at.minute) == (1, 30)  # every line's time counts, in any order
 
 
 def test_codex():
@@ -30,26 +47,72 @@ def test_codex():
         {"type": "response_item", "payload": {"type": "function_call_output", "output": "out"}}, {"type": "message", "role": "assistant", "content": "bare"},
     ))
     assert [(m.role, m.content) for m in s.messages] == [("user", "q"), ("tool", "sh({})"), ("tool", "out"), ("assistant", "bare")] and s.project == "/p" and s.messages[1].tools == ["sh"]
+    item = lambda **p: {"type": "response_item", "payload": p}
+    (s,) = P.codex("r.jsonl", lines(
+        {"timestamp": "2026-01-01T09:00:00Z", **item(type="message", role="system", content=[{"text": "a"}, {"text": "b"}])}, {"timestamp": "2026-01-01T08:00:00Z", **item(type="web_search_call", name="w", cwd="/late", model="m")},
+        item(type="local_shell_call", arguments={"a": [1, "é"]}), item(type="custom_tool_call", name="n"), item(type="local_shell_call_output", content=["x", "y"]), item(type="custom_tool_call_output", output="no"), item(type="message", role="developer", content="d"),
+    ))
+    assert [(m.role, m.content) for m in s.messages] == [("system", "a\n\nb"), ("tool", 'tool({"a":[1,"é"]})'), ("tool", "n()"), ("tool", "xy"), ("user", "d")]
+    assert (s.project, s.model, s.started_at.hour, s.ended_at.hour) == ("/late", "m", 8, 9)
 
 
 def test_aider():
     a, b = P.aider("/p/.aider.chat.history.md", b"# aider chat started at 2026-01-01 10:00:00\n> Model: gpt\n#### hi\n#### there\nanswer\nmore\n# aider chat started at 2026-01-02 10:00:00\n#### x\ny\n")
     assert [(m.role, m.content) for m in a.messages] == [("user", "hi\nthere"), ("assistant", "answer\nmore")] and len(b.messages) == 2 and a.native_id != b.native_id and a.model == "gpt"
+    first, second = P.aider("/p/h.md", b"text before\n# aider chat started at 2026-01-01 10:00:00\n#### q\n####\n#### r\n##### heading\n> note\nrest\n")
+    assert [(m.role, m.content) for m in first.messages] == [("assistant", "text before")] and first.started_at is None
+    assert [(m.role, m.content) for m in second.messages] == [("user", "q\n\nr"), ("assistant", "##### heading\nrest")] and second.started_at.hour == 10
+    assert said(P.aider("/p/h.md", b"#### only\nanswer")) == [("user", "only"), ("assistant", "answer")]
+    with pytest.raises(ValueError):
+        P.aider("/p/h.md", b"> notes\n\n")
+
+
+def test_cline():
+    history = lambda *xs: P.cline("/t/1767225600000/api_conversation_history.json", json.dumps(list(xs)).encode())
+    (c,) = history({"role": "user", "content": "q"}, {"role": "assistant", "content": [{"type": "tool_use", "name": "run", "input": {"a": 1}}, {"type": "image", "text": "alt"}, {"type": "image"}]}, {"role": "odd", "content": [{"type": "tool_result", "content": [{"type": "text", "text": "x"}, {"type": "text", "text": "y"}]}, {"type": "tool_result", "content": " "}]})
+    assert [(m.role, m.content) for m in c.messages] == [("user", "q"), ("assistant", '[tool: run] {"a":1}\n\nalt'), ("user", "x\n\ny")] and c.started_at.year == 2026
+    for bad in ([], {}):
+        with pytest.raises(ValueError):
+            P.cline("/t/1/x.json", json.dumps(bad).encode())
 
 
-def test_cline_copilot_gemini_grok():
-    (c,) = P.cline("/t/1767225600000/api_conversation_history.json", json.dumps([{"role": "user", "content": "q"}, {"role": "assistant", "content": [{"type": "tool_use", "name": "run", "input": {}}]}]).encode())
-    assert c.messages[1].content.startswith("[tool: run]") and c.started_at.year == 2026
+def test_copilot():
     (p,) = P.copilot("s.jsonl", lines(
-        {"kind": 0, "v": {"sessionId": "s", "computedTitle": "T", "requests": []}}, {"kind": 2, "k": ["requests"], "v": [{"message": {"text": "a"}, "response": [{"value": "b"}]}]},
-        {"kind": 1, "k": ["requests", 1], "v": {"message": {"text": "c"}, "response": []}}, {"kind": 1, "k": ["customTitle"], "v": "Mine"}, {"kind": 3, "k": ["computedTitle"]},
+        {"kind": 1, "k": ["x"], "v": 1}, {"kind": 0, "v": {"sessionId": "s", "computedTitle": "T", "requests": []}}, {"kind": 2, "k": ["requests"], "v": [{"message": {"text": "a"}, "response": [{"value": "b"}]}]},
+        {"kind": 1, "k": ["requests", 1], "v": {"message": {"text": "c"}, "response": []}}, {"kind": 1, "k": ["customTitle"], "v": "Mine"}, {"kind": 3, "k": ["computedTitle"]}, {"kind": 2, "k": ["none"], "v": [1]}, {"k": [], "v": {}},
+        {"kind": 1, "k": ["requests", 9], "v": {}}, {"kind": 2, "k": ["requests", 1, "response"], "v": {"value": "lost"}}, {"kind": 2, "k": ["requests", 1, "response"], "i": 0, "v": "kept"},
     ))
-    assert [m.content for m in p.messages] == ["a", "b", "c"] and p.title == "Mine"
-    (g,) = P.gemini("session-1.jsonl", lines({"sessionId": "g", "startTime": "2026-01-01T00:00:00Z"}, {"id": "1", "type": "user", "content": "a"}, {"id": "2", "type": "gemini", "content": "b"}, {"id": "3", "type": "user", "content": "c"}, {"$rewindTo": "2"}))
-    assert [(m.role, m.content) for m in g.messages] == [("user", "a"), ("assistant", "b")]
+    assert [m.content for m in p.messages] == ["a", "b", "c", "kept"] and p.title == "Mine"
+    parts = ["Bare ", {"value": "and "}, {"kind": "markdownContent", "content": {"value": "held."}}, {"kind": "toolInvocation", "value": {"x": 1}}, {"content": "no"}, 7]
+    requests = [{"message": "legacy", "response": parts}, {"message": {"text": "second"}, "response": "one string"}, {"message": {"text": ""}, "response": {"value": "one object"}}]
+    (p,) = P.copilot("s.json", json.dumps({"sessionId": "s", "creationDate": 1767225600000, "customTitle": "", "computedTitle": "T", "requests": requests}).encode())
+    assert [(m.role, m.content) for m in p.messages] == [("user", "legacy"), ("assistant", "Bare and held."), ("user", "second"), ("assistant", "one string"), ("assistant", "one object")]
+    assert (p.title, p.started_at.year, p.native_id) == (None, 2026, "s")
+
+
+def test_gemini():
+    head = {"sessionId": "g", "startTime": "2026-01-01T00:00:00Z"}
+    log = lambda *xs: P.gemini("session-1.jsonl", lines(*xs))
+    assert said(log(head, {"id": "1", "type": "user", "content": "a"}, {"id": "2", "type": "gemini", "content": "b"}, {"id": "3", "type": "user", "content": "c"}, {"$rewindTo": "2"}, {"$rewindTo": "9"})) == [("user", "a"), ("assistant", "b")]
+    late = log({"sessionId": "g", "messages": [{"type": "user", "content": "first"}]}, {"$set": {"startTime": "2026-01-02T00:00:00Z", "messages": []}}, {"type": "model", "content": {"text": "one object"}}, {"type": "info", "content": "row"}, {"content": "no type"}, {"type": "assistant", "content": ["bare", {"text": "part"}, {"functionCall": {}}]})
+    assert said(late) == [("user", "first"), ("assistant", "one object"), ("assistant", "bare\n\npart")] and late[0].started_at.day == 2
+    assert said(P.gemini("session-1.json", json.dumps(head | {"messages": [{"type": "user", "content": [{"text": "q"}]}, {"type": "gemini", "content": "r"}]}).encode())) == [("user", "q"), ("assistant", "r")]
+
+
+def test_grok():
     up = lines(*({"update": {"sessionUpdate": k, "content": {"text": t}, "title": "sh"}} for k, t in (("user_message_chunk", "he"), ("user_message_chunk", "y"), ("agent_message_chunk", "a"), ("tool_call", ""), ("agent_message_chunk", "b"))))
     (k,) = P.grok("/s/%2Fhome%2Fme/id1/chat_history.jsonl", lines({"role": "assistant", "content": "x"}), up)
     assert [(m.role, m.content, m.tools) for m in k.messages] == [("user", "hey", []), ("assistant", "a", ["sh"]), ("assistant", "b", [])] and k.project == "/home/me"
+    whole = lines(
+        {"timestamp": 1767225600, "update": {"sessionUpdate": "user_message", "content": "all at once"}}, {"params": {"update": {"sessionUpdate": "tool_call", "kind": "read"}}}, {"sessionUpdate": "agent_message", "content": [{"text": "p"}, "q"]}, {"sessionUpdate": "plan"},
+        {"sessionUpdate": "user_message", "content": " "},
+    )
+    about = json.dumps({"title": " T ", "model": "g", "created_at": "2025-12-31T00:00:00Z", "updated_at": 1767225600000}).encode()
+    (k,) = P.grok("/s/place/id1/chat_history.jsonl", b"", whole, about)
+    assert [(m.role, m.content, m.tools) for m in k.messages] == [("user", "all at once", []), ("assistant", "", ["read"]), ("assistant", "p\n\nq", [])]
+    assert (k.title, k.model, k.project, k.started_at.year, k.ended_at.year) == ("T", "g", None, 2025, 2026)
+    (k,) = P.grok("/s/p/id/chat_history.jsonl", lines({"message": {"role": "user", "content": [{"text": "a"}, {"text": "b"}]}}, {"role": "system", "content": "s"}, {"role": "assistant", "content": "", "tool_calls": [{"function": {"name": "f"}}, {"name": "bare"}]}))
+    assert [(m.role, m.content, m.tools) for m in k.messages] == [("user", "a\n\nb", []), ("assistant", "", ["f", "bare"])]
 
 
 def database(tmp_path, tables):
@@ -63,23 +126,72 @@ def database(tmp_path, tables):
     return path.read_bytes()
 
 
-def test_cursor_and_windsurf(tmp_path):
+def test_cursor(tmp_path):
     data = database(tmp_path, {
-        "ItemTable": {"workbench.panel.aichat.view.aichat.chatdata": {"tabs": [{"tabId": "t", "chatTitle": "old", "bubbles": [{"type": "user", "text": "a"}, {"type": "ai", "text": "b"}]}]}},
-        "cursorDiskKV": {"composerData:c1": {"composerId": "c1", "name": "in", "conversation": [{"type": 1, "text": "x"}]}, "composerData:c2": {"composerId": "c2", "fullConversationHeadersOnly": [{"bubbleId": "b1"}, {"bubbleId": "none"}]}, "bubbleId:c2:b1": {"type": 2, "text": "y"}},
+        "ItemTable": {P.LEGACY_KEY: {"tabs": [{"tabId": "t", "chatTitle": "old", "bubbles": [{"type": "user", "text": "a"}, {"type": "ai", "text": " b "}, {"type": "tool", "text": "no"}]}, {"bubbles": []}]}},
+        "cursorDiskKV": {
+            "composerData:c1": {"composerId": "c1", "name": "in", "createdAt": 1767225600000, "conversation": [{"type": 1, "text": "x"}, {"type": 2, "text": " ", "bubbleId": "b2"}, {"bubbleId": "b3"}]},
+            "composerData:c2": {"fullConversationHeadersOnly": [{"bubbleId": "b1"}, {"bubbleId": "none"}]}, "bubbleId:c2:b1": {"type": 2, "text": "y"}, "bubbleId:c1:b2": {"type": 1, "text": "z"}, "bubbleId:c1:b3": {"type": 2, "text": "w"},
+        },
     })
-    found = P.cursor("s.vscdb", data)
-    assert [(s.native_id, [(m.role, m.content) for m in s.messages]) for s in found] == [("t", [("user", "a"), ("assistant", "b")]), ("c1", [("user", "x")]), ("c2", [("assistant", "y")])]
-    (w,) = P.windsurf("w.vscdb", data)
-    assert [m.role for m in w.messages] == ["user", "assistant"]
+    found = P.cursor("s.vscdb", data, b'{"folder": "file:///w/p"}')
+    assert [(s.native_id, [(m.role, m.content) for m in s.messages]) for s in found] == [("t", [("user", "a"), ("assistant", "b")]), ("c1", [("user", "x"), ("assistant", "z"), ("assistant", "w")]), ("c2", [("assistant", "y")])]
+    assert {s.project for s in found} == {"/w/p"} and {s.project for s in P.cursor("s.vscdb", data, b"[]")} == {None} and found[1].started_at.year == 2026
+
+
+def test_windsurf(tmp_path):
+    tab = {"tabId": "t", "name": "second", "title": "third", "createdAt": 1767225600000, "messages": [{"type": "user", "rawText": "a", "text": "not this"}, {"type": 2, "text": "b"}, {"role": "bot", "content": [{"type": "text", "text": "c"}, {"text": "d"}, {"type": "image"}]}, {"type": "function", "text": "e"}, {"role": "tool", "rawText": [], "content": "f"}, {"type": 1, "text": " "}]}
+    data = database(tmp_path, {"ItemTable": {"aiChat.chatdata": {"tabs": [tab, {"bubbles": [{"text": "g"}]}]}, "chat.data": {"tabs": [{"tabId": "never", "messages": [{"text": "x"}]}]}}})
+    a, b = P.windsurf("w.vscdb", data)
+    assert [(m.role, m.content) for m in a.messages] == [("user", "a"), ("assistant", "b"), ("assistant", "c\n\nd"), ("tool", "e"), ("tool", "f")] and (a.title, a.started_at.year) == ("second", 2026)
+    assert [(m.role, m.content) for m in b.messages] == [("user", "g")] and (b.native_id, b.title) == ("1", None)
 
 
 def test_skills_folders_and_fences():
-    (s,) = P.skill("/k/deploy/SKILL.md", b"---\nname: deploy\ndescription: ships it\n---\nBody")
-    assert (s.kind, s.native_id, s.title, s.messages[0].role) == ("skill", "deploy", "deploy: ships it", "system")
-    (f,) = P.markdown_folder("/a/0123456789", {"plan.md": "p", "task.md": "# The task\n"})
-    assert f.title == "The task" and [m.content for m in f.messages] == ["# The task\n", "p"]
-    assert P.fences("a\n```py\n1\n```\nb\n```\nopen") == [("py", "1\n"), ("", "open")]
+    now = dt.datetime(2026, 1, 1, tzinfo=dt.UTC)
+    (s,) = P.skill("/k/deploy/SKILL.md", b"---\nname: 'ship'\ndescription: ships it\n---\n\nBody\n", modified=now)
+    assert (s.kind, s.native_id, s.title, s.messages[0].role, s.messages[0].content, s.started_at, s.ended_at) == ("skill", "ship", "ship", "system", "ships it\n\nBody", now, now)
+    (s,) = P.skill("/k/deploy/SKILL.md", b" plain ")
+    assert (s.title, s.messages[0].content) == ("deploy", "plain")
+    (s,) = P.PARSERS["codex-prompts"]("/k/review.md", b"---\nname: no\n---\nDo it")
+    assert (s.tool, s.title, s.messages[0].content) == ("codex", "review", "---\nname: no\n---\nDo it")
+    (f,) = P.markdown_folder("/a/0123-4567", {"plan.md": "p", "task.md": "# The task\n", "zzz.md": " "})
+    assert f.title == "The task" and [m.content for m in f.messages] == ["## task.md\n\n# The task\n", "## plan.md\n\np"]
+    assert P.markdown_folder("/a/0123-4567", {"plan.md": "p"})[0].title == "Antigravity 0123"
+    assert P.fences("a\n```py x=1\n1\n```\nb\n  ```\nin\n  ```\n```\n```\n```rs\nopen\n\nend") == [("py", "1"), ("", "in"), ("", ""), ("rs", "open\n\nend")] and P.fences("```") == []
+
+
+def test_folders_of_sessions(spark, tmp_path):
+    def put(name, text):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+
+    for name in ("ag/s1/task.md", "ag/s1/nested/more.md", "ag/brain/s2/plan.md", "ag/1/2/3/4/5/6/7/deep.md", "ag/1/2/3/4/5/six.md"):
+        put(name, f"# {name}")
+    found = read_sessions(spark, "antigravity", str(tmp_path / "ag")).collect()
+    assert {(r.native_id, r.title, len(r.messages)) for r in found} == {("s1", "ag/s1/task.md", 1), ("s2", "ag/brain/s2/plan.md", 1), ("5", "ag/1/2/3/4/5/six.md", 1)}
+    put("gr/%2Fw/one/updates.jsonl", json.dumps({"update": {"sessionUpdate": "user_message", "content": "hi"}}))
+    put("gr/%2Fw/one/summary.json", json.dumps({"title": "T"}))
+    put("gr/%2Fw/two/chat_history.jsonl", "nothing")
+    assert {(r.title, r.project, r.error) for r in read_sessions(spark, "grok", str(tmp_path / "gr")).collect()} == {("T", "/w", None), (None, None, "no messages")}
+    (tmp_path / "cu" / "x").mkdir(parents=True)
+    (tmp_path / "cu" / "x" / "state.vscdb").write_bytes(database(tmp_path, {"ItemTable": {}, "cursorDiskKV": {"composerData:c": {"conversation": [{"text": "q"}]}}}))
+    put("cu/x/workspace.json", json.dumps({"folder": "file:///w"}))
+    assert [(r.project, r.messages[0].content) for r in read_sessions(spark, "cursor", str(tmp_path / "cu")).collect()] == [("/w", "q")]
+    put("sk/deploy/SKILL.md", "body")
+    put("sk/deploy/other.md", "not a skill")
+    (r,) = read_sessions(spark, "skills", str(tmp_path / "sk")).collect()
+    assert r.title == "deploy" and r.started_at == r.ended_at is not None
+
+
+def test_message_log_of_another_tool(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "log.db")
+    con.execute("CREATE TABLE msg (id INTEGER, ts REAL, room TEXT, author TEXT, recipient TEXT, text TEXT, human INTEGER)")
+    con.executemany("INSERT INTO msg VALUES (?, ?, ?, ?, ?, ?, ?)", [(2, 20.7, "r", "b", "a", "two", 0), (1, 10.0, "r", "me", None, "one", 1)])
+    con.commit()
+    con.close()
+    rows = read_message_log(spark, (tmp_path / "log.db").read_bytes()).collect()
+    assert [(r.id, r.room, r.author, r.recipient, r.text, r.human, r.ts, r.origin_seq) for r in rows] == [(1, "r", "me", None, "one", True, 10, 1), (2, "r", "b", "a", "two", False, 20, 2)]
 
 
 def test_reader_keeps_failures_apart(spark, tmp_path):
