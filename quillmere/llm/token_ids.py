@@ -19,6 +19,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,36 +39,40 @@ RANGE_ROWS = 12_000
 #: Ranges at most: their bounds are the only thing a driver holds by range.
 MOST_RANGES = 200_000
 #: Words whose ids a worker remembers from task to task, and bytes of text that are encoded at a time.
-REMEMBERED, PIECE = 600_000, 8 << 20
-_CODERS: dict[tuple[str, str], Encoder] = {}
+REMEMBERED, PIECE = 250_000, 8 << 20
+#: Signs of ASCII, and the letters after which they are parted from a word: letters that are one letter in lower case too.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LAST_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
+_CODERS: dict[tuple[str, str, int], Encoder] = {}
 MEMORIES.append(_CODERS.clear)
 
 
 class Encoder:
     """Encodes texts by their distinct words.
 
-    Where the tokenizer's own description says so (see :meth:`_splits`), no token crosses ASCII white space, and a full
-    stop or comma after a letter is cut off: the normaliser composes characters, makes runs of white space one space and
+    Where the tokenizer's own description says so (see :meth:`_splits`), no token crosses ASCII white space, and signs
+    after a letter are cut off: the normaliser composes characters, makes runs of white space one space and
     lowers case, and the splitter keeps letters and other signs apart and drops white space.  A piece of text is split
     and reduced to its distinct words by Arrow, their ids are looked up or made, and one gather lays them out.  Words of
     ASCII signs alone are looked up in lower case, others as they are: "T" and a combining sign do not compose, "t" and
     the sign do.  So are words with "<|", which may hold a special token, whose case counts.  New words are encoded
     many at a time, between NUL characters, which have an id of their own.  Other tokenizers encode whole texts."""
 
-    def __init__(self, path: str, dtype: type = np.uint32) -> None:
+    def __init__(self, path: str, dtype: type = np.uint32, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        self.tokenizer, self.dtype, self.remembered = Tokenizer.from_file(path), np.dtype(dtype), remembered
         self.known: dict[bytes, bytes] = {}
         mark = self._ids("\0")
         self.mark = mark[0] if len(mark) == 1 and self._splits() else None
 
     @classmethod
-    def shared(cls, path: str, dtype: type) -> Encoder:
+    def shared(cls, path: str, dtype: type, remembered: int = REMEMBERED) -> Encoder:
         """The encoder of this worker process: later tasks find the words of earlier ones."""
-        key = (path, np.dtype(dtype).str)
+        key = (path, np.dtype(dtype).str, remembered)
         if key not in _CODERS:
-            _CODERS[key] = cls(path, dtype)
+            _CODERS.clear()
+            _CODERS[key] = cls(path, dtype, remembered)
         return _CODERS[key]
 
     def _ids(self, text: str) -> list[int]:
@@ -94,11 +99,11 @@ class Encoder:
                 out[w] = np.asarray(self._ids(w.decode("utf-8", "replace")), self.dtype).tobytes()
             else:
                 plain.append(w)
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            ids = np.asarray(self._ids(" \0 ".join([w.decode("utf-8", "replace") for w in part])), self.dtype)
+        for run in (plain[at : at + 200] for at in range(0, len(plain), 200)):
+            (coded,) = self.tokenizer.encode_batch_fast([" \0 ".join([w.decode("utf-8", "replace") for w in run])], add_special_tokens=False)
+            ids = np.asarray(coded.ids, self.dtype)
             cut, raw = np.flatnonzero(ids == self.mark) * size, ids.tobytes()
-            out.update(zip(part, [raw[a:b] for a, b in zip([0, *(cut + size).tolist()], [*cut.tolist(), len(raw)], strict=True)], strict=True))
+            out.update(zip(run, [raw[a:b] for a, b in zip([0, *(cut + size).tolist()], [*cut.tolist(), len(raw)], strict=True)], strict=True))
         return out
 
     def _words(self, words: list[bytes]) -> list[bytes]:
@@ -109,21 +114,25 @@ class Encoder:
         if new:
             got = self._fresh(new)
             out = [got[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
-            if len(known) + len(got) <= REMEMBERED:  # the words that came first stay: most of them are frequent
-                known.update(got)
+            # the words that came first stay: most of them are frequent
+            known.update(islice(got.items(), max(0, self.remembered - len(known))))
         return out
 
     def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct ``words``, one after another, and their numbers.  A last full stop or comma after a letter
-        of ASCII is left out of what is looked up."""
-        lower = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
-        keys = pc.if_else(lower, pc.ascii_lower(words), words)
-        last = pc.and_(lower, pc.match_substring_regex(keys, "[a-z][.,]$"))
-        stems = pc.if_else(last, pc.ascii_rtrim(keys, ".,"), keys).dictionary_encode()
-        made = [*self._words([b".", b","]), b"", *self._words(stems.dictionary.view(pa.binary()).to_pylist())]
-        parts = np.empty((len(words), 2), np.int64)
-        parts[:, 0] = stems.indices.to_numpy() + 3
-        parts[:, 1] = np.where(last.to_numpy(zero_copy_only=False), pc.ends_with(keys, ",").to_numpy(zero_copy_only=False), 2)
+        """The ids of distinct ``words``, one after another, and their numbers.  Signs of ASCII at the end, after a letter of
+        Latin-1, are looked up apart from the rest."""
+        plain = pc.invert(pc.match_substring(words, "<|"))
+        keys = pc.if_else(pc.and_(pc.string_is_ascii(words), plain), pc.ascii_lower(words), words)
+        stems = pc.ascii_rtrim(keys, SIGNS)
+        cut = pc.and_(pc.and_(plain, pc.not_equal(pc.binary_length(stems), pc.binary_length(keys))), pc.match_substring_regex(stems, LAST_LETTER))
+        at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        ends = [k[n:] for k, n in zip(keys.take(at).view(pa.binary()).to_pylist(), pc.binary_length(stems.take(at)).to_pylist(), strict=True)]
+        signs = {e: i for i, e in enumerate(dict.fromkeys(ends))}
+        stems = pc.if_else(cut, stems, keys).dictionary_encode()
+        made = [b"", *self._words(list(signs)), *self._words(stems.dictionary.view(pa.binary()).to_pylist())]
+        parts = np.zeros((len(words), 2), np.int64)
+        parts[:, 0] = stems.indices.to_numpy() + len(signs) + 1
+        parts[at, 1] = [signs[e] + 1 for e in ends]
         flat, length = np.frombuffer(b"".join(made), self.dtype), np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
         return _gathered(flat, length, parts.ravel())[0], length[parts].sum(axis=1)
 
@@ -138,7 +147,9 @@ class Encoder:
         parts = split.flatten()
         # white space at an end leaves an empty word, which has no ids
         count[1:] = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        del split
         seen = parts.dictionary_encode()
+        del parts
         flat, length = self._joined(seen.dictionary)
         # the turn of each word, the end after each text's last
         turn = np.full(count[-1] + len(texts), len(length), np.int32)
@@ -151,10 +162,12 @@ class Encoder:
 
 def _gathered(flat: np.ndarray, length: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of runs that lie in ``flat`` one after another, those in ``turn``, and the places where these begin and end."""
-    first = np.cumsum(length) - length
-    size = length[turn]
-    upto = np.concatenate([[0], np.cumsum(size)])
-    return flat[np.repeat(first[turn] - upto[:-1], size) + np.arange(upto[-1])], upto
+    first, size = (np.cumsum(length) - length).astype(np.int32), length.astype(np.int32)[turn]
+    upto = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=upto[1:])
+    place = np.arange(upto[-1], dtype=np.int32)
+    place += np.repeat(first[turn] - upto[:-1], size)
+    return flat[place], upto
 
 
 def _parts(doc_ids: pa.Array, crc: np.ndarray, bounds: np.ndarray, nulls: int) -> np.ndarray:
@@ -167,7 +180,7 @@ def _parts(doc_ids: pa.Array, crc: np.ndarray, bounds: np.ndarray, nulls: int) -
     return np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1 + spread(nulls), out).astype(np.int32)
 
 
-def encode(docs: DataFrame, path: str, end_id: int = 1, cuts: list[int] | None = None, nulls: int = 1) -> DataFrame:
+def encode(docs: DataFrame, path: str, end_id: int = 1, cuts: list[int] | None = None, nulls: int = 1, remembered: int = REMEMBERED, piece: int = PIECE) -> DataFrame:
     """(doc_id, ids binary, part) of every row of ``docs`` (doc_id, text): whole texts (null: empty), then ``end_id``.
 
     ids are uint16 if the vocabulary and the end id fit, else uint32; see :func:`width`.  part: see :func:`_parts`."""
@@ -176,9 +189,9 @@ def encode(docs: DataFrame, path: str, end_id: int = 1, cuts: list[int] | None =
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = Encoder.shared(path, dtype)
+        coder = Encoder.shared(path, dtype, remembered)
         for b in batches:
-            for lo, hi in pieces(as_bytes(b.column(1))[1], PIECE):
+            for lo, hi in pieces(as_bytes(b.column(1))[1], piece):
                 doc_ids = b.column(0).slice(lo, hi - lo)
                 ids, at = coder.encode(b.column(1).slice(lo, hi - lo), end_id)
                 coded = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at * dtype.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
@@ -276,7 +289,7 @@ def keyed_read(shard: str, doc_id: int) -> np.ndarray | None:
 SHARDS = "shard string, part long, number long, docs long, ids long, first_id long, last_id long"
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None, range_rows: int = RANGE_ROWS, remembered: int = REMEMBERED, piece: int = PIECE) -> DataFrame:
     """Encode and write ``docs`` (doc_id, text; other columns, whatever their names, are not looked at); the table (shard,
     part, number, docs, ids, first_id, last_id, base).
 
@@ -285,6 +298,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, folder: str | None
     others and have no key.  Rows of one doc_id keep together, in the order of the CRC of their ids; a very frequent id, or
     null, has several ranges.  There are ``MOST_RANGES`` ranges at most, so those of a very large table grow.  ``base`` is the
     number of ids in all shards before: sums over runs of parts, and one over those sums.  An empty table has no shards.
+    ``remembered`` and ``piece`` bound a worker's memory, some 200 bytes a word and 10 a byte of text, and change no id.
     Files have their attempt's name, the table lists those of attempts that ended well."""
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "ids")
@@ -327,7 +341,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, folder: str | None
         if out is not None:
             yield closed()
 
-    rows = encode(docs, path, end_id, cuts, nulls)
+    rows = encode(docs, path, end_id, cuts, nulls, remembered, piece)
     rows = rows.repartitionById(len(cuts) + 1 + nulls, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.crc32("ids"))
     return _with_base(stash(rows.select("doc_id", "ids").mapInArrow(tidy(write), SHARDS), "shards"))
 

@@ -59,6 +59,20 @@ def test_mix_meets_its_targets(docs, rows, empty):
     assert mixing.mix(numbered(empty, "no").select(F.col("no").alias("row"), "doc_id", "source", "text")).collect() == []
 
 
+def test_mix_of_small_buckets_and_several_flights(spark, monkeypatch):
+    """Sources that leave more undecided than one flight takes, and an id that overfills its bucket."""
+    monkeypatch.setattr(mixing, "BUCKET", 40)
+    monkeypatch.setattr(mixing, "LAST_FLIGHT", 30)
+    rng = random.Random(8)
+    rows = [(i, i if i % 4 else 7, f"s{i % 3}", words(rng, rng.randint(1, 60))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "row long, doc_id long, source string, text string").repartition(3)
+    out, again = (sorted(map(tuple, mixing.mix(d).collect())) for d in (df, df.repartition(5)))
+    assert out == again and len(out) == 1500
+    for s in ("s0", "s1", "s2"):
+        mine = [r for r in out if r[2] == s]
+        assert abs(sum(r[3] * r[6] for r in mine) - mine[0][5]) <= 0.02 * mine[0][5] and all(0 <= r[6] <= 3 for r in mine)
+
+
 def test_targets_of_many_sources(spark):
     rng = np.random.default_rng(3)
     sizes = {f"s{i:03d}": int(x) for i, x in enumerate(rng.integers(0, 1000, 80) ** 2)} | {None: 7}
