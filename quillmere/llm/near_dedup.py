@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, apply_decisions, as_binary, mix64, numbered, skew_join, stash, tidy, write_decisions
+from .common import U64, apply_decisions, as_binary, mix64, numbered, release, skew_join, stash, tidy, write_decisions
 from .components import Forest, components
 from .simhash import BITS, _dealt, shard_rows, shards, word_of
 
@@ -158,7 +158,9 @@ def candidates(classes: DataFrame, most: int = MOST_BITS, rows: int = SHARD_ROWS
         met = np.zeros(len(pdf), bool)
         for i, j in near_pairs(_prints(pdf["fp"]), pdf["own"].to_numpy(), int(pdf["word"].iloc[0]), most):
             met[i] = met[j] = True
-        return pdf[met]
+        out = pdf[met]
+        release()
+        return out
 
     schema = "shard long, word int, id long, fp binary, own boolean"
     return classes.select("id", "fp").mapInArrow(tidy(deal), schema).groupBy("shard").applyInPandas(meet, schema)

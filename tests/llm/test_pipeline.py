@@ -88,6 +88,13 @@ def test_stages_take_empty_tables(spark, folder):
     assert docs.collect() == []
 
 
+def test_stages_keep_columns_of_any_name(spark, docs, folder):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder[0])
+        assert out.columns == docs.columns and out.count() > 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder[0]).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
 def test_queries_are_registered():
     assert [n for n in QUERIES] and {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
