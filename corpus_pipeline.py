@@ -24,23 +24,29 @@ from quillmere.llm.token_ids import read_shards, write_shards
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and letterless texts go, and all where no row is labelled; nulls elsewhere do not matter."""
     return with_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and wordless texts are copies of each other; a null doc_id is larger than all, ties go to the row stored first."""
     return one_of_each(docs, k=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts hold nothing and stay; null and empty items are in nothing."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"), similarity=0.8, k=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null source is a source, the last; a null text has no words and is taken by the same chances."""
     return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return read_shards(write_shards(docs, tokenizer("word_bpe_49k.json"), end_id=1))
+    """A null text has the end id alone; rows of a null doc_id come last, rows of one doc_id stay together."""
+    # executors have done four stages by now: the encoder is to be small
+    return read_shards(write_shards(docs, tokenizer("word_bpe_49k.json"), end_id=1, remembered=60_000, piece=1 << 20))
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
