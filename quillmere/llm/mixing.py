@@ -42,21 +42,29 @@ def targets(sizes: DataFrame, weights: Iterable[float] = (1, 2, 3), most: float
     """(source, source_size, docs, target) from (source, source_size, docs), one row a source.
 
     The sources in order (code points, null last) weigh ``weights``, repeating, and share the sum of all sizes;
-    no target is above ``most`` times its source's size, and the excess is shared again by weight.  In the order
-    of size by weight the capped sources come first, so one running sum finds the level of all others."""
+    no target is above ``most`` times its source's size, and the excess is shared again by weight, until none is above:
+    each round is one sum over the sources, of which there may be very many.  Their order comes from ranges, each
+    numbered by itself after the number of sources in the ranges before."""
     weights = list(weights)
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    filled = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before, after = filled.rowsBetween(Window.unboundedPreceding, -1), filled.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
+    ranged = stash(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    before, offsets = 0, []
+    for r in sorted(ranged.groupBy("part").count().collect()):  # as many rows as ranges
+        offsets.append((r.part, before))
+        before += r["count"]
+    offset = F.broadcast(sizes.sparkSession.createDataFrame(offsets, "part int, before long"))
+    turn = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(turn, F.lit(len(weights))) + 1).cast("int"))
     cap = F.col("source_size") * F.lit(float(most))
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    found = sizes.withColumn("weight", weight).withColumn("level", level).withColumn("cap", cap)
-    found = found.withColumn("place", F.row_number().over(filled))
-    # the level of the first source that stays below its cap holds for all after it
-    open_level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))).over(everything)["level"]
-    return found.select("source", "source_size", "docs", F.least(F.col("cap"), F.coalesce(open_level * F.col("weight"), F.col("cap"))).alias("target"))
+    found = stash(ranged.join(offset, "part").select("source", "source_size", "docs", weight.alias("weight"), cap.alias("cap")), "weights")
+    total = found.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level, capped = (total["size"] / total["weight"] if total["weight"] else 0.0), -1
+    while True:
+        is_capped = F.col("cap") <= F.col("weight") * F.lit(level)
+        now = found.agg(F.count_if(is_capped).alias("n"), F.sum(F.when(is_capped, F.col("cap"))).alias("cap"), F.sum(F.when(~is_capped, F.col("weight"))).alias("weight")).first()
+        if now["n"] == capped or not now["weight"]:
+            break
+        level, capped = (total["size"] - (now["cap"] or 0.0)) / now["weight"], now["n"]
+    return found.select("source", "source_size", "docs", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
 
 
 def fly(size: np.ndarray, chance: np.ndarray, luck: np.ndarray) -> np.ndarray:
