@@ -34,7 +34,7 @@ from .common import SPACE, as_binary, as_bytes, filesystem, fresh_dir, numbered,
 
 #: Classes of the words that are not frequent, and the most words that are (classes have 16 bits).
 GROUPS, MOST_FREQUENT = 32, 60_000
-SIDE, WIDTH, HIDDEN = 2, 12, 24
+SIDE, WIDTH, HIDDEN = 2, 8, 20
 #: Positions in a step, and in a block, which is shuffled and whose words within clusters are learned at once; the rate of descent.
 STEP, BLOCK, RATE = 1024, 16_384, 0.7
 #: Tokens of a part, about, and the most parts, beyond which parts grow; different words that a task holds before it passes them on.
