@@ -89,9 +89,8 @@ def clip(text: Column | str, most: int) -> Column:
 def clip_bytes(text: Column | str, most: int) -> Column:
     """At most ``most`` bytes, no character cut in two, an ellipsis where more was there."""
     c = _col(text)
-    # a byte that goes on a character is 10xxxxxx: at most three are left out with the character that they end
-    cut = F.substring(F.encode(c, "UTF-8"), 1, most)
-    whole = F.regexp_replace(F.decode(cut, "UTF-8"), "\ufffd+$", "")
+    cut = F.make_valid_utf8(F.substring(c.cast("binary"), 1, most).cast("string"))
+    whole = F.regexp_replace(cut, "\ufffd+$", "")  # what is left of a character that was cut in two
     return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(F.rtrim(whole), F.lit(" …")))
 
 

@@ -193,12 +193,12 @@ def context_block(spark, sf_dir):
 
 
 @query(r"""WITH n AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) SELECT conv_id AS conversation_id, md5(string_agg(t, chr(10) ORDER BY turn)) AS digest FROM n WHERE rn <= 60 GROUP BY conv_id""")
-def opening_texts(spark, sf_dir):
+def texts_opening(spark, sf_dir):
     from ..operators.threads import opening_text
 
     return opening_text(A.messages(spark, sf_dir)).select("conversation_id", F.md5("opening").alias("digest"))
 
 
 @query(f"WITH {_PER} SELECT conv_id AS session_id FROM per WHERE NOT resolved AND messages > 0 ORDER BY start DESC, conv_id LIMIT 20")
-def open_loops(spark, sf_dir):
+def loops_open(spark, sf_dir):
     return context.open_loops(_per(spark, sf_dir), A.messages(spark, sf_dir)).select("session_id")

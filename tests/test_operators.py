@@ -3,6 +3,7 @@ import dataclasses
 import datetime as dt
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -317,6 +318,20 @@ def test_rooms(spark, log):
     assert [a.name for a in view["r"].agents] == ["a", "b"] and view["r"].claims is None
 
 
+def test_exchanges_in_runs_are_those_of_whole_rooms(spark):
+    rng = random.Random(4)
+    rows = [(i, f"r{rng.randint(0, 2)}", rng.choice("ab"), None, i, None, rng.choice(["DONE", "x", "x", "y"]), rng.random() < 0.2, i) for i in range(400)]
+    log = spark.createDataFrame(rows, schema.ROOM_LOG)
+    want, done, turns = {}, collections.Counter(), collections.Counter()
+    for i, room, _, _, _, _, text, human, _ in rows:
+        edge = human or text == "DONE"
+        turns[room] = 0 if edge else turns[room] + 1
+        want[i] = (done[room], turns[room])
+        done[room] += text == "DONE" and not human
+    for run in (7, 50, 4096):
+        assert {r.id: (r.exchange, r.turn) for r in rooms.exchanges(log, run).collect()} == want
+
+
 def test_claims_and_tasks(spark):
     claims = spark.createDataFrame([("r", "x", "/src", 100), ("r", "y", "/doc/a.md", 100), ("r", "z", "/old", 1)], schema.CLAIMS)
     want = spark.createDataFrame([("r", "y", "/src/a.rs"), ("r", "x", "/doc"), ("r", "x", "/src/b"), ("r", "x", "/old"), ("q", "x", "/doc")], "room string, holder string, path string")
