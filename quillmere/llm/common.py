@@ -22,6 +22,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything in ASCII but lower-case letters and digits separates words of lower-cased text.
 PUNCT = np.ones(256, dtype=bool)
 PUNCT[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+#: Every byte, A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -270,7 +273,7 @@ def write_decisions(decisions: DataFrame) -> str:
         if held:
             yield close()
 
-    part = F.shiftright("row", PLACE_BITS)
+    part = part_of()
     rows = decisions.select("row", F.xxhash64(F.col("doc_id").cast("long")).alias("key"), F.col("n").cast("long").alias("n"))
     stash(rows.repartition(part).sortWithinPartitions("row").mapInArrow(each, "part long, rows long"), "written")
     return folder
@@ -305,6 +308,58 @@ def decided(folder: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray,
     return find
 
 
+def part_of(row: str = "row") -> F.Column:
+    """The scan partition of a row that :func:`numbered` has numbered."""
+    return F.shiftright(row, PLACE_BITS)
+
+
+def write_parts(rows: DataFrame, order: list[str]) -> str:
+    """Write the rows (part long, ...) of each part as one Arrow file ``<part>.arrow``, ordered by ``order``; returns the folder.
+
+    A task that scans a part of a table finds there just what it needs: no broadcast, and no join with the table itself.  A
+    file is moved to its name when it is whole, and each attempt writes the same."""
+    folder = fresh_dir(rows.sparkSession, "parts")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(folder)
+        fs.create_dir(base, recursive=True)
+        part, temp, out, n = None, "", None, 0
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            fs.move(temp, f"{base}/{part}.arrow")
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n])], ["part", "rows"])
+
+        for b in batches:
+            parts = b.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == z:
+                    continue
+                if part != parts[a]:
+                    if out is not None:
+                        yield close()
+                    part, temp, n = int(parts[a]), f"{base}/{uuid.uuid4().hex}.tmp", 0
+                    out = pa.ipc.new_file(fs.open_output_stream(temp, compression=None), b.schema)
+                out.write_batch(b.slice(a, z - a))
+                n += z - a
+        if out is not None:
+            yield close()
+
+    stash(rows.repartition("part").sortWithinPartitions("part", *order).mapInArrow(each, "part long, rows long"), "written")
+    return folder
+
+
+def read_part(folder: str, part: int) -> pa.Table | None:
+    """What :func:`write_parts` has written for a part; None where it had no rows."""
+    fs, base = filesystem(folder)
+    path = f"{base}/{part}.arrow"
+    if fs.get_file_info(path).type != pafs.FileType.File:
+        return None
+    with fs.open_input_file(path) as f:
+        return pa.ipc.open_file(f).read_all()
+
+
 def apply_decisions(docs: DataFrame, row: str, folder: str, default: int) -> DataFrame:
     """The rows of ``docs``, numbered in its column ``row``, each ``n`` times, or ``default`` times without a decision;
     the number goes."""
