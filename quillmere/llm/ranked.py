@@ -67,6 +67,7 @@ class Shard:
         self.ones = np.zeros((self.levels, n + 1), np.int32)  # ones before each place
         self.first = np.zeros((self.levels + 1, n + 1), np.int32)
         self.zeros = np.zeros(self.levels, np.int32)
+        self.opened = 0  # nodes, in all searches
         for level in range(self.levels):
             self.first[level, :n] = impact
             bit = doc >> (self.levels - 1 - level) & 1
@@ -106,6 +107,7 @@ class Shard:
                 if len(found) == k:
                     floor = max(floor, found[-1][0])
                 now = now[~leaf]
+            self.opened += len(now)
             base = (level[now] * self.width)[:, None]
             a, b = ones[base + low[now]].astype(np.int64), ones[base + high[now]].astype(np.int64)
             zeros = self.zeros[level[now]][:, None] if len(now) else np.zeros((0, 1), np.int64)
@@ -167,7 +169,7 @@ def _counted(rows: DataFrame, asked: Queries) -> tuple[int, int, np.ndarray]:
     return got.get(-1, 0), got.get(-2, 0), np.array([got.get(i, 0) for i in range(len(asked.all))], np.int64)
 
 
-def ranked(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+def ranked(docs: DataFrame, items: DataFrame, k: int = 10, shard_postings: int = SHARD_POSTINGS, part_bytes: int = PART_BYTES) -> DataFrame:
     """(item_id, rank, doc_id, score) of the ``k`` best rows of ``docs`` (doc_id, text) for each item (item_id, text), scores above 0
     only; equal scores by ascending doc_id, nulls last.
 
@@ -207,7 +209,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
                     doc, terms, tf, n = terms_of(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
                     held.append((ids[x:y], none[x:y], doc + seen, terms, tf, n))
                     seen, postings = seen + y - x, postings + len(doc)
-                    if postings >= SHARD_POSTINGS or seen >= SHARD_DOCS:
+                    if postings >= shard_postings or seen >= SHARD_DOCS:
                         close()
                         seen = postings = 0
             if held:
@@ -220,6 +222,6 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
 
         return rows.mapInArrow(tidy(each), "item_id long, doc_id long, score long")
 
-    found = reduce(DataFrame.unionByName, [search(q) for q in queries(items)])
+    found = reduce(DataFrame.unionByName, [search(q) for q in queries(items, part_bytes)])
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
