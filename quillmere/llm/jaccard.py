@@ -292,8 +292,11 @@ def _links(rows: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
 def similar_links(sets: DataFrame, percent: int, most: int = MOST) -> DataFrame:
     """(u, root) of all of ``sets`` (id, n, grams, prefix) that are linked with others: the smallest id of their component."""
     entries = sets.select("id", F.explode("prefix").alias("gram"))
-    crowd = entries.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
-    met = stash(skew_join(entries, crowd.withColumn("size", F.col("members")), "gram", "size", entries.count()), "met")
+    # n-grams of the same documents (a shared passage has many) are one group: told by the number, the ends and two sums of hashes of the ids
+    sums = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"sum{i}") for i in (0, 1)]
+    crowd = entries.groupBy("gram").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.max("id").alias("greatest"), *sums).where("members > 1")
+    crowd = crowd.groupBy("members", "least", "greatest", "sum0", "sum1").agg(F.min("gram").alias("gram")).select("gram", "members", F.col("members").alias("size"))
+    met = stash(skew_join(entries, crowd, "gram", "size", entries.count()), "met")
     # each in its most crowded group, in parts
     alone = met.groupBy("id").agg(F.max(F.struct("members", "gram")).alias("at")).select("id", F.col("at.gram").alias("gram"), F.col("at.members").alias("members"))
     alone = alone.select("gram", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / most)).cast("long").alias("part"), "id", F.col("id").alias("root"))

@@ -79,8 +79,8 @@ def test_phrases_of_pivots_dealt_over_several_buckets(spark, spoken_rows, tmp_pa
     docs = numbered(stored(spark, tmp_path_factory, spoken_rows, "doc_id long, lang string, text string", "dealt"), "row")
     counts = word_counts(docs).persist()
     words = dictionary(counts, 3).persist()
-    one, many = ({(tuple(r.w), r.a) for r in phrases(docs, words, counts, 3, 5, split=s).collect()} for s in (10**9, 100))
-    assert one == many and len(one) > 500
+    one, many, parts = ({(tuple(r.w), r.a) for r in phrases(docs, words, counts, 3, 5, split=s, most_whole=m).collect()} for s, m in ((10**9, 1 << 20), (100, 1 << 20), (100, 0)))
+    assert one == many == parts and len(one) > 500  # the dictionary whole, and by part
     ids = sorted((r.id, -r.f) for r in words.collect())
     assert [i for i, _ in ids] == list(range(len(ids))) and [f for _, f in ids] == sorted(f for _, f in ids)
     counts.unpersist()
@@ -116,7 +116,7 @@ def test_a_table_that_changes_is_an_error(spark, spoken_rows, tmp_path_factory):
     other = numbered(stored(spark, tmp_path_factory, [(i, g, (t or "") + " the") for i, g, t in spoken_rows], "doc_id long, lang string, text string", "after"), "row")
     counts = word_counts(docs)
     with pytest.raises(Exception, match="not those that were counted"):
-        phrases(other, dictionary(counts, 2), counts, 2, 5).collect()
+        phrases(other, dictionary(counts, 2), counts, 2, 5, most_whole=0).collect()
 
 
 def test_collocations_of_nothing(empty):
@@ -207,6 +207,17 @@ def test_crowded_groups_are_joined_in_blocks(spark):
     assert [found.get(i, i) for i in range(60)] == roots and len(set(roots)) < 60
 
 
+def test_ngrams_of_the_same_documents_are_one_group(spark, monkeypatch):
+    """Twenty n-grams that the same three documents share are one group; one that two of them share is another."""
+    import quillmere.llm.jaccard as J
+
+    rows = [(i, 60, bytearray(np.arange(20 + 40 * i, dtype="<u8")[-60:].tobytes()), [*range(20), *([99] if i < 3 else [])]) for i in range(1, 4)]
+    seen, join = [], J._links
+    monkeypatch.setattr(J, "_links", lambda rows, *a: seen.append(rows.select("gram").distinct().count()) or join(rows, *a))
+    similar_links(spark.createDataFrame(rows, "id long, n long, grams binary, prefix array<long>"), 90).collect()
+    assert seen == [1, 2, 2]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.frozensets(st.integers(0, 40), min_size=1, max_size=30), min_size=1, max_size=14), st.sampled_from([50, 80, 90, 100]))
 def test_the_trie_finds_what_is_similar(sets, percent):
