@@ -8,7 +8,8 @@ that word), and no other fragment holds them at this place.  Equal fragments are
 on average, to the bucket of their pivot; there the pivots' phrases are counted.  A pivot with very many occurrences is dealt
 over several buckets by its fragments, and its counts are added up.
 
-No task needs the whole dictionary: a scan partition finds the numbers of its own words in a file that a join has written for it.
+The dictionary of frequent words is sent whole while it is small, by a check of its size; beyond that a scan partition finds the
+numbers of its own words in a file that a join has written for it, and no task needs the whole.
 Parts of a phrase are at least as frequent as the phrase, so all counts that a score needs are among those kept.
 """
 
@@ -33,6 +34,8 @@ GAP[[0x20, 0x09]] = True
 PIECE = 8 << 20
 #: Occurrences that a bucket holds about, and occurrences of one pivot from which it is dealt over several buckets.
 BUCKET, SPLIT = 1 << 20, 1 << 18
+#: Bytes of the dictionary up to which every task gets the whole of it.
+WHOLE = 32 << 20
 #: The language of documents that have none.
 UNKNOWN = "und"
 
@@ -141,14 +144,14 @@ def dictionary(counts: DataFrame, least: int) -> DataFrame:
 
 
 class Numbers:
-    """The frequent words of a scan partition."""
+    """The frequent words of a scan partition, or of all (part -1)."""
 
     def __init__(self, folder: str, part: int) -> None:
         t = read_part(folder, part)
         self.langs, self.expected, self.seen = {}, 0, 0
         self.ids, self.f = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if t is not None:
-            self.expected = pc.sum(t["n"]).as_py()
+            self.expected = pc.sum(t["n"]).as_py() if part >= 0 else None
             lang = t["lang"].to_pylist()
             cuts = [i for i in range(len(lang)) if not i or lang[i] != lang[i - 1]] + [len(lang)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -172,18 +175,18 @@ class Numbers:
         return self.f[np.searchsorted(self.ids, ids)]
 
     def settle(self) -> None:
-        if self.seen != self.expected:
+        if self.expected is not None and self.seen != self.expected:
             raise ValueError("the words are not those that were counted: the table or its split has changed")
 
 
-def dealt_fragments(docs: DataFrame, folder: str, buckets: int, reach: int, split: int) -> DataFrame:
-    """(bucket, head, ids, n): packed fragments.  A head has the words on the left and on the right, and whether the pivot is dealt over
+def dealt_fragments(docs: DataFrame, folder: str, whole: bool, buckets: int, reach: int, split: int) -> DataFrame:
+    """(bucket, head, ids, n): packed fragments; the words' numbers are in ``folder``, by part or as a whole.  A head has the words on the left and on the right, and whether the pivot is dealt over
     several buckets."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = None
         for b in batches:
-            numbers = numbers or Numbers(folder, b.column(0)[0].as_py() >> PLACE_BITS)
+            numbers = numbers or Numbers(folder, -1 if whole else b.column(0)[0].as_py() >> PLACE_BITS)
             for words, word, lang, piece, langs in _coded(b):
                 made = fragments(numbers.of(words, word, lang, langs), piece, reach)
                 found, n = unique_rows(made, np.ones(len(made), np.int64))
@@ -225,19 +228,25 @@ def unpacked(head: np.ndarray, flat: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
-def phrases(docs: DataFrame, words: DataFrame, counts: DataFrame, least: int, longest: int, bucket: int = BUCKET, split: int = SPLIT) -> DataFrame:
+def phrases(docs: DataFrame, words: DataFrame, counts: DataFrame, least: int, longest: int, bucket: int = BUCKET, split: int = SPLIT, most_whole: int = WHOLE) -> DataFrame:
     """(w, a): all phrases of 2 to ``longest`` words, as their words' numbers, that occur ``least`` times."""
     reach = longest - 1
-    folder = write_parts(counts.join(words, ["lang", "word"]).groupBy("part", "lang", "word", "id", "f").agg(F.sum("n").alias("n")), ["lang", "word"])
-    buckets = max(32, -(-(words.agg(F.sum("f")).first()[0] or 0) // bucket))
+    occurrences, size = words.agg(F.sum("f"), F.sum(F.octet_length("word") + F.octet_length("lang") + 24)).first()
+    whole = (size or 0) <= most_whole
+    if whole:
+        named = words.select(F.lit(-1).cast("long").alias("part"), "lang", "word", "id", "f", F.lit(0).cast("long").alias("n"))
+    else:
+        named = counts.join(words, ["lang", "word"]).groupBy("part", "lang", "word", "id", "f").agg(F.sum("n").alias("n"))
+    folder = write_parts(named, ["lang", "word"])
+    buckets = max(32, -(-(occurrences or 0) // bucket))
 
     def mine(t: pa.Table) -> pa.Table:
         joined = lambda name, kind: np.frombuffer(b"".join(t[name].to_pylist()), kind)
         head = joined("head", np.uint8)
-        whole = unpacked(head, joined("ids", "<u4"), reach)
-        shared = np.unique(whole[head >= 128, reach])
-        found, n = unique_rows(whole, joined("n", "<u4").astype(np.int64))
-        del whole
+        each = unpacked(head, joined("ids", "<u4"), reach)
+        shared = np.unique(each[head >= 128, reach])
+        found, n = unique_rows(each, joined("n", "<u4").astype(np.int64))
+        del each
         made = []
         for length in range(2, longest + 1):
             rows, times = own_phrases(found, n, length)
@@ -249,7 +258,7 @@ def phrases(docs: DataFrame, words: DataFrame, counts: DataFrame, least: int, lo
         release()
         return pa.concat_tables(made)
 
-    dealt = dealt_fragments(docs, folder, buckets, reach, split).groupBy("bucket").applyInArrow(mine, "w array<long>, a long")
+    dealt = dealt_fragments(docs, folder, whole, buckets, reach, split).groupBy("bucket").applyInArrow(mine, "w array<long>, a long")
     return dealt.groupBy("w").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
