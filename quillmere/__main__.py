@@ -1,4 +1,4 @@
-"""``python -m quillmere ROOT VERB …``: index, search, activity, metrics, trends, fluency, glance, themes, threads, rooms, status."""
+"""``python -m quillmere ROOT VERB …``: index, search, activity, metrics, trends, fluency, glance, themes, threads, rooms, status, forget, sweep."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import datetime as dt
 from pyspark.sql import SparkSession
 
 from .engine import Engine
+from .store import GRACE
 
 
 def main() -> None:
@@ -21,6 +22,8 @@ def main() -> None:
     find.add_argument("query")
     find.add_argument("--mode", default="hybrid", choices=["lexical", "semantic", "hybrid"])
     find.add_argument("-k", type=int, default=10)
+    verbs.add_parser("forget").add_argument("session_key", nargs="+")
+    verbs.add_parser("sweep").add_argument("--grace", type=float, default=GRACE, help="seconds for which readers may hold an older state")
     for name in ("status", "metrics", "threads", "rooms", "themes", "activity"):
         verbs.add_parser(name)
     for name in ("trends", "fluency", "glance"):
@@ -32,6 +35,10 @@ def main() -> None:
         print(engine.index(a.source, a.folder))
     elif a.verb == "search":
         engine.search(a.query, a.mode, a.k).select("score", "title", "tool", "snippet").show(a.k, truncate=120)
+    elif a.verb == "forget":
+        engine.forget(a.session_key)
+    elif a.verb == "sweep":
+        print(engine.sweep(a.grace))
     elif a.verb in ("trends", "fluency", "glance"):
         getattr(engine, a.verb)(a.as_of).show(50, truncate=80)
     else:

@@ -5,19 +5,21 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .functions import text as T
 from .functions import vector as V
-from .operators import activity, ingest, metrics, rooms, search, shared, themes, threads
+from .operators import activity, blocks, ingest, metrics, questions, rooms, search, shared, themes, threads
 from .operators.search import Filters
 from .plans import context, reports
 from .sources.readers import read_sessions
-from .store import Store
+from .store import GRACE, Store
 from .streaming.ingest import indexed, ingest_batch, sizes
 from .streaming.live import live_states
 
@@ -27,16 +29,44 @@ def hash_embedding(texts: Sequence[str]) -> list[list[float]]:
     return [V.hash_vector([w for w in re.split(r"[\W_]+", t.lower()) if w]).tolist() for t in texts]
 
 
+#: Seconds that another store has to answer: a search is several jobs of Spark, each of which takes its time to start.
+PEER_SECONDS = 15.0
+#: Texts that a model turns into vectors at a time.
+EMBEDDED = 128
 #: Rows of a table that say something about a conversation's messages: they go where the conversation goes.
 PARTS = ("messages", "embeddings", "postings", "sizes")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, embed: Callable[[Sequence[str]], list[list[float]]] | None = None, model: str | None = None) -> None:
+    def __init__(
+        self, spark: SparkSession, root: str, embed: Callable[[Sequence[str]], list[list[float]]] | None = None, model: str | None = None, load: Callable[[], Callable[[Sequence[str]], list[list[float]]]] | None = None
+    ) -> None:
         """``embed`` turns texts into vectors, those that are stored and queries alike (it runs on executors, in batches);
-        without it words are hashed.  Vectors of another ``model`` are not searched but made anew."""
+        without it words are hashed.  ``load`` gives such a function instead, where a model is to be loaded: once a worker process.
+        Vectors of another ``model`` are not searched but made anew."""
         self.spark, self.store = spark, Store(spark, root)
-        self._embed, self.model = embed or hash_embedding, model or ("custom" if embed else "hash")
+        self._load, self.model = load or (lambda: embed or hash_embedding), model or ("custom" if embed or load else "hash")
+        self._loaded: Callable[[Sequence[str]], list[list[float]]] | None = None
+        self._vectors: Callable[..., Column] | None = None
+        #: What the last search by words has read of the index.
+        self.read = blocks.Read()
+
+    def _embed(self, texts: Sequence[str]) -> list[list[float]]:
+        """Vectors of a few texts, on the driver."""
+        self._loaded = self._loaded or self._load()
+        return self._loaded(texts)
+
+    def _embedded(self, text: Column) -> Column:
+        """Vectors of a column of texts, by a model that each worker process loads once, ``EMBEDDED`` texts at a time."""
+        if self._vectors is None:
+            load = self._load
+
+            def make() -> Callable[[np.ndarray], np.ndarray]:
+                model = load()
+                return lambda texts: np.asarray(model([str(t) for t in texts]), np.float32)
+
+            self._vectors = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=EMBEDDED)
+        return self._vectors(F.coalesce(text, F.lit("")))
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
@@ -55,18 +85,16 @@ class Engine:
         n = ingest_batch(self.store, sessions, messages)
         if n:
             held = self.table("conversations")
-            keep = self.store.keep(ingest.collapse_versions(self.table("messages"), held))
-            if keep.count() < held.count():
-                self._keep_only(keep)
+            old = self.store.keep(ingest.superseded(self.table("messages"), held))
+            if not old.isEmpty():
+                self._drop(old)
             self.embed_pending()
         return {"indexed": n, "failed": found.where("error IS NOT NULL").count()}
 
-    def _keep_only(self, conversations: DataFrame) -> None:
-        """These conversations stay, and of all that is known of messages what is theirs."""
-        self.store.replace("conversations", conversations)
-        kept = self.table("conversations")
-        for name in PARTS:
-            self.store.replace(name, ingest.of_kept(self.table(name), kept))
+    def _drop(self, gone: DataFrame) -> None:
+        """The conversations of ``gone`` (conversation_id) go, after all that is known of their messages."""
+        for name in (*PARTS, "conversations"):
+            self.store.delete(name, gone, "conversation_id")
 
     def embed_pending(self) -> None:
         """Vectors of this engine's model for all messages that have none; those of other models go."""
@@ -74,22 +102,23 @@ class Engine:
         if held.where(F.col("model") != self.model).limit(1).count():
             self.store.replace("embeddings", held.where(F.col("model") == self.model))
         new = ingest.of_kept(ingest.pending_embeddings(self.table("messages"), self.table("embeddings")), self.table("conversations"))
-        embed, model = self._embed, self.model
-
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    yield pd.DataFrame({"conversation_id": pdf["conversation_id"], "seq": pdf["seq"], "embedding": list(embed(pdf["content"].fillna("").tolist())), "model": model})
+        self.store.append("embeddings", new.select("conversation_id", "seq", self._embedded(F.col("content")).alias("embedding"), F.lit(self.model).alias("model")))
 
-        made = new.select("conversation_id", "seq", "content").mapInPandas(each, self.store.read("embeddings").schema)
-        self.store.append("embeddings", made)
+    def forget(self, session_keys: Sequence[str], grace: float = GRACE) -> None:
+        """The sessions' conversations with all their messages, vectors and index rows, flags and notes; they will not be taken in again.
 
-    def forget(self, session_keys: Sequence[str]) -> None:
-        """The sessions' conversations with all their messages, vectors and index rows; they will not be taken in again."""
+        They are no longer found from then on, and leave the disk with the first sweep after ``grace`` seconds: at once, if it is 0 (see
+        :meth:`Store.sweep`)."""
         keys = self.spark.createDataFrame([(k,) for k in session_keys], "session_key string")
         kept, gone = ingest.forget(self.table("conversations"), self.table("forgotten"), keys)
         self.store.replace("forgotten", gone)
-        self._keep_only(self.store.keep(kept))
+        self._drop(self.store.keep(self.table("conversations").join(kept.select("conversation_id"), "conversation_id", "left_anti").select("conversation_id")))
+        self.store.delete("user_state", keys, "session_key")
+        self.store.sweep(grace)
+
+    def sweep(self, grace: float = GRACE) -> int:
+        """Free the disk of what was deleted or replaced more than ``grace`` seconds ago; the number of folders removed."""
+        return self.store.sweep(grace)
 
     def flag(self, session_key: str, bookmarked: bool | None = None, pinned: bool | None = None, note: str | None = None, tags: str | None = None) -> None:
         df = self.spark.createDataFrame([(session_key, bookmarked, pinned, note, tags)], "session_key string, bookmarked boolean, pinned boolean, note string, tags string")
@@ -102,7 +131,17 @@ class Engine:
         meta = self.table("conversations").join(self.table("user_state").select("session_key", "tags"), "session_key", "left")
         wanted = meta.where(filters.condition()).select("conversation_id") if filters else None
         depth = k if mode == "lexical" else max(5 * k, 20)
-        words = lambda n: search.indexed_search(self.table("postings"), self.table("sizes"), query, n, wanted)
+
+        def words(n: int) -> DataFrame:
+            if wanted is not None:  # what is filtered has frequencies of its own
+                return search.indexed_search(self.table("postings"), self.table("sizes"), query, n, wanted)
+            held, totals = self.store.derived("blocks", blocks.directory), self.store.derived("totals", lambda x: x.agg(F.count("*").alias("n"), F.sum("length").alias("words")))
+            if held is None or totals is None:
+                return search.indexed_search(self.table("postings"), self.table("sizes"), query, n)
+            n_all, n_words = totals.agg(F.sum("n"), F.sum("words")).first()
+            found, self.read = blocks.search_blocks(self.table("postings"), held, n_all, (n_words or 0) / max(n_all, 1), query, n)
+            return found
+
         if mode == "lexical":
             return words(depth)
         vectors = self.table("embeddings")
@@ -115,10 +154,21 @@ class Engine:
         shown = search.hydrate(hits, self.table("messages"), self.table("conversations").select("conversation_id", "session_key", "title", "tool", "project", "started_at"))
         return shown.withColumn("snippet", search.snippet("content", query)).drop("tools")
 
-    def search_devices(self, peers: dict[str, Engine], query: str, me: str = "here", mode: str = "hybrid", k: int = 10, filters: Filters | None = None, devices: Sequence[str] | None = None) -> tuple[DataFrame | None, list[str]]:
-        """The best hits of this store and of others', and which of these could not be searched."""
+    def hits_of_all(self, texts: DataFrame, k: int = 10) -> DataFrame:
+        """(question_id, conversation_id, seq, score, rank): the best hits of many questions (question_id, text) in one plan."""
+        asked = texts.select("question_id", "text", self._embedded(F.col("text")).alias("embedding"))
+        return questions.hybrid_hits(self.table("postings"), self.table("sizes"), self.table("embeddings"), self.store.keep(asked), k)
+
+    def contexts(self, texts: DataFrame, k: int = 3, most: int = context.CONTEXT_CHARS) -> DataFrame:
+        """(question_id, text, …): what a model is to be shown for each of many questions (question_id, text)."""
+        return questions.contexts(self.hits_of_all(texts, k), self.table("messages"), self.table("conversations"), most)
+
+    def search_devices(
+        self, peers: dict[str, Engine], query: str, me: str = "here", mode: str = "hybrid", k: int = 10, filters: Filters | None = None, devices: Sequence[str] | None = None, seconds: float = PEER_SECONDS
+    ) -> tuple[DataFrame | None, list[str]]:
+        """The best hits of this store and of others', which have ``seconds`` to answer, and which of these could not be searched."""
         asks = {name: (lambda e=e: e.hits(query, mode, max(5 * k, 20), filters)) for name, e in {me: self, **peers}.items()}
-        return search.federated_search(asks, k, devices)
+        return search.federated_search(asks, k, devices, seconds, own=me)
 
     def conversation(self, conversation_id: str) -> DataFrame:
         return self.table("messages").where(F.col("conversation_id") == conversation_id).orderBy("seq")

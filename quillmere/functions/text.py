@@ -94,6 +94,32 @@ def clip_bytes(text: Column | str, most: int) -> Column:
     return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(F.rtrim(whole), F.lit(" …")))
 
 
+def fenced(text: Column | str) -> Column:
+    """The fenced blocks of a text as (language, text), whose fences may be indented; the first word after a fence is the language; an
+    empty block counts if it is closed, the last block may be open.
+
+    The places of the fences say which lines belong to which block."""
+    lines = F.split(F.regexp_replace(F.regexp_replace(_col(text), r"\r\n", "\n"), r"\n\z", ""), "\n")
+    mark = r"^\s*```"
+
+    def blocks(held: Column) -> Column:
+        marks = F.filter(F.transform(held, lambda x, i: F.when(x.rlike(mark), i + 1)), lambda i: i.isNotNull())
+
+        def paired(at: Column) -> Column:
+            def block(j: Column) -> Column:
+                start, end = F.get(at, 2 * j), F.get(at, 2 * j + 1)
+                body = F.slice(held, start + 1, F.greatest(F.lit(0), F.coalesce(end, F.size(held) + 1) - start - 1))
+                whole = F.struct(F.regexp_extract(F.get(held, start - 1), r"^\s*```\s*(\S*)", 1).alias("language"), F.array_join(body, "\n").alias("text"))
+                return F.when(end.isNotNull() | (F.size(body) > 0), whole)
+
+            found = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(at) - 1) / 2).cast("int"))), block)
+            return F.when(F.size(at) > 0, F.filter(found, lambda b: b.isNotNull())).otherwise(F.array().cast("array<struct<language:string,text:string>>"))
+
+        return F.element_at(F.transform(F.array(marks), paired), 1)
+
+    return F.element_at(F.transform(F.array(lines), blocks), 1)
+
+
 def clip_plain(text: Column | str, most: int) -> Column:
     return F.substring(F.trim(_col(text)), 1, most)
 

@@ -8,12 +8,17 @@ joined on after the ranking, for k rows only.
 from __future__ import annotations
 
 import re
+import threading
+import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions import vector as V
@@ -21,6 +26,8 @@ from ..functions import vector as V
 K1, B = 1.2, 0.75
 RRF_K = 60
 FLOOR = 0.15
+#: Seconds that a device has to answer.
+DEVICE_SECONDS = 1.5
 
 
 @dataclass(frozen=True)
@@ -75,21 +82,49 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def federated_search(devices: dict[str, Callable[[], DataFrame]], k: int = 10, wanted: Sequence[str] | None = None) -> tuple[DataFrame | None, list[str]]:
+def federated_search(
+    devices: dict[str, Callable[[], DataFrame]], k: int = 10, wanted: Sequence[str] | None = None, seconds: float = DEVICE_SECONDS, own: str | None = None
+) -> tuple[DataFrame | None, list[str]]:
     """Hits of several devices fused by rank, and the names of those that did not answer.
 
-    ``devices``: for each name a function that searches that device's store; ``wanted``: ask only these.  One that raises is
-    left out and named; the hits that are few are fetched, so that a device fails here and not later."""
-    lists, unreachable = [], []
-    for name, ask in devices.items():
-        if wanted is not None and name not in wanted:
-            continue
+    ``devices``: for each name a function that searches that device's store; ``wanted``: ask only these.  All are asked at once, each
+    under a job tag of its own, and have ``seconds`` to answer.  One that raises or is late is left out and named, and what it still
+    runs is cancelled: the search takes as long as the slowest that answers in time.  The ``own`` device has all the time it
+    needs.  The hits are few and fetched by the device's
+    own thread, so that a device fails there and not later."""
+    asked = {name: ask for name, ask in devices.items() if wanted is None or name in wanted}
+    context = SparkSession.active().sparkContext
+    tags = {name: f"device-{uuid.uuid4().hex}" for name in asked}
+    answers: dict[str, tuple[list, StructType]] = {}
+
+    def fetch(name: str, late: threading.Event) -> None:
+        context.addJobTag(tags[name])
+        context.setInterruptOnCancel(True)
         try:
-            hits = ask()
-            lists.append((name, hits.sparkSession.createDataFrame(hits.limit(max(5 * k, 20)).collect(), hits.schema)))
-        except Exception:  # noqa: BLE001  a device must not end the search of the others
-            unreachable.append(name)
-    return (federated(lists, k) if lists else None), unreachable
+            hits = asked[name]()
+            if not late.is_set():
+                got = hits.limit(max(5 * k, 20)).collect(), hits.schema
+                if not late.is_set():
+                    answers[name] = got
+        except Exception:  # noqa: BLE001, S110  a device must not end the search of the others
+            pass
+        finally:
+            context.removeJobTag(tags[name])
+
+    lates = {name: threading.Event() for name in asked}
+    threads = {name: InheritableThread(target=fetch, args=(name, lates[name]), daemon=True) for name in asked}
+    until = time.monotonic() + seconds
+    for t in threads.values():
+        t.start()
+    for name, t in threads.items():
+        t.join(None if name == own else max(0.0, until - time.monotonic()))
+        if t.is_alive():
+            lates[name].set()
+            context.cancelJobsWithTag(tags[name])
+    session = SparkSession.active()
+    lists = [(name, session.createDataFrame(*answers[name])) for name in asked if name in answers and not lates[name].is_set()]
+    there = {name for name, _ in lists}
+    return (federated(lists, k) if lists else None), [name for name in asked if name not in there]
 
 
 def _times(words: str, term: str) -> Column:
@@ -193,14 +228,30 @@ def hydrate(hits: DataFrame, messages: DataFrame, conversations: DataFrame | Non
 
 
 def snippet(content: Column | str, query: str, width: int = 12, start: str = "\u0002", end: str = "\u0003") -> Column:
-    """The ``width`` words around the first hit, hits marked, an ellipsis where words are left out."""
+    """The ``width`` words that hold most different words of the query, the first of equals, hits marked, an ellipsis where words are left out.
+
+    A window that cannot start earlier without losing a word ends with a hit, so one for each hit is looked at, and the first words.
+    The words that a window holds are counted by the places of the hits in it."""
     words = F.split(F.trim(F.regexp_replace(F.col(content) if isinstance(content, str) else content, r"\s+", " ")), " ")
-    terms = F.array(*[F.lit(t) for t in query_terms(query)])
-    is_hit = lambda w: F.exists(F.split(F.lower(w), r"[^\p{L}\p{N}]+"), lambda x: F.array_contains(terms, x))
-    at = F.coalesce(F.array_position(F.transform(words, is_hit), True).cast("int"), F.lit(1))
-    first = F.greatest(F.lit(1), F.least(at - width // 2, F.size(words) - width + 1))
-    marked = F.transform(F.slice(words, first, width), lambda w: F.when(is_hit(w), F.concat(F.lit(start), w, F.lit(end))).otherwise(w))
-    return F.concat(F.when(first > 1, "…").otherwise(""), F.concat_ws(" ", marked), F.when(first + width <= F.size(words), "…").otherwise(""))
+    asked = query_terms(query)
+    held = lambda w: F.split(F.lower(w), r"[^\p{L}\p{N}]+")
+    # (place, which of the query's words stand there), of the words that are hits
+    hits = F.filter(F.transform(words, lambda w, i: F.struct((i + 1).alias("at"), F.array_intersect(held(w), F.array(*[F.lit(t) for t in asked])).alias("of"))), lambda h: F.size(h["of"]) > 0)
+
+    def pick(h: Column) -> Column:
+        starts = F.array_distinct(F.concat(F.array(F.lit(1)), F.transform(h, lambda x: F.greatest(F.lit(1), x["at"] - width + 1))))
+        different = lambda s: F.size(F.array_distinct(F.flatten(F.transform(F.filter(h, lambda x: (x["at"] >= s) & (x["at"] < s + width)), lambda x: x["of"]))))
+        return F.array_min(F.transform(starts, lambda s: F.struct((-different(s)).alias("n"), s.alias("s"))))["s"]
+
+    # bound once: a lambda's argument is computed once, a repeated expression may not be
+    first = F.element_at(F.transform(F.array(hits), pick), 1) if asked else F.lit(1)
+    is_hit = lambda w: F.arrays_overlap(held(w), F.array(*[F.lit(t) for t in asked])) if asked else F.lit(False)
+
+    def shown(at: Column) -> Column:
+        marked = F.transform(F.slice(words, at, width), lambda w: F.when(is_hit(w), F.concat(F.lit(start), w, F.lit(end))).otherwise(w))
+        return F.concat(F.when(at > 1, "…").otherwise(""), F.concat_ws(" ", marked), F.when(at + width <= F.size(words), "…").otherwise(""))
+
+    return F.element_at(F.transform(F.array(first), shown), 1)
 
 
 def served(conversations: DataFrame, tools: Sequence[str] = (), projects: Sequence[str] = ()) -> DataFrame:

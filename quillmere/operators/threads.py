@@ -1,8 +1,8 @@
 """Threads: which sessions are one piece of work.
 
 ``sessions`` (session_key, conversation_id, tool, repo_key, branch, started_at, last_activity, title, message_count).
-Gap sessionisation is two windows; link detection an equi-join on the repository with a time range, fingerprints
-compared only for the twenty newest candidates of a session; state changes are joins that return new state.
+Gap sessionisation is two windows; link detection an equi-join on the repository with a time range, and for the twenty newest
+candidates of a session an equi-join on winnowed hashes of what was said; state changes are joins that return new state.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import ident as I
 from ..functions import text as T
+from ..functions.winnow import LEAST as WINNOWED
+from ..functions.winnow import fingerprints
+from ..store import cut
+from .components import smallest
 
 GAP_SECONDS = 3 * 3600
 # Branches that name no piece of work, kinds of links, and states of threads.
@@ -118,14 +122,17 @@ def link_candidates(fresh: DataFrame, sessions: DataFrame, links: DataFrame | No
     neither linked nor rejected pairs."""
     later = fresh.where("repo_key IS NOT NULL AND started_at IS NOT NULL").select("repo_key", F.col("session_key").alias("later"), F.col("conversation_id").alias("later_conversation"), F.col("started_at").alias("began"), F.col("tool").alias("later_tool"))
     last = F.coalesce("last_activity", "started_at")
-    earlier = sessions.where("started_at IS NOT NULL").select("repo_key", F.col("session_key").alias("earlier"), F.col("conversation_id").alias("earlier_conversation"), F.col("started_at").alias("start_e"), last.alias("last_e"), F.col("tool").alias("earlier_tool"))
+    earlier = sessions.where("repo_key IS NOT NULL AND started_at IS NOT NULL").select(
+        "repo_key", F.col("session_key").alias("earlier"), F.col("conversation_id").alias("earlier_conversation"), F.col("started_at").alias("start_e"), last.alias("last_e"), F.col("tool").alias("earlier_tool")
+    )
     # a day's bucket besides the repository keeps the sessions of a busy repository apart; a session is warm on each
-    # day from its start to a day after its end
-    # (a session that goes on for longer than a year, by a wrong date, is warm for a year)
-    until = F.least(F.date_add(F.to_date(F.greatest("start_e", "last_e")), 1 + OVERLAP_HOURS // 24), F.date_add(F.to_date("start_e"), MOST_DAYS))
-    earlier = earlier.withColumn("day", F.explode(F.sequence(F.to_date("start_e"), until)))
-    found = later.withColumn("day", F.to_date("began")).join(earlier, ["repo_key", "day"])
-    found = found.where((F.col("earlier") != F.col("later")) & (F.col("start_e") <= F.col("began")) & (F.unix_timestamp("began") <= F.unix_timestamp("last_e") + OVERLAP_HOURS * 3600)).drop("day")
+    # day from its start to a day after its end, those that go on for very long, by a wrong date, in each whole repository
+    until = F.date_add(F.to_date(F.greatest("start_e", "last_e")), 1 + OVERLAP_HOURS // 24)
+    long = F.date_diff(until, F.to_date("start_e")) > MOST_DAYS
+    daily = earlier.where(~long).withColumn("day", F.explode(F.sequence(F.to_date("start_e"), until)))
+    found = later.withColumn("day", F.to_date("began")).join(daily, ["repo_key", "day"]).drop("day")
+    found = found.unionByName(later.join(earlier.where(long), "repo_key"))
+    found = found.where((F.col("earlier") != F.col("later")) & (F.col("start_e") <= F.col("began")) & (F.unix_timestamp("began") <= F.unix_timestamp("last_e") + OVERLAP_HOURS * 3600))
     w = Window.partitionBy("later").orderBy(F.desc("start_e"), "earlier")
     found = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= CANDIDATES)
     for known in (links, rejections):
@@ -136,12 +143,12 @@ def link_candidates(fresh: DataFrame, sessions: DataFrame, links: DataFrame | No
 
 
 def tail_fingerprints(candidates: DataFrame, messages: DataFrame) -> DataFrame:
-    """(later, earlier, print, by_assistant): what opens the last substantial messages of ``earlier``, as of then."""
+    """(later, earlier, place, print, by_assistant): what opens the last substantial messages of ``earlier``, as of then, numbered."""
     said = messages.where("seq > 0 AND role IN ('user', 'assistant')").withColumn("back", F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.desc("seq")))).where(F.col("back") <= TAIL_MESSAGES)
     said = said.select(F.col("conversation_id").alias("earlier_conversation"), "seq", (F.col("role") == "assistant").alias("by_assistant"), T.normalize("content").alias("norm"), "ts").where(F.length("norm") >= LEAST_CHARS)
     found = candidates.join(said, "earlier_conversation").where(F.col("ts").isNull() | (F.unix_timestamp("ts") <= F.unix_timestamp("began") + 60))
     w = Window.partitionBy("later", "earlier").orderBy(F.desc("seq"))
-    return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= FINGERPRINTS).select("later", "later_conversation", "earlier", F.substring("norm", 1, FINGERPRINT_CHARS).alias("print"), "by_assistant")
+    return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= FINGERPRINTS).select("later", "later_conversation", "earlier", F.col("rn").alias("place"), F.substring("norm", 1, FINGERPRINT_CHARS).alias("print"), "by_assistant")
 
 
 def opening_text(messages: DataFrame) -> DataFrame:
@@ -153,6 +160,21 @@ def opening_text(messages: DataFrame) -> DataFrame:
     return m.groupBy("conversation_id").agg(text.alias("opening"))
 
 
+def contained(prints: DataFrame, openings: DataFrame) -> DataFrame:
+    """Those of ``prints`` (later, later_conversation, earlier, place, print) that stand in the opening of their later conversation.
+
+    A print has ``LEAST_CHARS`` characters at least, so its first winnowed hash is among those of any text that holds it: the two meet in an
+    equi-join, at a place, and there the print itself is compared.  A text is joined once with all that met in it."""
+    if LEAST_CHARS < WINNOWED:
+        raise ValueError("prints are shorter than what is surely found")
+    index = openings.select("later_conversation", F.inline(fingerprints("opening"))).withColumnRenamed("at", "there")
+    own = prints.withColumn("own", F.get(fingerprints(F.substring("print", 1, WINNOWED)), F.lit(0)))
+    met = own.withColumn("h", F.col("own.h")).join(index, ["later_conversation", "h"]).withColumn("start", F.col("there") - F.col("own.at")).where("start >= 0")
+    met = met.groupBy("later_conversation").agg(F.collect_set(F.struct("later", "earlier", "place", "print", "start")).alias("met"))
+    same = F.filter("met", lambda m: F.col("opening").substr(m["start"] + 1, F.length(m["print"])) == m["print"])
+    return met.join(openings, "later_conversation").select(F.explode(F.array_distinct(F.transform(same, lambda m: F.struct(m["later"].alias("later"), m["earlier"].alias("earlier"), m["place"].alias("place"))))).alias("m")).select("m.*")
+
+
 def detect_links(fresh: DataFrame, sessions: DataFrame, messages: DataFrame, links: DataFrame | None = None, rejections: DataFrame | None = None) -> DataFrame:
     """(later, earlier, kind, confidence, applied): at most one a later session.
 
@@ -162,8 +184,9 @@ def detect_links(fresh: DataFrame, sessions: DataFrame, messages: DataFrame, lin
     found = link_candidates(fresh, sessions, links, rejections)
     prints = tail_fingerprints(found, messages)
     openings = opening_text(messages.join(fresh.select("conversation_id"), "conversation_id", "left_semi")).withColumnRenamed("conversation_id", "later_conversation")
-    hit = F.contains(F.col("opening"), F.col("print"))
-    copied = prints.join(openings, "later_conversation").groupBy("later", "earlier").agg(F.count("*").alias("prints"), F.count_if(hit).alias("hits"), F.max(hit & F.col("by_assistant")).alias("own"))
+    hits = contained(prints, openings).select("later", "earlier", "place", F.lit(True).alias("hit"))
+    judged = prints.join(hits, ["later", "earlier", "place"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    copied = judged.groupBy("later", "earlier").agg(F.count("*").alias("prints"), F.count_if("hit").alias("hits"), F.max(F.col("hit") & F.col("by_assistant")).alias("own"))
     copied = copied.where("prints >= 3 AND hits >= 2 AND hits * 2 >= prints AND own").select("later", "earlier", F.lit(True).alias("copied"))
     judged = found.join(copied, ["later", "earlier"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
     near = (F.col("earlier_tool") != F.col("later_tool")) & (F.unix_timestamp("began") <= F.unix_timestamp("last_e") + NEAR_MINUTES * 60)
@@ -296,27 +319,20 @@ def link_sessions(state: State, members: DataFrame, a: str, b: str, kind: str =
     return put_link(replace(state, rejections=state.rejections.where(~_between(a, b))), members, a, b, kind, origin, 1.0, True)
 
 
-def apply_links(state: State, members: DataFrame, found: DataFrame, keep_rows: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> State:
+def apply_links(state: State, members: DataFrame, found: DataFrame, keep_rows: Callable[[DataFrame], DataFrame] = cut) -> State:
     """The links of :func:`detect_links` at once, and for each applied one the threads of its sessions merged into one.
 
-    ``members`` (session_key, thread_id, started_at): all sessions as they are.  Threads that links chain together are found
-    by passing the smallest thread along the links until nothing changes: a step is a join, and there are as many as the
-    longest chain; ``keep_rows`` materialises what a step made.  The thread of the earliest session keeps its id."""
+    ``members`` (session_key, thread_id, started_at): all sessions as they are.  Threads that links chain together are found in rounds
+    that grow with the logarithm of the longest chain; ``keep_rows`` materialises what a round made.  The thread of the earliest
+    session keeps its id."""
     new = found.select(F.col("earlier").alias("a"), F.col("later").alias("b"), "kind", F.lit("detected").alias("origin"), "confidence", "applied")
     state = replace(state, links=state.links.unionByName(new))
     of = members.groupBy("session_key").agg(F.min("thread_id").alias("thread_id"))
     began = members.groupBy("thread_id").agg(F.min(F.struct(F.col("started_at").isNull().alias("undated"), "started_at", F.col("thread_id").alias("thread"))).alias("began"))
     ends = new.where("applied").join(of.withColumnsRenamed({"session_key": "a", "thread_id": "u"}), "a").join(of.withColumnsRenamed({"session_key": "b", "thread_id": "v"}), "b").where("u <> v").select("u", "v")
-    both = keep_rows(ends.union(ends.select("v", "u")).distinct())
-    label = both.select(F.col("u").alias("thread_id")).distinct().join(began, "thread_id")
-    seen = None
-    while True:
-        near = both.join(label.select(F.col("thread_id").alias("v"), F.col("began").alias("other")), "v").groupBy(F.col("u").alias("thread_id")).agg(F.min("other").alias("other"))
-        label = keep_rows(label.join(near, "thread_id").select("thread_id", F.least("began", "other").alias("began")))
-        now = label.agg(F.sum(F.xxhash64("thread_id", "began.thread").cast("decimal(38,0)"))).first()[0]
-        if now == seen:
-            break
-        seen = now
+    chains = smallest(ends, keep_rows).join(began.withColumnRenamed("thread_id", "node"), "node")
+    first = chains.groupBy("root").agg(F.min("began").alias("began"))
+    label = keep_rows(chains.drop("began").join(first, "root").select(F.col("node").alias("thread_id"), "began"))
     keep = label.select("thread_id", F.col("began.thread").alias("keep")).where("thread_id <> keep")
     moved = members.join(label.select("thread_id", F.col("began.thread").alias("keep")), "thread_id").select("session_key", F.col("keep").alias("thread_id")).distinct()
     rows = label.select(F.col("began.thread").alias("thread_id")).distinct().join(state.threads.select("thread_id"), "thread_id", "left_anti").withColumn("status", F.lit("active"))

@@ -460,4 +460,4 @@ def standing(spark, sf_dir):
 
 
 # The queries of other modules register themselves.
-from . import source_queries, state_queries, text_queries  # noqa: E402, F401
+from . import retrieval_queries, source_queries, state_queries, text_queries  # noqa: E402, F401

@@ -70,6 +70,19 @@ def src_codex(spark, sf_dir):
     return _read(_files(_turns(spark, sf_dir), _path("/c/", ".jsonl"), _lines(line)), "codex")
 
 
+#: Signs that end a line elsewhere, and that JSON strings hold as they are.
+_SIGNS = "\u2028\u2029\u0085\u000b\u001c"
+
+
+@query(said(text="replace(text, ' a', chr(8232) || 'a' || chr(8233) || chr(133))"))
+def src_odd_lines(spark, sf_dir):
+    """Texts that hold signs which end lines elsewhere, between lines that are no objects and lines that end with both signs."""
+    odd = lambda m: F.replace(m["text"], F.lit(" a"), F.lit(_SIGNS[0] + "a" + _SIGNS[1] + _SIGNS[2]))
+    line = lambda m: F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), m["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), odd(m).alias("text"))).alias("content")).alias("payload"))
+    content = F.concat(F.lit('42\r\n"x"\n[1]\nnull\n{"cut\n'), F.array_join(F.transform("ms", lambda m: _json(line(m))), "\r\n"), F.lit("\n7\n"))
+    return _read(_files(_turns(spark, sf_dir), _path("/c/", ".jsonl"), content), "codex")
+
+
 @query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS island FROM conversations WHERE role <> 'system' AND trim(text) <> ''),
   g AS (SELECT conv_id, role, min(turn) AS turn, string_agg(text, chr(10) ORDER BY turn) AS text FROM m GROUP BY conv_id, role, island)
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role, text FROM g""")

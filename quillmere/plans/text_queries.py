@@ -47,11 +47,18 @@ def hybrid_filtered(spark, sf_dir):
 
 
 @query(r"""WITH w AS (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM conversations),
-  h AS (SELECT *, list_transform(w, lambda x: list_contains(regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), 'de')) AS h FROM w),
-  f AS (SELECT *, greatest(1, least(coalesce(list_position(h, true), 1) - 6, len(w) - 11)) AS first FROM h)
-  SELECT conv_id AS conversation_id, turn AS seq, CASE WHEN first > 1 THEN '…' ELSE '' END || array_to_string(list_transform(list_zip(w, h)[first:first + 11], lambda z: CASE WHEN z[2] THEN '[' || z[1] || ']' ELSE z[1] END), ' ') || CASE WHEN first + 12 <= len(w) THEN '…' ELSE '' END AS snippet FROM f""")
+  p AS (SELECT conv_id, turn, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM w),
+  f AS (SELECT *, list_contains(regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), 'de') AS a, list_contains(regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), 'the') AS b,
+        list_contains(regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), 'and') AS c FROM p),
+  n AS (SELECT *, coalesce(bool_or(a) OVER e, false)::INT + coalesce(bool_or(b) OVER e, false)::INT + coalesce(bool_or(c) OVER e, false)::INT AS n, count(*) OVER (PARTITION BY conv_id, turn) AS size
+        FROM f WINDOW e AS (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+  s AS (SELECT conv_id, turn, arg_min(pos, -n * 100000000 + pos) AS first FROM n GROUP BY ALL)
+  SELECT conv_id AS conversation_id, turn AS seq, CASE WHEN first > 1 THEN '…' ELSE '' END || string_agg(CASE WHEN a OR b OR c THEN '[' || x || ']' ELSE x END, ' ' ORDER BY pos)
+         || CASE WHEN first + 12 <= any_value(size) THEN '…' ELSE '' END AS snippet
+  FROM n JOIN s USING (conv_id, turn) WHERE pos >= first AND pos < first + 12 GROUP BY conv_id, turn, first""")
 def snippets(spark, sf_dir):
-    return A.messages(spark, sf_dir).select("conversation_id", "seq", search.snippet("content", "De", start="[", end="]").alias("snippet"))
+    """The best windows for three words: in many messages not the window of the first hit."""
+    return A.messages(spark, sf_dir).select("conversation_id", "seq", search.snippet("content", "De the AND", start="[", end="]").alias("snippet"))
 
 
 @query(r"SELECT conv_id, turn, CASE WHEN length(t) <= 160 THEN t ELSE rtrim(substr(t, 1, 160)) || '…' END AS snippet, substr(trim(text), 1, 40) AS plain FROM (SELECT conv_id, turn, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)")
@@ -136,7 +143,7 @@ def top_languages(spark, sf_dir):
     """Languages of fenced blocks that users open, once a session."""
     m = A.messages(spark, sf_dir)
     lang = F.concat(F.lit("l"), F.pmod("conversation_id", F.lit(5)).cast("string"))
-    m = m.withColumn("content", F.concat(F.lit("see ```"), F.upper(lang), F.lit(" x\ncode\n```"), F.substring("content", 1, 100)))
+    m = m.withColumn("content", F.concat(F.lit("see ```"), F.upper(lang), F.lit(" x\ncode\n``` "), "content"))
     return metrics.top(metrics.session_metrics(A.sessions(spark, sf_dir), m), "languages", 8)
 
 

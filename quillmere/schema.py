@@ -23,7 +23,7 @@ ROOM_LOG = "id long, room string, author string, device string, origin_seq long,
 ROOM_AGENTS = "room string, name string, cursor long, seen long"
 ROOM_SESSIONS = "room string, name string, path string"
 SCANNED = "session_key string"
-POSTINGS = "term string, conversation_id string, seq int, tf long, length int, bucket int"
+POSTINGS = "term string, conversation_id string, seq int, tf long, length int, level int, bucket int"
 SIZES = "conversation_id string, seq int, length int"
 CLAIMS = "room string, holder string, path string, expires long"
 TASKS = "room string, id string, title string, owner string, status string, files array<string>, created long, updated long, updated_by string"

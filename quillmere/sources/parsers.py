@@ -40,21 +40,10 @@ class Session:
     ended_at: dt.datetime | None = None
 
 
-def fences(text: str) -> list[tuple[str, str]]:
-    """(language, code) of the fenced blocks, whose fences may be indented; the first word after a fence is the language; an
-    empty block counts if it is closed, the last block may be open."""
-    out, language, body = [], None, []
-    for line in text.splitlines():
-        mark = line.lstrip().startswith("```")
-        if language is None:
-            if mark:
-                language, body = next(iter(line.lstrip()[3:].split()), ""), []
-        elif mark:
-            out.append((language, "\n".join(body)))
-            language = None
-        else:
-            body.append(line)
-    return [*out, (language, "\n".join(body))] if language is not None and body else out
+def lines(text: str) -> list[str]:
+    """The lines of a text: they end with a line feed, or both signs, and nothing else, since JSON strings may hold what else ends lines."""
+    out = [x.removesuffix("\r") for x in text.split("\n")]
+    return out[:-1] if out[-1] == "" else out
 
 
 def when(value: Any) -> dt.datetime | None:
@@ -75,7 +64,7 @@ def when(value: Any) -> dt.datetime | None:
 
 def json_lines(text: str) -> Iterable[dict]:
     """The objects of a JSON-lines text; lines that are none are left out."""
-    for line in text.splitlines():
+    for line in lines(text):
         try:
             x = json.loads(line)
         except ValueError:
@@ -97,17 +86,6 @@ def _strings(*values: Any) -> str | None:
     return next((v for v in values if isinstance(v, str) and v), None)
 
 
-def _widened(s: Session, t: dt.datetime | None) -> None:
-    """The session's span with one time more."""
-    if t:
-        s.started_at = min(s.started_at or t, t)
-        s.ended_at = max(s.ended_at or t, t)
-
-
-def _compact(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-
-
 def _part(part: Any) -> str | None:
     """The text of a part: a string, or an object with a text."""
     if isinstance(part, str):
@@ -122,131 +100,6 @@ def _parts(content: Any) -> str:
     return _part(content) or ""
 
 
-def claude_code(path: str, content: bytes) -> list[Session]:
-    s = Session("claude-code", path, [], native_id=PurePosixPath(path).stem)
-    for x in json_lines(content.decode("utf-8", "replace")):
-        s.project, s.branch = s.project or _strings(x.get("cwd")), s.branch or _strings(x.get("gitBranch"))
-        ts = when(x["timestamp"]) if isinstance(x.get("timestamp"), str) else None
-        _widened(s, ts)
-        m = x.get("message")
-        if not isinstance(m, dict):
-            continue
-        s.model = s.model or _strings(m.get("model"))
-        blocks = m.get("content") if isinstance(m.get("content"), list) else []
-        blocks = [b if isinstance(b, dict) else {} for b in blocks]
-        texts = [m["content"]] if isinstance(m.get("content"), str) else []
-        for b in blocks:
-            if b.get("type") == "text" and isinstance(b.get("text"), str):
-                texts.append(b["text"])
-            elif b.get("type") == "tool_result" and (result := b.get("content")):
-                texts.append(_parts([r for r in result if isinstance(r, dict)] if isinstance(result, list) else result if isinstance(result, str) else ""))
-        tools = [str(b.get("name") or "") for b in blocks if b.get("type") == "tool_use"]
-        text = "\n\n".join(t for i, t in enumerate(texts) if t or i)
-        role = _strings(m.get("role"), x.get("type"))
-        role = role if role in ("assistant", "system") else "user"
-        if role == "user" and blocks and not any(b.get("type") in ("text", "tool_use", "thinking") for b in blocks):
-            role = "tool"
-        if text.strip() or tools:
-            s.messages.append(Message(role, text, ts, tools))
-    return [_span(s)]
-
-
-# The items of a rollout that are calls and results of tools.
-CALLS, RESULTS = ("function_call", "local_shell_call", "custom_tool_call"), ("function_call_output", "local_shell_call_output")
-
-
-def codex(path: str, content: bytes) -> list[Session]:
-    s = Session("codex", path, [], native_id=PurePosixPath(path).stem)
-
-    def text(value: Any) -> str:
-        out = ""
-        for b in value if isinstance(value, list) else [value] if isinstance(value, str) else []:
-            t = _part(b)
-            out += "" if t is None else t if isinstance(b, str) or not out else f"\n\n{t}"
-        return out
-
-    for x in json_lines(content.decode("utf-8", "replace")):
-        p = x.get("payload") if isinstance(x.get("payload"), dict) else x
-        s.project, s.model = s.project or _strings(p.get("cwd")), s.model or _strings(p.get("model"))
-        at = x.get("timestamp", p.get("timestamp"))
-        _widened(s, when(at) if isinstance(at, str) else None)
-        if x.get("type") == "session_meta":
-            s.native_id = _strings(p.get("id"), s.native_id)
-            continue
-        kind = p.get("type")
-        if kind == "message":
-            said = text(p.get("content"))
-            if said.strip():
-                s.messages.append(Message(p["role"] if p.get("role") in ("assistant", "system", "tool") else "user", said))
-        elif kind in CALLS:
-            name, given = p["name"] if isinstance(p.get("name"), str) else "tool", p.get("arguments")
-            s.messages.append(Message("tool", f"{name}({given if isinstance(given, str) else '' if given is None else _compact(given)})", tools=[name]))
-        elif kind in RESULTS and (said := text(p.get("output", p.get("content")))).strip():
-            s.messages.append(Message("tool", said))
-    return [_span(s)]
-
-
-def aider(path: str, content: bytes) -> list[Session]:
-    """Lines before a first marker are a session of their own, without a time; notes (``>``) are no messages."""
-    mark, found = "# aider chat started at ", []
-    for line in content.decode("utf-8", "replace").splitlines():
-        if line.startswith(mark) or not found:
-            s = Session("aider", path, [], native_id=f"{path}#{len(found)}", project=str(PurePosixPath(path).parent))
-            s.started_at = s.ended_at = when(line[len(mark) :].strip().replace(" ", "T")) if line.startswith(mark) else None
-            found.append(s)
-            if line.startswith(mark):
-                continue
-        s = found[-1]
-        if line.startswith(">"):
-            model = line[1:].split("Model:")[1].split() if "Model:" in line else []
-            s.model = s.model or (model[0] if model else None)
-            continue
-        # "####" and a blank is a user's line; "#####" is a heading of the answer
-        role, text = ("user", line[5:]) if line == "####" or line.startswith("#### ") else ("assistant", line)
-        if s.messages and s.messages[-1].role == role:
-            s.messages[-1].content += f"\n{text}"
-        else:
-            s.messages.append(Message(role, text))
-    for s in found:
-        for m in s.messages:
-            m.content = m.content.strip()
-        s.messages = [m for m in s.messages if m.content]
-    found = [s for s in found if s.messages]
-    if not found:
-        raise ValueError("no sessions")
-    return found
-
-
-def cline(path: str, content: bytes) -> list[Session]:
-    data = json.loads(content)
-    if not isinstance(data, list):
-        raise ValueError("not an array")
-    folder = PurePosixPath(path).parent.name
-    s = Session("cline", path, [], native_id=folder, started_at=when(int(folder)) if folder.isdigit() else None)
-    s.ended_at = s.started_at
-
-    def text(value: Any) -> str:
-        if not isinstance(value, list):
-            return value if isinstance(value, str) else ""
-        parts = []
-        for b in value:
-            if not isinstance(b, dict):
-                continue
-            if b.get("type") == "tool_use":
-                parts.append(f"[tool: {b.get('name', 'tool')}] {_compact(b['input']) if 'input' in b else ''}")
-            elif b.get("type") == "tool_result":
-                if (inner := text(b.get("content"))).strip():
-                    parts.append(inner)
-            elif (t := _part(b)) is not None:  # also of kinds that are not known
-                parts.append(t)
-        return "\n\n".join(parts)
-
-    for x in data:
-        if isinstance(x, dict) and (said := text(x.get("content"))).strip():
-            s.messages.append(Message(x["role"] if x.get("role") in ("assistant", "system") else "user", said))
-    return [_span(s)]
-
-
 def _inside(state: Any, path: list) -> Any:
     """What lies at a path of keys and places; None where it leads nowhere."""
     for key in path:
@@ -311,32 +164,6 @@ def copilot(path: str, content: bytes) -> list[Session]:
     return [_span(s)]
 
 
-def gemini(path: str, content: bytes) -> list[Session]:
-    text = content.decode("utf-8", "replace")
-    s = Session("gemini", path, [], native_id=PurePosixPath(path).stem)
-    if path.endswith(".jsonl"):
-        head, *rest = json_lines(text) if text.strip() else [{}]
-        records = list(head.get("messages") or [])
-        for x in rest:
-            if isinstance(x.get("$set"), dict):  # only what says when it began matters of what is set
-                head.setdefault("startTime", x["$set"].get("startTime"))
-            elif isinstance(x.get("$rewindTo"), str):
-                place = next((i for i, m in enumerate(records) if m.get("id") == x["$rewindTo"]), len(records))
-                del records[place + 1 :]
-            elif "type" in x or "content" in x:
-                records.append(x)
-    else:
-        head = json.loads(text)
-        records = head.get("messages") or []
-    s.native_id = _strings(head.get("sessionId"), s.native_id)
-    s.started_at = s.ended_at = when(head["startTime"]) if isinstance(head.get("startTime"), str) else None
-    for m in records:
-        role = {"user": "user", "gemini": "assistant", "assistant": "assistant", "model": "assistant"}.get(m.get("type")) if isinstance(m, dict) else None
-        if role and (said := _parts(m.get("content"))).strip():  # other rows are the interface's own
-            s.messages.append(Message(role, said))
-    return [_span(s)]
-
-
 # Updates that say something.
 SAID = {"user_message_chunk": "user", "user_message": "user", "agent_message_chunk": "assistant", "agent_message": "assistant"}
 
@@ -493,6 +320,6 @@ def windsurf(path: str, content: bytes) -> list[Session]:
 
 
 PARSERS: dict[str, Callable[..., list[Session]]] = {
-    "claude-code": claude_code, "codex": codex, "cursor": cursor, "windsurf": windsurf, "aider": aider, "cline": cline, "copilot": copilot, "gemini": gemini,
+    "cursor": cursor, "windsurf": windsurf, "copilot": copilot,
     "grok": grok, "skills": skill, "codex-prompts": lambda p, c, **more: skill(p, c, "codex", **more),
 }

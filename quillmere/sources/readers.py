@@ -1,6 +1,7 @@
 """Readers: folders of history files as DataFrames of sessions and messages.
 
-Files are scanned by Spark (``binaryFile``), parsed in Arrow batches, one file's failure an error row of its own.
+Files are scanned by Spark (``binaryFile``).  What is lines or JSON is a plan (:mod:`.file_plans`), other forms are parsed in Arrow batches; one
+file's failure is an error row of its own.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..schema import SESSION
-from .parsers import PARSERS, Session, fences, markdown_folder
+from .file_plans import PLANS
+from .parsers import PARSERS, Session, markdown_folder
 
 # Which files each source consists of.
 GLOBS = {
@@ -24,7 +27,7 @@ GLOBS = {
 
 
 def _row(s: Session) -> dict:
-    ms = [{"seq": i, "role": m.role, "content": m.content, "ts": m.ts, "tools": m.tools, "snippets": [{"language": lang, "text": code} for lang, code in fences(m.content)]} for i, m in enumerate(s.messages)]
+    ms = [{"seq": i, "role": m.role, "content": m.content, "ts": m.ts, "tools": m.tools, "snippets": []} for i, m in enumerate(s.messages)]
     return {k: getattr(s, k) for k in ("tool", "kind", "path", "native_id", "title", "project", "branch", "model", "started_at", "ended_at")} | {"error": None, "messages": ms}
 
 
@@ -39,6 +42,11 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return out
 
 
+def _with_snippets(sessions: DataFrame) -> DataFrame:
+    """The fenced blocks of each message beside it."""
+    return sessions.withColumn("messages", F.transform("messages", lambda m: m.withField("snippets", T.fenced(m["content"]))))
+
+
 #: How many folders deep Markdown folders are looked for.
 MOST_DEPTH = 6
 
@@ -52,6 +60,8 @@ def read_sessions(spark: SparkSession, source: str, folder: str) -> DataFrame:
 def parse_files(files: DataFrame, source: str, folder: str = "/") -> DataFrame:
     """The sessions of ``files`` (path, content, modificationTime) below ``folder``."""
     files = files.select("path", "content", "modificationTime")
+    if source in PLANS:
+        return PLANS[source](files)
     if source in ("antigravity", "grok", "cursor"):
         return _read_folders(files, source, folder)
 
@@ -67,7 +77,7 @@ def parse_files(files: DataFrame, source: str, folder: str = "/") -> DataFrame:
             if rows:
                 yield _frame(rows)
 
-    return files.mapInPandas(each, SESSION)
+    return _with_snippets(files.mapInPandas(each, SESSION))
 
 
 def outermost(files: DataFrame, root: str) -> DataFrame:
@@ -104,7 +114,7 @@ def _read_folders(files: DataFrame, source: str, root: str) -> DataFrame:
 
     rows = files.withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
     rows = outermost(rows, root) if source == "antigravity" else rows
-    return rows.select("folder", "path", "content").groupBy("folder").applyInPandas(whole, SESSION)
+    return rows.select("folder", "path", "content").groupBy("folder").applyInPandas(whole, SESSION).transform(_with_snippets)
 
 
 def messages_of(sessions: DataFrame) -> DataFrame:

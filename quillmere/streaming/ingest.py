@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import tokens
 from ..operators.ingest import deduplicate, identify, redact_messages
+from ..operators.blocks import level
 from ..operators.search import bucket, postings
 from ..store import Store
 
@@ -42,7 +43,7 @@ def ingest_batch(store: Store, sessions: DataFrame, messages: DataFrame) -> int:
 
 def indexed(messages: DataFrame) -> DataFrame:
     """The rows of the stored inverted index."""
-    return postings(messages).withColumn("bucket", bucket(F.col("term")))
+    return postings(messages).withColumn("level", level(F.col("tf"), F.col("length"))).withColumn("bucket", bucket(F.col("term")))
 
 
 def sizes(messages: DataFrame) -> DataFrame:
