@@ -6,8 +6,8 @@ several have there.  Within a group the lists are stored in a trie.  A document
 node's n-grams is counted once for all documents below, and a subtree is left where what remains of its longest list, or of the
 document, cannot make up what is lacking.
 
-Only components are asked for, so most of the work can be spared.  First each document goes to the most crowded of its groups
-alone, where a group of near copies becomes one component; then one document of each component goes to each group that still
+Only components are asked for, so most of the work can be spared.  Groups that have documents in common are a family, found by
+ids alone, and a family of bounded size is joined as one group.  In larger ones each document goes first to the most crowded of its groups alone, where a group of near copies becomes one component; then one document of each component goes to each group that still
 holds several; at last all documents of the groups that hold several components even then, crowded ones as pairs of blocks.  In each
 group the trie is flooded from one document after another: what has been reached is not looked for again.
 
@@ -297,10 +297,21 @@ def similar_links(sets: DataFrame, percent: int, most: int = MOST) -> DataFrame:
     crowd = entries.groupBy("gram").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.max("id").alias("greatest"), *sums).where("members > 1")
     crowd = crowd.groupBy("members", "least", "greatest", "sum0", "sum1").agg(F.min("gram").alias("gram")).select("gram", "members", F.col("members").alias("size"))
     met = stash(skew_join(entries, crowd, "gram", "size", entries.count()), "met")
-    # each in its most crowded group, in parts
+    # families: what meets in any group, by ids alone.  One that is small enough is joined as a whole, each set sent once
+    stars = met.groupBy("gram").agg(F.min("id").alias("v"))
+    families = components(skew_join(met.select("gram", "id", "members"), stars.join(met.groupBy("gram").agg(F.count("*").alias("size")), "gram"), "gram", "size", met.count()).select(F.col("id").alias("u"), "v"))
+    sizes = families.groupBy("root").agg(F.count("*").alias("family"))
+    families = stash(skew_join(families, sizes.withColumn("size", F.col("family")), "root", "size", families.count()).select(F.col("u").alias("id"), F.col("root").alias("of"), "family"), "families")
+    small = families.where(F.col("family") <= most).select(F.col("of").alias("gram"), F.lit(0).cast("long").alias("part"), "id", F.col("id").alias("root"))
+    links = stash(_links(small, sets, small.count(), percent), "links")
+    crowded = families.where(F.col("family") > most).select("id")
+    if crowded.isEmpty():
+        return components(links)
+    # the others: each in its most crowded group, in parts
+    met = stash(met.join(crowded, "id", "left_semi"), "met")
     alone = met.groupBy("id").agg(F.max(F.struct("members", "gram")).alias("at")).select("id", F.col("at.gram").alias("gram"), F.col("at.members").alias("members"))
     alone = alone.select("gram", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / most)).cast("long").alias("part"), "id", F.col("id").alias("root"))
-    links = stash(_links(alone, sets, sets.count(), percent), "links")
+    links = stash(links.unionByName(_links(alone, sets, alone.count(), percent)), "links")
 
     def mixed() -> tuple[DataFrame, DataFrame]:
         """What is met in groups that hold several components, as (gram, members, id, root), and (u, root)."""

@@ -214,8 +214,10 @@ def test_ngrams_of_the_same_documents_are_one_group(spark, monkeypatch):
     rows = [(i, 60, bytearray(np.arange(20 + 40 * i, dtype="<u8")[-60:].tobytes()), [*range(20), *([99] if i < 3 else [])]) for i in range(1, 4)]
     seen, join = [], J._links
     monkeypatch.setattr(J, "_links", lambda rows, *a: seen.append(rows.select("gram").distinct().count()) or join(rows, *a))
-    similar_links(spark.createDataFrame(rows, "id long, n long, grams binary, prefix array<long>"), 90).collect()
-    assert seen == [1, 2, 2]
+    df = spark.createDataFrame(rows, "id long, n long, grams binary, prefix array<long>")
+    assert similar_links(df, 90).collect() == [] and seen == [1]  # a family, joined as a whole
+    seen.clear()
+    assert similar_links(df, 90, most=2).collect() == [] and seen == [0, 1, 2, 2]  # none is small enough, then group by group
 
 
 @settings(max_examples=60, deadline=None)
