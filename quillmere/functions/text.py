@@ -69,9 +69,13 @@ def normalize(text: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(_col(text), r"\s+", " ")))
 
 
+#: What lies between words.
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(_col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(_col(text)), NO_WORD), lambda t: t != "")
 
 
 def title_terms(text: Column | str) -> Column:

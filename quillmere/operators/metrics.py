@@ -64,7 +64,10 @@ def session_metrics(sessions: DataFrame, messages: DataFrame, markers: dict[str,
 
 
 def work_metrics(per: DataFrame) -> DataFrame:
-    """One row over all sessions of :func:`session_metrics`; zeros for none."""
+    """One row over all sessions of :func:`session_metrics`; zeros for none.
+
+    A median is exact: it counts each different value, partly in each task, and turns and whole seconds within a day or an hour are no
+    more than 86,401 different ones, however many sessions there are."""
     n = F.greatest(F.count("*"), F.lit(1))
     share = lambda c: F.count_if(c) / n
     whole = per.agg(

@@ -67,9 +67,9 @@ def query_terms(query: str) -> list[str]:
 def postings(messages: DataFrame, key: Sequence[str] = ("conversation_id", "seq"), content: str = "content") -> DataFrame:
     """The inverted index: (term, key…, tf, length).  Written by term, a query reads its terms' rows alone."""
     rows = messages.select(*key, F.array_sort(T.tokens(content)).alias("words")).withColumn("length", F.size("words"))
-    # a message's counts are known within its row: the words in order, each with the place after its last, less that before its first
-    ends = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.array_position("words", w).alias("first")))
-    rows = rows.withColumn("ends", ends).withColumn("firsts", F.concat(F.transform("ends", lambda e: e["first"]), F.array((F.col("length") + 1).cast("long"))))
+    # a message's counts are known within its row: the words in order, each with the place of its first, less that of the next word's
+    ends = F.transform("words", lambda w, i: F.when((i == 0) | (w != F.get("words", i - 1)), F.struct(w.alias("term"), (i + 1).cast("long").alias("first"))))
+    rows = rows.withColumn("ends", F.filter(ends, lambda e: e.isNotNull())).withColumn("firsts", F.concat(F.transform("ends", lambda e: e["first"]), F.array((F.col("length") + 1).cast("long"))))
     counted = F.transform("ends", lambda e, i: F.struct(e["term"].alias("term"), (F.get("firsts", i + 1) - e["first"]).alias("tf")))
     return rows.select(*key, "length", F.inline(counted)).select("term", *key, "tf", "length")
 

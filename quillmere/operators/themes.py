@@ -81,7 +81,7 @@ def term_scores(titles: DataFrame, group: str, title: str) -> DataFrame:
     """(group, term, tf, df, score): score = tf * max(0, ln(N / (1 + df))), N the number of titles, df the occurrences of
     the term in all of them."""
     # what is no term of a title is left out after the words have been counted: once a word, not once an occurrence
-    words = titles.select(group, F.explode(T.tokens(title)).alias("term")).groupBy(group, "term").agg(F.count("*").alias("tf"))
+    words = titles.select(group, F.explode(F.split(F.lower(title), T.NO_WORD)).alias("term")).groupBy(group, "term").agg(F.count("*").alias("tf"))
     tf = words.where((F.octet_length("term") >= 3) & ~F.col("term").isin(T.STOPWORDS))
     df = tf.groupBy("term").agg(F.sum("tf").alias("df"))
     n = titles.agg(F.count("*").alias("total"))

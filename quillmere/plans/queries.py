@@ -163,22 +163,32 @@ def recent_folders(spark, sf_dir):
     return activity.recent_folders(A.dated(spark, sf_dir))
 
 
-_MARK = {k: "(" + " OR ".join(f"contains(lower({{0}}), '{m}')" for m in v) + ")" for k, v in MARKERS.items()}
-_PER = f"""m AS (SELECT conv_id, turn, role, substr(coalesce(text, ''), 1, 2000) AS c, role IN ('user', 'human') AS u FROM conversations),
+def _marked(markers: dict[str, list[str]]) -> dict[str, str]:
+    return {k: "(" + " OR ".join("contains(lower({0}), '" + m.replace("'", "''") + "')" for m in v) + ")" for k, v in markers.items()}
+
+
+def _per_sql(markers: dict[str, list[str]], text: str = "text") -> str:
+    """The rows of :func:`metrics.session_metrics`, in SQL."""
+    mark = _marked(markers)
+    return f"""m AS (SELECT conv_id, turn, role, substr(coalesce({text}, ''), 1, 2000) AS c, role IN ('user', 'human') AS u FROM conversations),
   x AS (SELECT *, CASE WHEN u THEN count(*) FILTER (u) OVER (PARTITION BY conv_id ORDER BY turn) END AS rn FROM m),
   w AS (SELECT conv_id, coalesce(string_agg(c, chr(10) ORDER BY turn) FILTER (u), '') AS whole FROM m GROUP BY conv_id),
-  a AS (SELECT conv_id, count(*) AS messages, count(*) FILTER (u) AS user_turns, count(*) FILTER (u AND rn > 1 AND {_MARK['correction'].format('c')}) AS corrections,
-     coalesce(bool_or(rn = 2 AND {_MARK['correction'].format('c')}), false) AS first_prompt_miss, NOT arg_max(u, turn) AS resolved,
-     coalesce(max(CASE WHEN rn = 1 THEN length(c) END), 0) AS first_prompt_chars, coalesce(bool_or(rn = 1 AND {_MARK['constraint'].format('c')}), false) AS specific,
+  a AS (SELECT conv_id, count(*) AS messages, count(*) FILTER (u) AS user_turns, count(*) FILTER (u AND rn > 1 AND {mark['correction'].format('c')}) AS corrections,
+     coalesce(bool_or(rn = 2 AND {mark['correction'].format('c')}), false) AS first_prompt_miss, NOT arg_max(u, turn) AS resolved,
+     coalesce(max(CASE WHEN rn = 1 THEN length(c) END), 0) AS first_prompt_chars, coalesce(bool_or(rn = 1 AND {mark['constraint'].format('c')}), false) AS specific,
      count(*) FILTER (role = 'assistant') * 2 AS actions, min(CASE WHEN rn = 1 THEN turn END) AS first_seq, max(turn) - min(turn) AS minutes,
      'tool' || (conv_id % 3) AS tool, 'p' || (conv_id % 7) AS project, 1700000000 + conv_id * 7200 + min(turn) * 60 AS start FROM x GROUP BY conv_id),
   f AS (SELECT a.conv_id, min(m.turn) AS reply FROM a JOIN m ON a.conv_id = m.conv_id AND m.role = 'assistant' AND m.turn > a.first_seq GROUP BY a.conv_id),
-  per AS (SELECT a.*, f.reply, {_MARK['error'].format('whole')} AS pasted_error, {_MARK['test'].format('whole')} AS mentions_test, {_MARK['commit'].format('whole')} AS mentions_commit,
+  per AS (SELECT a.*, f.reply, {mark['error'].format('whole')} AS pasted_error, {mark['test'].format('whole')} AS mentions_test, {mark['commit'].format('whole')} AS mentions_commit,
      (contains(whole, '```') OR len(string_split(whole, '    ')) - 1 > 3 OR contains(whole, ');' || chr(10))) AS pasted_code,
      user_turns + 2 * corrections AS friction, CASE WHEN (reply - first_seq) * 60 BETWEEN 0 AND 3600 THEN (reply - first_seq) * 60 END AS first_response_secs
      FROM a JOIN w USING (conv_id) LEFT JOIN f USING (conv_id))"""
 
 
+_PER = _per_sql(MARKERS)
+
+
+
 def _per(spark, sf_dir):
     return metrics.session_metrics(A.sessions(spark, sf_dir), A.messages(spark, sf_dir), MARKERS)
 
@@ -190,6 +200,23 @@ def session_metrics(spark, sf_dir):
     return _per(spark, sf_dir).select(*cols, F.size("actions").cast("long").alias("actions"), "friction", "minutes", "first_response_secs")
 
 
+#: The lists that are used outside the tests.
+_REAL = {"correction": T.CORRECTION_MARKERS, "constraint": T.CONSTRAINT_MARKERS, "error": T.ERROR_MARKERS, "test": T.TEST_MARKERS, "commit": T.COMMIT_MARKERS}
+#: All of them, and phrases that nearly hold one; a message gets one by its place.
+_PHRASES = [*dict.fromkeys(m for v in _REAL.values() for m in v), "notwithstanding", "onl y", "e rror", "plain"]
+_PHRASED = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in _PHRASES) + f"][1 + (conv_id * 7 + turn * 11) % {len(_PHRASES)}] || ' ' || text"
+
+
+@query(f"""WITH {_per_sql(_REAL, _PHRASED)} SELECT conv_id AS session_id, user_turns, corrections, first_prompt_miss, resolved, first_prompt_chars, specific, pasted_error, mentions_test, mentions_commit, friction FROM per""")
+def session_metrics_marked(spark, sf_dir):
+    """The real marker lists over messages that hold each of them."""
+    phrases = F.array(*[F.lit(p) for p in _PHRASES])
+    place = F.pmod(F.col("conversation_id") * 7 + F.col("seq") * 11, F.lit(len(_PHRASES))).cast("int")
+    m = A.messages(spark, sf_dir).withColumn("content", F.concat(F.get(phrases, place), F.lit(" "), "content"))
+    found = metrics.session_metrics(A.sessions(spark, sf_dir), m)
+    return found.select("session_id", "user_turns", "corrections", "first_prompt_miss", "resolved", "first_prompt_chars", "specific", "pasted_error", "mentions_test", "mentions_commit", "friction")
+
+
 @query(f"""WITH {_PER}, b AS (SELECT avg(n) AS busy FROM (SELECT count(DISTINCT project) AS n FROM per GROUP BY strftime(to_timestamp(start) AT TIME ZONE 'UTC', '%Y-%m-%d')))
   SELECT count(*) AS sessions, count(DISTINCT project) AS projects, sum(user_turns)::BIGINT AS user_turns, median(user_turns)::DOUBLE AS median_turns, round(avg(user_turns), 6) AS mean_turns,
    round(avg((corrections > 0)::INT), 6) AS correction_rate, round(avg(first_prompt_miss::INT), 6) AS first_prompt_miss_rate, round(avg((NOT resolved)::INT), 6) AS abandonment_rate,

@@ -94,10 +94,14 @@ def repo_labels(spark, sf_dir):
     return p.select("page_id", T.repo_label(F.concat(F.lit("path:"), "url")).alias("folder"), T.repo_label(F.concat(F.lit("root:"), F.md5("url"))).alias("root"))
 
 
-@query("SELECT conv_id, turn, text || '+' AS decoded FROM conversations")
+_ESCAPED = "replace(replace(replace(text, ' ', '%20'), 'e', '%65'), 'th', '%54%48') || '+%C3%a9%E2%82%AC%F0%9F%98%80'"
+
+
+@query(f"SELECT conv_id, turn, url_decode({_ESCAPED}) AS decoded FROM conversations WHERE NOT contains(text, '%')")
 def percent_decoded(spark, sf_dir):
-    c = A.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", T.percent_decode(F.concat(F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20")), F.lit("+"))).alias("decoded"))
+    """Escapes of one to four bytes in either case, and a plus, which is none."""
+    c = A.table(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("%")))
+    return c.select("conv_id", "turn", T.percent_decode(F.expr(_ESCAPED)).alias("decoded"))
 
 
 @query("""WITH s AS (SELECT event_id, floor(epoch(TIMESTAMP '2024-02-10 00:00:00') - floor(epoch(ts)))::BIGINT AS s FROM events WHERE ts IS NOT NULL)
