@@ -96,7 +96,7 @@ def test_stages_keep_columns_of_any_name(spark, docs, folder):
 
 
 def test_queries_are_registered():
-    assert [n for n in QUERIES] and {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert [n for n in QUERIES] and {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert [int(n) for n in range(4, 6)] and 4 <= len(corpus_pipeline.STAGES) <= 5
 
