@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
@@ -22,6 +23,7 @@ from quillmere.llm.components import Forest, components
 from quillmere.llm.decontaminate import contaminated, without_contaminated
 from quillmere.llm.licenses import TEMPLATES, Scanner, edits, licenses, telling, words_of
 from quillmere.llm.near_dedup import candidates, near_groups, one_of_each
+from quillmere.llm import secrets as S
 from quillmere.llm.secrets import base_spans, scan, secrets
 from quillmere.llm.simhash import fingerprint, hamming_links, near_links, shard_rows, shards, simhash_components
 
@@ -270,6 +272,11 @@ def _raw(data):
     return pack.compress(data) + pack.flush()
 
 
+def _deflated(data, bits):
+    pack = zlib.compressobj(9, zlib.DEFLATED, bits)
+    return pack.compress(data) + pack.flush()
+
+
 ENCODERS = {
     "url": lambda t: urllib.parse.quote(t, safe=""),
     "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
@@ -290,11 +297,35 @@ ENCODERS = {
     "glued_raw": lambda t: "path/" + _b64(_raw(t.encode("latin-1"))),
     "wrapped": lambda t: _b64(t, 40),
     "wrapped_gzip": lambda t: _b64(gzip.compress(t.encode("latin-1") + bytes(range(256))), 64),
+    "short_lines": lambda t: _b64(t, 8),
+    "crlf_lines": lambda t: _b64(t, 12).replace("\n", "\r\n"),
+    "percent_u": lambda t: "".join(f"%u{ord(c):04x}" for c in t),
+    "braced": lambda t: "".join(f"\\u{{{ord(c):x}}}" for c in t),
+    "long_escape": lambda t: "".join(f"\\U{ord(c):08x}" for c in t),
+    "octal": lambda t: "".join(f"\\{ord(c):03o}" for c in t),
+    "named": lambda t: t.replace("&", "&amp;").replace("=", "&equals;").replace('"', "&quot;"),
+    "utf16le": lambda t: _b64(t.encode("utf-16-le")),
+    "utf16be": lambda t: _b64(t.encode("utf-16-be")),
+    "utf32": lambda t: _b64(t.encode("utf-32")),
+    "zlib9": lambda t: _b64(_deflated(t.encode("latin-1"), 9)),
+    "zlib12": lambda t: _b64(_deflated(t.encode("latin-1"), 12)),
+    "raw_in_gzip": lambda t: _b64(gzip.compress(_raw(t.encode("latin-1")))),
+    "raw_in_raw": lambda t: _b64(_raw(_raw(t.encode("latin-1")))),
+    "raw_escaped": lambda t: urllib.parse.quote_from_bytes(_raw(t.encode("latin-1")), safe=""),
+    "raw_after_three": lambda t: _b64(b"\xfe\xff\x07" + _raw(t.encode("latin-1"))),
+    "raw_after_one": lambda t: _b64(b"\xff" + _raw(t.encode("latin-1"))),
 }
 
 
-@settings(max_examples=250, deadline=None)
-@given(st.lists(st.sampled_from(sorted(ENCODERS)), min_size=1, max_size=4))
+@pytest.mark.parametrize("name", sorted(ENCODERS))
+def test_each_encoding_alone(name):
+    form = ENCODERS[name](SECRET)
+    spans = scan(f"é {form} z")[1]
+    assert {"assign", "hex"} <= {k for _, k, _ in spans} and all(2 <= a < b <= 2 + len(form) for a, _, b in spans)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(sorted(ENCODERS)), min_size=1, max_size=3))
 def test_nested_encodings_are_unwrapped(names):
     form = SECRET
     for n in names:
@@ -330,10 +361,38 @@ def test_all_kinds_that_a_recursive_search_finds_are_found(steps):
     assert want <= {kind for _, kind, _ in scan(text)[1]}
 
 
-def test_plain_escapes_are_no_secrets_and_cuts_are_marked():
+def _noise(n, seed):
+    return np.random.default_rng(seed).integers(0, 256, n, np.uint8).tobytes()
+
+
+def test_what_is_inflated_is_scanned_to_its_end(monkeypatch):
+    kinds = lambda text: {k for _, k, _ in scan(text)[1]}
+    tail = b" " + SECRET.encode() + b" "
+    spaces = _b64(gzip.compress(b" " * (40 << 20) + tail))
+    assert kinds(spaces) == {"assign", "hex"} and {(a, b) for a, _, b in scan(spaces)[1]} == {(0, len(spaces.rstrip("=")))}
+    burst = b"#" * (16 << 20)
+    for _ in range(3):
+        burst = gzip.compress(burst)
+    assert kinds(_b64(burst)) == set()
+    monkeypatch.setattr(S, "WINDOW", 1 << 15)
+    monkeypatch.setattr(S, "OVERLAP", 1 << 12)
+    for place in range((1 << 16) - 60, (1 << 16) + 20, 7):  # at the end of a window
+        assert kinds(_b64(zlib.compress(b"\n" * place + tail + b"\n" * 1000))) == {"assign", "hex"}, place
+    # streams that begin in one window and end in another, at two depths, beside what cannot be compressed
+    inner = gzip.compress(_noise(90_000, 1) + tail)
+    assert kinds(_b64(gzip.compress(b" " * 60_000 + inner))) >= {"assign", "hex"}
+    assert kinds(_b64(gzip.compress(b"-" * 65_000 + gzip.compress(b" " * 30_000 + inner)))) >= {"assign", "hex"}
+    assert kinds(_b64(_raw(_noise(90_000, 2) + tail))) >= {"assign", "hex"}
+
+
+def test_noise_gives_no_secrets_and_takes_linear_time():
+    assert scan(_b64(_noise(40_000, 3)))[0] == [] and all(k == "hex" for _, k, _ in scan(_b64(_noise(40_000, 3)))[1])
+    cut = _raw(b"".join(b"%d, " % (i * i) for i in range(200_000)))
+    assert scan(_b64(cut[: len(cut) // 2])) == ([], [], False)
+
+
+def test_plain_escapes_are_no_secrets():
     assert scan("a%20b") == scan(None) == scan("") == ([], [], False)
-    bomb = _b64(gzip.compress(b" " * (40 << 20) + SECRET.encode()))
-    assert scan(bomb) == ([], [], True)
     long = _b64(gzip.compress(bytes(range(256)) * 4000 + SECRET.encode()))
     assert {k for _, k, _ in scan("x " * 100_000 + long)[1]} == {"assign", "hex"}
     quine = "%2525" * 50
