@@ -42,12 +42,17 @@ def merge_notes(notes: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def changes_since(parts: dict[str, DataFrame], since: int, batch: int = BATCH) -> tuple[dict[str, DataFrame], int | None]:
     """Of each kind the first ``batch`` rows updated after ``since``, and up to when a puller has seen everything: just
-    before the last row of a kind whose batch is full, None where nothing is."""
+    before the last row of a kind whose batch is full, None where nothing is.
+
+    Where a full batch has rows of one time only, a puller could never pass it: then all rows of that time are given."""
     out, upto = {}, []
     for name, df in parts.items():
         page = df.where(F.col("updated") > since).orderBy("updated", *[c for c in df.columns if c != "updated"][:1]).limit(batch)
-        n, last = page.agg(F.count("*"), F.max("updated")).first()
-        if n:
+        n, first, last = page.agg(F.count("*"), F.min("updated"), F.max("updated")).first()
+        if n == batch and first == last:
+            page = df.where(F.col("updated") == last)
+            upto.append(last)
+        elif n:
             upto.append(last - 1 if n == batch else last)
         out[name] = page
     return out, (min(upto) if upto else None)

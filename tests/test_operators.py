@@ -439,3 +439,19 @@ def test_context_keeps_its_budget(spark):
     assert context.salvage_json('x {"a": 1} y') == {"a": 1} and context.salvage_json("none") is None
     assert "One" in context.recent_corpus(c, m, 5, 400) and context.ask("q", hits, m, c, answer=lambda q, text: q + str(len(text) > 0)) == "qTrue"
     assert context.resume_command("codex", "u", "/p") == "cd /p && codex resume u"
+
+
+def test_a_puller_passes_more_rows_of_one_time_than_a_batch(spark):
+    """Pulled page by page, every row comes, in batches of three, though five share one time."""
+    times = [1, 2, 5, 5, 5, 5, 5, 6, 9, 9]
+    rows = spark.createDataFrame([(f"n{i}", t) for i, t in enumerate(times)], "note_id string, updated long")
+    got, since, pulls = set(), 0, 0
+    while True:
+        pages, upto = shared.changes_since({"notes": rows}, since, batch=3)
+        got |= {r.note_id for r in pages["notes"].collect()}
+        if upto is None:
+            break
+        assert upto > since and (pulls := pulls + 1) < 10
+        since = upto
+    assert got == {f"n{i}" for i in range(len(times))} and since == 9
+    assert shared.changes_since({"notes": rows.limit(0)}, 0)[1] is None
