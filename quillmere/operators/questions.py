@@ -1,6 +1,6 @@
 """Many questions at once: a table of questions against a whole corpus, each with its own best hits and its own context.
 
-Words meet postings in an equi-join, so a question costs what its words' postings are; vectors of questions go to the executors in parts of
+Messages are dealt to shards, in which the words of all questions are looked up, and a shard sends its best hits a question; vectors of questions go to the executors in parts of
 bounded size, and each task sends its best hits a question.  All ranks are windows a question, which keep the best of each
 task before anything is shuffled; contexts are packed by a fold in the plan, nothing is collected.
 """
@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..store import cut
 from .search import B, FLOOR, K1, RRF_K
 
+#: Words of the messages in a shard, about, and candidates that are looked at at a time.
+SHARD_WORDS, CANDIDATES = 1 << 20, 1 << 19
 #: Bytes of question vectors that one pass sends to the executors.
 PART_BYTES = 8 << 20
 
@@ -30,21 +33,99 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def keyword_hits(postings: DataFrame, sizes: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
+def _sharing(postings: pa.Table, asked: pa.Table, mean: float, k: int, most: int = CANDIDATES) -> pa.Table:
+    """(words_id, conversation_id, seq, score): for each of ``asked`` (words_id, words, weights) its ``k`` best conversations among
+    ``postings``, the whole messages of a shard.
+
+    The rarest of the words gives the candidates, the others are looked up in these, ``most`` candidates at a time or those of one entry."""
+    postings = postings.sort_by([("conversation_id", "ascending"), ("seq", "ascending")]).combine_chunks()
+    words = asked.column("words").combine_chunks()
+    n, lists = len(postings), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    if not n or not len(asked):
+        return _hits(postings, asked, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    new_conversation, new_message = np.zeros(n, bool), np.zeros(n, bool)
+    for column, at in (("conversation_id", new_conversation), ("seq", new_message)):
+        codes = pa.compute.dictionary_encode(postings.column(column).combine_chunks()).indices.to_numpy(zero_copy_only=False)
+        at[1:] = codes[1:] != codes[:-1]
+    conversation, message = np.cumsum(new_conversation), np.cumsum(new_conversation | new_message)
+    terms = pa.compute.dictionary_encode(postings.column("term").combine_chunks())
+    term, known = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(terms.dictionary)
+    tf, length = (postings.column(c).to_numpy().astype(np.float64) for c in ("tf", "length"))
+    below = tf + K1 * (1 - B + B * length / mean)
+    order = np.argsort(message * known + term, kind="stable")
+    keys = (message * known + term)[order]
+    by_term = np.argsort(term, kind="stable")  # the postings of a word, in order of their messages
+    df = np.bincount(term, minlength=known)
+    firsts = np.cumsum(df) - df
+    # (entry, place of the word) as a matrix, -1 where there is none and -2 for a word that the shard does not have
+    codes = pa.compute.index_in(words.flatten(), value_set=terms.dictionary).fill_null(-2).to_numpy(zero_copy_only=False).astype(np.int64)
+    entry, place = np.repeat(np.arange(len(lists)), lists), np.arange(lists.sum()) - np.repeat(np.cumsum(lists) - lists, lists)
+    of, weights = np.full((len(lists), lists.max()), -1, np.int64), np.zeros((len(lists), lists.max()))
+    of[entry, place], weights[entry, place] = codes, asked.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    live = np.flatnonzero((lists > 0) & (of != -2).all(axis=1))
+    times = np.where(of[live] >= 0, df[of[live]], n + 1)
+    rarest, count = of[live, times.argmin(axis=1)], times.min(axis=1)
+    upto, at, found = np.cumsum(count), 0, []
+    while at < len(live):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        c = np.repeat(np.arange(at, end), count[at:end])
+        row = by_term[np.arange(len(c)) - np.repeat(np.cumsum(count[at:end]) - count[at:end], count[at:end]) + firsts[rarest[c]]]
+        score = np.zeros(len(c))
+        for j in range(of.shape[1]):  # in the order of the words, so that equal messages score the same
+            wanted = of[live[c], j]
+            key = message[row] * known + wanted
+            there = order[np.minimum(np.searchsorted(keys, key), n - 1)]
+            held = (wanted < 0) | ((message[there] == message[row]) & (term[there] == wanted))
+            score = score + np.where(wanted < 0, 0.0, weights[live[c], j] * tf[there] * (K1 + 1) / below[there])
+            c, row, score = c[held], row[held], score[held]
+        if len(c):
+            # an entry's messages are in order, so those of a conversation are neighbours
+            first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (conversation[row[1:]] != conversation[row[:-1]])))
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
+            top = np.flatnonzero(score == np.maximum.reduceat(score, first)[group])
+            top = top[np.append(True, group[top[1:]] != group[top[:-1]])]
+            top = top[np.lexsort((top, -score[top], c[top]))]
+            start = np.flatnonzero(np.append(True, c[top[1:]] != c[top[:-1]]))
+            rank = np.arange(len(top)) - np.repeat(start, np.diff(np.append(start, len(top))))
+            top = top[rank < k]
+            found.append((live[c[top]], row[top], score[top]))
+        at = end
+    return _hits(postings, asked, *(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)))
+
+
+def _hits(postings: pa.Table, asked: pa.Table, entry: np.ndarray, row: np.ndarray, score: np.ndarray) -> pa.Table:
+    at, of = pa.array(row, pa.int64()), pa.array(entry, pa.int64())
+    return pa.table({"words_id": asked.column("words_id").take(of), "conversation_id": postings.column("conversation_id").take(at), "seq": postings.column("seq").take(at), "score": pa.array(score, pa.float64())})
+
+
+def keyword_hits(postings: DataFrame, sizes: DataFrame, questions: DataFrame, k: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The best conversations by BM25 that hold all words of a question; ``questions`` (question_id, text), none twice.
 
     ``postings`` (term, conversation_id, seq, tf, length), ``sizes`` (conversation_id, seq, length) of all messages.  A question
-    without words has no hits.  A word that many ask for is one key of the join; the planner splits such a partition."""
-    words = questions.select("question_id", F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("words"))
-    words = words.select("question_id", F.size("words").alias("wanted"), F.explode("words").alias("term"))
-    rows = postings.join(words.select("term").distinct(), "term", "left_semi")
+    without words has no hits.  Questions of the same words are one.  Messages are dealt to shards of about ``shard_words`` words,
+    each of which meets every question: what is shuffled is the postings and each shard's best hits, never all messages that a
+    word is in once for each question that asks for it."""
+    words = F.array_sort(F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))))
+    asked = cut(questions.select("question_id", words.alias("words")).where(F.size("words") > 0))
+    each = asked.groupBy("words").agg(F.min("question_id").alias("words_id"))
+    terms = each.select("words_id", F.size("words").alias("wanted"), F.posexplode("words").alias("place", "term"))
+    rows = postings.join(terms.select("term").distinct(), "term", "left_semi").select("term", "conversation_id", "seq", "tf", "length")
+    n, mean, total = sizes.agg(F.count("*"), F.avg("length"), F.sum("length")).first()
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    weighed = words.join(df, "term").join(F.broadcast(stats))
-    met = rows.select("term", "conversation_id", "seq", "tf", "length").join(weighed, "term")
-    scored = met.groupBy("question_id", "conversation_id", "seq").agg(F.sum(part).alias("score"), F.count("*").alias("held"), F.first("wanted").alias("wanted"))
-    return _best(scored.where("held = wanted").drop("held", "wanted"), k)
+    weight = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = terms.join(df, "term").groupBy("words_id").agg(F.array_sort(F.collect_list(F.struct("place", "term", weight.alias("weight")))).alias("ws"), F.first("wanted").alias("wanted"))
+    weighed = cut(weighed.where(F.size("ws") == F.col("wanted")).select("words_id", F.col("ws.term").alias("words"), F.col("ws.weight").alias("weights")))
+    shards = max(1, -(-int(total or 0) // shard_words))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("conversation_id", "seq"), F.lit(shards)))
+    sent = weighed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    types = {f.name: f.dataType.simpleString() for f in [*weighed.schema.fields, *rows.schema.fields]}
+
+    def meet(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        return _sharing(mine, asked, mean, k)
+
+    met = dealt.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(meet, f"words_id {types['words_id']}, conversation_id {types['conversation_id']}, seq {types['seq']}, score double")
+    best = _best(met.withColumnRenamed("words_id", "question_id"), k).withColumnRenamed("question_id", "words_id")
+    return asked.join(each, "words").join(best, "words_id").select("question_id", "conversation_id", "seq", "score", "rank")
 
 
 def semantic_hits(vectors: DataFrame, questions: DataFrame, k: int = 10, floor: float = FLOOR, part_bytes: int = PART_BYTES) -> DataFrame:

@@ -202,6 +202,28 @@ def test_many_questions_are_answered_as_one_by_one(spark):
         df.unpersist()
 
 
+def shuffled_rows(spark) -> int:
+    """Rows that all stages so far have sent to others."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_questions_of_a_word_that_all_messages_have(spark):
+    m = spark.createDataFrame([(f"c{i:04d}", s, f"the w{i % 7} {'x ' * (i % 5)}u{i}") for i in range(200) for s in range(2)], "conversation_id string, seq int, content string")
+    index, lengths = indexed(m).persist(), sizes(m)
+    index.count()
+    texts = [f"the w{i % 7}" if i % 2 else f"the u{i % 200} w{i % 200 % 7}" for i in range(300)]
+    asked = spark.createDataFrame(list(enumerate(texts)), "question_id int, text string")
+    before = shuffled_rows(spark)
+    rows = questions.keyword_hits(index, lengths, asked, 3, shard_words=500).collect()
+    assert shuffled_rows(spark) - before < 40_000  # 300 questions meet 400 messages in "the" alone
+    for i in (0, 1, 2, 5, 299):
+        got = [(r.conversation_id, r.seq, round(r.score, 8)) for r in sorted((r for r in rows if r.question_id == i), key=lambda r: r["rank"])]
+        assert got == [(r.conversation_id, r.seq, round(r.score, 8)) for r in search.indexed_search(index, lengths, texts[i], 3).collect()]
+    index.unpersist()
+
+
 def test_vectors_that_do_not_fit(spark):
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "question_id int, embedding array<float>")
     held = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 0, [0.0, 0.0]), ("c", 0, None)], "conversation_id string, seq int, embedding array<float>")
