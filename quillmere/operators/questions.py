@@ -23,6 +23,8 @@ from .search import B, FLOOR, K1, RRF_K
 SHARD_WORDS, CANDIDATES = 1 << 20, 1 << 19
 #: Bytes of question vectors that one pass sends to the executors.
 PART_BYTES = 8 << 20
+#: Scores that a task has at a time, whatever the number of questions.
+BLOCK = 1 << 20
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -128,10 +130,11 @@ def keyword_hits(postings: DataFrame, sizes: DataFrame, questions: DataFrame, k:
     return asked.join(each, "words").join(best, "words_id").select("question_id", "conversation_id", "seq", "score", "rank")
 
 
-def semantic_hits(vectors: DataFrame, questions: DataFrame, k: int = 10, floor: float = FLOOR, part_bytes: int = PART_BYTES) -> DataFrame:
+def semantic_hits(vectors: DataFrame, questions: DataFrame, k: int = 10, floor: float = FLOOR, part_bytes: int = PART_BYTES, block: int = BLOCK) -> DataFrame:
     """The best conversations by cosine, ``floor`` or more; ``questions`` (question_id, embedding), ``vectors`` (conversation_id, seq, embedding).
 
-    A vector that is null, zero or of another length than the questions' raises or scores nothing, as in a search for one question."""
+    A vector that is null, zero or of another length than the questions' raises or scores nothing, as in a search for one question.
+    All questions meet all vectors; a task has the scores of ``block`` pairs at a time."""
     questions = questions.where("embedding IS NOT NULL").select("question_id", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = vectors.where("embedding IS NOT NULL").select("conversation_id", "seq", F.col("embedding").cast("array<double>").alias("embedding"))
     size = questions.agg(F.sum(8 * F.size("embedding"))).first()[0] or 0
@@ -147,21 +150,28 @@ def semantic_hits(vectors: DataFrame, questions: DataFrame, k: int = 10, floor:
             for b in batches:
                 if not b.num_rows or not len(ids):
                     continue
-                # to twelve places: equal vectors are equal, wherever they stand
-                scores = np.round(_matrix(b.column(2), matrix.shape[1]) @ matrix.T, 12)
                 order = pa.compute.sort_indices(pa.table({"c": b.column(0), "s": b.column(1)}), [("c", "ascending"), ("s", "ascending")]).to_numpy()
                 conversation = b.column(0).take(pa.array(order)).dictionary_encode().indices.to_numpy()
                 first = np.flatnonzero(np.concatenate([[True], conversation[1:] != conversation[:-1]]))
-                for q in range(len(ids)):
-                    mine = scores[order, q]
-                    best = np.maximum.reduceat(mine, first)
-                    good = np.flatnonzero(best >= floor)
-                    # the k best conversations of this batch, with their first message of that score
-                    good = good[np.lexsort((good, -best[good]))][:k]
-                    ends = np.append(first[1:], len(mine))
-                    at = [int(first[g] + np.argmax(mine[first[g] : ends[g]])) for g in good]
-                    take = pa.array(order[at] if at else np.zeros(0, np.int64))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(at), q))), b.column(0).take(take), b.column(1).take(take), pa.array(mine[at] if at else np.zeros(0))], ["question_id", "conversation_id", "seq", "score"])
+                ends = np.append(first[1:], len(order))
+                held = _matrix(b.column(2), matrix.shape[1])[order]
+                few = max(1, block // len(order))
+                for low in range(0, len(ids), few):
+                    # to twelve places: equal vectors are equal, wherever they stand
+                    scores = np.round(matrix[low : low + few] @ held.T, 12)
+                    best = np.maximum.reduceat(scores, first, axis=1)
+                    asker, at = [], []
+                    for q in range(len(scores)):
+                        good = np.flatnonzero(best[q] >= floor)
+                        # the k best conversations of this batch, with their first message of that score
+                        if len(good) > k:
+                            good = good[best[q][good] >= np.partition(best[q][good], len(good) - k)[len(good) - k]]
+                        good = good[np.lexsort((good, -best[q][good]))][:k]
+                        at += [int(first[g] + np.argmax(scores[q, first[g] : ends[g]])) for g in good]
+                        asker += [q] * len(good)
+                    if at:
+                        take = pa.array(order[at])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(asker) + low)), b.column(0).take(take), b.column(1).take(take), pa.array(scores[asker, at])], ["question_id", "conversation_id", "seq", "score"])
 
         return rows.mapInArrow(each, schema)
 
