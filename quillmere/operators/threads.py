@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ TAIL_MESSAGES, OPENING_MESSAGES, OPENING_BYTES = 200, 60, 400_000
 MOST_DAYS = 366
 NEAR_MINUTES, RELATED_HOURS, RELATED_MOST = 30, 48, 3
 CONTINUED, SUGGESTED = 0.9, 0.5
+#: Threads that are looked up at a time.
+BLOCK = 1 << 17
 
 
 def is_feature(branch: Column) -> Column:
@@ -208,13 +212,62 @@ def links_of_thread(links: DataFrame, members: DataFrame) -> DataFrame:
     return out.withColumn("inside", F.coalesce(F.col("has_a") & F.col("has_b"), F.lit(False))).drop("has_a", "has_b")
 
 
+def _nearest(rows: pa.Table) -> pa.Table:
+    """(repo_key, branch, _set, _at, other, apart): for each own (_set, _at) of ``rows``, all of a repository, branch and stretch of time, the closest
+    others on disjoint devices, one more than is wanted, since a thread without devices is among its own.
+
+    Of each set of devices the next in time on either side are looked up in order; a set is met by all at once."""
+    rows, most = rows.combine_chunks(), RELATED_MOST + 1
+    known: dict[tuple, int] = {}
+    of = np.array([known.setdefault(tuple(x), len(known)) for x in rows.column("_set").to_pylist()])
+    devices = {d: i for i, d in enumerate(sorted({d for x in known for d in x if d is not None}))}
+    has = np.zeros((len(known), len(devices)), np.float32)
+    for x, i in known.items():
+        has[i, [devices[d] for d in x if d is not None]] = 1
+    none, unknown = np.array([not x for x in known]), np.array([None in x for x in known])  # what cannot be told is not disjoint
+    at, own = rows.column("_at").to_numpy().astype(np.int64), rows.column("own").to_numpy(zero_copy_only=False)
+    by_id = pa.compute.sort_indices(rows.column("other")).to_numpy()
+    rank = np.empty(len(rows), np.int64)
+    rank[by_id] = np.arange(len(rows))
+    asking = np.flatnonzero(own)
+    asking = asking[np.unique(np.stack([of[asking], at[asking]]), axis=1, return_index=True)[1]]
+    far, shift = np.iinfo(np.int64).max, 1 << 40
+    best = np.full((len(asking), most), far)
+    for i in range(len(known)):
+        fits = (has @ has[i] == 0) & (none | none[i] | ~(unknown | unknown[i]))
+        mine, q = np.flatnonzero(of == i), np.flatnonzero(fits[of[asking]])
+        for way in (1, -1):
+            there = mine[np.lexsort((rank[mine], way * at[mine]))]
+            times = way * at[there]
+            for low in range(0, len(q), BLOCK):
+                some = q[low : low + BLOCK]
+                now = way * at[asking[some]]
+                place = np.searchsorted(times, now, "left" if way == 1 else "right")[:, None] + np.arange(most)
+                row = np.minimum(place, len(there) - 1)
+                apart = times[row] - now[:, None]
+                found = np.where((place < len(there)) & (apart <= RELATED_HOURS * 3600), apart * shift + rank[there[row]], far)
+                best[some] = np.sort(np.concatenate([best[some], found], axis=1), axis=1)[:, :most]
+    q, n = np.nonzero(best < far)
+    mine, other = pa.array(asking[q]), pa.array(by_id[best[q, n] % shift])
+    return pa.table({**{c: rows.column(c).take(mine) for c in ("repo_key", "branch", "_set", "_at")}, "other": rows.column("other").take(other), "apart": pa.array(best[q, n] // shift, pa.int64())})
+
+
 def related(summaries: DataFrame) -> DataFrame:
     """(thread_id, other) threads of one repository and feature branch on disjoint devices within 48 hours, the three
-    closest; ``summaries`` has devices (array), branch, last_activity, status."""
-    live = summaries.where(is_feature(F.col("branch")) & (F.coalesce("status", F.lit("active")) != "done") & F.col("repo_key").isNotNull() & F.col("last_activity").isNotNull())
-    other = live.select("repo_key", "branch", F.col("thread_id").alias("other"), F.col("devices").alias("other_devices"), F.col("last_activity").alias("other_last"))
-    apart = F.abs(F.unix_timestamp("last_activity") - F.unix_timestamp("other_last"))
-    found = live.join(other, ["repo_key", "branch"]).where((F.col("thread_id") != F.col("other")) & (apart <= RELATED_HOURS * 3600) & ~F.arrays_overlap("devices", "other_devices")).withColumn("apart", apart)
+    closest; ``summaries`` has devices (array), branch, last_activity, status.
+
+    Threads of the same devices and second have the same answer and are asked for once; of these only the first few can be one.  A branch is dealt
+    out by stretches of 48 hours, each with the others of the two beside it, and in these the closest are looked up in order: no pairs are made."""
+    live = summaries.where(is_feature(F.col("branch")) & (F.coalesce("status", F.lit("active")) != "done") & F.col("repo_key").isNotNull() & F.col("last_activity").isNotNull() & F.col("devices").isNotNull())
+    live = live.select("thread_id", "repo_key", "branch", F.array_sort(F.array_distinct("devices")).alias("_set"), F.unix_timestamp("last_activity").alias("_at"))
+    same = ["repo_key", "branch", "_set", "_at"]
+    firsts = live.withColumn("rn", F.row_number().over(Window.partitionBy(*same).orderBy("thread_id"))).where(F.col("rn") <= RELATED_MOST + 1)
+    stretch = F.floor(F.col("_at") / (RELATED_HOURS * 3600))
+    dealt = firsts.select(*same, F.col("thread_id").alias("other"), stretch.alias("_mine"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_stretch"))
+    dealt = dealt.select(*same, "other", "_stretch", (F.col("_mine") == F.col("_stretch")).alias("own"))
+    types = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+    near = dealt.groupBy("repo_key", "branch", "_stretch").applyInArrow(_nearest, ", ".join([*(f"{c} {types[c]}" for c in [*same, "other"]), "apart bigint"]))
+    found = live.join(near, same).where(F.col("thread_id") != F.col("other"))
     w = Window.partitionBy("thread_id").orderBy("apart", "other")
     return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= RELATED_MOST).select("thread_id", "other", "apart")
 
