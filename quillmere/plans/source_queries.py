@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import json
 import sqlite3
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,38 +148,46 @@ def src_skills(spark, sf_dir):
     return found.select(number(1).alias("conv_id"), number(2).alias("turn"), "title", F.col("messages")[0]["role"].alias("role"), F.col("messages")[0]["content"].alias("text"))
 
 
-def _database(cursor: bool):
-    """Chats as the key-value tables of an editor."""
+#: Databases that a task has at a time.
+DATABASES = 64
 
-    @F.pandas_udf("binary")
-    def make(number: pd.Series, ms: pd.Series) -> pd.Series:
-        out = []
-        for i, turns in zip(number, ms, strict=True):
-            con, disk, kinds = sqlite3.connect(":memory:"), {}, {"user": 1, "assistant": 2}
-            bubbles = [{"type": kinds[m["role"]], "text": m["text"]} for m in turns if m["role"] in kinds]
-            if cursor:
-                disk[f"composerData:{i}"] = {"fullConversationHeadersOnly": [{"bubbleId": f"b{n}"} for n in range(len(bubbles))]}
-                disk |= {f"bubbleId:{i}:b{n}": b for n, b in enumerate(bubbles)}
-            tables = {"ItemTable": {} if cursor else {LEGACY_KEY: {"tabs": [{"tabId": str(i), "messages": bubbles}]}}, "cursorDiskKV": disk}
-            for name, rows in tables.items():
-                con.execute(f"CREATE TABLE {name} (key TEXT, value TEXT)")
-                con.executemany(f"INSERT INTO {name} VALUES (?, ?)", [(k, json.dumps(v)) for k, v in rows.items()])
-            con.commit()
-            out.append(con.serialize())
-            con.close()
-        return pd.Series(out)
 
-    return make
+def _databases(turns: DataFrame, cursor: bool) -> DataFrame:
+    """(conv_id, content): chats as the key-value tables of an editor, few at a time."""
+
+    def make(i: int, turns: list[dict]) -> bytes:
+        con, disk, kinds = sqlite3.connect(":memory:"), {}, {"user": 1, "assistant": 2}
+        bubbles = [{"type": kinds[m["role"]], "text": m["text"]} for m in turns if m["role"] in kinds]
+        if cursor:
+            disk[f"composerData:{i}"] = {"fullConversationHeadersOnly": [{"bubbleId": f"b{n}"} for n in range(len(bubbles))]}
+            disk |= {f"bubbleId:{i}:b{n}": b for n, b in enumerate(bubbles)}
+        tables = {"ItemTable": {} if cursor else {LEGACY_KEY: {"tabs": [{"tabId": str(i), "messages": bubbles}]}}, "cursorDiskKV": disk}
+        for name, rows in tables.items():
+            con.execute(f"CREATE TABLE {name} (key TEXT, value TEXT)")
+            con.executemany(f"INSERT INTO {name} VALUES (?, ?)", [(k, json.dumps(v)) for k, v in rows.items()])
+        con.commit()
+        out = con.serialize()
+        con.close()
+        return out
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, DATABASES):
+                few = b.slice(at, DATABASES)
+                made = [make(i, ms) for i, ms in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(made, pa.binary())], ["conv_id", "content"])
+
+    return turns.select("conv_id", "ms").mapInArrow(each, f"conv_id {dict(turns.dtypes)['conv_id']}, content binary")
 
 
 @query(said(("user", "assistant")))
 def src_cursor(spark, sf_dir):
-    return _read(_files(_turns(spark, sf_dir), _path("/w/", "/state.vscdb"), _database(True)("conv_id", "ms")), "cursor", F.col("native_id"))
+    return _read(_files(_databases(_turns(spark, sf_dir), True), _path("/w/", "/state.vscdb"), F.col("content")), "cursor", F.col("native_id"))
 
 
 @query(said(("user", "assistant")))
 def src_windsurf(spark, sf_dir):
-    return _read(_files(_turns(spark, sf_dir), _path("/w/", "/state.vscdb"), _database(False)("conv_id", "ms")), "windsurf", F.col("native_id"))
+    return _read(_files(_databases(_turns(spark, sf_dir), False), _path("/w/", "/state.vscdb"), F.col("content")), "windsurf", F.col("native_id"))
 
 
 @query("SELECT conv_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, place, CASE place WHEN 0 THEN role ELSE '' END AS language, CASE place WHEN 0 THEN text ELSE role END AS text FROM conversations, (VALUES (0), (1)) p(place) WHERE trim(text) <> ''")

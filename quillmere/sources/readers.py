@@ -26,6 +26,10 @@ GLOBS = {
 }
 
 
+#: Sessions that a task hands on at a time.
+AT_A_TIME = 64
+
+
 def _row(s: Session) -> dict:
     ms = [{"seq": i, "role": m.role, "content": m.content, "ts": m.ts, "tools": m.tools, "snippets": []} for i, m in enumerate(s.messages)]
     return {k: getattr(s, k) for k in ("tool", "kind", "path", "native_id", "title", "project", "branch", "model", "started_at", "ended_at")} | {"error": None, "messages": ms}
@@ -74,6 +78,9 @@ def parse_files(files: DataFrame, source: str, folder: str = "/") -> DataFrame:
                     rows += [_row(s) for s in PARSERS[source](path, content, **more)]
                 except Exception as e:  # noqa: BLE001  a file must not end the others
                     rows.append(_failed(source, path, e))
+                if len(rows) >= AT_A_TIME:
+                    yield _frame(rows)
+                    rows = []
             if rows:
                 yield _frame(rows)
 

@@ -113,7 +113,7 @@ def test_many_questions_meet_few_at_a_time(spark):
 def test_hash_embeddings_of_long_texts_stay_small(spark):
     said = spark.range(0, 8000, 1, 1).selectExpr("id", "array_join(transform(sequence(1, 400), i -> concat('w', (i * 7 + id) % 5000)), ' ') AS content")
     warm(spark)
-    assert grown_by(lambda: noop(V.embed(said))) < 250
+    assert grown_by(lambda: noop(V.embed(said))) < 170  # 258 with words as Python strings, 92 as arrays
     r = V.embed(said).where("id = 4321").first()
     assert np.array_equal(np.array(r.embedding, np.float32), V.hash_vector(r.content.split()))
 
@@ -124,5 +124,4 @@ def test_editor_databases_go_few_at_a_time(spark, tmp_path):
     warm(spark, 4)
     for name in ("src_windsurf", "src_cursor"):
         grown = grown_by(lambda: noop(core.QUERIES[name](spark, str(tmp_path))))
-        print(name, grown)
-        assert grown < 700, (name, grown)
+        assert grown < 380, (name, grown)
