@@ -59,7 +59,7 @@ def _hash_vectors(words: pa.ListArray, dim: int) -> np.ndarray:
     hashes = np.fromiter((_fnv1a(w.encode()) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     at, sign = (hashes % np.uint64(dim)).astype(np.int64), np.where((hashes >> np.uint64(33)) & np.uint64(1), -1.0, 1.0)
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    out = np.bincount(np.repeat(np.arange(len(words)), lengths) * dim + at[codes], sign[codes], len(words) * dim).reshape(-1, dim)
+    out = np.bincount(np.repeat(np.arange(len(words)), lengths) * dim + at[codes], sign[codes], len(words) * dim).astype(np.float64).reshape(-1, dim)  # whole numbers, if there are no words
     n = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, n, out=np.zeros_like(out), where=n > 0).astype(np.float32)
 
